@@ -4,13 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm import exact_dedup, langid, mixing, packing, sharding, simhash
+from folioloom.llm import exact_dedup, langid, mixing, mpegts, packing, secret_scan, sharding, simhash
 from folioloom.session import table
 
 
+def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: three base kinds and what the randomness battery adds."""
+    found = secret_scan.scan(spark, table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [of(k) for k in secret_scan.BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as transport streams, read back: digests and what the streams hold."""
+    media = mpegts.parse(spark, mpegts.encode(spark, table(spark, sf_dir, "documents")))
+    stream = F.col("streams")[0]
+    payload, units = stream["payload"], stream["units"]
+    first, last = units[0], F.element_at(units, -1)
+    parts = {
+        "streams": F.size("streams"),
+        "packets": F.col("packets"),
+        "faults": F.col("sync_errors") + F.col("continuity_errors") + F.col("crc_errors"),
+        "units": F.size(units),
+        "random_access": F.size(F.filter(units, lambda u: u["random_access"])),
+        "first_pts": first["pts"],
+        "last_pts": last["pts"],
+    }
+    feature = F.concat_ws(";", *[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in parts.items()])
+    return media.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes."""
     placed, _ = sharding.shard(spark, table(spark, sf_dir, "documents"))
@@ -45,7 +88,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_virtual_slots, op6_language_fusion, op7_exact_dedup, op8_simhash, op9_systematic_mix, op10_harmonic_packing)
+    f.__name__: f for f in (op2_secret_battery, op4_transport_streams, op5_virtual_slots, op6_language_fusion, op7_exact_dedup, op8_simhash, op9_systematic_mix, op10_harmonic_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
