@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm import exact_dedup, langid, mixing, mpegts, packing, secret_scan, sharding, simhash
+from folioloom.llm import exact_dedup, langid, license_scan, mixing, mpegts, packing, secret_scan, sharding, simhash, toxicity
 from folioloom.session import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; labels of held-out rows are never learned from."""
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+    found = toxicity.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold != 0)
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents: three base kinds and what the randomness battery adds."""
     found = secret_scan.scan(spark, table(spark, sf_dir, "documents"))
@@ -26,6 +33,11 @@ def op2_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op3_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses found in all documents, with their wording's differences."""
+    return license_scan.scan(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as transport streams, read back: digests and what the streams hold."""
     media = mpegts.parse(spark, mpegts.encode(spark, table(spark, sf_dir, "documents")))
@@ -88,7 +100,7 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_battery, op4_transport_streams, op5_virtual_slots, op6_language_fusion, op7_exact_dedup, op8_simhash, op9_systematic_mix, op10_harmonic_packing)
+    f.__name__: f for f in (op1_toxicity, op2_secret_battery, op3_license_compression, op4_transport_streams, op5_virtual_slots, op6_language_fusion, op7_exact_dedup, op8_simhash, op9_systematic_mix, op10_harmonic_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
