@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioloom.session import ship
+
 #: White space as the contracts define it, for Java's regular expressions.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -49,14 +54,14 @@ def key_bitmap(keys: DataFrame, columns: list[str], bits_log2: int) -> DataFrame
 
 def flag_members(df: DataFrame, columns: list[Column], bitmap: DataFrame, bits_log2: int, flag: str) -> DataFrame:
     """Add ``flag``: false where a row's key is certainly none of the bitmap's keys."""
-    h, bucket = free_name(df, "_h"), free_name(df, "_bucket")
+    h, bucket, bits = free_name(df, "_h"), free_name(df, "_bucket"), free_name(df, "_bitmap")
     hashed = df.withColumn(h, F.pmod(F.xxhash64(*columns), F.lit(1 << bits_log2)))
-    small = bitmap.withColumnRenamed("_bucket", bucket)
+    small = bitmap.select(F.col("_bucket").alias(bucket), F.col("_bitmap").alias(bits))
     joined = hashed.join(F.broadcast(small), F.floor(F.col(h) / _BITS).cast("int") == F.col(bucket), "left")
     pos = F.pmod(F.col(h), F.lit(_BITS))
-    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), F.floor(pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = F.call_function("shiftright", byte, F.pmod(pos, F.lit(8)).cast("int")).bitwiseAND(F.lit(1))
-    return joined.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop(h, bucket, "_bitmap")
+    return joined.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop(h, bucket, bits)
 
 
 def drop_keys(df: DataFrame, key: str, keys: DataFrame, bits_log2: int = 24) -> DataFrame:
@@ -72,6 +77,39 @@ def drop_keys(df: DataFrame, key: str, keys: DataFrame, bits_log2: int = 24) ->
     return untouched.unionByName(looked_up.select(*untouched.columns))
 
 
+def prepare(spark: SparkSession) -> None:
+    """Before Python functions over texts: this package to the executors, and Arrow batches of
+    1,000 rows where the session has the default of 10,000, since texts can be long."""
+    ship(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, "1000")
+
+
 def input_partitions(spark: SparkSession) -> int:
     """Partitions for a shuffle that this library asks for by number."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of an Arrow batch that are Python objects at a time.
+_ROWS = 250
+
+
+def texts(column) -> Iterator[str | None]:
+    """The strings of an Arrow column, few of them as Python objects at a time."""
+    for at in range(0, len(column), _ROWS):
+        yield from column.slice(at, _ROWS).to_pylist()
+
+
+def released(batches: Iterator) -> Iterator:
+    """Passes batches on; at a task's end the worker, which Spark keeps for the next task, gives memory back."""
+    yield from batches
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioloom.session import ship, staged
+from folioloom.llm.common import drop_keys, prepare, released, texts
+from folioloom.session import staged
 
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 8000
@@ -94,9 +95,9 @@ def _scores(langs: list[str], model, max_grams: float):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in released(batches):
             out, n = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for text in texts(batch.column(batch.num_columns - 1)):
                 g = grams(text or "", len(table))
                 n.append(len(g))
                 if not len(g):
@@ -124,7 +125,7 @@ def suffix_of(host: Column) -> Column:
 
 def identify(spark: SparkSession, rows: DataFrame, model: tuple, key: str, text: Column, declared: Column, host: Column, least: float = LEAST, max_grams: float = MAX_GRAMS, strength: tuple[float, float, float] = STRENGTH) -> DataFrame:
     """One row per row of ``rows``: key, lang, posterior, text_lang, declared, host, n_grams."""
-    ship(spark)
+    prepare(spark)
     langs, table = model
     if not langs:
         return rows.select(F.col(key), F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"), declared.alias("declared"), host.alias("host"), F.lit(0).cast("long").alias("n_grams"))
@@ -221,8 +222,6 @@ def accept_documents(spark: SparkSession, docs: DataFrame, least: float = LEAST)
 
     Rows that repeat one doc_id stay or go by their own text; a null doc_id never matches.
     """
-    from folioloom.llm.common import drop_keys
-
     found = identify(spark, docs, fit(spark, docs), "doc_id", F.coalesce(F.col("text"), F.lit("")), F.col("lang"), F.col("source"), least=least)
     gone = staged(spark, found.filter(F.col("lang") == UNKNOWN).select("doc_id"), "langid-gone")
     return drop_keys(docs, "doc_id", gone)

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.session import ship
+from folioloom.llm.common import prepare, released, texts
 
 GAP = 2
 WINDOW = 400
@@ -183,9 +183,9 @@ def _scan(templates: dict[str, str] | None, reduction: float, confirm: int, miss
         names = ["key", "start", "end", "license", "reduction", "missing", "exact", "lacks", "instead"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.string(), pa.string()]
         seen: dict[str, list[dict]] = {}
-        for batch in batches:
+        for batch in released(batches):
             rows: list[tuple] = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(texts(batch.column(1))):
                 for start, end in blocks(text or ""):
                     block = text[start:end]
                     if block not in seen:
@@ -201,7 +201,7 @@ def _scan(templates: dict[str, str] | None, reduction: float, confirm: int, miss
 
 def scan(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, reduction: float = REDUCTION, confirm: int = CONFIRM, missing: float = MISSING) -> DataFrame:
     """One row per license found: doc_id, start, end, license, reduction, missing, exact, lacks, instead."""
-    ship(spark)
+    prepare(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"key {kind}, start bigint, end bigint, license string, reduction double, missing double, exact boolean, lacks string, instead string"
     chosen = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(f"(?i){CUES}"))

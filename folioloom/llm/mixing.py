@@ -91,7 +91,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     doc = free_name(docs, "_doc")
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(doc))
     counted = _numbered(spark, whole, weights, cap, seed, (doc,))
-    return counted.filter("copies > 0").select(F.explode(F.array_repeat(F.col(doc), F.col("copies"))).alias(doc)).select(*[F.col(f"{doc}.`{c}`") for c in docs.columns])
+    return counted.filter("copies > 0").select(doc, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*[F.col(f"{doc}.`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = r"""

@@ -26,8 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import text_or_empty
-from folioloom.session import ship
+from folioloom.llm.common import prepare, released, text_or_empty
 
 PACKET = 188
 BLOCK = 576
@@ -298,7 +297,7 @@ def _batches(rows, names, kinds):
 def _encode(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in released(batches):
         ids, payloads = batch.column(0), batch.column(1)
         rows = ((len(m), (k.as_py(), n, m)) for k, p in zip(ids, payloads, strict=True) for raw in (p.as_py() or b"",) for n, m in ((len(raw), mux(padded(raw))),))
         yield from _batches(rows, ["key", "n_bytes", "media"], [ids.type, pa.int64(), pa.binary()])
@@ -306,7 +305,7 @@ def _encode(batches):
 
 def encode(spark: SparkSession, df: DataFrame, key: str = "doc_id", payload: Column | None = None) -> DataFrame:
     """key, n_bytes and ``media``, the transport stream of each row's payload (UTF-8 of ``text`` if none is given)."""
-    ship(spark)
+    prepare(spark)
     kind = df.schema[key].dataType.simpleString()
     source = F.encode(text_or_empty(), "UTF-8") if payload is None else payload
     return df.select(F.col(key).alias("key"), source.alias("payload")).mapInArrow(_encode, f"key {kind}, n_bytes bigint, media binary").withColumnRenamed("key", key)
@@ -329,7 +328,7 @@ def _parse(batches):
         found = [{"program": s.program, "pid": s.pid, "stream_type": s.stream_type, "payload": s.data, "units": [vars(u) for u in s.units]} for s in m.streams]
         return 2 * len(raw), (k, n, raw, m.packets, m.sync_errors, m.continuity_errors, m.repeated, m.crc_errors, found)
 
-    for batch in batches:
+    for batch in released(batches):
         ids, n, media = batch.columns
         rows = (one(k.as_py(), c.as_py(), m.as_py()) for k, c, m in zip(ids, n, media, strict=True))
         yield from _batches(rows, names, [ids.type, pa.int64(), pa.binary(), *[pa.int64()] * 5, streams])
@@ -337,7 +336,7 @@ def _parse(batches):
 
 def parse(spark: SparkSession, df: DataFrame, key: str = "doc_id", media: str = "media", n_bytes: str = "n_bytes") -> DataFrame:
     """Each row's media with its fault counts and streams: payload and access units of each."""
-    ship(spark)
+    prepare(spark)
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_bytes bigint, media binary, packets bigint, sync_errors bigint, continuity_errors bigint, repeated bigint, crc_errors bigint, streams {_STREAM}"
     chosen = df.select(F.col(key).alias("key"), F.col(n_bytes).alias("n_bytes"), F.col(media).alias("media"))

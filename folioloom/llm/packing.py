@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioloom.session import ship, staged
+from folioloom.llm.common import prepare, released, texts
+from folioloom.session import staged
 
 CAPACITY = 1024
 LEAST = 64
@@ -95,10 +96,10 @@ def _pieces(capacity: int, least: int, end_id: int, vocabulary: str):
         end = np.array([end_id], np.uint32)
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "k", "exact", "part", "place"]
         kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64()]
-        for batch in batches:
+        for batch in released(batches):
             rows: list[list] = [[] for _ in names]
             ids_of = batch.column(0)
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            for i, text in enumerate(texts(batch.column(1))):
                 ids = np.concatenate([encoding.encode_to_numpy(text or ""), end])
                 data = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 for start, length, k in cut(len(ids), capacity, least):
@@ -115,7 +116,7 @@ def _pieces(capacity: int, least: int, end_id: int, vocabulary: str):
 
 def pieces(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, least: int = LEAST, end_id: int = END_ID, vocabulary: str = VOCABULARY) -> DataFrame:
     """All pieces of all documents, each with its class, task and place in that task's class; staged."""
-    ship(spark)
+    prepare(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, k int, exact boolean, part int, place bigint"
     cut_ = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pieces(capacity, least, end_id, vocabulary), schema)

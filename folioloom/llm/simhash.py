@@ -37,8 +37,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import drop_keys
-from folioloom.session import ship, staged
+from folioloom.llm.common import drop_keys, prepare, released, texts
+from folioloom.session import staged
 
 WIDTH = 3
 MAX_BITS = 2
@@ -98,15 +98,15 @@ _OFFSETS = _offsets()
 def _fingerprints(batches):
     import pyarrow as pa
 
-    for batch in batches:
-        values = [fingerprint(t) for t in batch.column(1).to_pylist()]
+    for batch in released(batches):
+        values = [fingerprint(t) for t in texts(batch.column(1))]
         signed = [v - (1 << 64) if v >> 63 else v for v in values]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.int64())], names=["doc_id", "fp"])
 
 
 def fingerprints(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fingerprint (as a signed long) of each row."""
-    ship(spark)
+    prepare(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint")
 
