@@ -35,7 +35,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioloom.session import ship, staged
+from folioloom.llm.common import prepare, released, texts
+from folioloom.session import staged
 
 MAX_TOXIC = 3000
 MAX_CLEAN = 5000
@@ -43,7 +44,7 @@ MAX_VOTERS = 48
 MAX_FEATURES = 400
 PREFIXES = (3, 4, 5, 6, 7)
 ROUNDS = 6
-RIDGE = 2.0
+RIDGE = 0.5
 GOLD = 0.98
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -62,9 +63,17 @@ def sample(spark: SparkSession, docs: DataFrame, labels: DataFrame, usable: Colu
     """Texts and labels of the sample, and the share of label 1 among all usable labels."""
     known = labels.filter(F.col("toxic").isNotNull() & usable).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
-    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     most = F.when(F.col("toxic") == 1, max_toxic).otherwise(max_clean)
-    few = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= max(max_toxic, max_clean)).filter(F.col("r") <= most).select("doc_id", "toxic")
+
+    def bound(label: int, wanted: int) -> int:
+        """A hash below which four times the wanted rows of a class are likely."""
+        n = share.get(label, 0)
+        return (1 << 63) - 1 if n <= 4 * wanted else int(((1 << 64) - 1) * (4 * wanted / n)) - (1 << 63)
+
+    h = F.xxhash64("doc_id")
+    likely = known.filter(h <= F.when(F.col("toxic") == 1, F.lit(bound(1, max_toxic))).otherwise(F.lit(bound(0, max_clean))))
+    order = W.partitionBy("toxic").orderBy(h, "doc_id")
+    few = likely.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("doc_id", "toxic")
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "toxic", F.xxhash64("doc_id").alias("h"))  # max_toxic + max_clean ids at most
     got = sorted((r["h"], r["text"] or "", r["toxic"]) for r in rows.collect())
     total = sum(share.values())
@@ -141,9 +150,9 @@ def _features(index: dict[str, int], voters: list[tuple[int, int]]):
         import pyarrow as pa
 
         known = Features(index)
-        for batch in batches:
+        for batch in released(batches):
             masks, ids, counts = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in texts(batch.column(1)):
                 found = known.of(text)
                 masks.append(sum(1 << i for i, (f, t) in enumerate(voters) if found.get(f, 0) >= t))
                 ids.append(list(found))
@@ -194,8 +203,8 @@ def label_model(masks: DataFrame, share: float, rate1: np.ndarray, rate0: np.nda
     correlation = np.zeros((v, v))
 
     def model() -> tuple[float, np.ndarray]:
-        # a voter that doesn't fire abstains; the bias has what their silence says on average
-        return float(np.log(prior / (1 - prior)) + np.log((1 - p1.max()) / (1 - p0.max()))), np.log(p1 / p0) * discount
+        silent = np.log((1 - p1) / (1 - p0)) * discount
+        return float(np.log(prior / (1 - prior)) + silent.sum()), np.log(p1 / p0) * discount - silent
 
     def gathered(joint: bool) -> np.ndarray:
         got = masks.mapInArrow(_sums(*model(), joint), "s array<double>").collect()  # a row a task
@@ -258,19 +267,19 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, usable: Colum
 
     ``usable`` is a condition on ``labels`` (doc_id, toxic): the rows to learn from.
     """
-    ship(spark)
+    prepare(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts, y, share = sample(spark, docs, labels, usable, max_toxic, max_clean)
+    sampled, y, share = sample(spark, docs, labels, usable, max_toxic, max_clean)
     if not 0 < share < 1 or not 0 < y.sum() < len(y):
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    features, voters = choose(texts, y, max_features, max_voters)
+    features, voters = choose(sampled, y, max_features, max_voters)
     index = {p: i for i, p in enumerate(features)}
     chosen = docs.select(F.col("doc_id").alias("key"), F.col("text"))
     rows = staged(spark, chosen.mapInArrow(_features(index, voters), f"key {kind}, mask bigint, ids array<int>, counts array<int>"), "toxicity-rows")
 
     known = Features(index)
-    found = [known.of(t) for t in texts]
-    x = np.zeros((len(texts), len(features)))
+    found = [known.of(t) for t in sampled]
+    x = np.zeros((len(sampled), len(features)))
     for i, row in enumerate(found):
         for j, n in row.items():
             x[i, j] = np.log1p(n)
