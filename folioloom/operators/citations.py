@@ -130,7 +130,7 @@ def context_blocks(chunks: DataFrame, figures: DataFrame | None = None, start: i
     from folioloom.operators.retrieval import contextual_figures
 
     shown = contextual_figures(chunks.select("chunk_id", "doc_id", "start_page", "end_page"), figures)
-    image = F.concat(F.lit("\n\n!["), F.col("caption"), F.lit("]("), F.coalesce("image_url", F.lit("")), F.lit(")\n*"), F.col("caption"), F.lit("*"))
+    image = F.concat(F.lit("\n\n!["), F.col("caption"), F.lit("]("), (F.coalesce("image_url", F.lit("")) if "image_url" in figures.columns else F.lit("")), F.lit(")\n*"), F.col("caption"), F.lit("*"))
     per = shown.withColumn("_i", image).groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "figure_id", "_i"))), lambda x: x["_i"]), "").alias("_images"))
     return numbered.join(per, "chunk_id", "left").select("position", "chunk_id", F.concat(text, F.coalesce("_images", F.lit(""))).alias("block"))
 

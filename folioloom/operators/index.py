@@ -248,3 +248,16 @@ def opening_versions(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 def last_rows(rows: DataFrame, key: str, order: list[Column], n: int = 1) -> DataFrame:
     w = W.partitionBy(key).orderBy(*order)
     return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+
+
+def migrate(docs: DataFrame, chunks: DataFrame, embed: Column) -> dict[str, DataFrame]:
+    """A copy of an index with all vectors made anew by another provider; rows are otherwise as they were."""
+    return {"documents": docs, "chunks": chunks.withColumn("embedding", embed)}
+
+
+def report_pages(blocks: DataFrame, footnotes: DataFrame, figures: DataFrame) -> DataFrame:
+    """A report's rows: blocks, footnotes and figures per document and page, 0 where there are none."""
+    key = ["doc_id", "page_num_1"]
+    count = lambda df, name: df.groupBy(*key).agg(F.count("*").alias(name))
+    j = count(blocks, "blocks").join(count(footnotes, "footnotes"), key, "full_outer").join(count(figures, "figures"), key, "full_outer")
+    return j.select(*key, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("blocks", "footnotes", "figures")])

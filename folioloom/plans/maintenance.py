@@ -112,7 +112,7 @@ def backfill(spark: SparkSession, d: str) -> DataFrame:
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     kind = table(spark, d, "events").schema
-    return spark.readStream.schema(kind).option("pathGlobFilter", "events*.parquet").parquet(d)
+    return spark.readStream.schema(kind).option("pathGlobFilter", "events*.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def stream_status(spark: SparkSession, d: str) -> DataFrame:
@@ -132,6 +132,26 @@ def stream_status(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("filename", "stage", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
 
 
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Events per type and day as a stream counts them, over all events that are there."""
+    import uuid
+
+    where = f"{shared_dir(spark)}/folioloom/windows_{uuid.uuid4().hex}"
+    counted = st.windowed_counts(_stream(spark, d), "1 day", "40 days")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{where}/rows")
+
+    q = counted.writeStream.outputMode("complete").option("checkpointLocation", f"{where}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{where}/rows").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+def report_pages(spark: SparkSession, d: str) -> DataFrame:
+    b = v.blocks(spark, d)
+    return ix.report_pages(b, b.filter("pos % 5 = 2"), b.filter("pos % 11 = 0"))
+
+
 _V = v.with_views
 _STATUS = "WITH s AS (SELECT user_id::VARCHAR AS filename, arg_max(event_type, (ts, event_type)) AS stage, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated_at FROM events GROUP BY 1) "
 
@@ -153,4 +173,6 @@ ALL = [
     ("metadata_edit", metadata_edit, _V("words", "v_docs") + " SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'Edited ' || doc_id ELSE title END AS title, CASE WHEN doc_id % 10 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 1999 ELSE year END AS year FROM v_docs"),
     ("backfill", backfill, _V("words", "v_docs") + " SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' WHEN doc_id % 2 = 0 THEN 'old' ELSE title END AS title, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE year END AS year FROM v_docs"),
     ("stream_status", stream_status, _STATUS + "SELECT * FROM s"),
+    ("stream_windows", stream_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
+    ("report_pages", report_pages, _V("words", "v_blocks") + " SELECT doc_id, page_num_1, count(*) AS blocks, count(*) FILTER (pos % 5 = 2) AS footnotes, count(*) FILTER (pos % 11 = 0) AS figures FROM v_blocks GROUP BY 1, 2"),
 ]

@@ -160,3 +160,27 @@ PROFILES = {
     "es": {"el", "la", "los", "las", "de", "del", "y", "en", "que", "un", "una", "es", "por", "con", "para", "se", "su", "al", "lo", "como"},
     "ms": {"yang", "dan", "di", "dengan", "untuk", "dari", "ini", "itu", "pada", "adalah", "ke", "tidak", "dalam", "oleh", "sebagai", "telah", "orang", "ada", "kepada", "juga"},
 }
+
+
+class SpanReader(ABC):
+    """Reading of PDF files into text spans and images; no library for it is assumed."""
+
+    @abstractmethod
+    def read(self, content: bytes) -> Iterator[dict]:
+        """Rows with page_num_1, kind (span or image), text, font_size, x0, y0, x1, y1, direction, width, height."""
+
+    def spans(self, files: DataFrame) -> DataFrame:
+        """Spans of (path, content); a file that can't be read gives one row with its error."""
+        reader = self
+        names = ["path", "page_num_1", "kind", "text", "font_size", "x0", "y0", "x1", "y1", "direction", "width", "height", "error"]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for path, content in zip(b["path"], b["content"], strict=True):
+                    try:
+                        rows = [{"path": path, **r} for r in reader.read(bytes(content))]
+                    except Exception as e:
+                        rows = [{"path": path, "error": f"{type(e).__name__}: {e}"}]
+                    yield pd.DataFrame(rows, columns=names)
+
+        return files.select("path", "content").mapInPandas(run, "path string, page_num_1 int, kind string, text string, font_size double, x0 double, y0 double, x1 double, y1 double, direction string, width int, height int, error string")

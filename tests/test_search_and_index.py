@@ -181,3 +181,52 @@ def test_stream_of_files(spark, tmp_path):
     assert [tuple(r) for r in seen] == [("doc-1", 2)]
     keys = spark.createDataFrame([("processed/d/v12/documents.jsonl",), ("uploads/x.pdf",)], "k string")
     assert [tuple(r) for r in keys.select(*ingest.trigger_parts(F.col("k"))).collect()] == [("d", 12), ("", None)]
+
+
+def test_agent_calls_tools_and_numbers_on(spark):
+    from folioloom.plans import agent
+    from folioloom.sources.providers import ChatProvider
+
+    chunks, docs = corpus(spark)
+    figs = spark.createDataFrame([("f1", "d1", 3, "tin map", [1.0, 0.0])], "figure_id string, doc_id string, page_num int, caption string, embedding array<float>")
+
+    class Two(HashEmbedder):
+        def embed(self, texts):
+            return [[1.0, 0.0] for _ in texts]
+
+    class Chat(ChatProvider):
+        seen: list = []
+
+        def complete(self, messages, max_tokens=512, temperature=0.0, tools=None):
+            Chat.seen.append(messages[-1])
+            if messages[-1]["role"] == "user":
+                ask = lambda i, n, a: {"id": i, "function": {"name": n, "arguments": a}}
+                return {"content": "", "tool_calls": [ask("1", "keyword_search", '```json\n{"keyword": "rubber"}\n```'), ask("2", "document_context", {"doc_id": "d2", "page_num": 5}), ask("3", "find_images", {"query": "tin"}), ask("4", "browse_corpus", {"publication": "JMBRAS"})]}
+            return {"content": "done [1]"}
+
+    c = agent.Corpus(chunks, docs, figs, Two())
+    got = agent.answer(c, Chat(), "tin", [{"role": "assistant", "content": "old [3] Sources: x"}])
+    assert got.text == "done [1]" and got.rounds == 1 and got.sources[0]["chunk_id"] == "c1"
+    assert Chat.seen[-1]["content"].startswith("1. Tin mining by Azmi Khalid, A. (1950) [Index]")
+    n = len(agent.search_documents(c, {"query": "tin"}, 1)[1])
+    text, rows = agent.call(c, "document_context", {"doc_id": "d2", "page_num": 5}, n + 1)
+    assert text.startswith(f"[{n + 1}] (Page 5)") and [r["chunk_id"] for r in rows] == ["c4"]
+    assert "tin map" in agent.call(c, "find_images", {"query": "tin"})[0]
+    assert {d["function"]["name"] for d in agent.definitions()} == set(agent.TOOLS)
+    small = agent.answer(c, Chat(), "tin", window=600)
+    assert small.rounds == 0 and len(small.sources) == 1
+
+
+def test_streaming_status_keeps_the_furthest_stage(spark, tmp_path):
+    rows = [("a", "done", "2024-01-02 00:00:00"), ("a", "processing", "2024-01-03 00:00:00"), ("b", "uploaded", "2024-01-01 00:00:00")]
+    spark.createDataFrame(rows, "filename string, stage string, at string").selectExpr("filename", "stage", "timestamp(at) AS updated_at").write.parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema("filename string, stage string, updated_at timestamp").parquet(f"{tmp_path}/in")
+    seen = []
+    q = ingest.ordered_status(s).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").foreachBatch(lambda b, _: seen.extend(b.collect())).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r["filename"], r["stage"]) for r in seen} == {("a", "done"), ("b", "uploaded")}
+    e = spark.readStream.schema("filename string, stage string, updated_at timestamp").parquet(f"{tmp_path}/in").selectExpr("filename AS key", "updated_at AS ts")
+    once = []
+    q = ingest.without_repeats(e, late="9 days").writeStream.option("checkpointLocation", f"{tmp_path}/cp2").foreachBatch(lambda b, _: once.extend(b.collect())).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r["key"] for r in once) == ["a", "b"]
