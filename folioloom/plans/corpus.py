@@ -184,6 +184,17 @@ def boilerplate_blocks(spark: SparkSession, d: str) -> DataFrame:
     return bl.boilerplate(b).filter("removed").select("doc_id", "block_id", "block_type")
 
 
+_BLOCKS_SQL = r"""
+WITH b AS (SELECT doc_id, pos - 1 AS pos, (pos - 1) // 3 + 1 AS page, (pos - 1) % 3 AS ro, x AS text, trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(x), 'ß', 'ss'), '^\d+\s*', ''), '\s*\d+\z', ''), '\s+', ' ', 'g')) AS line
+  FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+n AS (SELECT doc_id, count(DISTINCT page) AS n FROM b GROUP BY 1),
+f AS (SELECT b.doc_id, line FROM b JOIN n USING (doc_id) WHERE length(line) > 3 GROUP BY b.doc_id, line, n HAVING count(DISTINCT page) >= greatest(2, floor(n * 0.3))),
+r AS (SELECT b.*, f.line IS NOT NULL OR upper(trim(regexp_replace(trim(text), '[^\p{L}\p{N}_\s]', '', 'g'))) IN ('PROJECT MUSE', 'JSTOR') AS removed FROM b LEFT JOIN f ON f.doc_id = b.doc_id AND f.line = b.line),
+e AS (SELECT *, coalesce(min(CASE WHEN NOT removed THEN ro END) OVER w, 2147483647) AS first, coalesce(max(CASE WHEN NOT removed THEN ro END) OVER w, -1) AS last FROM r WINDOW w AS (PARTITION BY doc_id, page))
+SELECT doc_id, doc_id || '-' || pos AS block_id, CASE WHEN ro <= first THEN 'header' WHEN ro >= last THEN 'footer' ELSE 'paragraph' END AS block_type FROM e WHERE removed
+"""
+
+
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
     b = v.blocks(spark, d)
     x0, y0 = (F.col("pos") * 37 % 100).cast("double"), (F.col("pos") * 91 % 300).cast("double")
@@ -435,7 +446,7 @@ ALL = [
     ("overlap_tail", overlap_tail, _TAIL_SQL),
     ("chunks_final", chunks_final, _CHUNKS_SQL),
     ("boilerplate_lines", boilerplate_lines, _LINES_SQL),
-    ("boilerplate_blocks", boilerplate_blocks, None),
+    ("boilerplate_blocks", boilerplate_blocks, _BLOCKS_SQL),
     ("content_bbox_pctl", content_bbox_pctl, _B + ", " + _BOX + " SELECT doc_id, page_num_1, round(quantile_cont(x0, 0.05), 6) AS x0, round(quantile_cont(y0, 0.05), 6) AS y0, round(quantile_cont(x1, 0.95), 6) AS x1, round(quantile_cont(y1, 0.95), 6) AS y1 FROM boxes GROUP BY 1, 2 HAVING count(*) >= 2"),
     ("page_offset_mode", page_offset_mode, _OFFSET_SQL),
     ("opening_text", opening_text, _OPENING_SQL),

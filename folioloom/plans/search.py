@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.functions.analyzer import STOP_WORDS
+from folioloom.functions.text import TYPE_LABELS
 from folioloom.operators import citations as ct
 from folioloom.operators import index as ix
 from folioloom.operators import retrieval as rt
@@ -288,6 +289,24 @@ def strip_sources(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", ct.strip_sources(text).alias("text"))
 
 
+_RERANK_SQL = (
+    v.with_views("words", "v_docs")
+    + r""", r AS (SELECT 'c' || doc_id AS chunk_id, round(len(list_intersect(['worthless', 'stupid', 'trash'], regexp_split_to_array(lower('Author: ' || author || chr(10) || 'Document: ' || title || chr(10) || text), '\s+'))) / 3.0::DOUBLE, 6) AS score FROM v_docs JOIN documents USING (doc_id))
+SELECT chunk_id, score FROM (SELECT * FROM r ORDER BY score DESC, chunk_id LIMIT 50) WHERE score >= 0.3"""
+)
+
+_LABELS = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in TYPE_LABELS.values()) + "]"
+
+_HEADER_SQL = (
+    v.with_views("words", "v_docs")
+    + f""", h AS (SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN author ELSE '' END AS a, coalesce(year::VARCHAR, '') AS y, title AS t FROM v_docs)
+SELECT doc_id, '[' || doc_id || '] [' || ({_LABELS})[(doc_id % 13 + 1)::INT] || '] '
+  || CASE WHEN a <> '' AND y <> '' THEN a || ' (' || y || '), "' || t || '"' WHEN a <> '' THEN a || ', "' || t || '"' WHEN y <> '' THEN '"' || t || '" (' || y || ')' ELSE t END
+  || CASE WHEN doc_id % 2 = 0 THEN ', p.2 — Part' ELSE ', pp.2-3' END AS header FROM h"""
+)
+
+_STRIP_SQL = "SELECT conv_id, turn, CASE WHEN turn % 4 = 1 AND 1 < (11 + length(text)) * 0.3 THEN 'A' || chr(10) || 'Sources:' || chr(10) || text WHEN turn % 4 = 1 THEN 'A' ELSE rtrim(text, ' ') END AS text FROM conversations WHERE role = 'assistant'"
+
 _HYBRID = v.with_views("words", "v_docs", "v_chunks") + _HYBRID_ROWS
 
 ALL = [
@@ -304,7 +323,7 @@ ALL = [
     ("stemmed_fts", stemmed_fts, None),
     ("rrf_hybrid", rrf_hybrid, _HYBRID + " SELECT f.chunk_id, k.doc_id, round(f.score, 9) AS score, d.title, d.year, d.publication FROM (SELECT * FROM fused ORDER BY score DESC, chunk_id LIMIT 40) f JOIN v_chunks k USING (chunk_id) JOIN v_docs d ON d.doc_id = k.doc_id"),
     ("diversity_cap", diversity_cap, "SELECT chunk_id, doc_id, score FROM (SELECT doc_id AS chunk_id, source AS doc_id, n_chars::DOUBLE AS score, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 2 ORDER BY score DESC, chunk_id LIMIT 30"),
-    ("rerank_stub", rerank_stub, None),
+    ("rerank_stub", rerank_stub, _RERANK_SQL),
     ("figure_hybrid", figure_hybrid, _FIGURE_SQL),
     ("contextual_pairs", contextual_pairs, v.with_views("words", "v_chunks", "v_figures") + r" SELECT DISTINCT c.chunk_id, f.figure_id, f.page_num FROM v_chunks c JOIN v_figures f ON f.doc_id = c.doc_id AND f.page_num BETWEEN c.start_page AND c.end_page WHERE c.doc_id % 2 = 0 AND f.caption <> '' AND NOT regexp_matches(f.caption, '^Figure on p\.\d+$')"),
     ("figures_on_pages", figures_on_pages, v.with_views("words", "v_chunks", "v_figures") + " SELECT f.figure_id, f.page_num FROM v_figures f WHERE EXISTS (SELECT 1 FROM v_chunks c WHERE c.doc_id = f.doc_id AND c.start_page = f.page_num)"),
@@ -322,6 +341,6 @@ ALL = [
     ("renumbered_answers", renumbered_answers, None),
     ("history_last4", history_last4, r"SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN regexp_replace(trim(split_part(split_part(text || ' [2, 3] Sources: x', 'Sources:', 1), 'References:', 1)), '\[\d+(?:\s*,\s*\d+)*\]', '', 'g') ELSE text END AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4"),
     ("context_trim", context_trim, "SELECT answer_id, chunk_id, tokens FROM (SELECT *, sum(tokens) OVER (PARTITION BY answer_id ORDER BY score DESC, chunk_id) AS used FROM (SELECT source AS answer_id, doc_id AS chunk_id, doc_id * 7919 % 1009 AS score, greatest(1, length(text) // 4)::BIGINT AS tokens FROM documents)) WHERE used <= 5000"),
-    ("context_headers", context_headers, None),
-    ("strip_sources", strip_sources, None),
+    ("context_headers", context_headers, _HEADER_SQL),
+    ("strip_sources", strip_sources, _STRIP_SQL),
 ]
