@@ -64,6 +64,11 @@ def flag_members(df: DataFrame, columns: list[Column], bitmap: DataFrame, bits_l
     return joined.withColumn(flag, F.coalesce(bit == 1, F.lit(False))).drop(h, bucket, bits)
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """A key of a row by its doc_id and text, never null; rows that repeat both share it."""
+    return F.concat_ws(":", F.col(doc_id).cast("string"), F.xxhash64(F.col(text)).cast("string"))
+
+
 def drop_keys(df: DataFrame, key: str, keys: DataFrame, bits_log2: int = 24) -> DataFrame:
     """Rows of ``df`` whose ``key`` isn't among ``keys`` (one column of that name).
 

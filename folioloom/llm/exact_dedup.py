@@ -4,7 +4,7 @@ Two texts are equal when they are identical after each run of white space
 (U+0020, U+0009 to U+000D) is replaced by one space.
 
 1. One scan gives each row the length of its normalised text and a hash of the
-   first ``prefix_chars`` characters: a few bytes a row, staged.
+   first ``prefix_chars`` characters: a few bytes a row, counted by both and staged.
 2. Rows whose length no other row has leave; of the rest, (length, prefix hash)
    groups of two or more survive.
 3. The survivors' keys become a bitmap of fixed size, which is broadcast. A second
@@ -46,9 +46,11 @@ def _prefix(text: str, prefix_chars: int) -> Column:
 
 def survivors(spark: SparkSession, docs: DataFrame, text: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
     """Keys (_len, _prefix) of the groups that are left after two refinements."""
-    short = staged(spark, docs.select(_length(text).alias("_len"), _prefix(text, prefix_chars).alias("_prefix")), "dedup-short")
-    shared_lengths = short.groupBy("_len").agg(F.count("*").alias("_n")).filter("_n > 1").select("_len")
-    return short.join(shared_lengths, "_len", "left_semi").groupBy("_len", "_prefix").agg(F.count("*").alias("_n")).filter("_n > 1").select("_len", "_prefix")
+    short = docs.select(_length(text).alias("_len"), _prefix(text, prefix_chars).alias("_prefix"))
+    # copies collapse to one counted row a task and key before any length meets in one place
+    pairs = staged(spark, short.groupBy("_len", "_prefix").agg(F.count("*").alias("_n")), "dedup-short")
+    shared_lengths = pairs.groupBy("_len").agg(F.sum("_n").alias("_n")).filter("_n > 1").select("_len")
+    return pairs.join(shared_lengths, "_len", "left_semi").filter("_n > 1").select("_len", "_prefix")
 
 
 def with_full_hash(spark: SparkSession, docs: DataFrame, text: str = "text", prefix_chars: int = PREFIX_CHARS, bits_log2: int = BITS_LOG2) -> tuple[DataFrame, dict[str, str]]:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import drop_keys, prepare, released, texts
+from folioloom.llm.common import drop_keys, free_name, prepare, released, row_key, texts
 from folioloom.session import staged
 
 SAMPLE_ROWS = 400
@@ -220,8 +220,10 @@ def identify_pages(spark: SparkSession, pages: DataFrame, labelled: DataFrame, *
 def accept_documents(spark: SparkSession, docs: DataFrame, least: float = LEAST) -> DataFrame:
     """``docs`` without those whose language is ``und``: declared language and source are the other evidence.
 
-    Rows that repeat one doc_id stay or go by their own text; a null doc_id never matches.
+    Rows stay or go by their own text, whatever their doc_id.
     """
-    found = identify(spark, docs, fit(spark, docs), "doc_id", F.coalesce(F.col("text"), F.lit("")), F.col("lang"), F.col("source"), least=least)
-    gone = staged(spark, found.filter(F.col("lang") == UNKNOWN).select("doc_id"), "langid-gone")
-    return drop_keys(docs, "doc_id", gone)
+    key = free_name(docs, "_key")
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    found = identify(spark, keyed, fit(spark, docs), key, F.coalesce(F.col("text"), F.lit("")), F.col("lang"), F.col("source"), least=least)
+    gone = staged(spark, found.filter(F.col("lang") == UNKNOWN).select(key), "langid-gone")
+    return drop_keys(keyed, key, gone).drop(key)

@@ -12,7 +12,7 @@ source, and what is above is shared again by weight among the rest until none is
 
 Places are global: rows are range partitioned by (source, size, doc_id), which
 splits a hot source over many partitions, staged once, and numbered by partition
-offsets. Only (source, size, doc_id) is shuffled.
+offsets. Only (source, size, doc_id) is shuffled for that; words are counted once.
 
 Defined results: a null text has size 0; null is a source of its own, last in
 order; documents of size 0 get copies like others and take no words; a source
@@ -62,15 +62,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 def copies(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies."""
     sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
-    return _numbered(spark, sizes, weights, cap, seed)
+    return _numbered(spark, staged(spark, sizes, "mix-sizes"), weights, cap, seed)
 
 
 def _numbered(spark: SparkSession, sizes: DataFrame, weights: tuple[int, ...], cap: int, seed: str, also: tuple[str, ...] = ()) -> DataFrame:
     order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_first()]
     dealt = sizes.repartitionByRange(input_partitions(spark), *order).sortWithinPartitions(*order)
-    rid = F.monotonically_increasing_id()
-    rows = staged(spark, dealt.withColumns({"_part": F.spark_partition_id(), "_at": rid}), "mix-rows")
-    parts = rows.groupBy("source", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"), F.sum("size").alias("size"))
+    rows = staged(spark, dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "mix-rows")
+    parts = rows.groupBy("source", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     known = parts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy("source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     targets = source_targets(rows.select("source", "size"), weights, cap)
     # one row for each source and partition that holds a part of it, of a size that adaptive execution checks
@@ -83,15 +82,27 @@ def _numbered(spark: SparkSession, sizes: DataFrame, weights: tuple[int, ...], c
     return joined.select("doc_id", "source", "size", "source_size", "target", crossed.cast("int").alias("copies"), *also)
 
 
-def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, files: bool = False) -> DataFrame:
     """The mixture: each row of ``docs`` as often as it is emitted, with all its columns.
 
-    The row itself goes along with its key, so that repeated doc_ids need no join.
+    Places are found on sizes alone; rows then get their copies by a join on their number
+    in the scan and a hash of their text, which spreads long texts evenly. That takes rows
+    that are the same, in the same order, each time they are read: ``docs`` is staged
+    first, unless ``files`` says that it is a plain reading of files. Where that isn't
+    so, the job fails rather than lose rows.
     """
-    doc = free_name(docs, "_doc")
-    whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(doc))
-    counted = _numbered(spark, whole, weights, cap, seed, (doc,))
-    return counted.filter("copies > 0").select(doc, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*[F.col(f"{doc}.`{c}`") for c in docs.columns])
+    if not files:
+        docs = staged(spark, docs, "mix-docs")
+    row, hash_ = free_name(docs, "_row"), free_name(docs, "_hash")
+    marked = docs.withColumns({row: F.monotonically_increasing_id(), hash_: F.xxhash64(F.col(text))})
+    sizes = marked.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.col(row).alias("_row"), F.col(hash_).alias("_hash"))
+    counted = _numbered(spark, staged(spark, sizes, "mix-sizes"), weights, cap, seed, ("_row", "_hash"))
+    n, copy = free_name(docs, "_copies"), free_name(docs, "_copy")
+    found = staged(spark, counted.select(F.col("_row").alias(row), F.col("_hash").alias(hash_), F.col("copies").alias(n)), "mix-copies")
+    joined = marked.join(found, [row, hash_], "left")
+    sure = F.coalesce(F.col(n), F.raise_error(F.lit("the documents to mix changed between two readings")).cast("int"))
+    taken = joined.withColumn(n, sure).filter(F.col(n) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = r"""

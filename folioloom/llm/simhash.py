@@ -37,7 +37,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import drop_keys, prepare, released, texts
+from folioloom.llm.common import drop_keys, free_name, prepare, released, row_key, texts
 from folioloom.session import staged
 
 WIDTH = 3
@@ -99,16 +99,17 @@ def _fingerprints(batches):
     import pyarrow as pa
 
     for batch in released(batches):
-        values = [fingerprint(t) for t in texts(batch.column(1))]
+        values = [fingerprint(t) for t in texts(batch.column(2))]
         signed = [v - (1 << 64) if v >> 63 else v for v in values]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed, pa.int64())], names=["doc_id", "key", "fp"])
 
 
 def fingerprints(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of each row."""
+    """doc_id, row key and fingerprint (as a signed long) of each row."""
     prepare(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint")
+    chosen = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
+    return chosen.mapInArrow(_fingerprints, f"doc_id {kind}, key string, fp bigint")
 
 
 def _signed(v: int) -> int:
@@ -168,21 +169,24 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp and component_id of every row: the least doc_id that links lead to."""
+    """One row per row of ``docs``: doc_id, fp, component_id (the least doc_id that links lead to), key, kept.
+
+    ``kept`` is true for one document of each component: the one with the least doc_id,
+    and of several texts with that doc_id, one. Rows that repeat both have equal results.
+    """
     rows = staged(spark, fingerprints(spark, docs, doc_id, text), "simhash-rows")
-    nodes = staged(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    nodes = staged(spark, rows.groupBy("fp").agg(first), "simhash-nodes")
     roots = components(spark, links(spark, nodes.select("fp")))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = staged(spark, rooted.join(named, "root").select("fp", "component_id"), "simhash-ids")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    ids = staged(spark, rooted.select("fp", "root").join(named, "root").select("fp", "first"), "simhash-ids")
+    return rows.join(ids, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"), "key", (F.col("key") == F.col("first.key")).alias("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the least doc_id.
-
-    Rows that repeat one doc_id are one document and stay or go together.
-    """
+    """``docs`` with one document of each component. Rows that repeat doc_id and text stay or go together."""
     found = near_duplicates(spark, docs, doc_id, text)
-    gone = staged(spark, found.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)), "simhash-gone")
-    return drop_keys(docs, doc_id, gone)
+    key = free_name(docs, "_key")
+    gone = staged(spark, found.filter("NOT kept").select(F.col("key").alias(key)), "simhash-gone")
+    return drop_keys(docs.withColumn(key, row_key(doc_id, text)), key, gone).drop(key)
