@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from folioloom.llm import langid, mixing, packing, queries, simhash
 
@@ -37,3 +39,17 @@ def test_registered_queries_run(spark, sf_dir):
     assert len(queries.QUERIES) == 10
     for name in ("op3_license_compression", "op5_virtual_slots", "op7_exact_dedup", "op9_systematic_mix"):
         assert queries.QUERIES[name](spark, sf_dir).columns
+
+
+@pytest.mark.parametrize("rows", [0, 3])
+def test_empty_and_null_tables(spark, tmp_path, rows):
+    """Every operator's query and the pipeline over tables without rows, and over rows of nulls."""
+    schemas = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string"}
+    for name, schema in schemas.items():
+        width = schema.count(",") + 1
+        spark.createDataFrame([(None,) * width] * rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    many = {"op1", "op2", "op4", "op5", "op6", "op7", "op8", "op9", "op10"}
+    for name, query in queries.QUERIES.items():
+        got = query(spark, str(tmp_path)).collect()
+        assert len(got) == (rows if name.split("_")[0] in many else 0), name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
