@@ -107,20 +107,42 @@ def matches(index: DataFrame, query: list[str], key: str = "chunk_id") -> DataFr
     return hit.groupBy(key).agg(F.count("*").alias("n_terms"), F.sum(F.col("tf") / (F.col("tf") + F.lit(1.0))).alias("score"))
 
 
-def text_search(chunks: DataFrame, query: str, k: int, key: str = "chunk_id", analyser: str = "simple", least: int = AND_LEAST, fallback: bool = True, scope: DataFrame | None = None, boost: DataFrame | None = None) -> DataFrame:
+def row_matches(rows: DataFrame, query: list[str], key: str = "chunk_id", text: str = "text", analyser: str = "simple") -> DataFrame:
+    """As ``matches`` without an index: each row counts the query's terms in its own text, and nothing is shuffled."""
+    if not query:
+        return rows.select(key, F.lit(0).cast("long").alias("n_terms"), F.lit(0.0).alias("score")).limit(0)
+    own = rows.select(key, F.filter(terms(F.col(text), analyser), lambda w: w.isin(query)).alias("_t")).filter(F.size("_t") > 0)
+
+    def frequency(term: str) -> Column:
+        return F.size(F.filter("_t", lambda w: w == term))
+
+    counted = own.select(key, *[frequency(t).alias(f"_f{i}") for i, t in enumerate(query)])
+    tf = [F.col(f"_f{i}") for i in range(len(query))]
+    there = [F.when(f > 0, 1).otherwise(0) for f in tf]
+    score = [f / (f + F.lit(1.0)) for f in tf]
+    return counted.select(key, sum(there[1:], there[0]).cast("long").alias("n_terms"), sum(score[1:], score[0]).alias("score"))
+
+
+def text_search(chunks: DataFrame, query: str, k: int, key: str = "chunk_id", analyser: str = "simple", least: int = AND_LEAST, fallback: bool = True, scope: DataFrame | None = None, boost: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """The k best rows by text: key, rank_score, trank.
 
     All terms must occur; with fewer than ``least`` such rows in ``scope`` (by default
     ``chunks``), any term will do. A query without terms matches nothing. ``boost``
-    (key, score) adds the documents' own fields, at their greater weight.
+    (key, score) adds the documents' own fields, at their greater weight. With an
+    ``index`` of postings, its terms are looked up instead of reading texts.
     """
     wanted = query_terms(query, analyser)
-    found = matches(postings(chunks, key, analyser=analyser), wanted, key) if wanted else matches(postings(chunks, key, analyser=analyser), ["\0"], key)
+
+    def hits(rows: DataFrame) -> DataFrame:
+        if index is None:
+            return row_matches(rows, wanted, key, analyser=analyser)
+        return matches(index.join(rows.select(key), key, "left_semi"), wanted, key)
+
+    found = hits(chunks)
     full = found.filter(F.col("n_terms") == len(wanted))
     if fallback and wanted:
-        counted = full if scope is None else matches(postings(scope, key, analyser=analyser), wanted, key).filter(F.col("n_terms") == len(wanted))
-        enough = counted.limit(least).count() >= least
-        full = full if enough else found
+        counted = full if scope is None else hits(scope).filter(F.col("n_terms") == len(wanted))
+        full = full if counted.limit(least).count() >= least else found
     score = F.col("score") * 0.4
     if boost is not None:
         full = full.join(boost.select(key, F.col("score").alias("_b")), key, "left")
@@ -134,7 +156,7 @@ def document_boost(chunks: DataFrame, docs: DataFrame, query: str, key: str = "c
     have = [c for c in ("title", "author", "abstract", "description") if c in docs.columns]
     parts = [F.coalesce(F.col(c), F.lit("")) for c in have] + ([F.coalesce(F.array_join("keywords", " "), F.lit(""))] if "keywords" in docs.columns else [])
     fields = docs.select("doc_id", F.concat_ws(" ", *parts).alias("text"))
-    scored = matches(postings(fields, "doc_id", analyser=analyser), query_terms(query, analyser) or ["\0"], "doc_id")
+    scored = row_matches(fields, query_terms(query, analyser), "doc_id", analyser=analyser)
     return chunks.select(key, "doc_id").join(scored.select("doc_id", "score"), "doc_id").select(key, "score")
 
 

@@ -42,6 +42,9 @@ def test_text_search_falls_back(spark):
     assert [r["chunk_id"] for r in rt.text_search(chunks, "tin rubber", 5, least=1).collect()] == ["c3"]
     assert {r["chunk_id"] for r in rt.text_search(chunks, "tin rubber", 5).collect()} == {"c1", "c2", "c3"}
     assert rt.text_search(chunks, "of the", 5).count() == 0
+    index = rt.postings(chunks)
+    for query in ("tin rubber", "tin", "nothing more"):
+        assert rt.text_search(chunks, query, 5, index=index).collect() == rt.text_search(chunks, query, 5).collect()
 
 
 def test_retrieve_caps_and_reranks(spark):
