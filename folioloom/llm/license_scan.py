@@ -1,7 +1,8 @@
 """License scanning by conditional compression.
 
-1. Candidate blocks: lines with a cue word, joined with cue lines that are at most
-   ``GAP`` lines apart; long lines give windows of ``WINDOW`` characters around cues.
+1. Candidate blocks: as many words as the longest template has on both sides of each
+   cue word, joined where they meet; so wrapping, blank lines and a lack of cues in
+   the middle of a wording don't part it.
 2. Each block is compressed alone and with each template as a raw zstandard
    dictionary. The size reduction, over the lesser of the block's own size and the
    template's, ranks the templates; so a notice amid other words counts in full.
@@ -12,8 +13,7 @@
    words the block lacks and words it has instead, between the first and the last
    word that agree.
 
-Texts stay where they are: one scan, no shuffle. A block is bounded by its cues, so
-a long text gives more blocks, not larger ones.
+Texts stay where they are: one scan, no shuffle.
 
 Defined results: null and empty texts give no rows; repeated rows give repeated
 results; ties in reduction go to the template that sorts first; an empty table
@@ -22,6 +22,7 @@ gives an empty result; other columns don't matter.
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator
@@ -31,15 +32,12 @@ from pyspark.sql import functions as F
 
 from folioloom.llm.common import prepare, released, texts
 
-GAP = 2
-WINDOW = 400
-BLOCK_LINES = 60
 REDUCTION = 0.3
 CONFIRM = 4
 MISSING = 0.25
 LEVEL = 5
 
-CUES = r"licen[cs]|copyright|\(c\)|all rights reserved|permission|redistribut|warrant|public domain|spdx|creative commons|\bcc[ -]by|\bcc0"
+CUES = r"licen[cs]|copyright|\(c\)|all\W+rights\W+reserved|permission|redistribut|warrant|public\W+domain|spdx|creative\W+commons|\bcc\W+by|\bcc0"
 
 #: Wordings of public licenses and notices (fixed values).
 TEMPLATES = {
@@ -65,51 +63,31 @@ TEMPLATES = {
 }
 
 _CUE = re.compile(CUES, re.I)
-_WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+_WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
 
 
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the candidate blocks of a text."""
-    if not _CUE.search(text):
+def blocks(text: str, reach: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the candidate blocks of a text: ``reach`` words around each cue."""
+    cues = [(m.start(), m.end()) for m in _CUE.finditer(text)]
+    if not cues:
         return
-    held: list[int] | None = None  # start, end, lines since a cue, lines
-    at = 0
-    for line in text.split("\n"):
-        end = at + len(line)
-        if len(line) > 2 * WINDOW:
-            if held:
-                yield held[0], held[1]
-                held = None
-            last = None
-            for m in _CUE.finditer(line):
-                a, b = max(0, m.start() - WINDOW // 2), min(len(line), m.end() + WINDOW // 2)
-                if last and a <= last[1] and b - last[0] <= 4 * WINDOW:
-                    last = (last[0], b)
-                else:
-                    if last:
-                        yield at + last[0], at + last[1]
-                    last = (a, b)
-            if last:
-                yield at + last[0], at + last[1]
-        elif _CUE.search(line):
-            if held and held[3] < BLOCK_LINES:
-                held = [held[0], end, 0, held[3] + 1]
-            else:
-                if held:
-                    yield held[0], held[1]
-                held = [at, end, 0, 1]
-        elif held:
-            held[2] += 1
-            if held[2] > GAP:
-                yield held[0], held[1]
-                held = None
-        at = end + 1
-    if held:
-        yield held[0], held[1]
+    spans = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = [a for a, _ in spans], [b for _, b in spans]
+    held: list[int] | None = None
+    for a, b in cues:
+        lo, hi = max(0, bisect.bisect_right(ends, a) - reach), min(len(spans), bisect.bisect_left(starts, b) + reach)
+        if held and lo <= held[1]:
+            held[1] = hi
+        else:
+            if held and held[0] < held[1]:
+                yield starts[held[0]], ends[held[1] - 1]
+            held = [lo, hi]
+    if held and held[0] < held[1]:
+        yield starts[held[0]], ends[held[1] - 1]
 
 
 class Templates:
@@ -120,6 +98,7 @@ class Templates:
 
         self.texts = dict(sorted((templates or TEMPLATES).items()))
         self.words = {k: words(t) for k, t in self.texts.items()}
+        self.longest = max(map(len, self.words.values()), default=0)
         self.alone = z.ZstdCompressor(level=level, write_content_size=False)
         self.own = {k: len(self.alone.compress(t.encode())) for k, t in self.texts.items()}
         self.given = {}
@@ -186,7 +165,7 @@ def _scan(templates: dict[str, str] | None, reduction: float, confirm: int, miss
         for batch in released(batches):
             rows: list[tuple] = []
             for i, text in enumerate(texts(batch.column(1))):
-                for start, end in blocks(text or ""):
+                for start, end in blocks(text or "", ready.longest):
                     block = text[start:end]
                     if block not in seen:
                         if len(seen) > 20_000:

@@ -447,6 +447,26 @@ def test_licenses(spark, empty):
     assert license_scan.scan(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("width", [60, 70, 80])
+def test_wrapped_licenses(spark, width):
+    """Whole wordings, wrapped, commented and with blank lines, amid other words."""
+    import textwrap
+
+    wanted, rows = {}, []
+    for name, text in license_scan.TEMPLATES.items():
+        lines = textwrap.wrap(text, width)
+        if len(lines) < 2:
+            continue
+        for form in ("\n".join(lines), "\n\n".join(lines), "\n".join(" * " + x for x in lines)):
+            i = len(rows)
+            wanted[i] = name
+            rows.append((i, "def f(x):\n    return x\n" * 3 + "\n" + form + "\n\nimport os\nprint(os.sep)\n"))
+    found = defaultdict(list)
+    for r in license_scan.scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r["doc_id"]].append((r["license"], r["exact"]))
+    assert {i: (n, True) in found[i] for i, n in wanted.items()} == dict.fromkeys(wanted, True)
+
+
 # -- toxicity ------------------------------------------------------------------------------------
 
 
