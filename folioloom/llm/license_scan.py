@@ -3,27 +3,29 @@
 1. Candidate blocks: as many words as the longest template has on both sides of each
    cue word, joined where they meet; so wrapping, blank lines and a lack of cues in
    the middle of a wording don't part it.
-2. Each block is compressed alone and with each template as a raw zstandard
-   dictionary. The size reduction, over the lesser of the block's own size and the
-   template's, ranks the templates; so a notice amid other words counts in full.
-3. The best ``CONFIRM`` templates with a reduction of ``REDUCTION`` or more are
-   confirmed by exact wording: the longest common subsequence of words (lower case,
-   punctuation apart) against the template. A license is found where the words that
-   the block lacks are at most ``MISSING`` of the template, with the differences kept:
-   words the block lacks and words it has instead, between the first and the last
-   word that agree.
+2. In a block, each template is aligned with the words (lower case, punctuation
+   apart) at least cost: a word of the template that is lacking costs 1, a word
+   between costs ``BETWEEN``. Templates of which the block has too few words anywhere
+   are passed over, without loss. An alignment counts where the words that are lacking
+   are at most ``MISSING`` of the template.
+3. The span that agrees is compressed alone and with the template as a raw zstandard
+   dictionary. The size reduction, over the lesser of the span's own size and the
+   template's, must be ``REDUCTION`` or more.
+4. The alignment with the most words less cost is a license found, with its
+   differences kept: words the span lacks and words it has instead, between the first
+   and the last word that agree. Its words are taken; the search goes on in the others
+   until nothing is left. Long blocks are swept in windows that overlap by half.
 
 Texts stay where they are: one scan, no shuffle.
 
 Defined results: null and empty texts give no rows; repeated rows give repeated
-results; ties in reduction go to the template that sorts first; an empty table
+results; ties go to the greater reduction, then to the template that sorts first; an empty table
 gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
 
 import bisect
-import difflib
 import re
 from collections.abc import Iterator
 
@@ -33,8 +35,10 @@ from pyspark.sql import functions as F
 from folioloom.llm.common import prepare, released, texts
 
 REDUCTION = 0.3
-CONFIRM = 4
 MISSING = 0.25
+BETWEEN = 0.25
+#: Half a window, in lengths of the longest template.
+SWEEP = 3
 LEVEL = 5
 
 CUES = r"licen[cs]|copyright|\(c\)|all\W+rights\W+reserved|permission|redistribut|warrant|public\W+domain|spdx|creative\W+commons|\bcc\W+by|\bcc0"
@@ -63,6 +67,9 @@ TEMPLATES = {
 }
 
 _CUE = re.compile(CUES, re.I)
+_BREAK = re.compile(r"\W*\n\W*")
+_STEP = 1 << 16
+_WHOLE = int(_STEP / BETWEEN)
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 
 
@@ -94,10 +101,14 @@ class Templates:
     """Compressors with each template as a raw dictionary."""
 
     def __init__(self, templates: dict[str, str] | None = None, level: int = LEVEL):
+        import numpy as np
         import zstandard as z
 
         self.texts = dict(sorted((templates or TEMPLATES).items()))
         self.words = {k: words(t) for k, t in self.texts.items()}
+        self.numbers = {w: i for i, w in enumerate(sorted({w for x in self.words.values() for w in x}))}
+        self.ids = {k: np.array([self.numbers[w] for w in x], np.int64) for k, x in self.words.items() if x}
+        self.counts = {k: np.bincount(x, minlength=len(self.numbers)) for k, x in self.ids.items()}
         self.longest = max(map(len, self.words.values()), default=0)
         self.alone = z.ZstdCompressor(level=level, write_content_size=False)
         self.own = {k: len(self.alone.compress(t.encode())) for k, t in self.texts.items()}
@@ -107,49 +118,90 @@ class Templates:
             d.precompute_compress(level=level)
             self.given[name] = z.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)
 
-    def ranked(self, block: str) -> list[tuple[float, str]]:
-        """(reduction, name), best first."""
-        data = block.encode()
+    def reduction(self, span: str, name: str) -> float:
+        """Share of the size that the template saves; line breaks count as a blank."""
+        data = _BREAK.sub(" ", span).encode()
         alone = len(self.alone.compress(data))
-        found = [((alone - len(c.compress(data))) / min(alone, self.own[name]), name) for name, c in self.given.items()]
-        return sorted(found, key=lambda x: (-x[0], x[1]))
-
-    def differences(self, block: str, name: str) -> tuple[float, list[str], list[str]]:
-        """Share of the template's words that the block lacks; those words; and words the block has between."""
-        have, want = words(block), self.words[name]
-        match = difflib.SequenceMatcher(None, want, have, autojunk=False)
-        agreed = [m for m in match.get_matching_blocks() if m.size]
-        if not agreed:
-            return 1.0, want, []
-        lo, hi = agreed[0].b, agreed[-1].b + agreed[-1].size
-        lacks, other = [], []
-        for tag, a0, a1, b0, b1 in match.get_opcodes():
-            if tag != "equal":
-                lacks += want[a0:a1]
-                other += have[max(b0, lo) : min(b1, hi)]
-        return len(lacks) / len(want), lacks, other
-
-    def confirmed(self, block: str, reduction: float, confirm: int, missing: float) -> list[dict]:
-        """Licenses of a block: of templates whose wordings overlap, the one that differs least."""
-        found = []
-        for gain, name in self.ranked(block)[:confirm]:
-            if gain < reduction:
-                break
-            share, lacks, other = self.differences(block, name)
-            if share <= missing:
-                found.append((len(lacks) + len(other), -len(self.words[name]), -gain, name, gain, share, lacks, other))
+        return (alone - len(self.given[name].compress(data))) / min(alone, self.own[name])
+
+    def best(self, have, name: str, missing: float):
+        """(score, places of words that agree, template's words that lack), or None; scores are in 65536ths of ``BETWEEN``."""
+        import numpy as np
+
+        want = self.ids[name]
+        m, n = len(want), len(have)
+        cost = np.zeros((m + 1, n + 1), np.int64)  # the low 16 bits count the words that agree
+        ramp = np.arange(n + 1) * _STEP
+        for i in range(m):
+            row = cost[i] - _WHOLE
+            np.maximum(row[1:], cost[i, :-1] + (_WHOLE + 1), out=row[1:], where=have == want[i])
+            row += ramp
+            np.maximum.accumulate(row, out=row)
+            cost[i + 1] = row - ramp
+        fit = m - (cost[m] & 0xFFFF) <= missing * m
+        if not fit.any():
+            return None
+        j = int(np.where(fit, cost[m], np.iinfo(np.int64).min).argmax())
+        i, score, places, lacks = m, int(cost[m, j]), [], []
+        while i:
+            if j and have[j - 1] == want[i - 1] and cost[i, j] == cost[i - 1, j - 1] + _WHOLE + 1:
+                i, j = i - 1, j - 1
+                places.append(j)
+            elif cost[i, j] == cost[i - 1, j] - _WHOLE:
+                i -= 1
+                lacks.append(i)
+            else:
+                j -= 1
+        return (score, places[::-1], lacks[::-1]) if places else None
+
+    def confirmed(self, block: str, reduction: float, missing: float) -> list[dict]:
+        """Licenses of a block, in order, with their spans in it."""
+        import numpy as np
+
+        found = [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(block)]
+        have = np.array([self.numbers.get(w, -1) for *_, w in found], np.int64)
+        half = SWEEP * self.longest
         out: list[dict] = []
-        for *_, name, gain, share, lacks, other in sorted(found):
-            mine = set(self.words[name]) - set(lacks)
-            if all(not mine <= set(self.words[x["license"]]) and len(mine & set(self.words[x["license"]])) < 0.6 * len(mine) for x in out):
-                out.append({"license": name, "reduction": round(gain, 6), "missing": round(share, 6), "exact": not lacks and not other, "lacks": " ".join(lacks), "instead": " ".join(other)})
-        return out
+
+        def look(near, at: int, name: str):
+            """The template's best alignment in a window whose span saves enough."""
+            near = near.copy()
+            while (np.minimum(np.bincount(near[near >= 0], minlength=len(self.numbers)), self.counts[name])).sum() >= len(self.ids[name]) * (1 - missing):
+                if not (hit := self.best(near, name, missing)):
+                    return None
+                score, places, lacks = hit
+                gain = self.reduction(block[found[at + places[0]][0] : found[at + places[-1]][1]], name)
+                if gain >= reduction:
+                    return score, gain, places, lacks
+                near[places] = -1
+            return None
+
+        for at in range(0, max(1, len(found) - half), max(1, half)):
+            near = have[at : at + 2 * half].copy()
+            final = at + 2 * half >= len(found)
+            open_ = {name: hit for name in self.ids if (hit := look(near, at, name))}
+            while open_:
+                name = min(open_, key=lambda k: (-open_[k][0], -open_[k][1], k))
+                score, gain, places, lacks = open_[name]
+                near[places] = -1
+                if final or places[0] < half:  # others start in the next window, which has them whole
+                    have[at + np.array(places)] = -1
+                    lo, hi, agreed = at + places[0], at + places[-1], set(places)
+                    other = [found[k][2] for k in range(lo, hi) if k - at not in agreed]
+                    want = self.words[name]
+                    out.append({"start": found[lo][0], "end": found[hi][1], "license": name, "reduction": round(gain, 6), "missing": round(len(lacks) / len(want), 6), "exact": not lacks and not other, "lacks": " ".join(want[k] for k in lacks), "instead": " ".join(other)})
+                for k in [k for k, x in open_.items() if not set(places).isdisjoint(x[2])]:
+                    if hit := look(near, at, k):
+                        open_[k] = hit
+                    else:
+                        del open_[k]
+        return sorted(out, key=lambda x: (x["start"], x["end"], x["license"]))
 
 
 _READY: list[Templates] = []
 
 
-def _scan(templates: dict[str, str] | None, reduction: float, confirm: int, missing: float):
+def _scan(templates: dict[str, str] | None, reduction: float, missing: float):
     def run(batches):
         import pyarrow as pa
 
@@ -170,18 +222,18 @@ def _scan(templates: dict[str, str] | None, reduction: float, confirm: int, miss
                     if block not in seen:
                         if len(seen) > 20_000:
                             seen.clear()
-                        seen[block] = ready.confirmed(block, reduction, confirm, missing)
-                    rows += [(i, start, end, *(x[n] for n in names[3:])) for x in seen[block]]
+                        seen[block] = ready.confirmed(block, reduction, missing)
+                    rows += [(i, start + x["start"], start + x["end"], *(x[n] for n in names[3:])) for x in seen[block]]
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *[pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True)]], names=names)
 
     return run
 
 
-def scan(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, reduction: float = REDUCTION, confirm: int = CONFIRM, missing: float = MISSING) -> DataFrame:
+def scan(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, reduction: float = REDUCTION, missing: float = MISSING) -> DataFrame:
     """One row per license found: doc_id, start, end, license, reduction, missing, exact, lacks, instead."""
     prepare(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"key {kind}, start bigint, end bigint, license string, reduction double, missing double, exact boolean, lacks string, instead string"
     chosen = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(f"(?i){CUES}"))
-    return chosen.mapInArrow(_scan(templates, reduction, confirm, missing), schema).withColumnRenamed("key", "doc_id")
+    return chosen.mapInArrow(_scan(templates, reduction, missing), schema).withColumnRenamed("key", "doc_id")

@@ -467,6 +467,30 @@ def test_wrapped_licenses(spark, width):
     assert {i: (n, True) in found[i] for i, n in wanted.items()} == dict.fromkeys(wanted, True)
 
 
+def test_neighbouring_licenses(spark):
+    """Lists of licenses give each of them, once for each place, wherever windows part them."""
+    templates = license_scan.TEMPLATES
+    names = list(templates)
+    r = random.Random(4)
+    many = [r.choice(names) for _ in range(150)]
+    filler = " ".join(r.choice(["blue", "river", "stone", "walks", "seven"]) for _ in range(400))
+    cases = [
+        names,
+        names[::-1],
+        ["GPL-3.0", "GPL-2.0"],
+        ["CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC-BY-4.0"],
+        many,
+    ]
+    texts = ["\n".join(templates[n] for n in c) for c in cases]
+    cases += [[n] for n in names]
+    texts += [f"{filler} {templates[n]} {filler}" for n in names]
+    rows = license_scan.scan(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, case in enumerate(cases):
+        mine = sorted((x for x in rows if x["doc_id"] == i), key=lambda x: x["start"])
+        assert [x["license"] for x in mine] == case
+        assert all(x["exact"] and license_scan.words(texts[i][x["start"] : x["end"]]) == license_scan.words(templates[x["license"]]) for x in mine)
+
+
 # -- toxicity ------------------------------------------------------------------------------------
 
 
