@@ -195,7 +195,7 @@ def search_documents(spark: SparkSession, d: str) -> DataFrame:
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").filter("role = 'assistant'")
     a, b, e = (F.col("turn") * 3 % 7 + 1), (F.col("conv_id") % 5 + 1), (F.col("turn") % 4 + 1)
-    text = F.concat(F.lit("See ["), a.cast("string"), F.lit(", "), b.cast("string"), F.lit("] and ["), e.cast("string"), F.lit("]. "), F.substring("text", 1, 40))
+    text = F.concat(F.lit("See ["), a.cast("string"), F.lit(", "), b.cast("string"), F.lit("] and ["), e.cast("string"), F.lit("]. "), F.col("text"))
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), text.alias("text"))
 
 
@@ -218,12 +218,20 @@ def citation_renumber_map(spark: SparkSession, d: str) -> DataFrame:
     return ct.index_map(_answers(spark, d)).select("answer_id", "old", F.col("new").cast("long").alias("new"))
 
 
-def _sources(spark: SparkSession, d: str) -> DataFrame:
-    """Seven sources per answer; the sixth repeats the first's document and page."""
+def _sources(spark: SparkSession, d: str, as_sql: bool = False) -> DataFrame:
+    """Seven sources per answer, from all documents; the sixth repeats the first's document and page.
+
+    ``as_sql``: as ``v_sources`` draws them, from the first 200 ids.
+    """
     docs = v.docs(spark, d)
     a = _answers(spark, d).select("answer_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("position"))
-    of = (F.col("answer_id") + F.when(F.col("position") == 6, 1).otherwise(F.col("position"))) % 200
-    keyed = a.withColumns({"doc_id": of.cast("long"), "chunk_id": F.concat(F.lit("c"), F.col("position").cast("string"))})
+    place = F.when(F.col("position") == 6, 1).otherwise(F.col("position"))
+    if as_sql:
+        of = (F.col("answer_id") + place) % 200
+    else:  # seven ids in a row, from anywhere in the range
+        a = a.crossJoin(F.broadcast(docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))))
+        of = F.col("low") + F.pmod(F.xxhash64("answer_id") % (1 << 40) + place, F.col("high") - F.col("low") + 1)
+    keyed = a.select("answer_id", "position", of.cast("long").alias("doc_id"), F.concat(F.lit("c"), F.col("position").cast("string")).alias("chunk_id"))
     start = (F.col("doc_id") % 9 + 1).cast("int")
     return keyed.join(docs, "doc_id").withColumns({"start_page": start, "end_page": (start + F.col("doc_id") % 2).cast("int")})
 
@@ -245,7 +253,7 @@ _COLLAPSED = """collapsed AS (
 
 
 def bibliography(spark: SparkSession, d: str) -> DataFrame:
-    sources = _sources(spark, d)
+    sources = _sources(spark, d, as_sql=True)
     mapping = ct.collapse(ct.index_map(_answers(spark, d)), sources)
     return ct.bibliography(sources, mapping)
 

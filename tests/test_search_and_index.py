@@ -233,3 +233,19 @@ def test_streaming_status_keeps_the_furthest_stage(spark, tmp_path):
     q = ingest.without_repeats(e, late="9 days").writeStream.option("checkpointLocation", f"{tmp_path}/cp2").foreachBatch(lambda b, _: once.extend(b.collect())).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["key"] for r in once) == ["a", "b"]
+
+
+def test_answers_are_whole_and_sources_from_all_documents(spark, tmp_path):
+    from folioloom.plans import search
+
+    d = str(tmp_path)
+    spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(5).alias("n_chars")).write.parquet(f"{d}/documents.parquet")
+    text = "x" * 60 + " as in [9, 11]."
+    spark.range(100).select(F.col("id").alias("conv_id"), F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.lit(text).alias("text")).write.parquet(f"{d}/conversations.parquet")
+    assert all({9, 11} <= set(map(int, r["cited"].split(","))) for r in search.citation_extract(spark, d).collect())
+    assert {9, 11} <= {r["old"] for r in search.citation_renumber_map(spark, d).collect()}
+    assert all(len(r["text"]) > 60 and r["text"].endswith("].") and "9, 11" not in r["text"] for r in search.renumbered_answers(spark, d).collect())
+    sources = search._sources(spark, d).select("answer_id", "position", "doc_id").collect()
+    assert len(sources) == 700 and max(r["doc_id"] for r in sources) > 900 and len({r["doc_id"] for r in sources}) > 300
+    of = {(r["answer_id"], r["position"]): r["doc_id"] for r in sources}
+    assert all(len({of[a, p] for p in range(1, 8)}) == 6 and of[a, 1] == of[a, 6] for a, _ in of)
