@@ -202,8 +202,8 @@ def page_text(html: str = "html") -> Column:
 
 
 def page_declared(html: str = "html") -> Column:
-    """The lang attribute of a page's html element; null where there is none."""
-    found = F.regexp_extract(F.substring(F.coalesce(F.col(html), F.lit("")), 1, 4096), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+(?:[-_][A-Za-z0-9]+)*)", 1)
+    """The lang attribute of a page's html element, wherever it begins; null where there is none. Comments don't count."""
+    found = F.regexp_extract(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?s)<!--.*?-->", ""), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+(?:[-_][A-Za-z0-9]+)*)", 1)
     return F.when(found != "", found)
 
 

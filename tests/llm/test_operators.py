@@ -323,6 +323,18 @@ def test_languages(spark, sf_dir):
     assert {r["doc_id"] for r in kept.collect()} >= {d for d, (_, n) in truth.items() if n > 20} and kept.filter(f"doc_id >= {10**6}").count() == 0
 
 
+def test_declared_language_after_much_else(spark):
+    pages = [
+        (0, "<!-- " + "banner " * 2000 + '-->\n<html lang="fr">', "fr"),
+        (1, " \n" * 5000 + "<!DOCTYPE html [" + "<!ENTITY a 'b'>" * 500 + "]>\n<HTML class=x lang=de-AT>", "de-AT"),
+        (2, '<!--[if IE]><html lang="en"><![endif]--><!--[if !IE]><!--><html lang="es"><!--<![endif]-->', "es"),
+        (3, "<p>" * 3000, None),
+        (4, None, None),
+    ]
+    df = spark.createDataFrame([(i, t) for i, t, _ in pages], "page_id long, html string").select("page_id", langid.page_declared().alias("lang"))
+    assert {r["page_id"]: r["lang"] for r in df.collect()} == {i: x for i, _, x in pages}
+
+
 def test_language_evidence(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.fit(spark, docs)
