@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Folders that ``staged`` wrote and nothing has removed yet, oldest first.
+_STAGED: list[str] = []
 
 
 def build_session(app: str = "folioloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,14 +66,42 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(spark)}/folioloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    _STAGED.append(path)
+    trim(spark)
+    return out
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Remove everything that ``staged`` has written under the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/folioloom")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def trim(spark: SparkSession) -> None:
+    """Let the driver's JVM give freed native memory back to the system, where it can."""
+    sc = spark.sparkContext
+    with contextlib.suppress(Py4JError):
+        name = sc._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        none, unsigned = sc._gateway.new_array(sc._jvm.Object, 0), sc._gateway.new_array(sc._jvm.String, 0)
+        sc._jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(name, "systemTrimNativeHeap", none, unsigned)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession, *frames: DataFrame) -> None:
+    """Remove the files of what ``staged`` returned, once nothing reads them any more."""
+    for df in frames:
+        _remove(spark, df._staged_at)
+        _STAGED.remove(df._staged_at)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is removed at the end, but for what was staged last."""
+    before = len(_STAGED)
+    yield
+    for path in _STAGED[before:-1]:
+        _remove(spark, path)
+    del _STAGED[before:-1]
 
 
 def ship(spark: SparkSession) -> None:
