@@ -1,17 +1,22 @@
 """Packing token streams into fixed-length sequences by harmonic classes.
 
-A document is its token ids and an end id. It is cut into pieces: whole sequences
-of ``capacity``, then at most one piece each of capacity/2, capacity/4, ... down
-to ``least``, then a rest below ``least``. Pieces fall into reciprocal-capacity
-classes: class k takes pieces of at most capacity/k tokens and every bin of class k
-takes exactly k pieces. Pieces cut to a reciprocal fill their bins without a gap;
-only the short rests, a few tokens in a hundred, can leave one.
-
-Every task tokenises its own documents, cuts them and numbers the pieces of each
-class by itself; the pieces are staged. Counts per class and task (a few numbers a
-task) give each task's first place in a class, so that places are gapless over all
-tasks, and the bin is place div k. The last, partial bin of an exact class is split
-into powers of two, which need no padding; each class of rests has one padded bin.
+A document is its token ids and an end id. Lengths fall into reciprocal-capacity
+classes: class k has those with capacity/(k+1) < length <= capacity/k (the last class
+all that are shorter), and each of its bins takes exactly k documents, whole. Every
+task tokenises and packs its own documents, independently of others: one scan, no
+shuffle, and a few open bins of state.
+
+A full bin leaves a gap of less than capacity/(k+1), in a list of at most ``GAPS``:
+
+* A document that fits into a gap goes there whole, into the least that has room.
+* Documents longer than ``capacity`` are cut anyway: they fill the gaps, then whole
+  sequences; the rest is classed like a document.
+* Where the gaps add up to more than ``SLACK`` tokens, or are more than ``GAPS``, the
+  next document is cut to fill them, so that padding doesn't depend on long documents.
+
+At a task's end, the documents of bins that aren't full go into gaps, whole where they
+fit; what remains makes whole sequences, and a tail in powers of two, which need no
+padding. Sequence ids are unique: the task's number, times 2**40, plus a count.
 
 Token ids equal those of the ``tokenizers`` library for the same vocabulary; they
 are made with tiktoken from the vocabulary's rank file, four times as fast.
@@ -22,21 +27,21 @@ documents of their own; ties need no order; an empty table gives an empty result
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+import bisect
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.llm.common import prepare, released, texts
-from folioloom.session import staged
 
 CAPACITY = 1024
-LEAST = 64
 END_ID = 0
 VOCABULARY = "byte_bpe_50k.tiktoken"
-
-#: Classes of the rests: pieces of at most capacity / k tokens, k of them a bin.
-_RESTS = (18, 21, 25, 32, 42, 64, 128)
-_RESTS_START = 16
+#: The class of all lengths of at most capacity / CLASSES.
+CLASSES = 64
+#: Most tokens and most places of open gaps, a task.
+SLACK = 8192
+GAPS = 4096
 
 
 def tokenizer(vocabulary: str = VOCABULARY):
@@ -56,32 +61,95 @@ def tokenizer(vocabulary: str = VOCABULARY):
 _LOADED: dict = {}
 
 
-def classes(capacity: int = CAPACITY, least: int = LEAST) -> tuple[list[int], list[tuple[int, int]]]:
-    """Lengths of exact pieces, longest first; (bound, k) of the classes of rests, shortest first."""
-    exact, n = [], capacity
-    while n >= max(least, 1):
-        exact.append(n)
-        n //= 2
-    ks = sorted({max(k, capacity // max(least - 1, 1)) for k in (_RESTS_START, *_RESTS)}, reverse=True)
-    return exact, [(capacity // k, k) for k in ks if capacity // k >= 1]
-
-
-def cut(n: int, capacity: int = CAPACITY, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(start, length, k) of the pieces of a document of ``n`` ids."""
-    exact, rests = classes(capacity, least)
-    out, at = [], 0
-    for length in exact:
-        while n - at >= length:
-            out.append((at, length, capacity // length))
-            at += length
-    if n > at:
-        bound, k = next((b, k) for b, k in rests if n - at <= b)
-        assert n - at <= bound
-        out.append((at, n - at, k))
-    return out
-
-
-def _pieces(capacity: int, least: int, end_id: int, vocabulary: str):
+class Packer:
+    """Places of one task's documents; ``placed`` collects (document, start, length, sequence, offset)."""
+
+    def __init__(self, capacity: int = CAPACITY, first: int = 0):
+        self.capacity, self.next = capacity, first
+        self.gaps: list[tuple[int, int, int]] = []  # size, sequence, offset; least first
+        self.room = 0
+        self.open: dict[int, list[tuple[object, int, int]]] = {}  # class: (document, start, length)
+        self.placed: list[tuple[object, int, int, int, int]] = []
+
+    def add(self, doc, length: int) -> None:
+        if length > self.capacity:
+            self._rest(doc, self._cut(doc, 0, length - 1, length), length)
+        elif (at := bisect.bisect_left(self.gaps, (length,))) < len(self.gaps):
+            self._fill(at, doc, 0, length)
+        elif self.room > SLACK or len(self.gaps) > GAPS:
+            self._rest(doc, self._cut(doc, 0, length, length), length)
+        else:
+            self._class(doc, 0, length)
+
+    def finish(self) -> None:
+        """Place what is in open bins."""
+        left = sorted((x for held in self.open.values() for x in held), key=lambda x: -x[2])
+        self.open = {}
+        cut = []
+        for doc, start, length in left:
+            if (at := bisect.bisect_left(self.gaps, (length,))) < len(self.gaps):
+                self._fill(at, doc, start, length)
+            else:
+                cut.append((doc, start, length))
+        rest = []
+        for doc, start, length in cut:
+            done = self._cut(doc, start, start + length, start + length, whole=False)
+            if done < start + length:
+                rest.append((doc, done, start + length - done))
+        left_over = sum(n for *_, n in rest)
+        size, at = self.capacity, 0
+        for doc, start, length in rest:
+            while length:
+                if not at:  # a new sequence: whole, or the greatest power of two that is left to fill
+                    size = self.capacity if left_over >= self.capacity else 1 << (left_over.bit_length() - 1)
+                    self.next += 1
+                n = min(length, size - at)
+                self.placed.append((doc, start, n, self.next - 1, at))
+                start, length, left_over = start + n, length - n, left_over - n
+                at = (at + n) % size
+
+    def _class(self, doc, start: int, length: int) -> None:
+        k = min(self.capacity // length, CLASSES)
+        held = self.open.setdefault(k, [])
+        held.append((doc, start, length))
+        if len(held) == k:
+            at = 0
+            for d, s, n in held:
+                self.placed.append((d, s, n, self.next, at))
+                at += n
+            self._gap(self.capacity - at, self.next, at)
+            self.next += 1
+            held.clear()
+
+    def _gap(self, size: int, sequence: int, offset: int) -> None:
+        if size:
+            bisect.insort(self.gaps, (size, sequence, offset))
+            self.room += size
+
+    def _fill(self, at: int, doc, start: int, length: int) -> None:
+        size, sequence, offset = self.gaps.pop(at)
+        self.room -= size
+        self.placed.append((doc, start, length, sequence, offset))
+        self._gap(size - length, sequence, offset + length)
+
+    def _cut(self, doc, start: int, until: int, end: int, whole: bool = True) -> int:
+        """Fill gaps, the greatest first, then with ``whole`` whole sequences, from a document's ids; the place of the first id left."""
+        while start < until and self.gaps:
+            n = min(until - start, self.gaps[-1][0])
+            self._fill(len(self.gaps) - 1, doc, start, n)
+            start += n
+        while whole and end - start >= self.capacity:
+            self.placed.append((doc, start, self.capacity, self.next, 0))
+            self.next += 1
+            start += self.capacity
+        return start
+
+    def _rest(self, doc, start: int, end: int) -> None:
+        if start < end:
+            self._class(doc, start, end - start)
+
+
+def _packed(capacity: int, end_id: int, vocabulary: str):
     def run(batches):
         import zlib
 
@@ -90,82 +158,35 @@ def _pieces(capacity: int, least: int, end_id: int, vocabulary: str):
         from pyspark import TaskContext
 
         encoding = tokenizer(vocabulary)
-        part = TaskContext.get().partitionId()
-        exact = {capacity // n: n for n in classes(capacity, least)[0]}
-        place: dict[tuple[int, bool], int] = {}
+        packer = Packer(capacity, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], np.uint32)
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "k", "exact", "part", "place"]
-        kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64()]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        kind = None
+
+        def rows():
+            out: list[list] = [[] for _ in names]
+            for (doc_id, ids), start, length, sequence, offset in packer.placed:
+                for column, value in zip(out, (doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, sequence, offset), strict=True):
+                    column.append(value)
+            packer.placed.clear()
+            return pa.RecordBatch.from_arrays([pa.array(out[0], kind), *[pa.array(v, pa.int64()) for v in out[1:]]], names=names)
+
         for batch in released(batches):
-            rows: list[list] = [[] for _ in names]
-            ids_of = batch.column(0)
-            for i, text in enumerate(texts(batch.column(1))):
-                ids = np.concatenate([encoding.encode_to_numpy(text or ""), end])
-                data = memoryview(ids.astype("<u4", copy=False)).cast("B")
-                for start, length, k in cut(len(ids), capacity, least):
-                    whole = exact.get(k) == length
-                    at = place.get((k, whole), 0)
-                    place[k, whole] = at + 1
-                    for column, value in zip(rows, (i, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), len(ids), k, whole, part, at), strict=True):
-                        column.append(value)
-            docs = ids_of.take(pa.array(rows[0], pa.int64()))
-            yield pa.RecordBatch.from_arrays([docs, *[pa.array(v, t) for v, t in zip(rows[1:], kinds[1:], strict=True)]], names=names)
+            kind = batch.schema.field(0).type
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                ids = np.concatenate([encoding.encode_to_numpy(text or ""), end]).astype("<u4", copy=False)
+                packer.add((doc_id, memoryview(ids).cast("B")), len(ids))
+            yield rows()
+        packer.finish()
+        if packer.placed:
+            yield rows()
 
     return run
 
 
-def pieces(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, least: int = LEAST, end_id: int = END_ID, vocabulary: str = VOCABULARY) -> DataFrame:
-    """All pieces of all documents, each with its class, task and place in that task's class; staged."""
+def pack(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     prepare(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, k int, exact boolean, part int, place bigint"
-    cut_ = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pieces(capacity, least, end_id, vocabulary), schema)
-    return staged(spark, cut_, "pieces")
-
-
-def _below(n: Column, size: int) -> Column:
-    """The largest multiple of ``size`` that isn't above ``n``."""
-    return n - F.pmod(n, F.lit(size))
-
-
-def pack(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, least: int = LEAST, end_id: int = END_ID, vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
-
-    Sequence ids are unique and count up within each class.
-    """
-    cut_ = pieces(spark, docs, doc_id, text, capacity, least, end_id, vocabulary)
-    key = ["k", "exact"]
-    counts = cut_.groupBy(*key, "part").agg(F.count("*").alias("n"))
-    before = W.partitionBy(*key).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(*key, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    totals = counts.groupBy(*key).agg(F.sum("n").alias("total"))
-    known = starts.join(F.broadcast(totals), key)  # a row a class: fewer than 20
-    placed = cut_.join(known, [*key, "part"]).withColumn("g", F.col("first") + F.col("place"))
-    k, g, total = F.col("k").cast("long"), F.col("g"), F.col("total")
-    full = total - F.pmod(total, k)  # places from here on are in partial bins
-    # partial bins of an exact class: the binary parts of what is left over, largest first
-    left, over = total - full, g - full
-    size = capacity
-    chain = None
-    while size >= 1:
-        has = F.pmod(F.floor(left / size), F.lit(2)) == 1
-        begin = _below(left, 2 * size)
-        here = has & (over >= begin) & (over < begin + size)
-        step = F.when(here, F.struct(F.lit(size).cast("long").alias("size"), (over - begin).alias("inside")))
-        chain = step if chain is None else F.coalesce(chain, step)
-        size //= 2
-    partial = (g >= full) & F.col("exact")
-    at = F.when(partial, chain)
-    bin_ = F.when(partial, F.floor(full / k) + F.log2(at["size"].cast("double")).cast("long")).otherwise(F.floor(g / k))
-    in_bin = F.when(partial, at["inside"]).otherwise(F.pmod(g, k))
-    # bins of all classes interleave: bin * number of classes + class
-    numbers = {(capacity // n, True): i for i, n in enumerate(classes(capacity, least)[0])}
-    numbers |= {(c, False): len(numbers) + i for i, (_, c) in enumerate(classes(capacity, least)[1])}
-    number = F.create_map(*[x for (c, e), i in numbers.items() for x in (F.lit(f"{c}{'x' if e else ''}"), F.lit(i))])
-    class_ = F.element_at(number, F.concat(F.col("k").cast("string"), F.when(F.col("exact"), "x").otherwise("")))
-    binned = placed.withColumns({"sequence_id": (bin_ * len(numbers) + class_).cast("long"), "in_bin": in_bin.cast("long")})
-    out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"]
-    exact = binned.filter("exact").select(*out, (F.col("in_bin") * F.col("length")).cast("long").alias("offset"))
-    inside_bin = W.partitionBy("sequence_id").orderBy("in_bin").rowsBetween(W.unboundedPreceding, -1)
-    rests = binned.filter("not exact").select(*out, F.coalesce(F.sum("length").over(inside_bin), F.lit(0)).cast("long").alias("offset"))
-    return exact.unionByName(rests)
+    schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_packed(capacity, end_id, vocabulary), schema)

@@ -11,18 +11,25 @@ bits lie in at most 2 of 8 bytes, so linked fingerprints share 6 or more bytes a
 the same positions: that is the guaranteed minimum of the count filter.
 
 * Equal fingerprints are one node, pre-aggregated, so that copies cost nothing here.
-* The inverted index is keyed by the 28 choices of six positions with their bytes: a
-  list of that index is exactly the set of nodes whose tally of shared positional
-  bytes reaches six there. Members of a list differ in two bytes at most, so that a
-  list never has more than 65,536 nodes, whatever the input.
-* Lists of up to ``SHORT`` nodes are tallied and verified pair by pair. In longer
-  lists, each node meets its own and its 16 one-bit variants of the two free bytes;
-  nodes that meet at a variant are within two bits of each other, so one star a
-  variant keeps every connection without any pair. Both ways are exact.
-
-Components: alternating large-star and small-star steps over the links, each step
-staged, until all components are stars. Minimum and join back, no window, so that a
-star's centre isn't one task's work.
+* Postings: two nodes that share six of eight positions share ``k`` of any ``k + 2``.
+  So the inverted index holds, for the first ``k + 2`` positions, every choice of
+  ``k`` of them with its bytes; ``k`` is the least number of bytes with at least as many
+  values as there are nodes, so that random nodes rarely meet. Nodes that meet in a
+  posting of up to ``SHORT`` nodes are tallied over all eight positions; pairs with six
+  or more shared bytes are verified bit by bit.
+* Longer postings are split by further bytes, without loss: their nodes go into lists
+  of all six positions that contain the posting's. Members of such a list differ in two
+  bytes at most, so that it never has more than 65,536 nodes, whatever the input. In
+  lists that are still longer than ``SHORT``, each node meets its own and its 16 one-bit
+  variants of the two free bytes; nodes that meet at a variant are within two bits of
+  each other, so one star a variant keeps every connection without any pair.
+
+All ways are exact: ``links`` has fewer links than there are, but connects what they do.
+
+Components: links are contracted in each task (a forest has fewer edges than nodes),
+then each node takes the least of its neighbours for all its neighbours, and edges
+contract again where they meet at their greater end, until nothing changes. Minimum
+and join back, no window, so that a star's centre isn't one task's work.
 
 Defined results: a null text counts as empty; repeated rows have the same result; a
 null doc_id is never a component's id unless all of its documents have none; an
@@ -37,8 +44,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import drop_keys, free_name, prepare, released, row_key, texts
-from folioloom.session import staged
+from folioloom.llm.common import drop_keys, flag_members, free_name, key_bitmap, prepare, released, row_key, texts
+from folioloom.session import release, staged
 
 WIDTH = 3
 MAX_BITS = 2
@@ -116,12 +123,13 @@ def _signed(v: int) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
-#: The 28 ways to leave two of eight positions free.
-_FREE = list(itertools.combinations(range(8), 2))
+#: Positions that pairs must share, and the 28 choices of them.
+_SHARED = 8 - MAX_BITS
+_SIX = list(itertools.combinations(range(8), _SHARED))
 
 
-def _mask(free: tuple[int, int]) -> int:
-    return _signed(~sum(0xFF << (8 * p) for p in free) & (2**64 - 1))
+def _mask(positions: tuple[int, ...]) -> int:
+    return _signed(sum(0xFF << (8 * p) for p in positions))
 
 
 def shared_bytes(a: Column, b: Column) -> Column:
@@ -131,39 +139,105 @@ def shared_bytes(a: Column, b: Column) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def links(spark: SparkSession, nodes: DataFrame, short: int = SHORT) -> DataFrame:
-    """Links (u, v), u < v, over distinct fingerprints ``nodes`` (fp), which connect what is within two bits."""
-    entries = F.array(*[F.struct(F.lit(i).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(_mask(f))).alias("six")) for i, f in enumerate(_FREE)])
-    postings = nodes.select("fp", F.explode(entries).alias("e")).select("fp", "e.k", "e.six")
-    lists = staged(spark, postings.groupBy("k", "six").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1), "simhash-lists")
-    in_short = lists.filter(F.size("fps") <= short).select(F.array_sort("fps").alias("fps"))
-    member = in_short.select("fps", F.posexplode("fps").alias("i", "u"))
-    others = F.filter(F.expr("slice(fps, i + 2, size(fps))"), lambda v: F.bit_count(v.bitwiseXOR(F.col("u"))) <= MAX_BITS)
-    pairs = member.select("u", F.explode(others).alias("v")).filter(shared_bytes(F.col("u"), F.col("v")) >= 8 - MAX_BITS)
-    flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << (8 * p + b))) for p in f for b in range(8)]) for f in _FREE])
-    long_ = lists.filter(F.size("fps") > short).select("k", F.explode("fps").alias("fp"))
-    variants = long_.select("k", "fp", F.explode(F.element_at(flips, F.col("k").cast("int") + 1)).alias("flip")).select("k", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
+def _verified(lists: DataFrame) -> DataFrame:
+    """(u, v) of the pairs of each list ``fps`` that reach the tally and are within ``MAX_BITS``."""
+    member = lists.select(F.array_sort("fps").alias("fps")).select("fps", F.posexplode("fps").alias("i", "u"))
+    met = member.select("u", F.explode(F.expr("slice(fps, i + 2, size(fps))")).alias("v"))
+    tallied = met.filter(shared_bytes(F.col("u"), F.col("v")) >= _SHARED)
+    return tallied.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)
+
+
+def links(spark: SparkSession, nodes: DataFrame, short: int = SHORT, level: int | None = None) -> DataFrame:
+    """Links (u, v), u < v, over distinct fingerprints ``nodes`` (fp), which connect what is within two bits.
+
+    ``level`` is the number of bytes of the first postings; by default it follows from the number of nodes.
+    """
+    if level is None:
+        n = nodes.count()
+        level = next((k for k in range(1, _SHARED) if 256**k >= n), _SHARED)
+    chosen = list(itertools.combinations(range(level + MAX_BITS), level))
+    entries = F.array(*[F.struct(F.lit(i).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("bytes")) for i, c in enumerate(chosen)])
+    postings = nodes.select("fp", F.explode(entries).alias("e")).select("fp", "e.k", "e.bytes")
+    shared = staged(spark, postings.groupBy("k", "bytes").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-postings")
+    # postings that nothing else has are passed over before the shuffle
+    maybe = flag_members(postings, [F.col("k"), F.col("bytes")], key_bitmap(shared, ["k", "bytes"], 24), 24, "_maybe")
+    met = maybe.filter("_maybe").drop("_maybe").join(shared, ["k", "bytes"])
+    few = met.filter(F.col("n") <= short).groupBy("k", "bytes").agg(F.collect_list("fp").alias("fps"))
+
+    wider = F.array(*[F.array(*[F.lit(q).cast("byte") for q, six in enumerate(_SIX) if set(c) <= set(six)]) for c in chosen])
+    masks = F.array(*[F.lit(_mask(six)) for six in _SIX])
+    split = met.filter(F.col("n") > short).select("fp", F.explode(F.element_at(wider, F.col("k").cast("int") + 1)).alias("q"))
+    six = split.withColumn("bytes", F.col("fp").bitwiseAND(F.element_at(masks, F.col("q").cast("int") + 1)))
+    lists = staged(spark, six.groupBy("q", "bytes").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1), "simhash-lists")
+    pairs = _verified(few.select("fps").unionByName(lists.filter(F.size("fps") <= short).select("fps")))
+
+    flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << (8 * p + b))) for p in range(8) if p not in six for b in range(8)]) for six in _SIX])
+    long_ = lists.filter(F.size("fps") > short).select("q", F.explode("fps").alias("fp"))
+    variants = long_.select("q", "fp", F.explode(F.element_at(flips, F.col("q").cast("int") + 1)).alias("flip")).select("q", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
     # a variant of a list is shared by 17 nodes at most
-    stars = variants.groupBy("k", "variant").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).filter("u <> v")
-    return pairs.unionByName(stars).distinct()
+    stars = variants.groupBy("q", "variant").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).filter("u <> v")
+    return pairs.unionByName(stars)
+
+
+#: Edges that are contracted at a time.
+_EDGES = 1 << 20
+
+
+def contracted(u, v):
+    """Arrays (root, node) of the stars that connect what edges between arrays ``u`` and ``v`` do; root is the least node."""
+    import numpy as np
+
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    below = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[below]], nodes[below]
+
+
+def _contract(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    held, n = [], 0
+
+    def joined():
+        u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+        return contracted(u, v)
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        n += batch.num_rows
+        if n >= _EDGES:
+            held = [joined()]
+            n = 0
+    if held:
+        u, v = joined()
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for each node that has an edge (u, v); root is its component's least node."""
-    edges = staged(spark, edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct(), "links")
+    prepare(spark)
+    kind = "u bigint, v bigint"
+    edges = staged(spark, edges.select("u", "v").mapInArrow(_contract, kind), "links")
     for _ in range(max_rounds):
-        # finished: nobody has two lesser neighbours, and no lesser neighbour has one itself
-        ends = edges.select(F.col("v").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("u", F.lit(0), F.lit(1)))
-        busy = ends.groupBy("n").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below > 1 OR below = 1 AND above = 1")
-        if busy.isEmpty():
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
-        both = edges.select("u", "v").union(edges.select("v", "u"))
+        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
-        down = large.select(F.col("v").alias("u"), F.col("u").alias("v"))  # u has the lesser neighbour v
-        lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-        moved = down.join(lowest, "u").select(F.col("m").alias("u"), "v").filter("u <> v")
-        edges = staged(spark, moved.union(lowest.select(F.col("m").alias("u"), F.col("u").alias("v"))).distinct(), "stars")
+        met = both.join(least, "u").filter("v > u OR v <> m")
+        moved = staged(spark, met.select(F.col("m").alias("u"), "v", F.expr("v < u OR m < u").alias("changed")), "stars")
+        release(spark, edges)
+        if not moved.agg(F.max("changed")).first()[0]:
+            return moved.select(F.col("v").alias("node"), F.col("u").alias("root")).union(moved.select("u", "u")).distinct()
+        edges = staged(spark, moved.select("u", "v").repartition("v").mapInArrow(_contract, kind), "links")
+        release(spark, moved)
     raise RuntimeError("components did not settle")
 
 
@@ -177,9 +251,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id"
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     nodes = staged(spark, rows.groupBy("fp").agg(first), "simhash-nodes")
     roots = components(spark, links(spark, nodes.select("fp")))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    ids = staged(spark, rooted.select("fp", "root").join(named, "root").select("fp", "first"), "simhash-ids")
+    linked = staged(spark, nodes.join(roots.withColumnRenamed("node", "fp"), "fp"), "simhash-linked")
+    named = linked.groupBy("root").agg(F.min("first").alias("first"))
+    new = linked.select("fp", "root").join(named, "root").select("fp", F.col("first").alias("new"))
+    ids = nodes.join(new, "fp", "left").select("fp", F.coalesce("new", "first").alias("first"))
     return rows.join(ids, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"), "key", (F.col("key") == F.col("first.key")).alias("kept"))
 
 

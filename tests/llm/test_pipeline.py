@@ -35,6 +35,19 @@ def test_stages(spark, sf_dir):
     assert langid.UNKNOWN == "und"
 
 
+def test_run_removes_what_it_no_longer_reads(spark, sf_dir):
+    """Only what the last stage reads is left under the shared folder."""
+    import glob
+
+    from folioloom.session import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://") + "/folioloom/*"
+    before = set(glob.glob(folder))
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    left = {p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(folder)) - before}
+    assert left == {"pipeline-mix"}
+
+
 def test_registered_queries_run(spark, sf_dir):
     assert len(queries.QUERIES) == 10
     for name in ("op3_license_compression", "op5_virtual_slots", "op7_exact_dedup", "op9_systematic_mix"):
