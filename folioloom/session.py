@@ -75,11 +75,20 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 def trim(spark: SparkSession) -> None:
     """Let the driver's JVM give freed native memory back to the system, where it can."""
-    sc = spark.sparkContext
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    of = jvm.Class.forName
+
+    def array(kind, *values):
+        out = gateway.new_array(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
     with contextlib.suppress(Py4JError):
-        name = sc._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
-        none, unsigned = sc._gateway.new_array(sc._jvm.Object, 0), sc._gateway.new_array(sc._jvm.String, 0)
-        sc._jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(name, "systemTrimNativeHeap", none, unsigned)
+        kinds = array(jvm.Class, of("javax.management.ObjectName"), of("java.lang.String"), of("[Ljava.lang.Object;"), of("[Ljava.lang.String;"))
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        given = array(jvm.Object, command, "systemTrimNativeHeap", array(jvm.Object), array(jvm.String))
+        of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
