@@ -15,7 +15,8 @@ Two texts are equal when they are identical after each run of white space
    side, so that adaptive execution may split a group with a third of all rows.
 
 Defined results: a null text counts as empty; empty texts are equal to one
-another; of rows that repeat both text and doc_id, one stays; rows with a null
+another; of rows that repeat both text and doc_id, one stays; of texts of one doc_id
+that differ in white space alone, the one with the least hash; rows with a null
 doc_id lose to rows that have one; an empty table gives an empty result; other
 columns, whatever their names, pass through ``drop_exact_duplicates`` unchanged.
 """
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm.common import SPACES, flag_members, free_name, key_bitmap, text_or_empty
+from folioloom.llm.common import SPACES, drop_keys, flag_members, free_name, key_bitmap, text_or_empty
 from folioloom.session import staged
 
 PREFIX_CHARS = 256
@@ -69,11 +70,11 @@ def exact_groups(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", t
     hashes are computed for surviving groups alone.
     """
     marked, n = with_full_hash(spark, docs, text)
-    columns = [F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.col(n["len"]).alias("_len"), F.col(n["prefix"]).alias("_prefix"), F.col(n["full"]).alias("_full")]
+    columns = [F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.xxhash64(F.col(text)).alias("_raw"), F.col(n["len"]).alias("_len"), F.col(n["prefix"]).alias("_prefix"), F.col(n["full"]).alias("_full")]
     if digest:
         columns.append(F.coalesce(F.col(n["full"]), F.sha2(normalised(text), 256)).alias("text_sha256"))
     rows = staged(spark, marked.select(*columns), "dedup-rows")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_raw", "_row")
     groups = rows.filter("_full is not null").groupBy("_len", "_prefix", "_full").agg(F.min(order).alias("_first"), F.count("*").alias("_size")).filter("_size > 1")
     joined = rows.join(groups, ["_len", "_prefix", "_full"], "left")
     alone = F.col("_size").isNull()
@@ -86,16 +87,23 @@ def exact_groups(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", t
     return joined.select(*out, *(["text_sha256"] if digest else []))
 
 
-def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", files: bool = False) -> DataFrame:
     """``docs`` with one row of each group of equal texts, the one with the smallest doc_id.
 
-    Rows outside surviving groups pass without a shuffle; in those groups, each task
-    keeps one row a key before anything is shuffled.
+    Keys alone decide: of surviving groups, a row's number in the scan, its hash and the
+    group's key are grouped, and the numbers of the rows that go are looked up in a last scan.
+    No text is shuffled but those of rows that go. That takes rows that come in the same
+    order each time they are read: ``docs`` is staged first, unless ``files`` says that it is a
+    plain reading of files.
     """
-    marked, n = with_full_hash(spark, docs, text)
-    key = [n["len"], n["prefix"], n["full"]]
-    alone = marked.filter(~F.col(n["maybe"])).select(*docs.columns)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    order = F.struct(F.col(doc_id).isNull(), F.col(doc_id))
-    first = marked.filter(n["maybe"]).groupBy(*key).agg(F.min_by(whole, order).alias("_doc")).select("_doc.*")
-    return alone.unionByName(first.select(*docs.columns))
+    if not files:
+        docs = staged(spark, docs, "dedup-docs")
+    at = free_name(docs, "_at")
+    numbered = docs.withColumn(at, F.struct(F.monotonically_increasing_id().alias("row"), F.xxhash64(F.col(text)).alias("hash")))
+    marked, n = with_full_hash(spark, numbered, text)
+    chosen = marked.filter(n["maybe"]).select(F.col(at).alias("_at"), F.col(n["len"]).alias("_len"), F.col(n["prefix"]).alias("_prefix"), F.col(n["full"]).alias("_full"), F.col(doc_id).alias("_id"))
+    rows = staged(spark, chosen, "dedup-rows")
+    order = F.struct(F.col("_id").isNull(), "_id", "_at.hash", "_at.row")
+    groups = rows.groupBy("_len", "_prefix", "_full").agg(F.min(order).alias("_first"), F.count("*").alias("_size")).filter("_size > 1")
+    gone = rows.join(groups, ["_len", "_prefix", "_full"]).filter(F.col("_at.row") != F.col("_first.row")).select(F.col("_at").alias(at))
+    return drop_keys(numbered, at, staged(spark, gone, "dedup-gone")).drop(at)

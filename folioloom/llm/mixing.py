@@ -10,12 +10,12 @@ systematic sample follow the sizes closely, so the words taken come near the tar
 Targets share the words of all sources by weight; none is above ``cap`` times its
 source, and what is above is shared again by weight among the rest until none is.
 
-Places are global: rows are range partitioned by (source, size, doc_id), which
-splits a hot source over many partitions, staged once, and numbered by partition
-offsets. Only (source, size, doc_id) is shuffled for that; words are counted once.
+Places are global: rows are range partitioned by (source, size, doc_id, hash of the text),
+which splits a hot source over many partitions, staged once, and numbered by partition
+offsets. Only these are shuffled for that; words are counted once.
 
 Defined results: a null text has size 0; null is a source of its own, last in
-order; documents of size 0 get copies like others and take no words; a source
+order; rows that repeat source, size and doc_id are ordered by a hash of their text, equal rows are interchangeable; documents of size 0 get copies like others and take no words; a source
 without words has target 0 and no copies; an empty table gives an empty result.
 Reruns agree: order, offset and targets depend on the rows alone.
 """
@@ -41,7 +41,11 @@ def offset(source: Column, seed: str = SEED) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """Per source: source_size, source_rows, target. ``sizes`` has source, size; one row a source remains."""
+    """Per source: source_size, source_rows, target. ``sizes`` has source, size; one row a source remains.
+
+    The weights follow the sources' order and the level follows from all of them, so that one
+    task sorts those rows, of some 50 bytes each: millions of sources are no burden to it.
+    """
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     everything = W.partitionBy()
     place = W.orderBy(F.col("source").asc_nulls_last())
@@ -61,12 +65,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 
 def copies(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies."""
-    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
+    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.xxhash64(F.col(text)).alias("_hash"))
     return _numbered(spark, staged(spark, sizes, "mix-sizes"), weights, cap, seed)
 
 
 def _numbered(spark: SparkSession, sizes: DataFrame, weights: tuple[int, ...], cap: int, seed: str, also: tuple[str, ...] = ()) -> DataFrame:
-    order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_first()]
+    order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("doc_id").asc_nulls_first(), F.col("_hash").asc()]
     dealt = sizes.repartitionByRange(input_partitions(spark), *order).sortWithinPartitions(*order)
     rows = staged(spark, dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "mix-rows")
     parts = rows.groupBy("source", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))

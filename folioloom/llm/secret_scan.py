@@ -8,17 +8,23 @@ each kind. Further spans of kind ``random`` come from the battery:
    base 32, upper or lower case with digits, base 62, base 64.
 2. Battery, for each candidate against uniform draws from its encoding's alphabet:
    chi-squared uniformity (Wilson-Hilferty), Wald-Wolfowitz runs above and below the
-   alphabet's middle, and lag-1 serial correlation. A candidate passes when the
-   least of the three p values, times three, is at least ``ALPHA``.
-3. False-discovery control, by length: for text-like strings of n characters, equal
-   pairs of characters are Poisson with mean n(n-1)/2 times text's coincidence rate;
-   so the p value against "this is text" sharpens with length. Benjamini and Hochberg's
-   procedure holds the false-discovery rate at ``RATE`` in each class of encoding and
-   length. It works on counts in fixed bins of the p value, summed over all rows: at
-   most 6 encodings, 33 lengths and 301 bins reach the driver, whatever the input.
+   alphabet's middle, and lag-1 serial correlation. Their p values are combined to one,
+   ``p_random``, by Cauchy's rule, which holds for dependent tests.
+3. False-discovery control in each class of encoding and length, in two ways. On the
+   battery's ``p_random``, which is uniform for random strings and small for others: the
+   number of random ones follows from the p values above ``CALM`` (Storey's estimate), and
+   the least bound is taken above which the others are at most ``RATE`` of what passes.
+   Classes of fewer than ``FEW`` candidates are judged with the next longer ones. Against
+   text: in text-like strings of n characters, equal pairs of characters are Poisson with
+   mean n(n-1)/2 times text's coincidence rate, so that the p value against "this is text"
+   sharpens with length; Benjamini and Hochberg's procedure holds their share at ``RATE``.
+   A discovery passes both. Both work on counts in fixed bins, summed over all rows: at
+   most 6 encodings, 33 lengths and 1,301 bins reach the driver, whatever the input.
 
 A candidate that overlaps a base span adds nothing. Offsets count code points, ends
-exclusive. Text is scanned where it lies; only candidates' numbers are staged.
+exclusive. Text is scanned where it lies; matches leave it as rows of numbers (and of
+candidates' characters), which get their places from running sums over a text's rows,
+so that time grows with the number of matches, however many a text has.
 
 Defined results: null and empty texts have no spans; repeated rows have equal
 results; ties in start are ordered by kind; an empty table gives an empty result;
@@ -28,6 +34,7 @@ other columns don't matter.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioloom.llm.common import text_or_empty
@@ -40,8 +47,9 @@ BASE = {
     "hex": (r"[0-9a-f]{32,}", 2, 32),
 }
 RANDOM = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}"
-ALPHA = 0.001
 RATE = 0.05
+CALM = 0.05
+FEW = 200
 
 #: Encoding: what its strings look like (fixed values), its alphabet in order, and the coincidence rate of text-like strings.
 ENCODINGS = {
@@ -58,26 +66,20 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def spans_of(text: Column, pattern: str, group: int, least: int, probe: str) -> Column:
-    """Array of (start, end, hit) of a pattern's leftmost matches whose group has ``least`` characters.
+def matches_of(text: Column, kind: int, pattern: str, group: int, probe: str, keep: bool) -> Column:
+    """Array of a pattern's leftmost matches, each with the length of the gap before it (g), its own (l) and its group's (n).
 
-    Each match is taken with the gap before it; starts are running sums of both.
+    ``keep`` adds the characters of the match.
     """
     whole = F.lit(rf"(?s)(.*?)({pattern}|\z)")  # the end matches too, else each place of the tail is searched again
     gaps, hits, counted = (F.regexp_extract_all(text, whole, F.lit(i)) for i in (1, 2, group))
     rows = F.zip_with(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h"))), counted, lambda x, c: F.struct(x["g"].alias("g"), x["h"].alias("h"), F.length(c).alias("n")))
-    kind = "array<struct<start:int,end:int,hit:string>>"
-    empty = F.array().cast(kind)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["g"]
-        end = begin + F.length(x["h"])
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["h"].alias("hit")))
-        return F.struct(end.alias("at"), F.when(x["n"] >= least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+    def entry(x: Column, i: Column) -> Column:
+        hit = x["h"] if keep else F.lit(None).cast("string")
+        return F.struct(F.lit(kind).alias("kind"), i.alias("at"), x["g"].alias("g"), F.length(x["h"]).alias("l"), x["n"].alias("n"), hit.alias("hit"))
 
-    found = F.aggregate(rows, start, add, lambda acc: acc["found"])
-    return F.when(text.rlike(probe), found).otherwise(empty)
+    return F.when(text.rlike(probe), F.transform(rows, entry)).otherwise(F.array().cast("array<struct<kind:int,at:int,g:int,l:int,n:int,hit:string>>"))
 
 
 def _upper_tail(z: str) -> str:
@@ -127,59 +129,109 @@ def battery(tokens: DataFrame) -> DataFrame:
             "p_serial": f"2 * {_upper_tail('z_serial')}",
             "p_text": f"CASE WHEN z_text >= 0 THEN {_upper_tail('z_text')} ELSE 1 - {_upper_tail('z_text')} END",
         },
+        {"cauchy": " + ".join(f"tan((0.5 - greatest(1e-12D, least(0.99D, {p}))) * pi())" for p in ("p_chi", "p_runs", "p_serial"))},
+        {"p_random": "0.5 - atan((cauchy) / 3) / pi()"},
         {
-            "passes": f"least(p_chi, p_runs, p_serial) * 3 >= {ALPHA}D",
             "length_class": "CAST(least(32, floor(n / 8)) AS INT)",
-            "bin": "CAST(greatest(0, least(300, floor(-10 * log10(greatest(p_text, 1e-40D))))) AS INT)",
+            "calm_bin": "CAST(floor(p_random * 1000) AS INT)",
+            "text_bin": "CAST(greatest(0, least(300, floor(-10 * log10(greatest(p_text, 1e-40D))))) AS INT)",
         },
     ]
     out = tokens
     for step in steps:
         out = out.withColumns({k: F.expr(v) for k, v in step.items()})
-    return out.select(*tokens.columns, "encoding", "p_chi", "p_runs", "p_serial", "p_text", "passes", "length_class", "bin")
+    return out.select(*tokens.columns, "encoding", "p_chi", "p_runs", "p_serial", "p_random", "p_text", "length_class", "calm_bin", "text_bin")
 
 
-def thresholds(tested: DataFrame, rate: float = RATE) -> dict[tuple[str, int], int]:
-    """For each class of encoding and length, the least bin whose candidates are discoveries."""
-    counts: dict[tuple[str, int], dict[int, int]] = {}
-    for r in tested.groupBy("encoding", "length_class", "bin").agg(F.count("*").alias("n")).collect():  # a bounded number of bins
-        counts.setdefault((r["encoding"], r["length_class"]), {})[r["bin"]] = r["n"]
+def _binned(tested: DataFrame, column: str) -> dict[str, dict[int, dict[int, int]]]:
+    """Counts by encoding, length class and bin: a bounded number."""
+    out: dict[str, dict[int, dict[int, int]]] = {}
+    for r in tested.groupBy("encoding", "length_class", column).agg(F.count("*").alias("n")).collect():
+        out.setdefault(r["encoding"], {}).setdefault(r["length_class"], {})[r[column]] = r["n"]
+    return out
+
+
+def against_text(tested: DataFrame, rate: float = RATE) -> dict[tuple[str, int], int]:
+    """For each class of encoding and length, the least ``text_bin`` whose candidates are discoveries (Benjamini-Hochberg)."""
+    out = {}
+    for encoding, classes in _binned(tested, "text_bin").items():
+        for length, bins in classes.items():
+            m, so_far = sum(bins.values()), 0
+            for b in sorted(bins, reverse=True):
+                so_far += bins[b]
+                if 10 ** (-b / 10) <= rate * so_far / m:  # the bin's largest p value
+                    out[encoding, length] = b
+    return out
+
+
+def random_enough(tested: DataFrame, rate: float = RATE, calm: float = CALM, few: int = FEW) -> dict[tuple[str, int], int]:
+    """For each class of encoding and length, the least ``calm_bin`` above which at most ``rate`` isn't random (Storey)."""
     out = {}
-    for key, bins in counts.items():
-        m, so_far = sum(bins.values()), 0
-        for b in sorted(bins, reverse=True):
-            so_far += bins[b]
-            if 10 ** (-b / 10) <= rate * so_far / m:  # the bin's largest p value
-                out[key] = b
+    for encoding, classes in _binned(tested, "calm_bin").items():
+        groups: list[list[int]] = [[]]
+        for length in sorted(classes):  # few candidates are judged with the next longer ones, or at the end with the ones before
+            groups[-1].append(length)
+            if sum(sum(classes[x].values()) for x in groups[-1]) >= few:
+                groups.append([])
+        if len(groups) > 1:
+            last = groups.pop()
+            groups[-1] += last
+        for group in groups:
+            bins: dict[int, int] = {}
+            for length in group:
+                for b, n in classes[length].items():
+                    bins[b] = bins.get(b, 0) + n
+            m = sum(bins.values())
+            if not m:
+                continue
+            random = min(1.0, sum(n for b, n in bins.items() if b >= 1000 * calm) / ((1 - calm) * m)) * m
+            above = m - bins.get(0, 0)
+            for b in range(1, 1000):  # p values below 0.001 are never random enough
+                if above <= 0:
+                    break
+                if above - random * (1 - b / 1000) <= rate * above:
+                    out |= {(encoding, length): b for length in group}
+                    break
+                above -= bins.get(b, 0)
     return out
 
 
+_PROBES = {"assign": "(?i:password|passwd|secret|token|api_?key)", "access": "AKIA", "hex": "[0-9a-f]{32}"}
+
+
 def scan(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: float = RATE) -> DataFrame:
     """One row per row of ``docs``: doc_id and ``spans``, an array of (start, end, kind).
 
     Each row's spans are in order of start, then of kind.
     """
     t = text_or_empty(text)
-    base = [spans_of(t, pattern, group, least, {"assign": "(?i:password|passwd|secret|token|api_?key)", "access": "AKIA", "hex": "[0-9a-f]{32}"}[kind]) for kind, (pattern, group, least) in BASE.items()]
     order = [*BASE, "random"]
-
-    def label(spans: Column, kind: int) -> Column:
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-
-    labelled = [label(a, i) for i, a in enumerate(base)]
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.concat(*labelled).alias("base"), spans_of(t, RANDOM, 2, 20, "[0-9]").alias("candidates"))
-    free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = staged(spark, found.withColumn("candidates", free), "secret-rows")
-
-    tokens = rows.select("row", F.explode("candidates").alias("c")).select("row", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.hit").alias("hit"))
-    tested = staged(spark, battery(tokens).select("row", "start", "end", "encoding", "length_class", "bin", "passes"), "secret-tests")
-    least = thresholds(tested, rate)
+    added = len(BASE)
+    nothing = "CAST(NULL AS INT)"
+    itself = F.expr(f"array(struct(-1 AS kind, 0 AS at, {nothing} AS g, {nothing} AS l, {nothing} AS n, CAST(NULL AS STRING) AS hit))")  # so that each row of docs stays
+    found = [matches_of(t, i, pattern, group, _PROBES[kind], False) for i, (kind, (pattern, group, _)) in enumerate(BASE.items())]
+    entries = F.concat(itself, *found, matches_of(t, added, RANDOM, 2, "[0-9]", True))
+    numbered = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), entries.alias("m"))  # a row's number is given before it is exploded
+    exploded = numbered.select("doc_id", "row", F.explode("m").alias("m")).select("doc_id", "row", "m.*")
+
+    running = W.partitionBy("row", "kind").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    least = F.element_at(F.array(*[F.lit(n) for *_, n in BASE.values()], F.lit(20)), F.col("kind") + 1)
+    placed = exploded.repartition("row").withColumn("end", F.sum(F.col("g") + F.col("l")).over(running).cast("int")).withColumn("start", F.col("end") - F.col("l"))
+    spans = placed.filter((F.col("kind") < 0) | (F.col("l") > 0) & (F.col("n") >= F.when(F.col("kind") >= 0, least)))
+    # a candidate is free where no base span that begins before its end reaches beyond its start
+    candidate = F.col("kind") == added
+    before = W.partitionBy("row").orderBy(F.when(candidate, F.col("end")).otherwise(F.col("start")), F.when(candidate, 0).otherwise(1)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    reach = F.max(F.when(~candidate, F.col("end"))).over(before)
+    free = spans.withColumn("reach", reach).filter(~candidate | F.col("reach").isNull() | (F.col("reach") <= F.col("start")))
+    rows = staged(spark, free.select("doc_id", "row", "kind", "start", "end", "hit"), "secret-rows")
+
+    tested = staged(spark, battery(rows.filter(candidate)).drop("hit"), "secret-tests")
+    calm, unlike = random_enough(tested, rate), against_text(tested, rate)
     chosen = F.lit(False)
-    for (encoding, length), b in least.items():
-        chosen = chosen | ((F.col("encoding") == encoding) & (F.col("length_class") == length) & (F.col("bin") >= b))
-    added = tested.filter("passes").filter(chosen).groupBy("row").agg(F.collect_list(F.struct("start", "end", F.lit(len(order) - 1).alias("kind"))).alias("more"))
-    joined = rows.join(added, "row", "left")
-    both = F.concat("base", F.coalesce("more", F.array().cast("array<struct<start:int,end:int,kind:int>>")))
-    ordered = F.array_sort(F.transform(both, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    for key in calm.keys() & unlike.keys():
+        chosen = chosen | ((F.col("encoding") == key[0]) & (F.col("length_class") == key[1]) & (F.col("calm_bin") >= calm[key]) & (F.col("text_bin") >= unlike[key]))
+    columns = ["doc_id", "row", "kind", "start", "end"]
+    every = rows.filter(~candidate).select(*columns).unionByName(tested.filter(chosen).select(*columns))
+    by_row = every.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("kind") >= 0, F.struct("start", "kind", "end")))).alias("found"))
     names = F.array(*[F.lit(x) for x in order])
-    return joined.select("doc_id", F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("kind"))).alias("spans"))
+    return by_row.select("doc_id", F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("kind"))).alias("spans"))

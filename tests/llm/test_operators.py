@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from folioloom.llm import exact_dedup, langid, license_scan, mixing, mpegts, packing, secret_scan, sharding, simhash, toxicity
+from folioloom.llm import exact_dedup, langid, license_scan, mixing, mpegts, packing, queries, secret_scan, sharding, simhash, toxicity
 from folioloom.llm.common import drop_keys
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -101,6 +101,21 @@ def test_null_ids_lose(spark):
     assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in exact_dedup.exact_groups(spark, df).collect()} == {(None, 5, False), (5, 5, True), (None, None, True)}
 
 
+def test_ties_between_raw_texts(spark):
+    """Texts of one doc_id that differ in white space alone: the same one stays, however rows are dealt."""
+    rows = [(1, "a  b c"), (1, "a b\tc"), (1, "a b c"), (2, "a b c"), (None, "a\nb c")]
+    stays = set()
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        for parts in (1, 3):
+            df = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+            (kept,) = exact_dedup.drop_exact_duplicates(spark, df).collect()
+            assert kept["doc_id"] == 1
+            stays.add(kept["text"])
+            groups = exact_dedup.exact_groups(spark, df).collect()
+            assert sum(r["kept"] for r in groups) == 1 and {r["keep_id"] for r in groups} == {1}
+    assert len(stays) == 1
+
+
 def test_drop_keys_is_exact(spark):
     df = spark.range(1000).withColumn("_bucket", F.lit(1)).union(spark.createDataFrame([(None, 1)], "id long, _bucket int"))
     left = drop_keys(df, "id", spark.range(0, 1000, 3), bits_log2=16)
@@ -250,6 +265,68 @@ def test_shards(spark, docs, rows, empty):
     assert sharding.shard(spark, empty)[0].count() == 0
 
 
+def test_null_and_repeated_ids_are_spread(spark):
+    """Rows without doc_id, and rows that repeat doc_id and text, don't gather in a shard."""
+    rows = [(None, f"text {i}") for i in range(1500)] + [(None, "same")] * 1500 + [(7, "same too")] * 1500 + [(i, "x" * (i % 50)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    placed, _ = sharding.shard(spark, df, n_shards=8, n_slots=512)
+    got = placed.collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((d, len(t) + 16) for d, t in rows)
+    loads = Counter()
+    for r in got:
+        loads[r["shard"]] += r["size"]
+    assert max(loads.values()) - min(loads.values()) < 0.02 * sum(loads.values()) / 8
+    assert max(Counter(r["virtual_slot"] for r in got).values()) < 100
+
+
+def test_query_balances_bytes(spark):
+    """40 shards of all documents, within a tenth of a percent of the mean."""
+    loads, slots = Counter(), defaultdict(list)
+    for r in queries.op5_virtual_slots(spark, "/root/testdata/sf0.01").collect():
+        loads[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(loads) == list(range(40)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    mean = sum(loads.values()) / 40
+    assert max(abs(x - mean) for x in loads.values()) <= max(0.001 * mean, 200)
+
+
+def test_stored_map_is_edited(spark, tmp_path):
+    """Rebalancing after growth and with more shards: versions are kept, only slots of heavy shards move."""
+    path = f"file://{tmp_path}/map"
+    sharding.write_map(spark, path, 0, sharding.initial_map(128, 4))
+    r = random.Random(3)
+    rows = [(i, "x" * r.randrange(400)) for i in range(3000)]
+    shard = lambda rows, n: sharding.shard(spark, spark.createDataFrame(rows, "doc_id long, text string"), n, 128, map_path=path, tolerance=0.02)
+    shard(rows, 4)
+    _, first = sharding.latest_map(sharding.read_map(spark, path))
+    heavy = 0
+    grown = rows + [(10**6 + i, "y" * 300) for i in range(400)]
+    in_slot = {x["doc_id"]: first[x["virtual_slot"]] for x in sharding.shard(spark, spark.createDataFrame(grown, "doc_id long, text string"), 4, 128)[0].collect()}
+    grown = [x for x in grown if x[0] < 10**6 or in_slot[x[0]] == heavy]  # all that is new falls to one shard
+    placed, slot_map = shard(grown, 4)
+    version, second = sharding.latest_map(slot_map)
+    assert version == 2 and sorted(x["version"] for x in slot_map.select("version").distinct().collect()) == [0, 1, 2]
+    bytes_of = Counter()
+    for x in placed.collect():
+        bytes_of[x["virtual_slot"]] += x["size"]
+        assert second[x["virtual_slot"]] == x["shard"]
+    before = Counter()
+    for s, k in enumerate(first):
+        before[k] += bytes_of[s]
+    mean = sum(bytes_of.values()) / 4
+    moved = [s for s in range(128) if first[s] != second[s]]
+    assert moved and {first[s] for s in moved} == {heavy}
+    assert sum(bytes_of[s] for s in moved) <= max(before.values()) - mean + max(bytes_of.values())
+    shard(grown, 4)  # nothing to move: no version
+    assert sharding.latest_map(sharding.read_map(spark, path))[0] == 2
+    _, slot_map = shard(grown, 5)
+    version, third = sharding.latest_map(slot_map)
+    assert version == 3 and 4 in third
+    assert sum(a != b for a, b in zip(second, third, strict=True)) < 128 / 2
+    with pytest.raises(ValueError):
+        sharding.shard(spark, spark.createDataFrame(rows[:5], "doc_id long, text string"), 4, 64, map_path=path)
+
+
 def test_rebalance():
     r = random.Random(2)
     for weights in ([r.randrange(1000) for _ in range(512)], [0] * 512, [1] * 500 + [300] * 12):
@@ -300,6 +377,17 @@ def test_mix(spark, docs, rows, empty):
     assert mixing.copies(spark, empty).count() == 0 and mixing.mix(spark, empty).count() == 0
 
 
+def test_ties_of_size_and_id(spark):
+    """Texts of one source, size and doc_id: the same ones are emitted, however rows are dealt."""
+    rows = [(1, f"word{i} x", "a") for i in range(40)] + [(2, "y", "b")] * 3
+    want = None
+    for parts in (1, 2, 5):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        got = Counter(r["text"] for r in mixing.mix(spark, df).collect())
+        assert want is None or got == want
+        want = got
+
+
 def test_capped_targets(spark):
     sizes = {"a": 1, "b": 100, "c": 40, None: 7}
     df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
@@ -596,13 +684,57 @@ def test_random_strings_are_added_and_words_are_not(spark):
     assert not any(found[i] for i in range(len(tokens), len(tokens) + 40))
 
 
+def test_many_matches_in_one_text(spark):
+    """Hundred thousand matches of one text, with candidates that overlap some."""
+    import time
+
+    r = random.Random(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda n: "".join(r.choice(alphabet) for _ in range(n))
+    parts = [r.choice(["token=", "passwd: ", "", "AKIA" + "Q" * 14 + " "]) + draw(r.choice([8, 24, 33])) for _ in range(100_000)]
+    text = " ".join(parts)
+    began = time.time()
+    (got,) = secret_scan.scan(spark, spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert time.time() - began < 60
+    spans = [(s["start"], s["end"], s["kind"]) for s in got["spans"]]
+    base = base_spans(text)
+    assert [s for s in spans if s[2] != "random"] == base and len(base) > 50_000
+    added = [s for s in spans if s[2] == "random"]
+    held = bytearray(len(text))
+    for a, b, _ in base:
+        held[a:b] = b"x" * (b - a)
+    assert len(added) > 1000 and not any(any(held[a:b]) for a, b, _ in added)
+
+
+def test_false_discoveries(spark):
+    """Random strings amid many text-like ones, by plain loops: few of the added are text, few random ones are lost."""
+    r = random.Random(12)
+    syllables = ["the", "ing", "ion", "ent", "and", "for", "ter", "pro", "con", "2024", "v2", "id7"]
+    alphabet = "abcdefghijklmnopqrstuvwxyz0123456789"
+    rows = []
+    for i in range(3000):
+        if i % 4:
+            body = ""
+            while len(body) < r.choice([24, 40, 64]):
+                body += r.choice(syllables)
+            rows.append((i, f"see {body}7 here", False))
+        else:
+            rows.append((i, "see " + "".join(r.choice(alphabet) for _ in range(r.choice([24, 40, 64]))) + " here", True))
+    truth = {i: y for i, _, y in rows}
+    got = secret_scan.scan(spark, spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")).collect()
+    found = {x["doc_id"] for x in got if any(s["kind"] == "random" for s in x["spans"])}
+    assert sum(not truth[i] for i in found) <= 0.08 * len(found)
+    long_ = {i for i, t, y in rows if y and len(t) >= 45}  # 24 characters don't say much
+    assert len(found & long_) >= 0.93 * len(long_) and sum(truth[i] for i in found) >= 0.75 * sum(truth.values())
+
+
 def test_battery_numbers(spark):
     import math
 
     df = spark.createDataFrame([("0123456789abcdef" * 2,), ("q9Zk2LmXw7Rt4Vb8Nc1Ps",)], "hit string")
     a, b = secret_scan.battery(df).orderBy("hit").collect()
     assert a["encoding"] == "hex" and b["encoding"] == "base62"
-    assert a["p_serial"] < 0.05 and not a["passes"]  # it counts up
+    assert a["p_serial"] < 0.05  # it counts up
     k, n, s = 62, 21, sum(v * v for v in Counter(b["hit"]).values())
     z = (((k / n * s - n) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
     assert b["p_chi"] == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), abs=1e-6)
@@ -716,16 +848,64 @@ def test_toxicity(spark):
     assert toxicity.score(spark, docs.limit(0), lab, fold != 0).count() == 0
 
 
+def test_repeated_and_conflicting_labels(spark):
+    """A repeated label counts once, a doc_id with both labels has none, a repeated doc_id gives one text."""
+    rows, labels = toxic_corpus(400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = "doc_id long, toxic int"
+    usable = F.lit(True)
+    clean = [i for i, y in labels if not y][:40]
+    plain = {r["doc_id"]: r["score"] for r in toxicity.score(spark, docs, spark.createDataFrame(labels, lab), usable).collect()}
+    repeated = toxicity.score(spark, docs, spark.createDataFrame(labels + [x for x in labels if x[0] % 3 == 0], lab), usable)
+    assert {r["doc_id"]: r["score"] for r in repeated.collect()} == plain
+    without = toxicity.score(spark, docs.filter(~F.col("doc_id").isin(clean)), spark.createDataFrame([x for x in labels if x[0] not in clean], lab), usable, max_unlabelled=0)
+    conflicting = toxicity.score(spark, docs, spark.createDataFrame(labels + [(i, 1) for i in clean], lab), usable, max_unlabelled=0)
+    a, b = ({r["doc_id"]: r["score"] for r in x.collect()} for x in (without, conflicting))
+    assert max(abs(a[i] - b[i]) for i in a) < 0.05
+    twice = docs.union(spark.createDataFrame([(rows[0][0], f"other text {i}") for i in range(50)], "doc_id long, text string"))
+    sampled, _ = toxicity.samples(spark, twice, spark.createDataFrame(labels, lab), usable, 3000, 5000, 4000)
+    assert sampled.filter("toxic is not null").count() == len(rows)
+
+
+def test_patterns():
+    got = toxicity.counted("You are an idiot, you IDIOT! 1d10t i.d.i.o.t idioooot f**k WHAT?! plain words i_am")
+    assert got["you>idiot"] == 2 and got["~idiot"] == 3 and got["#masked"] == 1 and got["#shout"] == 2 and got["#bang"] == 1
+    assert not [k for k in toxicity.counted("A plain sentence, with 12 words or v2 of it. Good!") if k[0] in "~#" or ">" in k]
+    assert "idiot" in toxicity._pieces("~idiot") and toxicity._pieces("#bang") == ["#bang"]
+
+
 def test_label_model(spark):
-    """Rates of independent voters are found again from their votes alone."""
+    """Rates of voters are found again from votes and a few noisy labels; correlated voters share weight; voters overrule labels."""
     import numpy as np
 
     r = np.random.default_rng(1)
     n, p1, p0 = 20000, np.array([0.7, 0.6, 0.5, 0.6]), np.array([0.02, 0.05, 0.01, 0.03])
-    y = r.random(n) < 0.2
-    fires = r.random((n, 4)) < np.where(y[:, None], p1, p0)
-    counts = Counter((fires @ (1 << np.arange(4))).tolist())
+    true = r.random(n) < 0.2
+    fires = r.random((n, 4)) < np.where(true[:, None], p1, p0)
+    fires = np.hstack([fires, fires[:, :1] & (r.random((n, 1)) < 0.98)]).astype(float)  # the last is nearly the first
+    counts = Counter((fires.astype(int) @ (1 << np.arange(5))).tolist())
     masks = spark.createDataFrame([(int(k), c) for k, c in counts.items()], "mask long, n long")
-    bias, weights, correlation = toxicity.label_model(masks, 0.2, np.clip(p1 + 0.1, 0, 0.9), p0 + 0.02, 10.0, rounds=12)
-    q = 1 / (1 + np.exp(-(fires @ weights + bias)))
-    assert ((q > 0.5) == y).mean() > 0.93 and np.abs(correlation).max() < 0.35
+    sample = np.arange(600)
+    y = true[sample].astype(float)
+    wrong = r.random(600) < 0.1
+    y[wrong] = 1 - y[wrong]
+    mine = fires[sample]
+    rate1, rate0 = (np.clip((w @ mine + 0.5) / (w.sum() + 1), 1e-5, 0.99) for w in (y, 1 - y))
+    model = toxicity.LabelModel(0.2, rate1, rate0).fit(masks, mine, y, np.ones(600), rounds=12)
+    assert np.abs(model.p1[:4] - p1).max() < 0.12 and np.abs(model.p0[:4] - p0).max() < 0.05
+    assert max(c[0, 4] for c in model.correlation) > 0.9 and model.discount[0] < 0.7 < model.discount[1]
+    assert ((model.posterior(fires) > 0.5) == true).mean() > 0.93
+    assert 0.7 < model.gold[0] < 0.97 and 0.03 < model.gold[1] < 0.2
+    mended = (model.posterior(mine, y) > 0.5) == true[sample]
+    assert mended[wrong].mean() > 0.4 and mended.mean() > (y == true[sample]).mean()
+
+
+def test_held_out_documents(spark):
+    """The driver's tables: rows whose labels were never learned from."""
+    sf_dir = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    got = [(r["score"], truth[r["doc_id"]]) for r in queries.op1_toxicity(spark, sf_dir).collect() if r["held_out"] and r["doc_id"] in truth]
+    bad, good = [s for s, y in got if y], [s for s, y in got if not y]
+    auc = sum((a > b) + (a == b) / 2 for a in bad for b in good) / (len(bad) * len(good))
+    assert len(bad) >= 50 and auc > 0.95
+    assert sum(s >= 0.5 for s in good) <= 0.02 * len(good) and sum(s >= 0.5 for s in bad) >= 0.8 * len(bad)
