@@ -13,8 +13,8 @@ the same positions: that is the guaranteed minimum of the count filter.
 * Equal fingerprints are one node, pre-aggregated, so that copies cost nothing here.
 * Postings: two nodes that share six of eight positions share ``k`` of any ``k + 2``.
   So the inverted index holds, for the first ``k + 2`` positions, every choice of
-  ``k`` of them with its bytes; ``k`` is the least number of bytes with at least as many
-  values as there are nodes, so that random nodes rarely meet. Nodes that meet in a
+  ``k`` of them with its bytes; ``k`` is the least number of bytes, from ``LEAST_BYTES``
+  on, with at least as many values as there are nodes, so that random nodes rarely meet. Nodes that meet in a
   posting of up to ``SHORT`` nodes are tallied over all eight positions; pairs with six
   or more shared bytes are verified bit by bit.
 * Longer postings are split by further bytes, without loss: their nodes go into lists
@@ -50,6 +50,7 @@ from folioloom.session import release, staged
 WIDTH = 3
 MAX_BITS = 2
 SHORT = 64
+LEAST_BYTES = 3
 SEED = 42
 
 #: Hashes that are tallied at a time, so that a long text takes no more memory.
@@ -154,7 +155,7 @@ def links(spark: SparkSession, nodes: DataFrame, short: int = SHORT, level: int
     """
     if level is None:
         n = nodes.count()
-        level = next((k for k in range(1, _SHARED) if 256**k >= n), _SHARED)
+        level = next((k for k in range(LEAST_BYTES, _SHARED) if 256**k >= n), _SHARED)
     chosen = list(itertools.combinations(range(level + MAX_BITS), level))
     entries = F.array(*[F.struct(F.lit(i).cast("byte").alias("k"), F.col("fp").bitwiseAND(F.lit(_mask(c))).alias("bytes")) for i, c in enumerate(chosen)])
     postings = nodes.select("fp", F.explode(entries).alias("e")).select("fp", "e.k", "e.bytes")
