@@ -136,17 +136,22 @@ CITATION_SIGNS = (
 )
 
 
+#: Any of the signs, in one scan; flags of a sign hold for it alone.
+_ANY_SIGN = "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in CITATION_SIGNS)
+
+
 def footnote_type(c: Column) -> Column:
-    """``explanatory`` without a sign of citation; ``citation`` if at most 8 words remain without them; else ``mixed``."""
+    """``explanatory`` without a sign of citation; ``citation`` if at most 8 words remain without them; else ``mixed``.
+
+    One scan finds whether there is a sign; only texts with one are taken apart.
+    """
     body = F.regexp_replace(strip(c), r"^\d{1,3}[\s.)]+", "")
     rest = body
-    cited = F.lit(False)
     for p in CITATION_SIGNS:
-        cited = cited | body.rlike(p)
         rest = F.regexp_replace(rest, p, "")
     rest = F.trim(F.regexp_replace(rest, r"[\s.,;:()\[\]'\"-]+", " "))
     left = F.when(F.length(rest) > 0, F.size(F.split(rest, " "))).otherwise(0)
-    return F.when(~cited, "explanatory").when(left <= 8, "citation").otherwise("mixed")
+    return F.when(~body.rlike(_ANY_SIGN), "explanatory").when(left <= 8, "citation").otherwise("mixed")
 
 
 #: Footnote references in running text: name, pattern, group of the number (fixed values).
@@ -159,17 +164,32 @@ REF_PATTERNS = (
 )
 
 
-def find_refs(c: Column) -> Column:
-    """Array of (pattern_no, match_no, match_type, number) of all patterns' matches, in that order."""
+def find_refs(c: Column, around: int = 20) -> Column:
+    """Array of (pattern_no, match_no, match_type, number, snippet) of all patterns' matches, in that order.
+
+    The snippet is the match with up to ``around`` characters on both sides. Matches don't
+    overlap: a second pass takes each with the text since the one before, so that its place
+    is a sum of lengths.
+    """
     parts = []
     for no, (name, pattern, group) in enumerate(REF_PATTERNS):
         numbers = F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
-        parts.append(_labelled(numbers, no, name))
+        whole = F.regexp_extract_all(c, F.lit(rf"(?s)(.*?)(?:{pattern})"), F.lit(0))
+        hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+        parts.append(F.when(F.size(numbers) > 0, _labelled(c, numbers, whole, hits, no, name, around)).otherwise(F.array().cast("array<struct<pattern_no:int,match_no:int,match_type:string,number:int,snippet:string>>")))
     return F.concat(*parts)
 
 
-def _labelled(numbers: Column, no: int, name: str) -> Column:
-    return F.transform(numbers, lambda x, i: F.struct(F.lit(no).alias("pattern_no"), i.alias("match_no"), F.lit(name).alias("match_type"), x.cast("int").alias("number")))
+def _labelled(text: Column, numbers: Column, whole: Column, hits: Column, no: int, name: str, around: int) -> Column:
+    ends = F.transform(whole, lambda x, i: F.aggregate(F.slice(whole, F.lit(1), i + 1), F.lit(0), lambda a, y: a + F.length(y)))
+    placed = F.arrays_zip(numbers.alias("number"), ends.alias("end"), F.transform(hits, lambda h: F.length(h)).alias("size"))
+
+    def one(x: Column, i: Column) -> Column:
+        begin = x["end"] - x["size"]
+        snippet = F.substring(text, F.greatest(begin - around, F.lit(0)) + 1, x["end"] + around - F.greatest(begin - around, F.lit(0)))
+        return F.struct(F.lit(no).alias("pattern_no"), i.alias("match_no"), F.lit(name).alias("match_type"), x["number"].cast("int").alias("number"), snippet.alias("snippet"))
+
+    return F.transform(placed, one)
 
 
 def ref_markup(text: Column, refs: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,22 +10,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def length_of(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine; null where a vector has no length."""
-    n = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    n = length_of(a) * length_of(b)
     return F.when(n > 0, F.lit(1.0) - dot(a, b) / n)
-
-
-def distance_to(query: list[float]):
-    """A vectorised distance of array columns to one query vector, for wide vectors."""
-    q = np.asarray(query, np.float64)
-    length = float(np.sqrt(q @ q))
-
-    @F.pandas_udf("double")
-    def distance(s: pd.Series) -> pd.Series:
-        m = np.stack(s.to_numpy()).astype(np.float64)
-        n = np.sqrt((m * m).sum(axis=1)) * length
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return pd.Series(np.where(n > 0, 1.0 - m @ q / n, np.nan))
-
-    return distance

@@ -176,8 +176,14 @@ def opening_text(blocks: DataFrame, at_least: int = 50, until: int = 3000, cut:
     return taken.groupBy("doc_id").agg(F.substring(joined, 1, cut).alias("opening"))
 
 
-def page_counts(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy("doc_id", "page_num_1").agg(F.sum(F.length("text")).cast("long").alias("text_char_count"), F.count("*").alias("blocks"))
+def page_counts(blocks: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """Per page: characters, blocks and, with ``images`` (doc_id, page_num_1), images; pages of either have a row."""
+    key = ["doc_id", "page_num_1"]
+    counted = blocks.groupBy(*key).agg(F.sum(F.length("text")).cast("long").alias("text_char_count"), F.count("*").alias("blocks"))
+    if images is None:
+        return counted
+    j = counted.join(images.groupBy(*key).agg(F.count("*").alias("image_count")), key, "full_outer")
+    return j.select(*key, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("text_char_count", "blocks", "image_count")])
 
 
 def upper_median(values: Column) -> Column:
@@ -239,17 +245,23 @@ def link_refs(blocks: DataFrame, notes: DataFrame) -> DataFrame:
     """References in body blocks to footnotes: the same page's first, else the document's (``_xpage``).
 
     The last of several footnotes with a number wins. One row per block and number, the
-    first by pattern and place.
+    first by pattern and place, with up to 20 characters of text on both sides.
     """
     body = blocks.filter(~F.col("block_type").isin("footnote", "header", "footer"))
-    found = body.select("doc_id", "page_num_1", F.col("block_id").alias("parent_block_id"), F.explode(tx.find_refs(F.col("text"))).alias("r")).select("doc_id", "page_num_1", "parent_block_id", F.col("r.number").alias("footnote_number"), F.col("r.match_type").alias("match_type"), F.col("r.pattern_no").alias("_p"), F.col("r.match_no").alias("_m"))
+    found = body.select("doc_id", "page_num_1", F.col("block_id").alias("parent_block_id"), F.explode(tx.find_refs(F.col("text"))).alias("r")).select("doc_id", "page_num_1", "parent_block_id", F.col("r.number").alias("footnote_number"), F.col("r.match_type").alias("match_type"), F.col("r.pattern_no").alias("_p"), F.col("r.match_no").alias("_m"), F.col("r.snippet").alias("context_snippet"))
     key = F.struct("page_num_1", "reading_order", "footnote_id")
     here = notes.groupBy("doc_id", "page_num_1", "footnote_number").agg(F.max_by("footnote_id", key).alias("_here"))
     anywhere = notes.groupBy("doc_id", "footnote_number").agg(F.max_by("footnote_id", key).alias("_any"))
     joined = found.join(here, ["doc_id", "page_num_1", "footnote_number"], "left").join(anywhere, ["doc_id", "footnote_number"], "inner")
     typed = joined.withColumns({"footnote_id": F.coalesce("_here", "_any"), "match_type": F.when(F.col("_here").isNull(), F.concat("match_type", F.lit("_xpage"))).otherwise(F.col("match_type"))})
     first = W.partitionBy("doc_id", "parent_block_id", "footnote_number").orderBy("_p", "_m")
-    return typed.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("doc_id", "page_num_1", "parent_block_id", "footnote_number", "footnote_id", "match_type")
+    return typed.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("doc_id", "page_num_1", "parent_block_id", "footnote_number", "footnote_id", "match_type", "context_snippet")
+
+
+def block_refs(blocks: DataFrame, refs: DataFrame) -> DataFrame:
+    """``blocks`` with ``footnote_refs``: the distinct ids of the footnotes that a block refers to, sorted."""
+    by = refs.filter("footnote_id IS NOT NULL").groupBy("doc_id", F.col("parent_block_id").alias("block_id")).agg(F.array_sort(F.collect_set("footnote_id")).alias("_ids"))
+    return blocks.drop("footnote_refs").join(by, ["doc_id", "block_id"], "left").withColumn("footnote_refs", F.coalesce("_ids", F.array().cast("array<string>"))).drop("_ids")
 
 
 def mark_refs(blocks: DataFrame, refs: DataFrame) -> DataFrame:

@@ -14,19 +14,20 @@ MAX_TOKENS = 512
 OVERLAP_TOKENS = 64
 
 
-def pack_groups(tokens: Column, max_tokens: int, heading: Column | None = None) -> Column:
-    """Group numbers of an array of token counts, packed greedily up to ``max_tokens``.
+def group_starts(tokens: Column, max_tokens: int, heading: Column | None = None) -> Column:
+    """Where groups of an array of token counts begin (from 0), packed greedily up to ``max_tokens``.
 
-    With a heading held, a first block that is too long leaves it alone in group 0.
+    With a heading held, a first block that is too long leaves it alone in group 0, which is
+    then empty: it begins at 0, as group 1 does. Only the beginnings are gathered, so that a
+    section's length doesn't count squared.
     """
     held = F.coalesce(heading, F.lit(False)) if heading is not None else F.lit(False)
-    start = F.struct(F.lit(0).alias("g"), F.lit(0).cast("long").alias("used"), held.alias("held"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("used"), held.alias("held"), F.array(F.lit(0)).alias("out"))
 
     def step(acc: Column, t: Column) -> Column:
         over = acc["held"] & (acc["used"] + t > max_tokens)
-        g = F.when(over, acc["g"] + 1).otherwise(acc["g"])
         used = F.when(over, t.cast("long")).otherwise(acc["used"] + t).cast("long")
-        return F.struct(g.alias("g"), used.alias("used"), F.lit(True).alias("held"), F.concat(acc["out"], F.array(g)).alias("out"))
+        return F.struct((acc["i"] + 1).alias("i"), used.alias("used"), F.lit(True).alias("held"), F.when(over, F.concat(acc["out"], F.array(acc["i"]))).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(tokens, start, step, lambda acc: acc["out"])
 
@@ -40,13 +41,13 @@ def raw_chunks(blocks: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     row = F.struct("pos", "text", "block_ids", "start_page", "end_page", "footnote_refs", tx.estimate_tokens(F.col("text")).alias("tokens"))
     heading = F.col("block_type") == "heading"
     sections = body.groupBy("doc_id", "section").agg(F.max(F.when(heading, row)).alias("heading"), F.array_sort(F.collect_list(F.when(~heading, row))).alias("rows"))
-    tokens = F.transform("rows", lambda r: r["tokens"])
-    grouped = sections.withColumn("groups", pack_groups(tokens, max_tokens, F.col("heading").isNotNull()))
-    last = F.coalesce(F.array_max("groups"), F.lit(0))
-    parts = grouped.withColumn("part", F.explode(F.sequence(F.lit(0), last)))
-    mine = F.filter("rows", lambda r, i: F.element_at(F.col("groups"), i + 1) == F.col("part"))
-    before = F.filter("rows", lambda r, i: F.element_at(F.col("groups"), i + 1) == F.col("part") - 1)
-    return parts.select("doc_id", "section", "part", "heading", mine.alias("rows"), before.alias("before"))
+    starts = group_starts(F.transform("rows", lambda r: r["tokens"]), max_tokens, F.col("heading").isNotNull())
+    bounded = sections.withColumn("at", F.concat(starts, F.array(F.size("rows"))))
+    # each part takes its own slice along, and the one before for the overlap, never the section's rows
+    cut = lambda k: F.slice("rows", F.get("at", k) + 1, F.get("at", k + 1) - F.get("at", k))
+    none = F.slice("rows", 1, 0)
+    parts = F.transform(F.sequence(F.lit(0), F.size("at") - 2), lambda k: F.struct(k.alias("part"), cut(k).alias("rows"), F.when(k > 0, cut(k - 1)).otherwise(none).alias("before")))
+    return bounded.select("doc_id", "section", "heading", F.explode(parts).alias("p")).select("doc_id", "section", "p.part", "heading", "p.rows", "p.before")
 
 
 def overlap_tail(rows: Column, limit: int = OVERLAP_TOKENS) -> Column:

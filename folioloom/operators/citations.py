@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from folioloom.functions import text as tx
 
+#: Citation markers (fixed value).
 MARKER = r"\[(\d+(?:\s*,\s*\d+)*)\]"
 
 
@@ -63,6 +64,7 @@ def renumber(text: pd.Series, mapping: pd.Series) -> pd.Series:
     return pd.Series([one(t, p) for t, p in zip(text, mapping, strict=True)])
 
 
+#: How a sources section begins (fixed value).
 _SOURCES = r"(?i)\n+(?:---\n)?\*{0,2}(?:Sources?|References|Bibliography):?\*{0,2}:?\s*\n"
 
 
@@ -120,10 +122,15 @@ def context_header(position: Column) -> Column:
     return F.concat(lead, middle, F.lit(", "), pages, head)
 
 
+#: Chunks that one answer's context has at most.
+MOST_CHUNKS = 1000
+
+
 def context_blocks(chunks: DataFrame, figures: DataFrame | None = None, start: int = 1) -> DataFrame:
     """position and block of each retrieved chunk, best first, with the figures of its pages."""
-    w = W.orderBy(F.desc("score"), "chunk_id")  # the chunks of one answer, a bounded few
-    numbered = chunks.withColumn("position", F.row_number().over(w) + start - 1)
+    best = chunks.orderBy(F.desc("score"), "chunk_id").limit(MOST_CHUNKS)
+    w = W.orderBy(F.desc("score"), "chunk_id")  # at most MOST_CHUNKS rows
+    numbered = best.withColumn("position", F.row_number().over(w) + start - 1)
     text = F.concat(context_header(F.col("position")), F.lit("\n"), F.col("text"))
     if figures is None:
         return numbered.select("position", "chunk_id", text.alias("block"))

@@ -34,6 +34,23 @@ def eligible_images(images: DataFrame, pages: DataFrame, background: float = 0.9
     return j.filter(~F.coalesce(cover, F.lit(False)) & ~tiny & ~long_).drop("_w", "_h", "_s")
 
 
+def scans_to_render(images: DataFrame, pages: DataFrame, blocks: DataFrame, described: DataFrame, background: float = 0.90, textless: float = 0.70, most_text: int = 100) -> DataFrame:
+    """Pages whose scan is itself a figure, each once: doc_id, page_num_1.
+
+    Those that a page reader has ``described`` (doc_id, page_num_1) as having a figure, that
+    have a background scan but no image that is smaller, no text spans, and less than
+    ``most_text`` characters of blocks (text_raw).
+    """
+    key = ["doc_id", "page_num_1"]
+    known = pages.select(*key, F.col("width").alias("_w"), F.col("height").alias("_h"), F.coalesce("spans", F.lit(0)).alias("_s"))
+    box = F.col("bbox")
+    cover = (box["x1"] - box["x0"]) * (box["y1"] - box["y0"]) >= F.when(F.col("_s") == 0, textless).otherwise(background) * F.col("_w") * F.col("_h")
+    per = images.join(known, key).filter(F.col("_w") * F.col("_h") > 0).groupBy(*key).agg(F.max(F.when(cover, 1).otherwise(0)).alias("scan"), F.max(F.when(cover, 0).otherwise(1)).alias("real"), F.max("_s").alias("spans"))
+    wordy = blocks.groupBy(*key).agg(F.sum(F.length("text_raw")).alias("_n")).filter(F.col("_n") >= most_text)
+    bare = per.filter("scan = 1 AND real = 0 AND spans = 0").select(*key)
+    return bare.join(described.select(*key).distinct(), key, "left_semi").join(wordy, key, "left_anti")
+
+
 def captions(figures: DataFrame, lines: DataFrame, reach: float = 50.0, most: int = 4) -> DataFrame:
     """Up to ``most`` text lines below each figure, above the next one, as its caption.
 
@@ -72,6 +89,7 @@ def group_lines(spans: Column, share: float = 0.5) -> Column:
     kind = "array<struct<y0:double,text:string>>"
     start = F.array().cast(kind)
 
+    # the spans of one page, a bounded few hundred
     def step(acc: Column, s: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         new = last.isNull() | (F.abs(s["y0"] - last["y0"]) >= share * (s["y1"] - s["y0"]))

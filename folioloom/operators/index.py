@@ -11,7 +11,6 @@ import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,9 +20,15 @@ STAGES = ("uploaded", "processing", "processed", "indexing", "done", "error")
 
 
 def upsert_documents(old: DataFrame, new: DataFrame, now: Column | None = None) -> DataFrame:
-    """New documents over old ones: nulls of ``KEPT_FIELDS`` and empty keywords keep the old value."""
+    """New documents over old ones: nulls of ``KEPT_FIELDS`` and empty keywords keep the old value.
+
+    The result has the columns of both; what only the old table has stays as it was, and is
+    null for documents that it hadn't.
+    """
+    stored = [c for c in old.columns if c not in ("doc_id", "indexed_at")]
     columns = [c for c in new.columns if c != "doc_id"]
-    o = old.select("doc_id", *[F.col(c).alias(f"_old_{c}") for c in columns if c in old.columns], F.lit(True).alias("_had"), *([F.col("indexed_at").alias("_old_at")] if "indexed_at" in old.columns else []))
+    columns += [c for c in stored if c not in columns]
+    o = old.select("doc_id", *[F.col(c).alias(f"_old_{c}") for c in columns if c in old.columns], *([F.col("indexed_at").alias("_old_at")] if "indexed_at" in old.columns else []))
     n = new.withColumn("_has", F.lit(True))
     j = o.join(n, "doc_id", "full_outer")
     fresh = F.coalesce("_has", F.lit(False))
@@ -32,6 +37,8 @@ def upsert_documents(old: DataFrame, new: DataFrame, now: Column | None = None)
         if c not in old.columns:
             return F.col(c)
         before = F.col(f"_old_{c}")
+        if c not in new.columns:
+            return before
         if c in KEPT_FIELDS:
             return F.coalesce(F.col(c), before)
         if c == "keywords":
@@ -89,6 +96,11 @@ def chunk_audit(old: DataFrame, new: DataFrame, version: int = 0) -> DataFrame:
     return out.filter("total_chunks > 0").withColumn("version", F.lit(version))
 
 
+def append_audit(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """The audit log with new rows; a run that is repeated replaces its row of a document and version."""
+    return log.join(rows.select("doc_id", "version"), ["doc_id", "version"], "left_anti").unionByName(rows.select(*log.columns))
+
+
 def block_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Per block id in either version: status and both texts; of a repeated id, the last row counts."""
 
@@ -193,10 +205,6 @@ def latest_version(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.join(top, [key, "version"], "left_semi")
 
 
-def next_version(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    return rows.groupBy(key).agg((F.max("version") + 1).alias("version"))
-
-
 def backfill(docs: DataFrame, records: DataFrame) -> DataFrame:
     """Documents with all metadata from the latest records, nulls included."""
     r = latest_version(records)
@@ -234,20 +242,41 @@ def skip_known_files(files: DataFrame, processed: DataFrame) -> DataFrame:
     return files.join(processed.select("sha256"), "sha256", "left_anti")
 
 
+def inventory(files: DataFrame, processed: DataFrame, force: bool = False) -> DataFrame:
+    """One document record a file (path, source_filename, sha256): the processed one where the hash is the same, else a new one.
+
+    ``reused`` says which; nothing is reused with ``force``. Both go on through the pipeline.
+    """
+    from folioloom.functions import ids
+
+    fresh = files.withColumn("doc_id", ids.doc_id(F.col("source_filename"), F.col("sha256")))
+    kept = processed.select("doc_id", "sha256", *[c for c in processed.columns if c not in files.columns and c not in ("doc_id", "sha256")], F.lit(True).alias("_had"))
+    if force:
+        kept = kept.limit(0)
+    return fresh.join(kept, ["doc_id", "sha256"], "left").withColumn("reused", F.coalesce("_had", F.lit(False))).drop("_had")
+
+
 def keyword_union(old: Column, new: Column, trim: bool = True) -> Column:
     """Old keywords and those of the new that aren't among them, in order."""
     n = F.transform(new, lambda x: F.trim(x)) if trim else new
     return F.array_distinct(F.concat(F.coalesce(old, F.array().cast("array<string>")), F.filter(F.coalesce(n, F.array().cast("array<string>")), lambda x: F.length(x) > 0)))
 
 
-def opening_versions(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Each document's versions, newest first."""
-    return rows.select(key, "version").distinct().orderBy(key, F.desc("version"))
+#: Orders of the editor's lists (fixed values): table, and what it is sorted by.
+ADMIN_ORDERS = {
+    "documents": (("indexed_at", True), ("doc_id", False)),
+    "pipeline_status": (("updated_at", True), ("filename", False)),
+    "versions": (("doc_id", False), ("version", True)),
+    "figures": (("page_num", False), ("figure_id", False)),
+    "chunks": (("chunk_index", False), ("chunk_id", False)),
+}
 
 
-def last_rows(rows: DataFrame, key: str, order: list[Column], n: int = 1) -> DataFrame:
-    w = W.partitionBy(key).orderBy(*order)
-    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+def admin_list(rows: DataFrame, table: str, limit: int | None = None) -> DataFrame:
+    """A table's rows as an editor lists them, newest or first in the document first; nulls last."""
+    order = [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in ADMIN_ORDERS[table]]
+    out = rows.orderBy(*order)
+    return out.limit(limit) if limit else out
 
 
 def migrate(docs: DataFrame, chunks: DataFrame, embed: Column) -> dict[str, DataFrame]:

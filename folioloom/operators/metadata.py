@@ -40,9 +40,10 @@ def cover_text(blocks: DataFrame, pages: int = 2) -> DataFrame:
 
 def title_candidates(blocks: DataFrame) -> DataFrame:
     """Each document's title by its first page: a heading, the first paragraph after a platform's name, or any."""
+    opening = blocks.groupBy("doc_id").agg(F.min("page_num_1").alias("page_num_1"))
     rows = F.array_sort(F.collect_list(F.struct("page_num_1", "reading_order", "block_type", "text")))
-    g = blocks.groupBy("doc_id").agg(rows.alias("_r"))
-    page = F.filter("_r", lambda x: x["page_num_1"] == F.col("_r")[0]["page_num_1"])
+    g = blocks.join(opening, ["doc_id", "page_num_1"], "left_semi").groupBy("doc_id").agg(rows.alias("_r"))  # one page's blocks
+    page = F.col("_r")
     name = lambda x: F.upper(F.trim(F.regexp_replace(F.trim(x["text"]), r"(?U)[^\w\s]", "")))
     plain = lambda x: F.trim(x["text"])
     headings = F.filter(page, lambda x: x["block_type"] == "heading")
@@ -59,14 +60,19 @@ def extract(docs: DataFrame, blocks: DataFrame, pdf: DataFrame | None = None) ->
     """Fills empty fields of documents by the cascade, in order, and appends provenance.
 
     ``docs``: doc_id, source_filename and the fields; ``pdf`` (optional): doc_id, pdf_title,
-    pdf_author, page_count.
+    pdf_author, page_count. The page offset is the range's last page less the page count;
+    where that gives none and a document has more than 10 pages, printed numbers vote.
     """
+    from folioloom.operators.blocks import page_offset_mode
+
     if pdf is None:
         pdf = docs.select("doc_id", F.lit(None).cast("string").alias("pdf_title"), F.lit(None).cast("string").alias("pdf_author"), F.lit(None).cast("int").alias("page_count"))
     for c, kind in {"title": "string", "author": "string", "publication": "string", "volume": "string", "issue": "string", "page_range_label": "string", "year": "int", "url": "string", "doi": "string", "page_offset": "int"}.items():
         if c not in docs.columns:
             docs = docs.withColumn(c, F.lit(None).cast(kind))
-    j = docs.join(cover_text(blocks), "doc_id", "left").join(title_candidates(blocks), "doc_id", "left").join(pdf, "doc_id", "left")
+    long_ = pdf.filter("page_count > 10").select("doc_id", "page_count")
+    voted = page_offset_mode(blocks.join(long_.select("doc_id"), "doc_id", "left_semi"), long_).select("doc_id", F.col("page_offset").alias("_voted"))
+    j = docs.join(cover_text(blocks), "doc_id", "left").join(title_candidates(blocks), "doc_id", "left").join(pdf, "doc_id", "left").join(voted, "doc_id", "left")
     cover = F.coalesce("cover", F.lit(""))
     bad = F.upper(F.trim(F.regexp_replace(F.trim("pdf_title"), r"(?U)[^\w\s]", ""))).isin(*BAD_TITLES)
     pdf_title = F.when(~bad & (F.length(F.trim("pdf_title")) > 0), F.trim("pdf_title"))
@@ -77,6 +83,7 @@ def extract(docs: DataFrame, blocks: DataFrame, pdf: DataFrame | None = None) ->
     named_year = _found(F.coalesce("source_filename", F.lit("")), r"\((\d{4})\)").cast("int")
     label = F.coalesce(_known("page_range_label"), src(5), F.replace(jou(4), F.lit(" "), F.lit("")))
     last = F.trim(F.element_at(F.split(label, "-"), -1)).try_cast("int")
+    by_range = F.when((F.col("page_count") > 0) & last.isNotNull(), last - F.col("page_count")).otherwise(F.coalesce("page_offset", F.lit(0)))
     url = F.coalesce(_found(F.regexp_extract(cover, r"(?i)Stable URL:\s*(.+)", 1), URL, 0), _found(cover, URL, 0))
     by_file = tx.filename_author(F.coalesce("source_filename", F.lit("")))
     cover_author = F.trim(_found(cover, r"(?i)Author\(?s?\)?:\s*(.+)"))
@@ -90,7 +97,7 @@ def extract(docs: DataFrame, blocks: DataFrame, pdf: DataFrame | None = None) ->
         "year": F.coalesce(named_year, F.when(F.col("year") != 0, F.col("year")), _found(src(4), YEAR).cast("int"), _found(line, YEAR).cast("int"), _found(cover, YEAR).cast("int")),
         "url": F.coalesce(_known("url"), tx.strip_link_tail(F.regexp_replace(url, r"\.+\z", ""))),
         "doi": F.coalesce(_known("doi"), tx.strip_link_tail(F.regexp_replace(_found(cover, DOI, 0), r"\.+\z", ""))),
-        "page_offset": F.when((F.col("page_count") > 0) & last.isNotNull(), last - F.col("page_count")).otherwise(F.coalesce("page_offset", F.lit(0))),
+        "page_offset": F.coalesce(F.when(by_range != 0, by_range), "_voted", by_range),
     }
     how = {
         "title": F.when(_known("title").isNotNull(), F.lit(None)).when(pdf_title.isNotNull(), "pdf_metadata"),
@@ -124,24 +131,43 @@ def merge_model_answer(docs: DataFrame, answers: DataFrame) -> DataFrame:
     return j.withColumns(out).drop("_a")
 
 
-#: Catalogues in the order in which they are believed.
-CATALOGUES = (("crossref", 1.0), ("openlibrary", 0.8), ("web", 0.5))
+#: Catalogues in the order in which they are believed, with what a match by identifier and by title is worth (fixed values).
+CATALOGUES = (("crossref", 1.0, 1.0), ("openlibrary", 0.8, 0.7), ("web", 0.5, 0.5))
 
 
 def merge_catalogues(docs: DataFrame, lookups: dict[str, DataFrame], fields: tuple[str, ...] = ("title", "author", "publication", "year", "abstract", "isbn", "issn", "doi", "url")) -> DataFrame:
-    """Fills empty fields from cached catalogue tables (doc_id and fields), most believed first; markup off abstracts."""
+    """Fills empty fields from cached catalogue tables (doc_id and fields), most believed first; markup off abstracts.
+
+    A table's ``matched_by`` (identifier or title) sets what its values are worth; without it
+    they came by identifier. With ``metadata_sources`` in ``docs``, each filled field adds its
+    provenance: field, source, confidence, raw_value.
+    """
     j = docs
-    for name, _ in CATALOGUES:
+    for name, *_ in CATALOGUES:
         if name in lookups:
             t = lookups[name]
-            j = j.join(t.select("doc_id", *[F.col(c).alias(f"_{name}_{c}") for c in fields if c in t.columns]), "doc_id", "left")
-    out = {}
+            by = F.col("matched_by") if "matched_by" in t.columns else F.lit("identifier")
+            j = j.join(t.select("doc_id", by.alias(f"_{name}_by"), *[F.col(c).alias(f"_{name}_{c}") for c in fields if c in t.columns]), "doc_id", "left")
+    out, told = {}, []
     for c in fields:
         if c not in docs.columns:
             continue
-        offered = [F.col(f"_{n}_{c}") for n, _ in CATALOGUES if n in lookups and c in lookups[n].columns]
-        if c == "abstract":
-            offered = [F.trim(F.regexp_replace(x, "<[^>]+>", "")) for x in offered]
-        own = _known(c) if dict(docs.dtypes)[c] == "string" else F.col(c)
-        out[c] = F.coalesce(own, *offered)
-    return j.withColumns(out).select(*docs.columns)
+        text = dict(docs.dtypes)[c] == "string"
+        own = _known(c) if text else F.col(c)
+        offered = []
+        for name, exact, loose in CATALOGUES:
+            if name in lookups and c in lookups[name].columns:
+                raw = F.col(f"_{name}_{c}")
+                value = F.trim(F.regexp_replace(raw, "<[^>]+>", "")) if c == "abstract" else raw
+                worth = F.when(F.col(f"_{name}_by") == "title", loose).otherwise(exact)
+                source = F.struct(F.lit(c).alias("field"), F.lit(name).alias("source"), worth.alias("confidence"), F.substring(raw.cast("string"), 1, 200).alias("raw_value"))
+                offered.append((F.when(F.length(value) > 0, value) if text else value, source))
+        out[c] = F.coalesce(own, *[x for x, _ in offered])
+        chain = F.when(own.isNotNull(), F.lit(None))
+        for x, source in offered:
+            chain = chain.when(x.isNotNull(), source)
+        told.append(chain)
+    filled = j.withColumns({f"_new_{c}": x for c, x in out.items()})
+    if "metadata_sources" in docs.columns and told:
+        filled = filled.withColumn("metadata_sources", F.concat(F.coalesce("metadata_sources", F.array().cast(dict(docs.dtypes)["metadata_sources"])), F.filter(F.array(*told), lambda x: x.isNotNull())))
+    return filled.select(*[F.col(f"_new_{c}").alias(c) if c in out else F.col(c) for c in docs.columns])

@@ -14,10 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioloom.functions.analyzer import query_terms, terms
-from folioloom.functions.vectors import cosine_distance
+from folioloom.functions.vectors import dot, length_of
 
 RRF = 60
 AND_LEAST = 10
+#: Weights of a chunk's text and of its document's fields (fixed values), and the most places of a term that count.
+TEXT_WEIGHT, FIELD_WEIGHT = 0.4, 1.0
+MOST_PLACES = 256
 
 #: Short names of publications and patterns that match their full names (fixed values).
 PUBLICATIONS = {
@@ -83,16 +86,28 @@ def literal_vector(query: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in query])
 
 
+def _distance(rows: DataFrame, query: list[float], vector: str) -> Column:
+    """Cosine distance to a query; a stored ``norm`` is used, and the query's own is a constant."""
+    norm = F.col("norm") if "norm" in rows.columns else length_of(F.col(vector))
+    own = sum(float(x) * float(x) for x in query) ** 0.5
+    return F.when((norm > 0) & F.lit(own > 0), F.lit(1.0) - dot(F.col(vector), literal_vector(query)) / (norm * F.lit(own)))
+
+
+def with_norms(rows: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Rows with their vectors' lengths, to be stored with the index."""
+    return rows.withColumn("norm", length_of(F.col(vector)))
+
+
 def nearest(rows: DataFrame, query: list[float], k: int, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """The k nearest rows by cosine distance, exactly: key, dist, vrank."""
-    near = rows.filter(F.col(vector).isNotNull()).select(key, cosine_distance(F.col(vector), literal_vector(query)).alias("dist")).filter("dist IS NOT NULL").orderBy("dist", key).limit(k)
+    near = rows.filter(F.col(vector).isNotNull()).select(key, _distance(rows, query, vector).alias("dist")).filter("dist IS NOT NULL").orderBy("dist", key).limit(k)
     return near.withColumn("vrank", F.row_number().over(W.orderBy("dist", key)))  # k rows
 
 
 def target_rank(rows: DataFrame, query: list[float], target, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """The rank of one row among all by distance, without sorting them."""
-    d = rows.select(key, cosine_distance(F.col(vector), literal_vector(query)).alias("dist"))
-    own = d.filter(F.col(key) == target).select(F.col("dist").alias("_d"))
+    d = rows.select(key, _distance(rows, query, vector).alias("dist"))
+    own = d.filter(F.col(key) == target).agg(F.min("dist").alias("_d"))  # one row
     return d.join(F.broadcast(own), F.col("dist") < F.col("_d"), "inner").agg((F.count("*") + 1).alias("rank")).withColumn(key, F.lit(target))
 
 
@@ -101,10 +116,24 @@ def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text", analy
     return chunks.select(key, F.explode(terms(F.col(text), analyser)).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
 
 
+def write_postings(index: DataFrame, path: str) -> None:
+    """Store an inverted index sorted by term, so that a lookup reads the row groups of its terms alone."""
+    index.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+
+
+def damped(tf: Column) -> Column:
+    """What a term's places add up to: the sum of 1 / i² over them, over that of the endless series."""
+    sums, total = [], 0.0
+    for i in range(1, MOST_PLACES + 1):
+        total += 1.0 / (i * i)
+        sums.append(total / 1.64493406685)
+    return F.element_at(F.array(*[F.lit(x) for x in sums]), F.least(tf, F.lit(MOST_PLACES)).cast("int"))
+
+
 def matches(index: DataFrame, query: list[str], key: str = "chunk_id") -> DataFrame:
-    """Rows that have a term of the query: key, n_terms, and rank by damped term frequencies."""
+    """Rows that have a term of the query: key, n_terms, and a score, the mean of the query's terms' damped places."""
     hit = index.filter(F.col("term").isin(query))
-    return hit.groupBy(key).agg(F.count("*").alias("n_terms"), F.sum(F.col("tf") / (F.col("tf") + F.lit(1.0))).alias("score"))
+    return hit.groupBy(key).agg(F.count("*").alias("n_terms"), (F.sum(damped(F.col("tf"))) / F.lit(float(max(1, len(query))))).alias("score"))
 
 
 def row_matches(rows: DataFrame, query: list[str], key: str = "chunk_id", text: str = "text", analyser: str = "simple") -> DataFrame:
@@ -119,8 +148,8 @@ def row_matches(rows: DataFrame, query: list[str], key: str = "chunk_id", text:
     counted = own.select(key, *[frequency(t).alias(f"_f{i}") for i, t in enumerate(query)])
     tf = [F.col(f"_f{i}") for i in range(len(query))]
     there = [F.when(f > 0, 1).otherwise(0) for f in tf]
-    score = [f / (f + F.lit(1.0)) for f in tf]
-    return counted.select(key, sum(there[1:], there[0]).cast("long").alias("n_terms"), sum(score[1:], score[0]).alias("score"))
+    score = [F.when(f > 0, damped(f)).otherwise(0.0) for f in tf]
+    return counted.select(key, sum(there[1:], there[0]).cast("long").alias("n_terms"), (sum(score[1:], score[0]) / F.lit(float(len(query)))).alias("score"))
 
 
 def text_search(chunks: DataFrame, query: str, k: int, key: str = "chunk_id", analyser: str = "simple", least: int = AND_LEAST, fallback: bool = True, scope: DataFrame | None = None, boost: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
@@ -129,24 +158,24 @@ def text_search(chunks: DataFrame, query: str, k: int, key: str = "chunk_id", an
     All terms must occur; with fewer than ``least`` such rows in ``scope`` (by default
     ``chunks``), any term will do. A query without terms matches nothing. ``boost``
     (key, score) adds the documents' own fields, at their greater weight. With an
-    ``index`` of postings, its terms are looked up instead of reading texts.
+    ``index`` of postings of ``scope``, its terms are looked up instead of reading texts.
     """
     wanted = query_terms(query, analyser)
 
     def hits(rows: DataFrame) -> DataFrame:
         if index is None:
             return row_matches(rows, wanted, key, analyser=analyser)
-        return matches(index.join(rows.select(key), key, "left_semi"), wanted, key)
+        return matches(index.filter(F.col("term").isin(wanted)), wanted, key).join(rows.select(key), key, "left_semi")
 
     found = hits(chunks)
     full = found.filter(F.col("n_terms") == len(wanted))
     if fallback and wanted:
-        counted = full if scope is None else hits(scope).filter(F.col("n_terms") == len(wanted))
+        counted = full if scope is None else (hits(scope) if index is None else matches(index, wanted, key)).filter(F.col("n_terms") == len(wanted))
         full = full if counted.limit(least).count() >= least else found
-    score = F.col("score") * 0.4
+    score = F.col("score") * TEXT_WEIGHT
     if boost is not None:
         full = full.join(boost.select(key, F.col("score").alias("_b")), key, "left")
-        score = score + F.coalesce("_b", F.lit(0.0))
+        score = score + F.coalesce("_b", F.lit(0.0)) * FIELD_WEIGHT
     best = full.select(key, F.round(score, 9).alias("rank_score")).orderBy(F.desc("rank_score"), key).limit(k)
     return best.withColumn("trank", F.row_number().over(W.orderBy(F.desc("rank_score"), key)))  # k rows
 
@@ -176,14 +205,22 @@ def diversity_cap(rows: DataFrame, per_doc: int, target: int, key: str = "chunk_
     return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_doc).drop("_r").orderBy(F.desc("score"), key).limit(target)
 
 
-def retrieve(chunks: DataFrame, docs: DataFrame, query: str, vector: list[float], k: int, filters: Filters | None = None, per_doc: int = 0, rerank=None, threshold: float = 0.3, analyser: str = "simple", alpha: float | None = None) -> DataFrame:
-    """The hybrid query: filters, vectors and text, fusion, cap, optional rerank and threshold; with document fields."""
+#: Characters of a query that chunks are searched with (fixed value); figures are searched with all of it.
+QUERY_CHARS = 2000
+
+
+def retrieve(chunks: DataFrame, docs: DataFrame, query: str, vector: list[float], k: int, filters: Filters | None = None, per_doc: int = 0, rerank=None, threshold: float = 0.3, analyser: str = "simple", alpha: float | None = None, index: DataFrame | None = None) -> DataFrame:
+    """The hybrid query: filters, vectors and text, fusion, cap, optional rerank and threshold; with document fields.
+
+    With an ``index`` of postings of all ``chunks``, no chunk's text is read but those of the result.
+    """
     allowed = restrict(chunks, docs, filters)
     fetch = 3 * k if per_doc > 0 else k
+    query = query[:QUERY_CHARS]
     near = nearest(allowed, vector, fetch)
-    found = text_search(allowed, query[:2000], fetch, scope=chunks, boost=document_boost(allowed, docs, query, analyser=analyser), analyser=analyser)
+    found = text_search(allowed, query, fetch, scope=chunks, boost=document_boost(allowed, docs, query, analyser=analyser), analyser=analyser, index=index)
     fused = fuse(near, found, fetch, alpha=alpha)
-    rows = chunks.drop("embedding").join(F.broadcast(fused), "chunk_id")  # fetch rows at most
+    rows = chunks.drop("embedding", "norm").join(F.broadcast(fused), "chunk_id")  # fetch rows at most
     top = diversity_cap(rows, per_doc, k)
     full = top.join(docs, "doc_id")
     if rerank is not None:
@@ -191,6 +228,12 @@ def retrieve(chunks: DataFrame, docs: DataFrame, query: str, vector: list[float]
     return full.orderBy(F.desc("score"), "chunk_id")
 
 
+def source_line() -> Column:
+    """``SOURCE: file | TITLE: title (year)``, as far as they are known."""
+    known = lambda c, x: F.when(F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) > 0, x).otherwise("")
+    return F.concat(F.lit("SOURCE: "), F.coalesce("source_filename", F.lit("")), known("title", F.concat(F.lit(" | TITLE: "), F.col("title"))), known("year", F.concat(F.lit(" ("), F.col("year").cast("string"), F.lit(")"))))
+
+
 def rerank_text(author: Column, title: Column, text: Column) -> Column:
     """What a reranker reads: ``Author:`` and ``Document:`` lines where known, then the text."""
     line = lambda name, c: F.when(F.length(c) > 0, F.concat(F.lit(f"{name}: "), c))
@@ -203,13 +246,16 @@ def rerank_rows(rows: DataFrame, query: str, provider, k: int, threshold: float)
     return scored.orderBy(F.desc("score"), "chunk_id").limit(k).filter(F.col("score") >= threshold)
 
 
-def retrieve_figures(figures: DataFrame, docs: DataFrame, query: str, vector: list[float], k: int = 5, candidates: int = 30, filters: Filters | None = None, analyser: str = "simple") -> DataFrame:
-    """The hybrid query over captions: all terms, no fallback, no cap; figures without a vector by text alone."""
+def retrieve_figures(figures: DataFrame, docs: DataFrame, query: str, vector: list[float], k: int = 5, candidates: int = 30, filters: Filters | None = None, analyser: str = "simple", index: DataFrame | None = None) -> DataFrame:
+    """The hybrid query over captions: all terms, no fallback, no cap; figures without a vector by text alone.
+
+    ``index``: postings of captions, by figure_id.
+    """
     allowed = restrict(figures, docs, filters)
     near = nearest(allowed, vector, candidates, key="figure_id")
-    found = text_search(allowed.withColumn("text", F.col("caption")), query, candidates, key="figure_id", fallback=False, analyser=analyser)
+    found = text_search(allowed.withColumn("text", F.col("caption")), query, candidates, key="figure_id", fallback=False, analyser=analyser, index=index)
     fused = fuse(near, found, k, key="figure_id")
-    return figures.drop("embedding").join(F.broadcast(fused), "figure_id").orderBy(F.desc("score"), "figure_id")
+    return figures.drop("embedding", "norm").join(F.broadcast(fused), "figure_id").orderBy(F.desc("score"), "figure_id")
 
 
 def contextual_figures(chunks: DataFrame, figures: DataFrame) -> DataFrame:

@@ -29,8 +29,11 @@ def greedy(tokens, most, held):
 @given(st.lists(st.tuples(st.lists(st.integers(1, 120), max_size=12), st.booleans()), min_size=1, max_size=200))
 def test_packing_equals_the_loop(spark, cases):
     df = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(cases)], "i int, t array<int>, h boolean")
-    got = {r["i"]: r["g"] for r in df.select("i", ch.pack_groups(F.col("t"), 80, F.col("h")).alias("g")).collect()}
-    assert got == {i: greedy(t, 80, h) for i, (t, h) in enumerate(cases)}
+    got = {r["i"]: r["g"] for r in df.select("i", ch.group_starts(F.col("t"), 80, F.col("h")).alias("g")).collect()}
+    # how many rows each group has, group 0 even where it is empty
+    sizes = lambda starts, n: [b - a for a, b in zip(starts, [*starts[1:], n], strict=True)]
+    groups = {i: greedy(t, 80, h) for i, (t, h) in enumerate(cases)}
+    assert {i: sizes(g, len(cases[i][0])) for i, g in got.items()} == {i: [g.count(k) for k in range(max(g, default=0) + 1)] for i, g in groups.items()}
 
 
 def stitched(rows):
