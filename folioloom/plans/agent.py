@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from folioloom.functions.text import TYPE_LABELS
 from folioloom.operators import citations as ct
@@ -57,7 +58,7 @@ def arguments(raw: str | dict) -> dict[str, Any]:
 
 def _found(corpus: Corpus, query: str, filters: rt.Filters) -> list[Row]:
     rows = rt.retrieve(corpus.chunks, corpus.docs, query, corpus.vector(query), corpus.k, filters, corpus.per_doc)
-    return rows.limit(corpus.k).collect()
+    return rows.withColumn("source_line", rt.source_line()).limit(corpus.k).collect()
 
 
 def _filters(args: dict, *names: str) -> rt.Filters:
@@ -68,7 +69,7 @@ def search_documents(corpus: Corpus, args: dict, start: int) -> tuple[str, list[
     rows = _found(corpus, args["query"], _filters(args, "document_type", "year_from", "year_to", "language", "publication"))
     if not rows:
         return "(No relevant passages found.)", []
-    df = corpus.docs.sparkSession.createDataFrame(rows, rt.retrieve(corpus.chunks.limit(0), corpus.docs, "", [0.0], 1).schema)
+    df = corpus.docs.sparkSession.createDataFrame(rows, rt.retrieve(corpus.chunks.limit(0), corpus.docs, "", [0.0], 1).withColumn("source_line", F.lit("")).schema)
     blocks = ct.context_blocks(df, corpus.figures if "caption" in corpus.figures.columns else None, start).orderBy("position").collect()
     by_id = {r["chunk_id"]: r for r in rows}
     return "\n\n".join(b["block"] for b in blocks), [by_id[b["chunk_id"]] for b in blocks]
@@ -78,8 +79,7 @@ def keyword_search(corpus: Corpus, args: dict, start: int) -> tuple[str, list[Ro
     rows = _found(corpus, args["keyword"], _filters(args, "document_type", "year_from", "year_to"))
     if not rows:
         return f"Nothing matches the keyword {args['keyword']!r}.", []
-    head = lambda r: "".join((f"SOURCE: {r['source_filename']}", f" | TITLE: {r['title']}" if r["title"] else "", f" ({r['year']})" if r["year"] else ""))
-    return "\n".join(f"[{i}] {head(r)}\n{r['text']}\n---" for i, r in enumerate(rows, start)), rows
+    return "\n".join(f"[{i}] {r['source_line']}\n{r['text']}\n---" for i, r in enumerate(rows, start)), rows
 
 
 def index_search(corpus: Corpus, args: dict, start: int) -> tuple[str, list[Row]]:

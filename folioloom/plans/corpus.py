@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.functions import ids
+from folioloom.functions import ids, lang
 from folioloom.functions import text as tx
+from folioloom.functions.vectors import dot
 from folioloom.operators import blocks as bl
+from folioloom.operators import citations as ct
 from folioloom.operators import chunking as ch
 from folioloom.operators import figures as fg
 from folioloom.operators import metadata as md
 from folioloom.plans import views as v
 from folioloom.session import table
-from folioloom.sources.providers import HashEmbedder, language_provider
+from folioloom.sources.providers import HashEmbedder
+
+_B = v.with_views("words", "v_blocks")
 
 # -- restitching, ranges, sections ---------------------------------------------------
 
@@ -335,7 +339,7 @@ def ref_markup(spark: SparkSession, d: str) -> DataFrame:
 def link_refs(spark: SparkSession, d: str) -> DataFrame:
     b = v.blocks(spark, d).withColumn("text", _marked(F.col("text")))
     notes = b.filter(F.col("pos") % 2 == 0).select("doc_id", "page_num_1", "reading_order", (F.col("pos") % 30 + 1).cast("int").alias("footnote_number"), F.concat(F.lit("fn"), "block_id").alias("footnote_id"))
-    return bl.link_refs(b, notes)
+    return bl.link_refs(b, notes).drop("context_snippet")
 
 
 def _link_sql() -> str:
@@ -379,16 +383,86 @@ def slugs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diacritics(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", tx.remove_script_intrusions(tx.strip_diacritics(F.col("text"), F.lit("en")), F.lit("en")).alias("text"))
+    return table(spark, d, "documents").select("doc_id", tx.strip_diacritics(F.col("text"), F.lit("en")).alias("text"))
+
+
+def script_intrusions(spark: SparkSession, d: str) -> DataFrame:
+    """Letters of other scripts go from English texts alone."""
+    return table(spark, d, "documents").select("doc_id", tx.remove_script_intrusions(F.concat("text", F.lit(" Ж 中文 x")), F.col("lang")).alias("text"))
+
+
+def text_cleanups(spark: SparkSession, d: str) -> DataFrame:
+    """The better of two texts, links' tails, code fences, and sources sections cut wherever they begin."""
+    i, t = F.col("doc_id"), F.col("text")
+    x = table(spark, d, "documents")
+    clean = F.when(i % 3 == 0, "").when(i % 3 == 1, F.lit(None)).otherwise(F.substring(t, 1, 20))
+    link = F.concat(F.substring(t, 1, 10), F.when(i % 2 == 0, "](https://example.org/a)").otherwise(""))
+    fenced = F.when(i % 2 == 0, F.concat(F.lit("```json\n"), F.substring(t, 1, 10), F.lit("\n```"))).otherwise(F.substring(t, 1, 10))
+    return x.select("doc_id", tx.best_text(clean, t).alias("best"), tx.strip_link_tail(link).alias("link"), tx.strip_code_fence(fenced).alias("fenced"), ct.strip_sources_always(F.concat(F.lit("A\n\n**Sources:**\n"), t)).alias("answer"))
+
+
+_CLEANUPS_SQL = r"""SELECT doc_id, CASE WHEN doc_id % 3 = 2 AND length(text) > 0 THEN substr(text, 1, 20) ELSE text END AS best, substr(text, 1, 10) AS link, trim(substr(text, 1, 10), ' ' || chr(9) || chr(10) || chr(13)) AS fenced, 'A' AS answer FROM documents"""
+
+
+def footnotes_split(spark: SparkSession, d: str) -> DataFrame:
+    """Footnotes that ran together: three words a footnote, numbers in a row from each document's own."""
+    x = v.words(spark, d).withColumn("n", (F.col("doc_id") % 80 + 1).cast("int"))
+    word = lambda i: F.regexp_replace(F.coalesce(F.get("w", F.lit(i)), F.lit("")), r"[^\p{L}]", "x")
+    joined = F.concat(F.col("n"), F.lit(" a"), word(0), F.lit(". "), F.col("n") + 1, F.lit(" b"), word(1), F.lit(". "), F.col("n") + 2, F.lit(" c"), word(2))
+    one = F.when(F.col("doc_id") % 5 == 0, F.concat(F.col("n"), F.lit(" alone"))).otherwise(joined)
+    found = x.select("doc_id", F.explode(bl.split_footnotes_udf(one)).alias("f"))
+    return found.select("doc_id", "f.number", "f.text")
+
+
+_SPLIT_SQL = v.with_views("words") + r""", s AS (SELECT doc_id, doc_id % 80 + 1 AS n, unnest([0, 1, 2]) AS i, w FROM words WHERE doc_id % 5 <> 0)
+SELECT doc_id, (n + i)::INT AS number, ['a', 'b', 'c'][i + 1] || regexp_replace(coalesce(w[i + 1], ''), '[^\p{L}]', 'x', 'g') || CASE WHEN i < 2 THEN '.' ELSE '' END AS text FROM s"""
+
+
+def _markup_sql() -> str:
+    """Marks by captures in place of lookahead; references of a block, higher numbers first, go through one after the other."""
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    each = " UNION ALL ".join(f"SELECT doc_id, page_num_1, block_id, '{name}' AS mt, unnest(regexp_extract_all(t, {q(p)}, {g}))::INT AS n, {i} AS p FROM m" for i, (name, p, g) in enumerate(tx.REF_PATTERNS))
+    step = r"""regexp_replace(acc, CASE WHEN split_part(r, '|', 1) LIKE 'regex_period%' THEN '([A-Za-z])\.' WHEN split_part(r, '|', 1) LIKE 'regex_space%' THEN '([.)\]])\s' ELSE '([A-Za-z\)])' END || split_part(r, '|', 2)
+      || CASE WHEN split_part(r, '|', 1) LIKE 'regex_period%' THEN '(\s|[A-Z]|[.,;:]|$)' WHEN split_part(r, '|', 1) LIKE 'regex_space%' THEN '(\s|$)' ELSE '(\s|[.,;:]|$)' END, '\1 [ref:' || split_part(r, '|', 2) || ']\2', 'g')"""
+    return (
+        _B
+        + f""", m AS (SELECT doc_id, page_num_1, reading_order, block_id, pos, {_MARKED} AS t FROM v_blocks), e AS ({each}),
+notes AS (SELECT doc_id, page_num_1, (pos % 30 + 1)::INT AS n FROM v_blocks),
+here AS (SELECT DISTINCT doc_id, page_num_1, n, true AS here FROM notes), anywhere AS (SELECT DISTINCT doc_id, n FROM notes),
+j AS (SELECT e.*, CASE WHEN h.here IS NULL THEN mt || '_xpage' ELSE mt END AS kind FROM e JOIN anywhere USING (doc_id, n) LEFT JOIN here h USING (doc_id, page_num_1, n)),
+k AS (SELECT block_id, n, kind FROM (SELECT *, row_number() OVER (PARTITION BY block_id, n ORDER BY p) AS r FROM j) WHERE r = 1 AND kind NOT LIKE 'regex_parens%' AND kind NOT LIKE 'regex_brackets%'),
+l AS (SELECT block_id, list(kind || '|' || n ORDER BY n DESC, kind DESC) AS refs FROM k GROUP BY 1)
+SELECT m.block_id, CASE WHEN refs IS NULL THEN t ELSE list_reduce(list_concat([t], refs), lambda acc, r: {step}) END AS text FROM m LEFT JOIN l USING (block_id)"""
+    )
 
 
 def language_detect(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").select("doc_id", language_provider()(F.col("text")).alias("l"))
-    return x.select("doc_id", "l.lang", "l.confidence")
+    """All eleven languages, over whole documents."""
+    x = table(spark, d, "documents").select("doc_id", lang.detect(F.col("text"), lang.LANGUAGES).alias("l"))
+    return x.select("doc_id", "l.lang", "l.confidence", F.array_join("l.candidates", ",").alias("candidates"))
+
+
+def _language_sql() -> str:
+    each = []
+    for code in lang.LANGUAGES:
+        if code in lang.SCRIPTS:
+            each.append(f"{{'c': '{code}', 's': CASE WHEN n > 0 THEN (n - length(regexp_replace(text, '\\s|{lang.SCRIPTS[code]}', '', 'g'))) / n::DOUBLE ELSE 0 END}}")
+        else:
+            known = ", ".join(f"'{w}'" for w in lang.WORDS[code])
+            each.append(f"{{'c': '{code}', 's': CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: x IN ({known}))) / len(w)::DOUBLE ELSE 0 END}}")
+    edges = lang._EDGES.replace("'", "''")
+    return f"""WITH w AS (SELECT doc_id, text, length(regexp_replace(text, '\\s', '', 'g')) AS n, list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda x: trim(x, '{edges}')), lambda x: x <> '') AS w FROM documents),
+a AS (SELECT doc_id, text, [{", ".join(each)}] AS l FROM w),
+s AS (SELECT doc_id, text, unnest(l) AS e, list_reduce(list_transform(l, lambda x: x.s), lambda x, y: x + y) AS total FROM a),
+r AS (SELECT doc_id, text, e.c AS c, e.s AS s, total, row_number() OVER (PARTITION BY doc_id ORDER BY e.s DESC, e.c) AS r FROM s)
+SELECT doc_id, CASE WHEN length(any_value(text)) >= 30 AND any_value(total) > 0 THEN arg_min(c, r) ELSE 'unknown' END AS lang, CASE WHEN length(any_value(text)) >= 30 AND any_value(total) > 0 THEN round(max(s) / any_value(total), 4) ELSE 0 END AS confidence,
+  CASE WHEN length(any_value(text)) >= 30 AND any_value(total) > 0 THEN coalesce(string_agg(c, ',' ORDER BY r) FILTER (r <= 3 AND s > 0), '') ELSE '' END AS candidates FROM r GROUP BY doc_id"""
 
 
 def embed_stub(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.size(HashEmbedder(32).column(F.col("text"))).alias("dimensions"))
+    """A vector a document from a service that takes ten texts a call; what its numbers must satisfy."""
+    e = HashEmbedder(32, prefix="passage: ", batch=10).column(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", e.alias("e")).select("doc_id", F.size("e").alias("dimensions"), F.round(dot(F.col("e"), F.col("e")), 4).alias("length"))
 
 
 def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -434,8 +508,6 @@ _FIGURE_FILTER_SQL = (
 SELECT figure_id FROM f WHERE coalesce(o, '') <> 'rendered_clip' AND NOT (coalesce(o, '') = 'vl_detected_scan' AND c = '') AND NOT (i % 3 = 0 AND c = '') AND (i % 3 = 0 OR (i % 400 >= 150 AND i * 7 % 400 >= 150))"""
 )
 
-_B = v.with_views("words", "v_blocks")
-
 ALL = [
     ("restitch", restitch, _B + _restitch_sql("v_blocks")),
     ("restitch_chains", restitch_chains, _B + ",\n" + _ONE + _restitch_sql("v_one")),
@@ -459,16 +531,19 @@ ALL = [
     ("footnote_type", footnote_type, _type_sql()),
     ("ref_extract", ref_extract, _refs_sql()),
     ("link_refs", link_refs, _link_sql()),
-    ("ref_markup", ref_markup, None),
+    ("ref_markup", ref_markup, _markup_sql()),
     ("token_estimate", token_estimate, "SELECT doc_id, greatest(1, length(text) // 4)::INT AS tokens, (floor(length(text) / 3.5) + 100)::INT AS json_tokens FROM documents"),
     ("chunk_ids", chunk_ids, _B + " SELECT block_id, substr(sha256(doc_id || ':chunk:' || pos), 1, 24) AS chunk_id FROM v_blocks"),
     ("block_ids", block_ids, _B + " SELECT block_id, substr(sha256(doc_id || ':' || page_num_1 || ':0.0,0.0,612.0,792.0:' || block_type || ':' || sha256(text)), 1, 24) AS made FROM v_blocks"),
     ("page_hash", page_hash, _B + " SELECT doc_id, page_num_1, sha256(string_agg(sha256(text), '|' ORDER BY sha256(text))) AS page_hash FROM v_blocks GROUP BY 1, 2"),
     ("nfkc_clean", nfkc_clean, None),
-    ("slugs", slugs, None),
-    ("diacritics", diacritics, None),
-    ("language_detect", language_detect, None),
-    ("embed_stub", embed_stub, None),
+    ("slugs", slugs, v.with_views("words", "v_docs") + r" SELECT doc_id, concat_ws('-', regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(title), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), substr(sha256(source_filename), 1, 12)) AS made FROM v_docs"),
+    ("diacritics", diacritics, r"SELECT doc_id, strip_accents(text) AS text FROM documents"),
+    ("script_intrusions", script_intrusions, r"SELECT doc_id, CASE WHEN lang = 'en' THEN trim(regexp_replace(text || ' x', ' {2,}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) ELSE text || ' Ж 中文 x' END AS text FROM documents"),
+    ("text_cleanups", text_cleanups, _CLEANUPS_SQL),
+    ("footnotes_split", footnotes_split, _SPLIT_SQL),
+    ("language_detect", language_detect, _language_sql()),
+    ("embed_stub", embed_stub, "SELECT doc_id, 32 AS dimensions, 1.0::DOUBLE AS length FROM documents"),
     ("markdown_blocks", markdown_blocks, _MARKDOWN_SQL),
     ("metadata_cascade", metadata_cascade, _CASCADE_SQL),
     ("figure_filter", figure_filter, _FIGURE_FILTER_SQL),

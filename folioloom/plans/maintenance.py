@@ -75,8 +75,13 @@ def version_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def version_diff_lines(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "documents").filter("doc_id % 9 = 0")
-    t = c.select("doc_id", ix.unified_diff("text", F.concat(F.lit("new line\n"), F.col("text"))).alias("diff"))
+    """Lines of all documents' new versions: by doc_id, some lines gone and some longer; one more at the end where the text's length is odd."""
+    c = table(spark, d, "documents").select("doc_id", F.col("text").alias("old"), F.split("text", "\n").alias("l"))
+    n = F.col("doc_id") % 3
+    kept = F.filter("l", lambda x, i: (i % 4 != 1) | (n != 0))
+    edited = F.transform(kept, lambda x, i: F.when((i % 3 == 0) & (n == 1), F.concat(x, F.lit(" #"), i.cast("string"))).otherwise(x))
+    new = F.concat(F.array_join(edited, "\n"), F.when(F.length("old") % 2 == 1, F.lit("\n+ a line of its own")).otherwise(""))
+    t = c.select("doc_id", ix.unified_diff("old", new).alias("diff"))
     return t.select("doc_id", ix.line_changes(F.col("diff"))["added"].alias("added"), ix.line_changes(F.col("diff"))["removed"].alias("removed"))
 
 
@@ -166,7 +171,7 @@ ALL = [
     ("doc_upsert", doc_upsert, _UPSERT_SQL),
     ("delete_cascade", delete_cascade, _V("words", "v_docs", "v_figures") + " SELECT 'documents' AS name, count(*) AS n FROM v_docs WHERE doc_id % 10 <> 3 UNION ALL SELECT 'chunks', count(*) FROM v_docs WHERE doc_id % 10 <> 3 UNION ALL SELECT 'figures', count(*) FROM v_figures WHERE doc_id % 10 <> 3 UNION ALL SELECT 'pipeline_status', count(*) FROM v_docs WHERE doc_id % 10 <> 3"),
     ("version_diff", version_diff, _V("words", "v_blocks") + " SELECT doc_id, 0::BIGINT AS added, count(*) FILTER (pos % 7 = 3) AS removed, count(*) FILTER (pos % 7 <> 3 AND pos % 5 = 0) AS changed, count(*) FILTER (pos % 7 <> 3 AND pos % 5 <> 0) AS unchanged FROM v_blocks GROUP BY 1"),
-    ("version_diff_lines", version_diff_lines, "SELECT doc_id, 1 AS added, 0 AS removed FROM documents WHERE doc_id % 9 = 0"),
+    ("version_diff_lines", version_diff_lines, None),
     ("overlay_merge", overlay_merge, _V("words", "v_docs") + " SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'T' || doc_id ELSE title END AS title, publication FROM v_docs"),
     ("keyword_union", keyword_union, _V("words") + ", k AS (SELECT doc_id, unnest(list_concat(w[1:3], w[2:5])) AS x, generate_subscripts(list_concat(w[1:3], w[2:5]), 1) AS i FROM words) SELECT doc_id, coalesce(string_agg(x, '|' ORDER BY i), '') AS keywords FROM (SELECT doc_id, x, min(i) AS i FROM k GROUP BY 1, 2) GROUP BY 1"),
     ("latest_version", latest_version, "SELECT doc_id, version, \"row\" FROM (SELECT o_custkey AS doc_id, o_orderkey % 7 AS version, o_orderkey AS \"row\", max(o_orderkey % 7) OVER (PARTITION BY o_custkey) AS top FROM orders) WHERE version = top"),

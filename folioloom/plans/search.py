@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from folioloom.operators import citations as ct
 from folioloom.operators import index as ix
 from folioloom.operators import retrieval as rt
 from folioloom.plans import views as v
-from folioloom.session import table
+from folioloom.session import shared_dir, staged, table
 from folioloom.sources.providers import OverlapReranker
 
 QUERY = "the worthless reports"
@@ -40,7 +42,8 @@ def _query_terms(q: str) -> list[str]:
 
 def _match(source: str, key: str, text: str, query: str) -> str:
     terms = ", ".join(f"'{t}'" for t in _query_terms(query))
-    return f"SELECT {key}, count(*) AS n_terms, sum(tf / (tf + 1.0::DOUBLE)) AS score FROM (SELECT {key}, term, count(*) AS tf FROM ({_terms(source, key, text)}) GROUP BY ALL) WHERE term IN ({terms}) GROUP BY {key}"
+    damped = "list_sum(list_transform(range(1, least(tf, 256) + 1), lambda i: 1.0::DOUBLE / (i * i))) / 1.64493406685"
+    return f"SELECT {key}, count(*) AS n_terms, sum({damped}) / {len(_query_terms(query))}.0::DOUBLE AS score FROM (SELECT {key}, term, count(*) AS tf FROM ({_terms(source, key, text)}) GROUP BY ALL) WHERE term IN ({terms}) GROUP BY {key}"
 
 
 def filter_optional(spark: SparkSession, d: str) -> DataFrame:
@@ -148,8 +151,7 @@ SELECT f.figure_id, g.page_num, round(f.score, 9) AS score FROM fused f JOIN v_f
 
 
 def contextual_pairs(spark: SparkSession, d: str) -> DataFrame:
-    chunks = v.chunks(spark, d).filter(F.col("doc_id") % 2 == 0)
-    return rt.contextual_figures(chunks, v.figures(spark, d)).select("chunk_id", "figure_id", "page_num")
+    return rt.contextual_figures(v.chunks(spark, d), v.figures(spark, d)).select("chunk_id", "figure_id", "page_num")
 
 
 def figures_on_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +202,7 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ANSWERS = """v_answers AS (
-  SELECT conv_id * 1000 + turn AS answer_id, 'See [' || (turn * 3 % 7 + 1) || ', ' || (conv_id % 5 + 1) || '] and [' || (turn % 4 + 1) || ']. ' || substr(text, 1, 40) AS text
+  SELECT conv_id * 1000 + turn AS answer_id, 'See [' || (turn * 3 % 7 + 1) || ', ' || (conv_id % 5 + 1) || '] and [' || (turn % 4 + 1) || ']. ' || text AS text
   FROM conversations WHERE role = 'assistant')"""
 
 _CITED = r"""cited AS (
@@ -218,19 +220,13 @@ def citation_renumber_map(spark: SparkSession, d: str) -> DataFrame:
     return ct.index_map(_answers(spark, d)).select("answer_id", "old", F.col("new").cast("long").alias("new"))
 
 
-def _sources(spark: SparkSession, d: str, as_sql: bool = False) -> DataFrame:
-    """Seven sources per answer, from all documents; the sixth repeats the first's document and page.
-
-    ``as_sql``: as ``v_sources`` draws them, from the first 200 ids.
-    """
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """Seven sources per answer, ids in a row from anywhere in the range of all documents; the sixth repeats the first's document and page."""
     docs = v.docs(spark, d)
     a = _answers(spark, d).select("answer_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("position"))
     place = F.when(F.col("position") == 6, 1).otherwise(F.col("position"))
-    if as_sql:
-        of = (F.col("answer_id") + place) % 200
-    else:  # seven ids in a row, from anywhere in the range
-        a = a.crossJoin(F.broadcast(docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))))
-        of = F.col("low") + F.pmod(F.xxhash64("answer_id") % (1 << 40) + place, F.col("high") - F.col("low") + 1)
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    of = (F.col("answer_id") * 7919 + place) % ((high or 0) - (low or 0) + 1) + (low or 0)
     keyed = a.select("answer_id", "position", of.cast("long").alias("doc_id"), F.concat(F.lit("c"), F.col("position").cast("string")).alias("chunk_id"))
     start = (F.col("doc_id") % 9 + 1).cast("int")
     return keyed.join(docs, "doc_id").withColumns({"start_page": start, "end_page": (start + F.col("doc_id") % 2).cast("int")})
@@ -244,7 +240,7 @@ def citation_collapse(spark: SparkSession, d: str) -> DataFrame:
 _SOURCE_SQL = """v_sources AS (
   SELECT a.answer_id, p.position, d.*, (d.doc_id % 9 + 1)::INT AS start_page, (d.doc_id % 9 + 1 + d.doc_id % 2)::INT AS end_page
   FROM (SELECT answer_id, unnest(range(1, 8)) AS position FROM v_answers) p JOIN v_answers a USING (answer_id)
-  JOIN v_docs d ON d.doc_id = (a.answer_id + CASE WHEN p.position = 6 THEN 1 ELSE p.position END) % 200)"""
+  JOIN v_docs d ON d.doc_id = (a.answer_id * 7919 + CASE WHEN p.position = 6 THEN 1 ELSE p.position END) % (SELECT max(doc_id) - min(doc_id) + 1 FROM v_docs) + (SELECT min(doc_id) FROM v_docs))"""
 
 _COLLAPSED = """collapsed AS (
   SELECT answer_id, old, dense_rank() OVER (PARTITION BY answer_id ORDER BY first) AS new FROM (
@@ -253,7 +249,7 @@ _COLLAPSED = """collapsed AS (
 
 
 def bibliography(spark: SparkSession, d: str) -> DataFrame:
-    sources = _sources(spark, d, as_sql=True)
+    sources = _sources(spark, d)
     mapping = ct.collapse(ct.index_map(_answers(spark, d)), sources)
     return ct.bibliography(sources, mapping)
 
@@ -274,6 +270,32 @@ def renumbered_answers(spark: SparkSession, d: str) -> DataFrame:
     return a.join(m, "answer_id", "left").select("answer_id", ct.renumber("text", "m").alias("text"))
 
 
+_RENUMBERED_SQL = v.with_views("words", "v_docs") + ",\n" + ",\n".join((_ANSWERS, _CITED, _SOURCE_SQL, _COLLAPSED)) + r"""
+, maps AS (SELECT answer_id, map_from_entries(list((old, new::INT))) AS m FROM collapsed GROUP BY 1),
+cut AS (SELECT answer_id, regexp_split_to_array(text, '\[\d+(?:\s*,\s*\d+)*\]') AS gaps, regexp_extract_all(text, '\[(\d+(?:\s*,\s*\d+)*)\]', 1) AS marks FROM v_answers),
+each AS (SELECT answer_id, generate_subscripts(gaps, 1) AS i, unnest(gaps) AS gap, marks FROM cut),
+made AS (SELECT answer_id, i, gap || coalesce('[' || array_to_string(list_transform(string_split(marks[i], ','), lambda x: coalesce(m[trim(x)::INT], trim(x)::INT)::VARCHAR), ', ') || ']', '') AS part FROM each JOIN maps USING (answer_id))
+SELECT answer_id, string_agg(part, '' ORDER BY i) AS text FROM made GROUP BY 1"""
+
+
+def retrieve_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The hybrid query over a stored index: postings by term, vectors with their lengths."""
+    where = f"{shared_dir(spark)}/folioloom/index-{uuid.uuid4().hex}"
+    rt.write_postings(rt.postings(v.chunks(spark, d)), f"{where}/postings")
+    stored = staged(spark, rt.with_norms(v.chunks(spark, d)), "index-chunks")
+    found = rt.retrieve(stored, v.docs(spark, d), _HYBRID_QUERY, v.query_vector(spark, d), 40, FILTERS, per_doc=5, index=spark.read.parquet(f"{where}/postings"))
+    return found.select("chunk_id", F.round("score", 9).alias("score"))
+
+
+def keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    """What the keyword tool prints of its hits, before their texts."""
+    found = rt.retrieve(v.chunks(spark, d), v.docs(spark, d), _HYBRID_QUERY, v.query_vector(spark, d), 40, FILTERS)
+    return found.select("chunk_id", rt.source_line().alias("line"))
+
+
+_KEYWORD_SQL = v.with_views("words", "v_docs", "v_chunks") + _HYBRID_ROWS + " SELECT f.chunk_id, 'SOURCE: ' || d.source_filename || CASE WHEN d.title <> '' THEN ' | TITLE: ' || d.title ELSE '' END || CASE WHEN d.year IS NOT NULL THEN ' (' || d.year || ')' ELSE '' END AS line FROM (SELECT * FROM fused ORDER BY score DESC, chunk_id LIMIT 40) f JOIN v_chunks k USING (chunk_id) JOIN v_docs d ON d.doc_id = k.doc_id"
+
+
 def history_last4(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").withColumn("text", F.when(F.col("role") == "assistant", F.concat("text", F.lit(" [2, 3] Sources: x"))).otherwise(F.col("text")))
     return ct.clean_history(c).select("conv_id", "turn", "role", "text")
@@ -333,7 +355,7 @@ ALL = [
     ("diversity_cap", diversity_cap, "SELECT chunk_id, doc_id, score FROM (SELECT doc_id AS chunk_id, source AS doc_id, n_chars::DOUBLE AS score, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 2 ORDER BY score DESC, chunk_id LIMIT 30"),
     ("rerank_stub", rerank_stub, _RERANK_SQL),
     ("figure_hybrid", figure_hybrid, _FIGURE_SQL),
-    ("contextual_pairs", contextual_pairs, v.with_views("words", "v_chunks", "v_figures") + r" SELECT DISTINCT c.chunk_id, f.figure_id, f.page_num FROM v_chunks c JOIN v_figures f ON f.doc_id = c.doc_id AND f.page_num BETWEEN c.start_page AND c.end_page WHERE c.doc_id % 2 = 0 AND f.caption <> '' AND NOT regexp_matches(f.caption, '^Figure on p\.\d+$')"),
+    ("contextual_pairs", contextual_pairs, v.with_views("words", "v_chunks", "v_figures") + r" SELECT DISTINCT c.chunk_id, f.figure_id, f.page_num FROM v_chunks c JOIN v_figures f ON f.doc_id = c.doc_id AND f.page_num BETWEEN c.start_page AND c.end_page WHERE f.caption <> '' AND NOT regexp_matches(f.caption, '^Figure on p\.\d+$')"),
     ("figures_on_pages", figures_on_pages, v.with_views("words", "v_chunks", "v_figures") + " SELECT f.figure_id, f.page_num FROM v_figures f WHERE EXISTS (SELECT 1 FROM v_chunks c WHERE c.doc_id = f.doc_id AND c.start_page = f.page_num)"),
     ("doc_context", doc_context, v.with_views("words", "v_blocks") + " SELECT block_id AS chunk_id, page_num_1 AS start_page, text FROM v_blocks WHERE doc_id = 3 AND page_num_1 BETWEEN 1 AND 3 ORDER BY page_num_1, block_id LIMIT 10"),
     ("browse_list", browse_list, v.with_views("words", "v_docs") + " SELECT doc_id, author, title, document_type FROM v_docs WHERE author ILIKE '%Author%' AND author ILIKE '%EN%' AND document_type = 'index' ORDER BY doc_id LIMIT 25"),
@@ -346,7 +368,9 @@ ALL = [
     ("citation_renumber_map", citation_renumber_map, "WITH " + _ANSWERS + ", " + _CITED + " SELECT answer_id, old, new FROM mapping"),
     ("citation_collapse", citation_collapse, v.with_views("words", "v_docs") + ",\n" + ",\n".join((_ANSWERS, _CITED, _SOURCE_SQL, _COLLAPSED)) + " SELECT answer_id, old, new FROM collapsed"),
     ("bibliography", bibliography, _BIB_SQL),
-    ("renumbered_answers", renumbered_answers, None),
+    ("renumbered_answers", renumbered_answers, _RENUMBERED_SQL),
+    ("retrieve_indexed", retrieve_indexed, _HYBRID + " SELECT f.chunk_id, round(f.score, 9) AS score FROM (SELECT * FROM fused ORDER BY score DESC, chunk_id LIMIT 40) f"),
+    ("keyword_search", keyword_search, _KEYWORD_SQL),
     ("history_last4", history_last4, r"SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN regexp_replace(trim(split_part(split_part(text || ' [2, 3] Sources: x', 'Sources:', 1), 'References:', 1)), '\[\d+(?:\s*,\s*\d+)*\]', '', 'g') ELSE text END AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4"),
     ("context_trim", context_trim, "SELECT answer_id, chunk_id, tokens FROM (SELECT *, sum(tokens) OVER (PARTITION BY answer_id ORDER BY score DESC, chunk_id) AS used FROM (SELECT source AS answer_id, doc_id AS chunk_id, doc_id * 7919 % 1009 AS score, greatest(1, length(text) // 4)::BIGINT AS tokens FROM documents)) WHERE used <= 5000"),
     ("context_headers", context_headers, _HEADER_SQL),

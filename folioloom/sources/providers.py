@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 
 
 class EmbedProvider(ABC):
+    """``batch`` texts go into one call: 32 unless a service takes more (96) or fewer (10).
+
+    Vectors are cut to ``dimensions``; ``prefix`` goes before each text.
+    """
+
     batch = 32
     dimensions = 64
     prefix = ""
@@ -91,8 +96,8 @@ class ChatProvider(ABC):
 class HashEmbedder(EmbedProvider):
     """Signed hashes of words, normalised: equal texts have equal vectors, shared words bring them nearer."""
 
-    def __init__(self, dimensions: int = 64, prefix: str = ""):
-        self.dimensions, self.prefix = dimensions, prefix
+    def __init__(self, dimensions: int = 64, prefix: str = "", batch: int = 32):
+        self.dimensions, self.prefix, self.batch = dimensions, prefix, batch
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
@@ -128,40 +133,6 @@ class EchoChat(ChatProvider):
         return {"role": "assistant", "content": f"{messages[-1]['content'][:max_tokens]} [1]"}
 
 
-def language_provider(profiles: dict[str, set[str]] | None = None, shortest: int = 30):
-    """A language column by shares of frequent words: struct(lang, confidence, candidates); short texts are unknown."""
-    known = profiles or PROFILES
-
-    @F.pandas_udf("struct<lang:string,confidence:double,candidates:array<string>>")
-    def run(s: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in s:
-            if t is None or len(t) < shortest:
-                rows.append(("unknown", 0.0, []))
-                continue
-            words = t.lower().split()
-            share = {k: sum(w.strip(".,;:!?") in v for w in words) / len(words) for k, v in known.items()}
-            total = sum(share.values())
-            if not total:
-                rows.append(("unknown", 0.0, []))
-                continue
-            best = sorted(share, key=lambda k: (-share[k], k))[:3]
-            rows.append((best[0], round(share[best[0]] / total, 4), [f"{k}:{round(share[k] / total, 4)}" for k in best if share[k]]))
-        return pd.DataFrame(rows, columns=["lang", "confidence", "candidates"])
-
-    return run
-
-
-#: Frequent words of some languages (fixed values).
-PROFILES = {
-    "en": {"the", "of", "and", "to", "in", "is", "that", "was", "for", "with", "as", "on", "by", "this", "from", "or", "are", "it", "be", "at"},
-    "fr": {"le", "la", "les", "de", "des", "du", "et", "un", "une", "en", "est", "que", "qui", "dans", "pour", "par", "sur", "au", "avec", "pas"},
-    "de": {"der", "die", "das", "und", "in", "den", "von", "zu", "mit", "sich", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine", "als", "auch"},
-    "es": {"el", "la", "los", "las", "de", "del", "y", "en", "que", "un", "una", "es", "por", "con", "para", "se", "su", "al", "lo", "como"},
-    "ms": {"yang", "dan", "di", "dengan", "untuk", "dari", "ini", "itu", "pada", "adalah", "ke", "tidak", "dalam", "oleh", "sebagai", "telah", "orang", "ada", "kepada", "juga"},
-}
-
-
 class SpanReader(ABC):
     """Reading of PDF files into text spans and images; no library for it is assumed."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,8 +53,8 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], record: str) -> Data
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """Overwrites a folder of JSON lines; rows of a file are in the given order."""
-    (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").json(path)
+    """Overwrites a folder of JSON lines; with an order, rows are sorted over all files, by name, and a document isn't parted where it comes first."""
+    (df.repartitionByRange(*order[:1]).sortWithinPartitions(*order) if order else df).write.mode("overwrite").json(path)
 
 
 def write_bundle(bundle: dict[str, DataFrame], folder: str) -> None:
@@ -94,11 +96,84 @@ def key_parts(path) -> tuple:
 
 def read_versions(spark: SparkSession, root: str, record: str) -> DataFrame:
     """All versions of a record type under ``processed/<doc>/v<N>/``, with ``version`` from the path."""
-    df = spark.read.schema(schema(record)).option("pathGlobFilter", "*.jsonl").json(f"{root}/processed/*/v*/{record}*")
+    df = spark.read.schema(schema(record)).option("pathGlobFilter", "*.jsonl").json(f"{root}/processed/*/v*/{{{record},{record}.jsonl}}")
     doc, version = key_parts(F.col("_metadata.file_path"))
     return with_defaults(df.withColumns({"version": version, "path_doc_id": doc}), record)
 
 
+def write_version(records: DataFrame, root: str, record: str, version: DataFrame | None = None, order: list[str] | None = None) -> DataFrame:
+    """Write each document's records as its next version, ``processed/<doc>/v<N>/<record>.jsonl``; (doc_id, version) of what was written.
+
+    Documents without an earlier version begin with 1. ``version`` (doc_id, version) sets the
+    numbers where several record types go into one version. Rows lie in the order given.
+    A file is renamed into place once all are written: one call on the driver for each
+    document of the run, which is a batch of arrivals.
+    """
+    spark = records.sparkSession
+    if version is None:
+        version = spark.createDataFrame(next_versions(spark, root, records.select("doc_id").distinct()).collect(), "doc_id string, version int")  # the run's documents
+    numbered = records.join(version.select("doc_id", F.col("version").alias("_to")), "doc_id").withColumn("_doc", F.col("doc_id"))
+    staging = f"{root}/.writing-{uuid.uuid4().hex}"
+    whole = numbered.repartition("_doc").sortWithinPartitions("_doc", *(order or []))
+    whole.write.partitionBy("_doc", "_to").json(staging)
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(sc._jsc.hadoopConfiguration())
+    for part in fs.globStatus(path(f"{staging}/_doc=*/_to=*/part-*")):
+        at = part.getPath()
+        to, doc = at.getParent().getName().removeprefix("_to="), at.getParent().getParent().getName().removeprefix("_doc=")
+        folder = path(f"{root}/processed/{doc}/v{to}")
+        fs.mkdirs(folder)
+        if not fs.rename(at, path(folder, f"{record}.jsonl")):
+            raise FileExistsError(f"{folder}/{record}.jsonl")
+    fs.delete(path(staging), True)
+    return version
+
+
+def versions(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, version) of all versions under ``processed/``, from the paths of their files; executors list them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(f"{root}/processed").select("path")
+    doc, version = key_parts(F.col("path"))
+    return files.select(doc.alias("doc_id"), version.alias("version")).filter("version IS NOT NULL").distinct()
+
+
+def next_versions(spark: SparkSession, root: str, docs: DataFrame) -> DataFrame:
+    """(doc_id, version): one more than each document's highest, 1 where there is none."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{root}/processed")
+    if not path.getFileSystem(sc._jsc.hadoopConfiguration()).exists(path):
+        return docs.select("doc_id", F.lit(1).alias("version"))
+    top = versions(spark, root).groupBy("doc_id").agg(F.max("version").alias("_top"))
+    return docs.select("doc_id").join(top, "doc_id", "left").select("doc_id", (F.coalesce("_top", F.lit(0)) + 1).alias("version"))
+
+
+def read_latest(spark: SparkSession, root: str, record: str) -> DataFrame:
+    """A record type's rows in each document's highest version: what a viewer of one document shows."""
+    rows = read_versions(spark, root, record)
+    top = versions(spark, root).groupBy("doc_id").agg(F.max("version").alias("version")).withColumnRenamed("doc_id", "path_doc_id")
+    return rows.join(top, ["path_doc_id", "version"], "left_semi")
+
+
+def discover_outputs(spark: SparkSession, root: str) -> DataFrame:
+    """Documents of local runs, ``out/<doc>/documents.jsonl``: path and record, sorted by path."""
+    df = spark.read.schema(schema("documents")).json(f"{root}/out/*/documents.jsonl")
+    return with_defaults(df.withColumn("path", F.col("_metadata.file_path")), "documents").orderBy("path")
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 1, **options: str) -> DataFrame:
+    """A database's table; with a numeric ``key`` and its bounds, read in ``parts`` ranges at once. The driver must be on the class path."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+    if key:
+        reader = reader.option("partitionColumn", key).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
+    return reader.load()
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", parts: int = 8, **options: str) -> None:
+    """Rows into a database's table, over at most ``parts`` connections; arrays and structs go as JSON."""
+    plain = [F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in df.dtypes]
+    df.select(*plain).write.format("jdbc").option("url", url).option("dbtable", table).option("numPartitions", parts).options(**options).mode(mode).save()
+
+
 def discover_pdfs(spark: SparkSession, root: str) -> DataFrame:
     """PDF files under a folder with their SHA-256; content stays with the executors."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(root)
@@ -116,6 +191,3 @@ def pages_selected(spec: str | None) -> list[int] | None:
     return sorted(out)
 
 
-def check_values(df: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame:
-    """Rows whose value isn't allowed."""
-    return df.filter(~F.col(column).isin(*allowed))

@@ -8,7 +8,7 @@ from folioloom.operators import index as ix
 from folioloom.operators import metadata as md
 from folioloom.operators import retrieval as rt
 from folioloom.sources import records
-from folioloom.sources.providers import HashEmbedder, OverlapReranker, PlainReader, language_provider
+from folioloom.sources.providers import HashEmbedder, OverlapReranker, PlainReader
 from folioloom.streaming import ingest
 
 DOCS = "doc_id string, source_filename string, title string, author string, year int, publication string, document_type string, language string"
@@ -170,8 +170,14 @@ def test_providers(spark):
     pages = spark.createDataFrame([("d", 1, bytearray(b"# T")), ("d", 2, bytearray(b"\xff"))], "doc_id string, page_num_1 int, content binary")
     got = {r["page_num_1"]: (r["markdown"], r["error"] is None) for r in PlainReader().pages(pages).collect()}
     assert got == {1: ("# T", True), 2: (None, False)}
-    df = spark.createDataFrame([("the cat and the dog of the house is here with us",), ("short",)], "t string")
-    assert [r[0]["lang"] for r in df.select(language_provider()(F.col("t"))).collect()] == ["en", "unknown"]
+    from folioloom.functions import lang
+
+    cases = {"the cat and the dog of the house is here with us": "en", "short": "unknown", "orang itu tidak ada dalam rumah ini dan juga": "ms", "这是一个很长的中文句子用来测试语言识别的功能是否正常工作可以吗": "zh", "هذا نص طويل باللغة العربية لاختبار التعرف على اللغة": "ar", "zzz " * 20: "unknown", None: "unknown"}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    found = {r["t"]: r["l"] for r in df.select("t", lang.detect(F.col("t")).alias("l")).collect()}
+    assert {t: x["lang"] for t, x in found.items()} == cases
+    assert found["short"]["confidence"] == 0.0 and all(len(x["candidates"]) <= 3 for x in found.values())
+    assert set(lang.LANGUAGES) == {"en", "ms", "zh", "ar", "fr", "de", "nl", "pt", "es", "it", "la"}
 
 
 def test_stream_of_files(spark, tmp_path):
