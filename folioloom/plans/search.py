@@ -226,7 +226,7 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
     a = _answers(spark, d).select("answer_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("position"))
     place = F.when(F.col("position") == 6, 1).otherwise(F.col("position"))
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    of = (F.col("answer_id") * 7919 + place) % ((high or 0) - (low or 0) + 1) + (low or 0)
+    of = (F.col("answer_id") * 7919 + F.floor(F.col("answer_id") / 1000) * 613 + place) % ((high or 0) - (low or 0) + 1) + (low or 0)
     keyed = a.select("answer_id", "position", of.cast("long").alias("doc_id"), F.concat(F.lit("c"), F.col("position").cast("string")).alias("chunk_id"))
     start = (F.col("doc_id") % 9 + 1).cast("int")
     return keyed.join(docs, "doc_id").withColumns({"start_page": start, "end_page": (start + F.col("doc_id") % 2).cast("int")})
@@ -240,7 +240,7 @@ def citation_collapse(spark: SparkSession, d: str) -> DataFrame:
 _SOURCE_SQL = """v_sources AS (
   SELECT a.answer_id, p.position, d.*, (d.doc_id % 9 + 1)::INT AS start_page, (d.doc_id % 9 + 1 + d.doc_id % 2)::INT AS end_page
   FROM (SELECT answer_id, unnest(range(1, 8)) AS position FROM v_answers) p JOIN v_answers a USING (answer_id)
-  JOIN v_docs d ON d.doc_id = (a.answer_id * 7919 + CASE WHEN p.position = 6 THEN 1 ELSE p.position END) % (SELECT max(doc_id) - min(doc_id) + 1 FROM v_docs) + (SELECT min(doc_id) FROM v_docs))"""
+  JOIN v_docs d ON d.doc_id = (a.answer_id * 7919 + a.answer_id // 1000 * 613 + CASE WHEN p.position = 6 THEN 1 ELSE p.position END) % (SELECT max(doc_id) - min(doc_id) + 1 FROM v_docs) + (SELECT min(doc_id) FROM v_docs))"""
 
 _COLLAPSED = """collapsed AS (
   SELECT answer_id, old, dense_rank() OVER (PARTITION BY answer_id ORDER BY first) AS new FROM (
