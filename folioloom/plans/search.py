@@ -258,7 +258,7 @@ _BIB_SQL = v.with_views("words", "v_docs") + ",\n" + ",\n".join((_ANSWERS, _CITE
 , first AS (
   SELECT s.*, c.new, row_number() OVER (PARTITION BY s.answer_id, s.doc_id, s.start_page ORDER BY s.position) AS r FROM v_sources s JOIN collapsed c ON c.answer_id = s.answer_id AND c.old = s.position),
 lines AS (
-  SELECT answer_id, new, position, replace(trim('[' || new || '] ' || author || CASE WHEN year IS NULL THEN '' ELSE ' (' || year || ')' END) || '. ''' || title || ''', *' || publication || '*, '
+  SELECT answer_id, new, position, replace(trim('[' || new || '] ' || author || CASE WHEN year IS NULL THEN '' ELSE ' (' || year || ')' END) || '. ''' || trim(replace(title, '*', '')) || ''', *' || publication || '*, '
     || CASE WHEN start_page = end_page THEN 'p. ' || start_page ELSE 'pp. ' || start_page || '–' || end_page END, '..', '.') AS line FROM first WHERE r = 1)
 SELECT answer_id, chr(10) || chr(10) || '---' || chr(10) || '**Sources:**' || chr(10) || string_agg(line, chr(10) ORDER BY new, position) AS bibliography FROM lines GROUP BY answer_id
 """
