@@ -64,13 +64,16 @@ GOLD = (0.95, 0.01)
 GOLD_WEIGHT = 20.0
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Each pattern begins with what is rare, or is looked for only where that occurs.
+_SIGN = re.compile(r"[0-9@$!|+][^\W\d_]")
 _DISGUISED = re.compile(r"(?<![^\W_])[0-9@$]?[^\W\d_]+(?:[0-9@$!|+]+[^\W\d_]+)+(?![^\W_])")
+_PARTED = re.compile(r"[.*_-][^\W\d_][.*_-]")
 _APART = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*_-][^\W\d_]){3,}(?![^\W_])")
-_DRAWN = re.compile(r"[^\W\d_]*([^\W\d_])\1{2}[^\W\d_]*")
+_DRAWN = re.compile(r"(.)\1{2,}")
 _MASKED = re.compile(r"(?<![^\W_])[^\W\d_]+[*#]{2,}[^\W\d_]*")
-_SHOUT = re.compile(r"(?<![^\W_])[A-Z]{4,}(?![^\W_])")
+_SHOUT = re.compile(r"[A-Z]{4,}\b")
 _BANG = re.compile(r"[!?]{2,}")
-_YOU = re.compile(r"\byou(?:\W+are|['’]re)?\W+(?:an?\W+|such\W+|so\W+)*([^\W\d_]+)")
+_YOU = re.compile(r"you(?:\W+are|['’]re)?\W+(?:an?\W+|such\W+|so\W+)*([^\W\d_]+)")
 #: What signs stand for (fixed values).
 _SIGNS = str.maketrans("013457@$!|+", "oieastasilt")
 
@@ -84,26 +87,35 @@ def counted(text: str | None) -> Counter:
     """Words of a text, and patterns, which begin with a sign."""
     text = text or ""
     low = text.lower()
-    out = Counter(_WORD.findall(low))
-    for m in _DISGUISED.finditer(low):
-        out["~" + m.group().translate(_SIGNS)] += 1
-    for m in _APART.finditer(low):
-        out["~" + m.group()[::2]] += 1
-    for m in _DRAWN.finditer(low):
-        out["~" + re.sub(r"(.)\1{2,}", r"\1", m.group())] += 1
-    for m in _YOU.finditer(low):
-        out["you>" + m.group(1)] += 1
-    for name, pattern, where in (("#masked", _MASKED, low), ("#shout", _SHOUT, text), ("#bang", _BANG, text)):
-        if n := sum(1 for _ in pattern.finditer(where)):
-            out[name] = n
+    words = _WORD.findall(low)
+    out = Counter(words)
+    if _SIGN.search(low):
+        for m in _DISGUISED.finditer(low):
+            out["~" + m.group().translate(_SIGNS)] += 1
+    if _PARTED.search(low) or sum(n for w, n in out.items() if len(w) == 1) > 3:
+        for m in _APART.finditer(low):
+            out["~" + m.group()[::2]] += 1
+    if "you" in out or "youre" in out:
+        for m in _YOU.finditer(low):
+            if not m.start() or not low[m.start() - 1].isalpha():
+                out["you>" + m.group(1)] += 1
+    if "**" in low or "##" in low:
+        out["#masked"] = sum(1 for _ in _MASKED.finditer(low))
+    if n := len(_SHOUT.findall(text)):
+        out["#shout"] = n
+    if n := len(_BANG.findall(text)):
+        out["#bang"] = n
     return out
 
 
 def _pieces(word: str) -> list[str]:
-    """All features of what ``counted`` gives: patterns are features themselves; an undisguised word is that word too."""
-    if word[0] == "~":
-        return [word, *parts(word[1:])]
-    return [word] if word[0] == "#" or ">" in word else parts(word)
+    """All features of what ``counted`` gives: patterns are features themselves; an undisguised word, and one with letters drawn out, is the plain word too."""
+    if word[0] == "#" or ">" in word:
+        return [word]
+    plain = _DRAWN.sub(r"\1", word.removeprefix("~"))
+    if word[0] == "~" or plain != word:
+        return ["~" + plain, *parts(plain)]
+    return parts(word)
 
 
 def samples(spark: SparkSession, docs: DataFrame, labels: DataFrame, usable: Column, max_toxic: int, max_clean: int, max_unlabelled: int) -> tuple[DataFrame, float]:
