@@ -100,9 +100,9 @@ def fit(spark: SparkSession, labelled: DataFrame, text: str = "text", lang: str
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(4.0 * sample_rows) / F.approx_count_distinct("h")))
     bounds = rows.groupBy("lang").agg(share.alias("share"))  # a row a language
     below = F.pmod(F.shiftrightunsigned("h", 1), F.lit(1 << 40)) <= F.col("share") * F.lit(float(1 << 40))
-    keys = rows.select("lang", "h").join(bounds, "lang").filter(below).select("lang", "h").distinct()
-    chosen = keys.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample_rows).select("lang", "h")
-    sample = rows.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    keys = rows.select("lang", "h").join(F.broadcast(bounds), "lang").filter(below).select("lang", "h").distinct()
+    chosen = keys.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample_rows).select("lang", "h")  # sample_rows a language
+    sample = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     counted = sample.select("lang", "text").mapInArrow(_counts(buckets), "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_lang = counted.groupBy("lang").agg(F.collect_list("gram").alias("gram"), F.collect_list("n").alias("n")).orderBy("lang")  # at most ``buckets`` entries a language
     langs, columns = [], []
