@@ -20,9 +20,9 @@ the same positions: that is the guaranteed minimum of the count filter.
 * Longer postings are split by further bytes, without loss: their nodes go into lists
   of all six positions that contain the posting's. Members of such a list differ in two
   bytes at most, so that it never has more than 65,536 nodes, whatever the input. In
-  lists that are still longer than ``SHORT``, each node meets its own and its 16 one-bit
-  variants of the two free bytes; nodes that meet at a variant are within two bits of
-  each other, so one star a variant keeps every connection without any pair.
+  lists that are still longer than ``SHORT``, each node looks up the 136 values of the two
+  free bytes that are one or two bits away, in an array of all 65,536; what is found is
+  contracted to stars, without a row for each pair.
 
 All ways are exact: ``links`` has fewer links than there are, but connects what they do.
 
@@ -31,6 +31,11 @@ then each node takes the least of its neighbours for all its neighbours, and edg
 contract again where they meet at their greater end, until nothing changes. Minimum
 and join back, no window, so that a star's centre isn't one task's work.
 
+Documents that are alike, rather than nearly equal (``similar_documents``): the same over
+256 bits, 32 positions, of shingles of five words. Similarity can't guarantee a shared byte
+there, so that the minimum is one of 160 threes of positions, which pairs of similarity 0.8
+have with high chance; README has the measured recall.
+
 Defined results: a null text counts as empty; repeated rows have the same result; a
 null doc_id is never a component's id unless all of its documents have none; an
 empty table gives an empty result.
@@ -39,6 +44,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +55,8 @@ from folioloom.session import release, staged
 
 WIDTH = 3
 MAX_BITS = 2
+NEAR_WIDTH = 5
+SIMILARITY = 0.8
 SHORT = 64
 LEAST_BYTES = 3
 SEED = 42
@@ -57,8 +65,8 @@ SEED = 42
 _BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """The 64-bit fingerprint of one text, unsigned."""
+def _votes(text: str | None, width: int, digest, positions: int) -> int:
+    """The majority of each bit over the shingles' digests of ``positions`` bytes; 0 without words."""
     import numpy as np
 
     global _TABLE
@@ -67,11 +75,12 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
         return 0
     if _TABLE is None:
         _TABLE = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
-    votes, n = np.zeros((8, 256), np.int64), 0
-    for block in _digests(words, width):
-        b = np.frombuffer(block, np.uint8).reshape(-1, 8)
+    votes, n = np.zeros((positions, 256), np.int64), 0
+    offsets = np.arange(positions, dtype=np.int64) * 256
+    for block in _digests(words, width, digest):
+        b = np.frombuffer(block, np.uint8).reshape(-1, positions)
         n += len(b)
-        votes += np.bincount((b + _OFFSETS).ravel(), minlength=2048).reshape(8, 256)
+        votes += np.bincount((b + offsets).ravel(), minlength=positions * 256).reshape(positions, 256)
     bits = (votes @ _TABLE).ravel()  # most significant bit first
     return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big")
 
@@ -80,10 +89,22 @@ _TABLE = None
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def _digests(words: list[bytes], width: int) -> Iterator[bytes]:
-    """XXH64 digests (8 bytes, big-endian) of all shingles, in blocks."""
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """The 64-bit fingerprint of one text, unsigned."""
+    import xxhash
+
+    return _votes(text, width, lambda x: xxhash.xxh64_digest(x, SEED), 8)
+
+
+def wide_fingerprint(text: str | None, width: int = NEAR_WIDTH) -> int:
+    """The 256-bit fingerprint of one text, unsigned."""
     import xxhash
 
+    return _votes(text, width, lambda x: xxhash.xxh3_128_digest(x, 1) + xxhash.xxh3_128_digest(x, 2), 32)
+
+
+def _digests(words: list[bytes], width: int, digest) -> Iterator[bytes]:
+    """Digests of all shingles, in blocks."""
     count = max(1, len(words) - width + 1)
     for at in range(0, count, _BLOCK):
         part = words[at : at + _BLOCK + width - 1]
@@ -91,16 +112,7 @@ def _digests(words: list[bytes], width: int) -> Iterator[bytes]:
         ends = list(itertools.accumulate(len(w) + 1 for w in part))
         starts = [0, *ends]
         last = ends[width - 1 :] if len(part) >= width else ends[-1:]
-        yield b"".join([xxhash.xxh64_digest(joined[i : j - 1], SEED) for i, j in zip(starts, last, strict=False)])
-
-
-def _offsets():
-    import numpy as np
-
-    return np.arange(8, dtype=np.int64) * 256
-
-
-_OFFSETS = _offsets()
+        yield b"".join([digest(joined[i : j - 1]) for i, j in zip(starts, last, strict=False)])
 
 
 def _fingerprints(batches):
@@ -172,12 +184,57 @@ def links(spark: SparkSession, nodes: DataFrame, short: int = SHORT, level: int
     lists = staged(spark, six.groupBy("q", "bytes").agg(F.collect_set("fp").alias("fps")).filter(F.size("fps") > 1), "simhash-lists")
     pairs = _verified(few.select("fps").unionByName(lists.filter(F.size("fps") <= short).select("fps")))
 
-    flips = F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << (8 * p + b))) for p in range(8) if p not in six for b in range(8)]) for six in _SIX])
-    long_ = lists.filter(F.size("fps") > short).select("q", F.explode("fps").alias("fp"))
-    variants = long_.select("q", "fp", F.explode(F.element_at(flips, F.col("q").cast("int") + 1)).alias("flip")).select("q", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
-    # a variant of a list is shared by 17 nodes at most
-    stars = variants.groupBy("q", "variant").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).filter("u <> v")
-    return pairs.unionByName(stars)
+    # rows of a list follow one another, so that a task holds one list at a time
+    rows = lists.filter(F.size("fps") > short).select("q", "bytes", F.explode("fps").alias("fp"))
+    return pairs.unionByName(rows.mapInArrow(_dense, "u bigint, v bigint"))
+
+
+#: The 136 ways to change one or two of 16 bits.
+_NEAR = [1 << i for i in range(16)] + [1 << i | 1 << j for i in range(16) for j in range(i)]
+
+
+def _stars(q: int, fps):
+    """Stars that connect the fingerprints of one list that are within two bits: an array of all values of the two free bytes says who has which."""
+    import numpy as np
+
+    a, b = (p for p in range(8) if p not in _SIX[q])
+    bits = fps.view(np.uint64)
+    free = (bits >> np.uint64(8 * a) & np.uint64(255) | (bits >> np.uint64(8 * b) & np.uint64(255)) << np.uint64(8)).astype(np.int64)
+    own, at = np.arange(len(fps)), np.full(1 << 16, -1)
+    at[free] = own
+    u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+    for mask in _NEAR:
+        other = at[free ^ mask]
+        met = other > own
+        u, v = np.concatenate([u, own[met]]), np.concatenate([v, other[met]])
+        if len(u) >= _EDGES:
+            u, v = contracted(u, v)
+    return contracted(fps[u], fps[v])
+
+
+def _dense(batches):
+    """Stars of lists (q, bytes, fp), whose rows are next to one another."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, key = [], None
+    for batch in batches:
+        q, six, fps = (batch.column(i).to_numpy() for i in range(3))
+        cuts = [0, *(np.flatnonzero((q[1:] != q[:-1]) | (six[1:] != six[:-1])) + 1).tolist(), len(q)]
+        done = []
+        for lo, hi in itertools.pairwise(cuts):
+            if lo == hi:
+                continue
+            now = (int(q[lo]), int(six[lo]))
+            if held and now != key:
+                done.append(_stars(key[0], np.concatenate(held)))
+                held = []
+            key = now
+            held.append(fps[lo:hi])
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*done, strict=True)], names=["u", "v"])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _stars(key[0], np.concatenate(held))], names=["u", "v"])
 
 
 #: Edges that are contracted at a time.
@@ -242,6 +299,19 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
     raise RuntimeError("components did not settle")
 
 
+def _named(spark: SparkSession, rows: DataFrame, nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """``rows`` with ``first`` of their component: the least (doc_id is null, doc_id, key) of all that links lead to."""
+    roots = components(spark, edges)
+    linked = staged(spark, nodes.join(roots.withColumnRenamed("node", node), node), "simhash-linked")
+    named = linked.groupBy("root").agg(F.min("first").alias("first"))
+    new = linked.select(node, "root").join(named, "root").select(node, F.col("first").alias("new"))
+    ids = nodes.select(node, "first").join(new, node, "left").select(node, F.coalesce("new", "first").alias("first"))
+    return rows.join(ids, node)
+
+
+_FIRST = "min(struct(doc_id IS NULL AS none, doc_id, key)) AS first"
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id (the least doc_id that links lead to), key, kept.
 
@@ -249,19 +319,102 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id"
     and of several texts with that doc_id, one. Rows that repeat both have equal results.
     """
     rows = staged(spark, fingerprints(spark, docs, doc_id, text), "simhash-rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    nodes = staged(spark, rows.groupBy("fp").agg(first), "simhash-nodes")
-    roots = components(spark, links(spark, nodes.select("fp")))
-    linked = staged(spark, nodes.join(roots.withColumnRenamed("node", "fp"), "fp"), "simhash-linked")
-    named = linked.groupBy("root").agg(F.min("first").alias("first"))
-    new = linked.select("fp", "root").join(named, "root").select("fp", F.col("first").alias("new"))
-    ids = nodes.join(new, "fp", "left").select("fp", F.coalesce("new", "first").alias("first"))
-    return rows.join(ids, "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"), "key", (F.col("key") == F.col("first.key")).alias("kept"))
+    nodes = staged(spark, rows.groupBy("fp").agg(F.expr(_FIRST)), "simhash-nodes")
+    named = _named(spark, rows, nodes, links(spark, nodes.select("fp")), "fp")
+    return named.select("doc_id", "fp", F.col("first.doc_id").alias("component_id"), "key", (F.col("key") == F.col("first.key")).alias("kept"))
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component. Rows that repeat doc_id and text stay or go together."""
-    found = near_duplicates(spark, docs, doc_id, text)
+# -- documents that are alike, rather than nearly equal ---------------------------------
+
+_LONGS = ["f0", "f1", "f2", "f3"]
+
+
+def _triples(count: int = 160) -> list[tuple[int, int, int]]:
+    """Threes of the 32 positions, each position as often as the others."""
+    import random
+
+    draw, out = random.Random(1), []
+    while len(out) < count:
+        order = list(range(32))
+        draw.shuffle(order)
+        out += [tuple(sorted(order[i : i + 3])) for i in range(0, 30, 3)]
+    return out[:count]
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits of 256 that texts of about this similarity of shingles have at most, nearly always.
+
+    Sets of equal size with Jaccard similarity s have cosine c = 2s/(1+s), and bits differ
+    with chance acos(c)/pi; two thirds of a standard deviation are allowed above the mean.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(256 * share + 0.67 * (256 * share * (1 - share)) ** 0.5)
+
+
+def _wide_fingerprints(batches):
+    import pyarrow as pa
+
+    for batch in released(batches):
+        values = [wide_fingerprint(t) for t in texts(batch.column(2))]
+        longs = [pa.array([_signed(v >> (64 * i) & (2**64 - 1)) for v in values], pa.int64()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs], names=["doc_id", "key", *_LONGS])
+
+
+def _differing(a: list[Column], b: list[Column]) -> Column:
+    parts = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)]
+    return sum(parts[1:], parts[0])
+
+
+def similar_links(spark: SparkSession, nodes: DataFrame, similarity: float = SIMILARITY, short: int = SHORT) -> DataFrame:
+    """Links (u, v) between ``nodes`` (node, f0 to f3) of about ``similarity`` or more.
+
+    The index holds threes of positions with their bytes, 160 of them: texts of similarity
+    0.8 share about 9 of 32 positions, and with them several of those threes. Pairs that meet in
+    a list of up to ``short`` nodes are tallied and verified. Longer lists are dealt to parts
+    of about ``short`` by a hash, each with the list's least node, so that texts that are all
+    alike stay connected and nobody meets more than ``short`` others a list.
+    """
+    limit = most_bits(similarity)
+    byte = lambda p: F.call_function("shiftright", F.col(_LONGS[p // 8]), F.lit(8 * (p % 8))).bitwiseAND(F.lit(255))
+    keys = F.array(*[(byte(a) * 65536 + byte(b) * 256 + byte(c) + F.lit(i << 24)).cast("long") for i, (a, b, c) in enumerate(_triples())])
+    postings = nodes.select("node", *_LONGS, F.explode(keys).alias("three"))
+    shared = staged(spark, postings.groupBy("three").agg(F.count("*").alias("n"), F.min(F.struct("node", *_LONGS)).alias("least")).filter("n > 1"), "similar-postings")
+    maybe = flag_members(postings, [F.col("three")], key_bitmap(shared, ["three"], 26), 26, "_maybe").filter("_maybe").drop("_maybe")
+    part = F.when(F.col("n") > short, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / short))).otherwise(0)
+    met = maybe.join(shared, "three").select("three", part.alias("part"), F.struct("node", *_LONGS).alias("x"), "least")
+    lists = met.groupBy("three", "part").agg(F.collect_list("x").alias("xs"), F.first("least").alias("least")).select(F.array_sort(F.array_union("xs", F.array("least"))).alias("xs"))
+    member = lists.select("xs", F.posexplode("xs").alias("i", "own"))
+    alike = lambda v: _differing([F.col(f"own.{f}") for f in _LONGS], [v[f] for f in _LONGS]) <= limit
+    found = member.select(F.col("own.node").alias("u"), F.explode(F.transform(F.filter(F.expr("slice(xs, i + 2, size(xs))"), alike), lambda v: v["node"])).alias("v"))
+    return found.filter("u <> v")
+
+
+def similar_documents(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """As ``near_duplicates``, by shingles of five words and their estimated similarity: doc_id, component_id, key, kept.
+
+    Fingerprints have 256 bits. Each node goes by a hash of them.
+    """
+    prepare(spark)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    chosen = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
+    made = chosen.mapInArrow(_wide_fingerprints, f"doc_id {kind}, key string, " + ", ".join(f"{f} bigint" for f in _LONGS))
+    rows = staged(spark, made.withColumn("node", F.xxhash64(*_LONGS)), "similar-rows")
+    nodes = staged(spark, rows.groupBy("node", *_LONGS).agg(F.expr(_FIRST)), "similar-nodes")
+    named = _named(spark, rows.select("doc_id", "key", "node"), nodes, similar_links(spark, nodes, similarity), "node")
+    return named.select("doc_id", F.col("first.doc_id").alias("component_id"), "key", (F.col("key") == F.col("first.key")).alias("kept"))
+
+
+def _without(spark: SparkSession, docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
     key = free_name(docs, "_key")
     gone = staged(spark, found.filter("NOT kept").select(F.col("key").alias(key)), "simhash-gone")
     return drop_keys(docs.withColumn(key, row_key(doc_id, text)), key, gone).drop(key)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component. Rows that repeat doc_id and text stay or go together."""
+    return _without(spark, docs, near_duplicates(spark, docs, doc_id, text), doc_id, text)
+
+
+def drop_similar_documents(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group of similar ones. Rows that repeat doc_id and text stay or go together."""
+    return _without(spark, docs, similar_documents(spark, docs, doc_id, text, similarity), doc_id, text)

@@ -25,7 +25,7 @@ def test_stages(spark, sf_dir):
     assert [n for n, *_ in seen] == ["language_id", "exact_dedup", "near_dedup", "mix", "pack"]
     ids = {n: Counter(r["doc_id"] for r in d.collect()) for n, _, d in seen}
     assert 10**6 not in ids["language_id"] and 10**6 + 1 in ids["language_id"] and 10**6 + 1 not in ids["exact_dedup"]
-    groups = simhash.near_duplicates(spark, seen[1][2]).collect()
+    groups = simhash.similar_documents(spark, seen[1][2]).collect()
     assert set(ids["near_dedup"]) == {r["component_id"] for r in groups}
     copies = {r["doc_id"]: r["copies"] for r in mixing.copies(spark, seen[2][2]).collect()}
     assert ids["mix"] == Counter({d: c for d, c in copies.items() if c})
@@ -35,6 +35,39 @@ def test_stages(spark, sf_dir):
     assert langid.UNKNOWN == "und"
 
 
+def test_pipeline_over_hard_rows(spark, sf_dir, tmp_path):
+    """A very long text, a third of all rows equal, a third nearly equal, null ids, and columns with clashing names, end to end."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    base = [x["text"] for x in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("n_chars > 600").collect()]
+    words = base[0].split()[:200]
+
+    def edited():
+        w = list(words)
+        w[r.randrange(len(w))] = r.choice(words)
+        return " ".join(w)
+
+    rows = [(i, x, "en", "s1") for i, x in enumerate(base[1:81])] + [(1000 + i, base[81], "en", "s1") for i in range(80)] + [(2000 + i, edited(), "en", "s2") for i in range(80)]
+    rows += [(None, base[82] + f" {i}", "en", None) for i in range(3)] + [(5000, " ".join(base[:60]) * 40, "en", "s1"), (5001, "", "en", "s1"), (5002, None, None, None)]
+    odd = ("_key", "_row", "_hash", "_at", "key", "node", "size", "copies", "fp")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"n_chars": F.length("text").cast("long")} | {c: F.lit(1) for c in odd})
+    docs.repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert sorted(at.columns) == sorted(docs.columns)
+        at.write.parquet(f"{tmp_path}/{name}")
+        at = spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "near_dedup":
+            ids = [x["doc_id"] for x in at.collect()]
+            assert sum(1000 <= (i or 0) < 2000 for i in ids) == 1 and sum(2000 <= (i or 0) < 3000 for i in ids) == 1
+            assert ids.count(None) == 1 and 5000 in ids and len([i for i in ids if i is not None and i < 1000]) >= 76
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 80
+
+
 def test_run_removes_what_it_no_longer_reads(spark, sf_dir):
     """Only what the last stage reads is left under the shared folder."""
     import glob
