@@ -822,17 +822,17 @@ def test_licenses(spark, empty):
     assert license_scan.scan(spark, empty).count() == 0
 
 
-@pytest.mark.parametrize("width", [60, 70, 80])
+@pytest.mark.parametrize("width", [40, 60, 72, 80])
 def test_wrapped_licenses(spark, width):
     """Whole wordings, wrapped, commented and with blank lines, amid other words."""
     import textwrap
 
     wanted, rows = {}, []
     for name, text in license_scan.TEMPLATES.items():
-        lines = textwrap.wrap(text, width)
+        lines = textwrap.wrap(text, width, break_long_words=False)  # addresses stay whole
         if len(lines) < 2:
             continue
-        for form in ("\n".join(lines), "\n\n".join(lines), "\n".join(" * " + x for x in lines)):
+        for form in ("\n".join(lines), "\n\n".join(lines), *("\n".join(sign + x for x in lines) for sign in (" * ", "// ", "# "))):
             i = len(rows)
             wanted[i] = name
             rows.append((i, "def f(x):\n    return x\n" * 3 + "\n" + form + "\n\nimport os\nprint(os.sep)\n"))
