@@ -26,10 +26,10 @@ the same positions: that is the guaranteed minimum of the count filter.
 
 All ways are exact: ``links`` has fewer links than there are, but connects what they do.
 
-Components: links are contracted in each task (a forest has fewer edges than nodes),
-then each node takes the least of its neighbours for all its neighbours, and edges
-contract again where they meet at their greater end, until nothing changes. Minimum
-and join back, no window, so that a star's centre isn't one task's work.
+Components: links are contracted in each task (a forest has fewer edges than nodes)
+and again where they meet at their greater end; then each node takes the least of its
+neighbours for all its neighbours, and edges contract again, until nothing changes.
+Minimum and join back, no window, so that a star's centre isn't one task's work.
 
 Documents that are alike, rather than nearly equal (``similar_documents``): the same over
 256 bits, 32 positions, of shingles of five words. Similarity can't guarantee a shared byte
@@ -285,7 +285,8 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
     """(node, root) for each node that has an edge (u, v); root is its component's least node."""
     prepare(spark)
     kind = "u bigint, v bigint"
-    edges = staged(spark, edges.select("u", "v").mapInArrow(_contract, kind), "links")
+    # tasks know many of a large group's nodes each; where these meet, one edge a node is left
+    edges = staged(spark, edges.select("u", "v").mapInArrow(_contract, kind).repartition("v").mapInArrow(_contract, kind), "links")
     for _ in range(max_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -365,28 +366,122 @@ def _differing(a: list[Column], b: list[Column]) -> Column:
     return sum(parts[1:], parts[0])
 
 
+#: Bits of the table that says which threes occur more than once: 8 MB, whatever the input.
+_THREES_LOG2 = 26
+
+
+def _threes(longs: list):
+    """An array (node, three) of the index's keys: the number of each three of positions, and its bytes."""
+    import numpy as np
+
+    chosen = np.array(_triples())
+    bytes_ = np.stack([x.astype("<i8", copy=False) for x in longs], axis=1).view(np.uint8).astype(np.int64)
+    keys = (bytes_[:, chosen[:, 0]] << 16) | (bytes_[:, chosen[:, 1]] << 8) | bytes_[:, chosen[:, 2]]
+    return keys + (np.arange(len(chosen), dtype=np.int64) << 24)
+
+
+def _slot(three):
+    """A three's place in the table, of a column or an array."""
+    return (three * 2654435761) // (1 << 20) % (1 << _THREES_LOG2)
+
+
+def _all_threes(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_threes([batch.column(i).to_numpy() for i in range(4)]).ravel())], names=["three"])
+
+
+def _met_threes(table):
+    """Rows (three, node, f0 to f3) of the threes that the table has."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        bits = np.frombuffer(table.value, np.uint8)
+        for batch in batches:
+            keys = _threes([batch.column(i).to_numpy() for i in range(1, 5)])
+            at = _slot(keys)
+            row, col = np.nonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row, col]), *[batch.column(i).take(take) for i in range(5)]], names=["three", "node", *_LONGS])
+
+    return run
+
+
+def _table(shared: DataFrame) -> bytes:
+    """A bit for each three of ``shared``; the driver sees at most 2,048 rows of 4 KB."""
+    from folioloom.llm.common import _BITS
+
+    at = F.expr(f"(three * 2654435761L) div {1 << 20} % {1 << _THREES_LOG2}")
+    rows = shared.select(F.floor(at / _BITS).cast("int").alias("bucket"), (at % _BITS).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = bytearray((1 << _THREES_LOG2) // 8)
+    for r in rows.toLocalIterator():
+        out[r["bucket"] * _BITS // 8 : (r["bucket"] + 1) * _BITS // 8] = r["bits"]
+    return bytes(out)
+
+
 def similar_links(spark: SparkSession, nodes: DataFrame, similarity: float = SIMILARITY, short: int = SHORT) -> DataFrame:
     """Links (u, v) between ``nodes`` (node, f0 to f3) of about ``similarity`` or more.
 
     The index holds threes of positions with their bytes, 160 of them: texts of similarity
     0.8 share about 9 of 32 positions, and with them several of those threes. Pairs that meet in
-    a list of up to ``short`` nodes are tallied and verified. Longer lists are dealt to parts
+    a list of up to ``short`` nodes are verified; links of a list that has more than a few are
+    contracted to stars, so that nothing grows with the square of a list. Longer lists are dealt to parts
     of about ``short`` by a hash, each with the list's least node, so that texts that are all
     alike stay connected and nobody meets more than ``short`` others a list.
     """
+    prepare(spark)
     limit = most_bits(similarity)
-    byte = lambda p: F.call_function("shiftright", F.col(_LONGS[p // 8]), F.lit(8 * (p % 8))).bitwiseAND(F.lit(255))
-    keys = F.array(*[(byte(a) * 65536 + byte(b) * 256 + byte(c) + F.lit(i << 24)).cast("long") for i, (a, b, c) in enumerate(_triples())])
-    postings = nodes.select("node", *_LONGS, F.explode(keys).alias("three"))
-    shared = staged(spark, postings.groupBy("three").agg(F.count("*").alias("n"), F.min(F.struct("node", *_LONGS)).alias("least")).filter("n > 1"), "similar-postings")
-    maybe = flag_members(postings, [F.col("three")], key_bitmap(shared, ["three"], 26), 26, "_maybe").filter("_maybe").drop("_maybe")
+    threes = nodes.select(*_LONGS).mapInArrow(_all_threes, "three bigint")
+    shared = staged(spark, threes.groupBy("three").agg(F.count("*").alias("n")).filter("n > 1"), "similar-postings")
+    table = spark.sparkContext.broadcast(_table(shared))  # 8 MB
+    schema = "three bigint, node bigint, " + ", ".join(f"{f} bigint" for f in _LONGS)
+    met = staged(spark, nodes.select("node", *_LONGS).mapInArrow(_met_threes(table), schema).join(shared, "three"), "similar-met")
+    table.destroy()
+    least = met.filter(F.col("n") > short).groupBy("three").agg(F.min(F.struct("node", *_LONGS)).alias("least"))
     part = F.when(F.col("n") > short, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / short))).otherwise(0)
-    met = maybe.join(shared, "three").select("three", part.alias("part"), F.struct("node", *_LONGS).alias("x"), "least")
-    lists = met.groupBy("three", "part").agg(F.collect_list("x").alias("xs"), F.first("least").alias("least")).select(F.array_sort(F.array_union("xs", F.array("least"))).alias("xs"))
-    member = lists.select("xs", F.posexplode("xs").alias("i", "own"))
+    own = met.groupBy("three", part.alias("part")).agg(F.collect_list(F.struct("node", *_LONGS)).alias("xs"))
+    lists = own.join(least, "three", "left").select(F.array_sort(F.when(F.col("least").isNull(), F.col("xs")).otherwise(F.array_union("xs", F.array("least")))).alias("xs"))
+    few = lists.filter(F.size("xs") <= _FEW)
+    member = few.select("xs", F.posexplode("xs").alias("i", "own"))
     alike = lambda v: _differing([F.col(f"own.{f}") for f in _LONGS], [v[f] for f in _LONGS]) <= limit
-    found = member.select(F.col("own.node").alias("u"), F.explode(F.transform(F.filter(F.expr("slice(xs, i + 2, size(xs))"), alike), lambda v: v["node"])).alias("v"))
-    return found.filter("u <> v")
+    found = member.select(F.col("own.node").alias("u"), F.explode(F.transform(F.filter(F.expr("slice(xs, i + 2, size(xs))"), alike), lambda v: v["node"])).alias("v")).filter("u <> v")
+    return found.unionByName(lists.filter(F.size("xs") > _FEW).mapInArrow(_alike(limit), "u bigint, v bigint"))
+
+
+#: Lists of so many nodes give their pairs; longer ones are contracted.
+_FEW = 4
+
+
+def _alike(limit: int):
+    """Stars that connect what differs in at most ``limit`` bits within each list (an array of node, f0 to f3): a table of all pairs of one list at a time."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(0)
+            ends, rows = lists.offsets.to_numpy(), lists.values
+            node = rows.field(0).to_numpy()
+            bits = np.stack([rows.field(i).to_numpy().view(np.uint64) for i in range(1, 5)], axis=1)
+            u, v, n = [], [], 0
+            for lo, hi in itertools.pairwise(ends.tolist()):
+                own = bits[lo:hi]
+                i, j = np.nonzero(np.triu(np.bitwise_count(own[:, None, :] ^ own[None, :, :]).sum(axis=2, dtype=np.int64) <= limit, 1))
+                u.append(node[lo + i])
+                v.append(node[lo + j])
+                n += len(i)
+                if n >= _EDGES:
+                    u, v = ([x] for x in contracted(np.concatenate(u), np.concatenate(v)))
+                    n = 0
+            if u:
+                roots, nodes = contracted(np.concatenate(u), np.concatenate(v))
+                yield pa.RecordBatch.from_arrays([pa.array(roots, pa.int64()), pa.array(nodes, pa.int64())], names=["u", "v"])
+
+    return run
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
