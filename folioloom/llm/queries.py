@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm import exact_dedup, langid, license_scan, mixing, mpegts, packing, secret_scan, sharding, simhash, toxicity
+from folioloom.llm import exact_dedup, infill, langid, license_scan, mixing, mpegts, packing, secret_scan, sharding, simhash, toxicity
 from folioloom.session import table
 
 
@@ -99,8 +99,15 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as fill-in-the-middle examples, with digests of what is put out and of what it restores to."""
+    made = infill.rearrange(spark, table(spark, sf_dir, "documents"))
+    back = infill.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_secret_battery, op3_license_compression, op4_transport_streams, op5_virtual_slots, op6_language_fusion, op7_exact_dedup, op8_simhash, op9_systematic_mix, op10_harmonic_packing)
+    f.__name__: f for f in (op1_toxicity, op2_secret_battery, op3_license_compression, op4_transport_streams, op5_virtual_slots, op6_language_fusion, op7_exact_dedup, op8_simhash, op9_systematic_mix, op10_harmonic_packing, op12_infill)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -113,4 +120,5 @@ WITH n AS (
 SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, n.text_sha256 FROM n JOIN g USING (text_sha256)
 """,
     "op9_systematic_mix": mixing.ORACLE_SQL,
+    "op12_infill": infill.ORACLE_SQL,
 }
