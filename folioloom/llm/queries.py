@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm import exact_dedup, infill, langid, license_scan, mixing, mpegts, packing, secret_scan, sharding, simhash, toxicity
+from folioloom.llm import crosstoken, exact_dedup, infill, langid, license_scan, mixing, mpegts, packing, secret_scan, sharding, simhash, toxicity
 from folioloom.session import table
 
 
@@ -106,8 +106,15 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op13_crosstoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignment of two tokenizers over all documents."""
+    found = crosstoken.align(spark, table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_secret_battery, op3_license_compression, op4_transport_streams, op5_virtual_slots, op6_language_fusion, op7_exact_dedup, op8_simhash, op9_systematic_mix, op10_harmonic_packing, op12_infill)
+    f.__name__: f for f in (op1_toxicity, op2_secret_battery, op3_license_compression, op4_transport_streams, op5_virtual_slots, op6_language_fusion, op7_exact_dedup, op8_simhash, op9_systematic_mix, op10_harmonic_packing, op12_infill, op13_crosstoken)
 }
 
 ORACLE_SQL: dict[str, str] = {
