@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioloom.llm import crosstoken, exact_dedup, infill, langid, license_scan, mixing, mpegts, packing, secret_scan, sharding, simhash, toxicity
+from folioloom.llm import crosstoken, exact_dedup, infill, langid, license_scan, mixing, mpegts, packing, recurrent, secret_scan, sharding, simhash, toxicity
 from folioloom.session import table
 
 
@@ -99,6 +99,13 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihoods of all documents; held-out rows, and those without an id, are never learned from."""
+    fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(10)), F.lit(0))
+    found = recurrent.score(spark, table(spark, sf_dir, "documents"), fold != 0)
+    return found.select("doc_id", (fold == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as fill-in-the-middle examples, with digests of what is put out and of what it restores to."""
     made = infill.rearrange(spark, table(spark, sf_dir, "documents"))
@@ -114,7 +121,7 @@ def op13_crosstoken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_secret_battery, op3_license_compression, op4_transport_streams, op5_virtual_slots, op6_language_fusion, op7_exact_dedup, op8_simhash, op9_systematic_mix, op10_harmonic_packing, op12_infill, op13_crosstoken)
+    f.__name__: f for f in (op1_toxicity, op2_secret_battery, op3_license_compression, op4_transport_streams, op5_virtual_slots, op6_language_fusion, op7_exact_dedup, op8_simhash, op9_systematic_mix, op10_harmonic_packing, op11_recurrent, op12_infill, op13_crosstoken)
 }
 
 ORACLE_SQL: dict[str, str] = {
