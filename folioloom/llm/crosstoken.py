@@ -115,13 +115,15 @@ class Aligned:
         self.a, self.b = a, b
         # no document's bytes differ between A and B, so that offsets over all documents do as well
         end_a, end_b = np.cumsum(width_a[a], dtype=np.int64), np.cumsum(width_b[b], dtype=np.int64)
-        self.common_a = np.isin(end_a, end_b, assume_unique=True)
-        self.common_b = np.isin(end_b, end_a, assume_unique=True)
-        ends = np.union1d(end_a, end_b)  # between two ends next to each other lies one link
-        self.of_a, self.of_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        of_a, of_b = (np.zeros(int(end_a[-1]) + 1 if len(a) else 1, bool) for _ in range(2))  # whether a token ends at a byte
+        of_a[end_a], of_b[end_b] = True, True
+        self.common_a, self.common_b = of_b[end_a], of_a[end_b]
+        ends = np.flatnonzero(of_a | of_b)  # between two ends next to each other lies one link
+        last_a, last_b = of_a[ends], of_b[ends]
+        self.of_a, self.of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         self.keys = (b[self.of_b].astype(np.int64) << _SHIFT) | a[self.of_a].astype(np.int64)
         self.start_a, self.start_b = (np.concatenate([[0], np.cumsum(c)]) for c in (counts_a, counts_b))
-        self.doc = np.searchsorted(self.start_a, self.of_a, "right") - 1  # of each link
+        self.doc = np.repeat(np.arange(len(counts_a)), counts_a)[self.of_a]  # of each link
         self.docs = len(counts_a)
 
     def sums(self, values):
@@ -143,11 +145,11 @@ class Aligned:
         """Per document, its groups as ``a1,a2|b1;a3|b2,b3``; ``names_*``: pairs of arrays of the ids' decimals, with the sign after an id inside a group and after its last."""
         import numpy as np
 
-        group_a = np.concatenate([[0], np.cumsum(self.common_a)[:-1]]) if len(self.a) else np.zeros(0, np.int64)
-        group_b = np.concatenate([[0], np.cumsum(self.common_b)[:-1]]) if len(self.b) else np.zeros(0, np.int64)
+        last_a, last_b = np.flatnonzero(self.common_a), np.flatnonzero(self.common_b)  # of each group
+        group_a, group_b = np.cumsum(self.common_a) - self.common_a, np.cumsum(self.common_b) - self.common_b
         out = np.empty(len(self.a) + len(self.b), object)
-        out[np.arange(len(self.a)) + np.searchsorted(group_b, group_a)] = np.where(self.common_a, names_a[1][self.a], names_a[0][self.a])
-        out[np.arange(len(self.b)) + np.searchsorted(group_a, group_b, "right")] = np.where(self.common_b, names_b[1][self.b], names_b[0][self.b])
+        out[np.arange(len(self.a)) + np.concatenate([[0], last_b + 1])[group_a]] = np.where(self.common_a, names_a[1][self.a], names_a[0][self.a])
+        out[np.arange(len(self.b)) + (last_a + 1)[group_b]] = np.where(self.common_b, names_b[1][self.b], names_b[0][self.b])
         at = self.start_a + self.start_b
         return ["".join(out[lo:hi].tolist())[:-1] for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
