@@ -164,32 +164,49 @@ REF_PATTERNS = (
 )
 
 
-def find_refs(c: Column, around: int = 20) -> Column:
+_REFS = "array<struct<pattern_no:int,match_no:int,match_type:string,number:int,snippet:string>>"
+
+
+def find_refs(c: Column, around: int | None = 20) -> Column:
     """Array of (pattern_no, match_no, match_type, number, snippet) of all patterns' matches, in that order.
 
-    The snippet is the match with up to ``around`` characters on both sides. Matches don't
-    overlap: a second pass takes each with the text since the one before, so that its place
-    is a sum of lengths.
+    The snippet is the match with up to ``around`` characters on both sides; None leaves it out, and
+    then no text is cut. Everything is linear in the text: it is parted once a pattern, into what stands
+    before each match, and the match; a snippet is put together from the ends of the parts next to it.
     """
-    parts = []
-    for no, (name, pattern, group) in enumerate(REF_PATTERNS):
-        numbers = F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
-        whole = F.regexp_extract_all(c, F.lit(rf"(?s)(.*?)(?:{pattern})"), F.lit(0))
-        hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-        parts.append(F.when(F.size(numbers) > 0, _labelled(c, numbers, whole, hits, no, name, around)).otherwise(F.array().cast("array<struct<pattern_no:int,match_no:int,match_type:string,number:int,snippet:string>>")))
-    return F.concat(*parts)
+    return F.concat(*[_matches(c, no, *p, around) for no, p in enumerate(REF_PATTERNS)])
+
+
+def _matches(text: Column, no: int, name: str, pattern: str, group: int, around: int | None) -> Column:
+    def one(number: Column, i: Column, snippet: Column) -> Column:
+        return F.struct(F.lit(no).alias("pattern_no"), i.cast("int").alias("match_no"), F.lit(name).alias("match_type"), number.cast("int").alias("number"), snippet.alias("snippet"))
+
+    numbers = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    if around is None:
+        return F.transform(numbers, lambda x, i: one(x, i, F.lit(None).cast("string")))
+    parted = rf"(?s)(.*?)(?:{pattern}|\z)"  # the end closes the last part, else each place of the tail would be tried
+    parts, gaps = (F.regexp_extract_all(text, F.lit(parted), F.lit(g)) for g in (0, 1))
+    near = -(-around // 3)  # no match is shorter than three characters, so that no more parts are within reach
+
+    def placed(s: Column) -> Column:
+        def each(x: Column, i: Column) -> Column:
+            before = F.concat(F.array_join(F.slice(s["tails"], F.greatest(i - near, F.lit(0)) + 1, F.least(i, F.lit(near))), ""), F.right(x["gap"], F.lit(around)))
+            after = F.array_join(F.slice(s["heads"], i + 2, F.lit(near)), "")
+            return one(x["number"], i, F.concat(F.right(before, F.lit(around)), F.substring(x["part"], F.length(x["gap"]) + 1, F.length(x["part"])), F.left(after, F.lit(around))))
+
+        return F.transform(F.slice(F.arrays_zip(s["gaps"].alias("gap"), s["parts"].alias("part"), s["numbers"].alias("number")), 1, F.size(s["numbers"])), each)
 
+    def ends(s: Column) -> Column:
+        own = [s[k].alias(k) for k in ("numbers", "parts", "gaps")]
+        return F.struct(*own, F.transform(s["parts"], lambda x: F.left(x, F.lit(around))).alias("heads"), F.transform(s["parts"], lambda x: F.right(x, F.lit(around))).alias("tails"))
 
-def _labelled(text: Column, numbers: Column, whole: Column, hits: Column, no: int, name: str, around: int) -> Column:
-    ends = F.transform(whole, lambda x, i: F.aggregate(F.slice(whole, F.lit(1), i + 1), F.lit(0), lambda a, y: a + F.length(y)))
-    placed = F.arrays_zip(numbers.alias("number"), ends.alias("end"), F.transform(hits, lambda h: F.length(h)).alias("size"))
+    found = _with(_with(F.struct(numbers.alias("numbers"), parts.alias("parts"), gaps.alias("gaps")), ends), placed)
+    return F.when(F.size(numbers) > 0, found).otherwise(F.array().cast(_REFS))
 
-    def one(x: Column, i: Column) -> Column:
-        begin = x["end"] - x["size"]
-        snippet = F.substring(text, F.greatest(begin - around, F.lit(0)) + 1, x["end"] + around - F.greatest(begin - around, F.lit(0)))
-        return F.struct(F.lit(no).alias("pattern_no"), i.alias("match_no"), F.lit(name).alias("match_type"), x["number"].cast("int").alias("number"), snippet.alias("snippet"))
 
-    return F.transform(placed, one)
+def _with(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it: a lambda's argument is, an expression inside a lambda isn't."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def ref_markup(text: Column, refs: Column) -> Column:

@@ -241,14 +241,14 @@ def footnotes(blocks: DataFrame, heights: DataFrame | None = None, top: float =
     return each.select("doc_id", "page_num_1", "block_id", F.col("_n.number").alias("footnote_number"), F.col("_n.text").alias("text"), tx.footnote_type(F.col("_n.text")).alias("footnote_type"), "reading_order")
 
 
-def link_refs(blocks: DataFrame, notes: DataFrame) -> DataFrame:
+def link_refs(blocks: DataFrame, notes: DataFrame, around: int | None = 20) -> DataFrame:
     """References in body blocks to footnotes: the same page's first, else the document's (``_xpage``).
 
     The last of several footnotes with a number wins. One row per block and number, the
-    first by pattern and place, with up to 20 characters of text on both sides.
+    first by pattern and place, with up to ``around`` characters of text on both sides; None leaves the snippet out.
     """
     body = blocks.filter(~F.col("block_type").isin("footnote", "header", "footer"))
-    found = body.select("doc_id", "page_num_1", F.col("block_id").alias("parent_block_id"), F.explode(tx.find_refs(F.col("text"))).alias("r")).select("doc_id", "page_num_1", "parent_block_id", F.col("r.number").alias("footnote_number"), F.col("r.match_type").alias("match_type"), F.col("r.pattern_no").alias("_p"), F.col("r.match_no").alias("_m"), F.col("r.snippet").alias("context_snippet"))
+    found = body.select("doc_id", "page_num_1", F.col("block_id").alias("parent_block_id"), F.explode(tx.find_refs(F.col("text"), around)).alias("r")).select("doc_id", "page_num_1", "parent_block_id", F.col("r.number").alias("footnote_number"), F.col("r.match_type").alias("match_type"), F.col("r.pattern_no").alias("_p"), F.col("r.match_no").alias("_m"), F.col("r.snippet").alias("context_snippet"))
     key = F.struct("page_num_1", "reading_order", "footnote_id")
     here = notes.groupBy("doc_id", "page_num_1", "footnote_number").agg(F.max_by("footnote_id", key).alias("_here"))
     anywhere = notes.groupBy("doc_id", "footnote_number").agg(F.max_by("footnote_id", key).alias("_any"))

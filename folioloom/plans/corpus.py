@@ -321,13 +321,23 @@ SELECT block_id, CASE WHEN NOT cited THEN 'explanatory' WHEN rest = '' OR len(st
 
 def ref_extract(spark: SparkSession, d: str) -> DataFrame:
     r = v.blocks(spark, d).select("block_id", F.explode(tx.find_refs(_marked(F.col("text")))).alias("r"))
-    return r.groupBy("block_id", F.col("r.match_type").alias("match_type"), F.col("r.number").alias("number")).agg(F.count("*").alias("n"))
+    return r.groupBy("block_id", F.col("r.match_type").alias("match_type"), F.col("r.number").alias("number"), F.col("r.snippet").alias("snippet")).agg(F.count("*").alias("n"))
 
 
-def _refs_sql() -> str:
+def _matches_sql(columns: str) -> str:
+    """Rows of all patterns' matches over m (t): p, m_, match_type, number and snippet, by summed lengths."""
     q = lambda p: "'" + p.replace("'", "''") + "'"
-    each = " UNION ALL ".join(f"SELECT block_id, '{name}' AS match_type, unnest(regexp_extract_all(t, {q(p)}, {g}))::INT AS number FROM m" for name, p, g in tx.REF_PATTERNS)
-    return v.with_views("words", "v_blocks") + f", m AS (SELECT block_id, {_MARKED} AS t FROM v_blocks), e AS ({each}) SELECT block_id, match_type, number, count(*) AS n FROM e GROUP BY ALL"
+    each = " UNION ALL ".join(
+        f"""SELECT {columns}, t, {i} AS p, '{name}' AS match_type, regexp_extract_all(t, {q(p)}, {g}) AS numbers, regexp_extract_all(t, {q(p)}) AS hits, regexp_extract_all(t, {q("(?s).*?(?:" + p + ")")}) AS parts FROM m"""
+        for i, (name, p, g) in enumerate(tx.REF_PATTERNS)
+    )
+    return f"""a AS ({each}), k AS (SELECT *, unnest(range(1, len(numbers) + 1)) AS m_ FROM a),
+s AS (SELECT *, list_sum([length(x) FOR x IN parts[1:m_]])::BIGINT AS stop, length(hits[m_]) AS size FROM k),
+e AS (SELECT {columns}, p, m_, match_type, numbers[m_]::INT AS number, substr(t, greatest(stop - size - 20, 0) + 1, stop + 20 - greatest(stop - size - 20, 0)) AS snippet FROM s)"""
+
+
+def _refs_sql() -> str:
+    return v.with_views("words", "v_blocks") + f", m AS (SELECT block_id, {_MARKED} AS t FROM v_blocks), {_matches_sql('block_id')} SELECT block_id, match_type, number, snippet, count(*) AS n FROM e GROUP BY ALL"
 
 
 def ref_markup(spark: SparkSession, d: str) -> DataFrame:
@@ -339,20 +349,19 @@ def ref_markup(spark: SparkSession, d: str) -> DataFrame:
 def link_refs(spark: SparkSession, d: str) -> DataFrame:
     b = v.blocks(spark, d).withColumn("text", _marked(F.col("text")))
     notes = b.filter(F.col("pos") % 2 == 0).select("doc_id", "page_num_1", "reading_order", (F.col("pos") % 30 + 1).cast("int").alias("footnote_number"), F.concat(F.lit("fn"), "block_id").alias("footnote_id"))
-    return bl.link_refs(b, notes).drop("context_snippet")
+    return bl.link_refs(b, notes)
 
 
 def _link_sql() -> str:
-    q = lambda p: "'" + p.replace("'", "''") + "'"
-    each = " UNION ALL ".join(f"SELECT doc_id, page_num_1, block_id AS parent_block_id, '{name}' AS match_type, unnest(regexp_extract_all(t, {q(p)}, {g}))::INT AS footnote_number, {i} AS p FROM m" for i, (name, p, g) in enumerate(tx.REF_PATTERNS))
     return (
         v.with_views("words", "v_blocks")
-        + f""", m AS (SELECT doc_id, page_num_1, block_id, {_MARKED} AS t FROM v_blocks), e AS ({each}),
+        + f""", m AS (SELECT doc_id, page_num_1, block_id, {_MARKED} AS t FROM v_blocks), {_matches_sql('doc_id, page_num_1, block_id')},
 notes AS (SELECT doc_id, page_num_1, reading_order, (pos % 30 + 1)::INT AS footnote_number, 'fn' || block_id AS footnote_id FROM v_blocks WHERE pos % 2 = 0),
 here AS (SELECT doc_id, page_num_1, footnote_number, arg_max(footnote_id, (page_num_1, reading_order, footnote_id)) AS h FROM notes GROUP BY 1, 2, 3),
 anywhere AS (SELECT doc_id, footnote_number, arg_max(footnote_id, (page_num_1, reading_order, footnote_id)) AS a FROM notes GROUP BY 1, 2),
-j AS (SELECT e.*, coalesce(h.h, a.a) AS footnote_id, CASE WHEN h.h IS NULL THEN match_type || '_xpage' ELSE match_type END AS mt FROM e JOIN anywhere a USING (doc_id, footnote_number) LEFT JOIN here h USING (doc_id, page_num_1, footnote_number))
-SELECT doc_id, page_num_1, parent_block_id, footnote_number, footnote_id, mt AS match_type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_block_id, footnote_number ORDER BY p) AS r FROM j) WHERE r = 1"""
+j AS (SELECT e.doc_id, e.page_num_1, e.block_id AS parent_block_id, e.number AS footnote_number, p, m_, snippet, coalesce(h.h, a.a) AS footnote_id, CASE WHEN h.h IS NULL THEN match_type || '_xpage' ELSE match_type END AS mt
+      FROM e JOIN anywhere a ON a.doc_id = e.doc_id AND a.footnote_number = e.number LEFT JOIN here h ON h.doc_id = e.doc_id AND h.page_num_1 = e.page_num_1 AND h.footnote_number = e.number)
+SELECT doc_id, page_num_1, parent_block_id, footnote_number, footnote_id, mt AS match_type, snippet AS context_snippet FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_block_id, footnote_number ORDER BY p, m_) AS r FROM j) WHERE r = 1"""
     )
 
 

@@ -26,7 +26,7 @@ def make_chunks(blocks: DataFrame, docs: DataFrame, max_tokens: int = ch.MAX_TOK
     page_num_1, reading_order, block_type, text; ``docs``: doc_id, title, page_range_label.
     """
     notes = bl.footnotes(blocks).withColumn("footnote_id", F.col("block_id"))
-    referred = bl.block_refs(blocks, bl.link_refs(blocks, notes))
+    referred = bl.block_refs(blocks, bl.link_refs(blocks, notes, around=None))
     ranged = bl.article_range(bl.restitch(referred), docs)
     inside = bl.article_range(notes, docs, page="page_num_1")
     return ch.chunks(bl.title_trim(ranged, docs), inside, max_tokens, overlap, min_tokens)
@@ -91,7 +91,7 @@ def _run(spark: SparkSession, d: str) -> Run:
 def block_refs(spark: SparkSession, d: str) -> DataFrame:
     b = records(spark, d)
     notes = bl.footnotes(b).withColumn("footnote_id", F.col("block_id"))
-    found = bl.block_refs(b, bl.link_refs(b, notes)).filter(F.size("footnote_refs") > 0)
+    found = bl.block_refs(b, bl.link_refs(b, notes, around=None)).filter(F.size("footnote_refs") > 0)
     return found.select("doc_id", "block_id", F.array_join("footnote_refs", ",").alias("footnote_refs"))
 
 

@@ -97,7 +97,7 @@ def test_one_long_section(spark):
 
 def test_snippets(spark):
     """Each match with up to 20 characters around it, by plain loops."""
-    texts = ["See Smith.12 and (3) and [4] word5, end. 6 x", "(1)(2) [3]", "a" * 50 + "7 " + "b" * 50, "nothing", "", "word1 word1 word1."]
+    texts = ["See Smith.12 and (3) and [4] word5, end. 6 x", "(1)(2) [3]", "a" * 50 + "7 " + "b" * 50, "nothing", "", "word1 word1 word1.", "😀" * 30 + "a1 " + "😀" * 30, "a1 b2 c3 d4 e5 f6 g7 h8 i9 j1 "]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {(r["i"], x["pattern_no"], x["match_no"]): (x["number"], x["snippet"]) for r in df.select("i", tx.find_refs(F.col("t")).alias("r")).collect() for x in r["r"]}
     want = {}
@@ -106,6 +106,20 @@ def test_snippets(spark):
             for k, m in enumerate(re.finditer(pattern, t)):
                 want[i, p, k] = (int(m.group(group)), t[max(0, m.start() - 20) : m.end() + 20])
     assert got == want and len(want) > 8
+    bare = {(r["i"], x["pattern_no"], x["match_no"]): (x["number"], x["snippet"]) for r in df.select("i", tx.find_refs(F.col("t"), None).alias("r")).collect() for x in r["r"]}
+    assert bare == {k: (n, None) for k, (n, _) in want.items()}
+
+
+def test_references_of_long_texts(spark):
+    """Time grows with the text, whether it has no, one or many references."""
+    import time
+
+    none, one, many = "z" * 1_000_000, "a1 " + "z é😀" * 250_000, "word12, (3) " * 20_000
+    df = spark.createDataFrame([(0, none), (1, one), (2, many)], "i int, t string").repartition(3)
+    refs = df.select("i", F.explode(tx.find_refs(F.col("t"))).alias("r")).groupBy("i").agg(F.count("*").alias("n"), F.max(F.length("r.snippet")).alias("most"))
+    began = time.time()
+    assert {r["i"]: (r["n"], r["most"]) for r in refs.collect()} == {1: (1, 23), 2: (40_000, 44)}
+    assert time.time() - began < 30
 
 
 def test_versions(spark, tmp_path):
