@@ -31,10 +31,7 @@ and again where they meet at their greater end; then each node takes the least o
 neighbours for all its neighbours, and edges contract again, until nothing changes.
 Minimum and join back, no window, so that a star's centre isn't one task's work.
 
-Documents that are alike, rather than nearly equal (``similar_documents``): the same over
-256 bits, 32 positions, of shingles of five words. Similarity can't guarantee a shared byte
-there, so that the minimum is one of 160 threes of positions, which pairs of similarity 0.8
-have with high chance; README has the measured recall.
+Documents that are alike, rather than nearly equal, are found by ``similar``.
 
 Defined results: a null text counts as empty; repeated rows have the same result; a
 null doc_id is never a component's id unless all of its documents have none; an
@@ -44,7 +41,6 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,8 +51,6 @@ from folioloom.session import release, staged
 
 WIDTH = 3
 MAX_BITS = 2
-NEAR_WIDTH = 5
-SIMILARITY = 0.8
 SHORT = 64
 LEAST_BYTES = 3
 SEED = 42
@@ -96,13 +90,6 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return _votes(text, width, lambda x: xxhash.xxh64_digest(x, SEED), 8)
 
 
-def wide_fingerprint(text: str | None, width: int = NEAR_WIDTH) -> int:
-    """The 256-bit fingerprint of one text, unsigned."""
-    import xxhash
-
-    return _votes(text, width, lambda x: xxhash.xxh3_128_digest(x, 1) + xxhash.xxh3_128_digest(x, 2), 32)
-
-
 def _digests(words: list[bytes], width: int, digest) -> Iterator[bytes]:
     """Digests of all shingles, in blocks."""
     count = max(1, len(words) - width + 1)
@@ -325,180 +312,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id"
     return named.select("doc_id", "fp", F.col("first.doc_id").alias("component_id"), "key", (F.col("key") == F.col("first.key")).alias("kept"))
 
 
-# -- documents that are alike, rather than nearly equal ---------------------------------
-
-_LONGS = ["f0", "f1", "f2", "f3"]
-
-
-def _triples(count: int = 160) -> list[tuple[int, int, int]]:
-    """Threes of the 32 positions, each position as often as the others."""
-    import random
-
-    draw, out = random.Random(1), []
-    while len(out) < count:
-        order = list(range(32))
-        draw.shuffle(order)
-        out += [tuple(sorted(order[i : i + 3])) for i in range(0, 30, 3)]
-    return out[:count]
-
-
-def most_bits(similarity: float) -> int:
-    """Differing bits of 256 that texts of about this similarity of shingles have at most, nearly always.
-
-    Sets of equal size with Jaccard similarity s have cosine c = 2s/(1+s), and bits differ
-    with chance acos(c)/pi; two thirds of a standard deviation are allowed above the mean.
-    """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(256 * share + 0.67 * (256 * share * (1 - share)) ** 0.5)
-
-
-def _wide_fingerprints(batches):
-    import pyarrow as pa
-
-    for batch in released(batches):
-        values = [wide_fingerprint(t) for t in texts(batch.column(2))]
-        longs = [pa.array([_signed(v >> (64 * i) & (2**64 - 1)) for v in values], pa.int64()) for i in range(4)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs], names=["doc_id", "key", *_LONGS])
-
-
-def _differing(a: list[Column], b: list[Column]) -> Column:
-    parts = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)]
-    return sum(parts[1:], parts[0])
-
-
-#: Bits of the table that says which threes occur more than once: 8 MB, whatever the input.
-_THREES_LOG2 = 26
-
-
-def _threes(longs: list):
-    """An array (node, three) of the index's keys: the number of each three of positions, and its bytes."""
-    import numpy as np
-
-    chosen = np.array(_triples())
-    bytes_ = np.stack([x.astype("<i8", copy=False) for x in longs], axis=1).view(np.uint8).astype(np.int64)
-    keys = (bytes_[:, chosen[:, 0]] << 16) | (bytes_[:, chosen[:, 1]] << 8) | bytes_[:, chosen[:, 2]]
-    return keys + (np.arange(len(chosen), dtype=np.int64) << 24)
-
-
-def _slot(three):
-    """A three's place in the table, of a column or an array."""
-    return (three * 2654435761) // (1 << 20) % (1 << _THREES_LOG2)
-
-
-def _all_threes(batches):
-    import pyarrow as pa
-
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_threes([batch.column(i).to_numpy() for i in range(4)]).ravel())], names=["three"])
-
-
-def _met_threes(table):
-    """Rows (three, node, f0 to f3) of the threes that the table has."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        bits = np.frombuffer(table.value, np.uint8)
-        for batch in batches:
-            keys = _threes([batch.column(i).to_numpy() for i in range(1, 5)])
-            at = _slot(keys)
-            row, col = np.nonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[row, col]), *[batch.column(i).take(take) for i in range(5)]], names=["three", "node", *_LONGS])
-
-    return run
-
-
-def _table(shared: DataFrame) -> bytes:
-    """A bit for each three of ``shared``; the driver sees at most 2,048 rows of 4 KB."""
-    from folioloom.llm.common import _BITS
-
-    at = F.expr(f"(three * 2654435761L) div {1 << 20} % {1 << _THREES_LOG2}")
-    rows = shared.select(F.floor(at / _BITS).cast("int").alias("bucket"), (at % _BITS).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = bytearray((1 << _THREES_LOG2) // 8)
-    for r in rows.toLocalIterator():
-        out[r["bucket"] * _BITS // 8 : (r["bucket"] + 1) * _BITS // 8] = r["bits"]
-    return bytes(out)
-
-
-def similar_links(spark: SparkSession, nodes: DataFrame, similarity: float = SIMILARITY, short: int = SHORT) -> DataFrame:
-    """Links (u, v) between ``nodes`` (node, f0 to f3) of about ``similarity`` or more.
-
-    The index holds threes of positions with their bytes, 160 of them: texts of similarity
-    0.8 share about 9 of 32 positions, and with them several of those threes. Pairs that meet in
-    a list of up to ``short`` nodes are verified; links of a list that has more than a few are
-    contracted to stars, so that nothing grows with the square of a list. Longer lists are dealt to parts
-    of about ``short`` by a hash, each with the list's least node, so that texts that are all
-    alike stay connected and nobody meets more than ``short`` others a list.
-    """
-    prepare(spark)
-    limit = most_bits(similarity)
-    threes = nodes.select(*_LONGS).mapInArrow(_all_threes, "three bigint")
-    shared = staged(spark, threes.groupBy("three").agg(F.count("*").alias("n")).filter("n > 1"), "similar-postings")
-    table = spark.sparkContext.broadcast(_table(shared))  # 8 MB
-    schema = "three bigint, node bigint, " + ", ".join(f"{f} bigint" for f in _LONGS)
-    met = staged(spark, nodes.select("node", *_LONGS).mapInArrow(_met_threes(table), schema).join(shared, "three"), "similar-met")
-    table.destroy()
-    least = met.filter(F.col("n") > short).groupBy("three").agg(F.min(F.struct("node", *_LONGS)).alias("least"))
-    part = F.when(F.col("n") > short, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / short))).otherwise(0)
-    own = met.groupBy("three", part.alias("part")).agg(F.collect_list(F.struct("node", *_LONGS)).alias("xs"))
-    lists = own.join(least, "three", "left").select(F.array_sort(F.when(F.col("least").isNull(), F.col("xs")).otherwise(F.array_union("xs", F.array("least")))).alias("xs"))
-    few = lists.filter(F.size("xs") <= _FEW)
-    member = few.select("xs", F.posexplode("xs").alias("i", "own"))
-    alike = lambda v: _differing([F.col(f"own.{f}") for f in _LONGS], [v[f] for f in _LONGS]) <= limit
-    found = member.select(F.col("own.node").alias("u"), F.explode(F.transform(F.filter(F.expr("slice(xs, i + 2, size(xs))"), alike), lambda v: v["node"])).alias("v")).filter("u <> v")
-    return found.unionByName(lists.filter(F.size("xs") > _FEW).mapInArrow(_alike(limit), "u bigint, v bigint"))
-
-
-#: Lists of so many nodes give their pairs; longer ones are contracted.
-_FEW = 4
-
-
-def _alike(limit: int):
-    """Stars that connect what differs in at most ``limit`` bits within each list (an array of node, f0 to f3): a table of all pairs of one list at a time."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            lists = batch.column(0)
-            ends, rows = lists.offsets.to_numpy(), lists.values
-            node = rows.field(0).to_numpy()
-            bits = np.stack([rows.field(i).to_numpy().view(np.uint64) for i in range(1, 5)], axis=1)
-            u, v, n = [], [], 0
-            for lo, hi in itertools.pairwise(ends.tolist()):
-                own = bits[lo:hi]
-                i, j = np.nonzero(np.triu(np.bitwise_count(own[:, None, :] ^ own[None, :, :]).sum(axis=2, dtype=np.int64) <= limit, 1))
-                u.append(node[lo + i])
-                v.append(node[lo + j])
-                n += len(i)
-                if n >= _EDGES:
-                    u, v = ([x] for x in contracted(np.concatenate(u), np.concatenate(v)))
-                    n = 0
-            if u:
-                roots, nodes = contracted(np.concatenate(u), np.concatenate(v))
-                yield pa.RecordBatch.from_arrays([pa.array(roots, pa.int64()), pa.array(nodes, pa.int64())], names=["u", "v"])
-
-    return run
-
-
-def similar_documents(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """As ``near_duplicates``, by shingles of five words and their estimated similarity: doc_id, component_id, key, kept.
-
-    Fingerprints have 256 bits. Each node goes by a hash of them.
-    """
-    prepare(spark)
-    kind = docs.schema[doc_id].dataType.simpleString()
-    chosen = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
-    made = chosen.mapInArrow(_wide_fingerprints, f"doc_id {kind}, key string, " + ", ".join(f"{f} bigint" for f in _LONGS))
-    rows = staged(spark, made.withColumn("node", F.xxhash64(*_LONGS)), "similar-rows")
-    nodes = staged(spark, rows.groupBy("node", *_LONGS).agg(F.expr(_FIRST)), "similar-nodes")
-    named = _named(spark, rows.select("doc_id", "key", "node"), nodes, similar_links(spark, nodes, similarity), "node")
-    return named.select("doc_id", F.col("first.doc_id").alias("component_id"), "key", (F.col("key") == F.col("first.key")).alias("kept"))
-
-
 def _without(spark: SparkSession, docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
     key = free_name(docs, "_key")
     gone = staged(spark, found.filter("NOT kept").select(F.col("key").alias(key)), "simhash-gone")
@@ -508,8 +321,3 @@ def _without(spark: SparkSession, docs: DataFrame, found: DataFrame, doc_id: str
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component. Rows that repeat doc_id and text stay or go together."""
     return _without(spark, docs, near_duplicates(spark, docs, doc_id, text), doc_id, text)
-
-
-def drop_similar_documents(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each group of similar ones. Rows that repeat doc_id and text stay or go together."""
-    return _without(spark, docs, similar_documents(spark, docs, doc_id, text, similarity), doc_id, text)

@@ -207,66 +207,6 @@ def test_links_are_verified(spark, level):
     assert got == {(a, b) for i, a in enumerate(known) for b in known[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
 
 
-def test_similar_links(spark):
-    """All pairs that share a three of positions and differ in few enough bits, by plain loops; a longer list keeps its texts connected."""
-    r = random.Random(9)
-    values = []
-    for _ in range(25):
-        centre = r.getrandbits(256)
-        for _ in range(4):
-            v = centre
-            for _ in range(r.choice([3, 15, 35, 60])):
-                v ^= 1 << r.randrange(256)
-            values.append(v)
-    rows = [(i, *(simhash._signed(v >> (64 * k) & (2**64 - 1)) for k in range(4))) for i, v in enumerate(values)]
-    nodes = spark.createDataFrame(rows, "node long, f0 long, f1 long, f2 long, f3 long")
-    byte = lambda v, p: v >> (8 * p) & 255
-    limit = simhash.most_bits(0.8)
-    want = set()
-    for i, a in enumerate(values):
-        for j in range(i + 1, len(values)):
-            same = {p for p in range(32) if byte(a, p) == byte(values[j], p)}
-            if (a ^ values[j]).bit_count() <= limit and any(same.issuperset(t) for t in simhash._triples()):
-                want.add((i, j))
-    assert len(want) > 20
-    got = simhash.similar_links(spark, nodes)
-    assert {(x["u"], x["v"]) for x in got.collect()} <= want  # stars of lists with several members
-    roots = {x["node"]: x["root"] for x in simhash.components(spark, got).collect()}
-    plain = {n: c for n, _, c in _plain_components(want)}
-    assert roots == plain
-    # a group that is all alike, in lists far longer than they may be
-    centre = r.getrandbits(256)
-    dense = {centre ^ (1 << r.randrange(256)) ^ (1 << r.randrange(256)) for _ in range(400)}
-    rows = [(i, *(simhash._signed(v >> (64 * k) & (2**64 - 1)) for k in range(4))) for i, v in enumerate(dense)]
-    nodes = spark.createDataFrame(rows, nodes.schema)
-    found = simhash.similar_links(spark, nodes, short=8)
-    roots = {x["root"] for x in simhash.components(spark, found).collect()}
-    assert roots == {0} and simhash.components(spark, simhash.similar_links(spark, nodes, short=8)).count() == len(dense)
-
-
-def test_edited_copies_are_similar(spark, sf_dir):
-    """Copies with words replaced, at a similarity of five-word shingles of 0.8 or more: nine of ten are linked; others are left alone."""
-    r = random.Random(4)
-    texts = [x["text"].split() for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    texts = [w for w in texts if len(w) > 80]
-    rows, alike = [], []
-    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-    for i, w in enumerate(texts):
-        edited = list(w)
-        for _ in range(max(1, len(w) // 80)):
-            edited[r.randrange(len(w))] = "changed"
-        a, b = (shingles([x.lower() for x in y]) for y in (w, edited))
-        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(edited))]
-        if len(a & b) / len(a | b) >= 0.8:
-            alike.append(i)
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("node", "f0", "three", "x", "n")})
-    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(spark, df).collect()}
-    assert len(alike) > 60 and sum(got[2 * i] == got[2 * i + 1] for i in alike) >= 0.9 * len(alike)
-    kept = simhash.drop_similar_documents(spark, df)
-    assert kept.columns == df.columns and {x["doc_id"] for x in kept.collect()} == set(got.values())
-    assert simhash.similar_documents(spark, df.limit(0)).count() == 0
-
-
 def test_contracted():
     import numpy as np
 

@@ -7,7 +7,31 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from folioloom.llm import langid, mixing, packing, queries, simhash
+from folioloom.llm import langid, mixing, packing, queries, similar
+
+
+def components_of_all_pairs(texts, width=5, least=0.8):
+    """The least id of each text's component, by comparing all pairs of its words' shingles."""
+    import re
+
+    sets, parent = {}, {d: d for d in texts}
+    for d, t in texts.items():
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", low)
+        sets[d] = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    order = sorted(texts)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= least * max(len(x), len(y)) and len(x & y) >= least * len(x | y):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    return {d: find(d) for d in texts}
 
 
 def test_stages(spark, sf_dir):
@@ -25,8 +49,9 @@ def test_stages(spark, sf_dir):
     assert [n for n, *_ in seen] == ["language_id", "exact_dedup", "near_dedup", "mix", "pack"]
     ids = {n: Counter(r["doc_id"] for r in d.collect()) for n, _, d in seen}
     assert 10**6 not in ids["language_id"] and 10**6 + 1 in ids["language_id"] and 10**6 + 1 not in ids["exact_dedup"]
-    groups = simhash.similar_documents(spark, seen[1][2]).collect()
-    assert set(ids["near_dedup"]) == {r["component_id"] for r in groups}
+    # the near stage by all pairs: the least id of each component of similarity 0.8 or more stays
+    texts = {r["doc_id"]: r["text"] for r in seen[1][2].collect()}
+    assert set(ids["near_dedup"]) == set(components_of_all_pairs(texts).values())
     copies = {r["doc_id"]: r["copies"] for r in mixing.copies(spark, seen[2][2]).collect()}
     assert ids["mix"] == Counter({d: c for d, c in copies.items() if c})
     tokens = sum(r["length"] for r in seen[4][2].collect())
@@ -82,7 +107,7 @@ def test_run_removes_what_it_no_longer_reads(spark, sf_dir):
 
 
 def test_registered_queries_run(spark, sf_dir):
-    assert len(queries.QUERIES) == 10
+    assert len(queries.QUERIES) == 13
     for name in ("op3_license_compression", "op5_virtual_slots", "op7_exact_dedup", "op9_systematic_mix"):
         assert queries.QUERIES[name](spark, sf_dir).columns
 
@@ -94,7 +119,7 @@ def test_empty_and_null_tables(spark, tmp_path, rows):
     for name, schema in schemas.items():
         width = schema.count(",") + 1
         spark.createDataFrame([(None,) * width] * rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    many = {"op1", "op2", "op4", "op5", "op6", "op7", "op8", "op9", "op10"}
+    many = {"op1", "op2", "op4", "op5", "op6", "op7", "op8", "op9", "op10", "op11", "op12", "op13"}
     for name, query in queries.QUERIES.items():
         got = query(spark, str(tmp_path)).collect()
         assert len(got) == (rows if name.split("_")[0] in many else 0), name
