@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,16 +89,17 @@ def read_raw_json(spark: SparkSession, paths: str | list[str], key: str = "doc_i
 VERSIONED = r"processed/([^/]+)/v(\d+)/"
 
 
-def key_parts(path) -> tuple:
-    """(doc_id, version) columns of an object's path; the version is null where it doesn't fit."""
+def key_parts(path, uri: bool = False) -> tuple:
+    """(doc_id, version) columns of an object's path, which ``uri`` says is escaped as URIs are; the version is null where it doesn't fit."""
     version = F.regexp_extract(path, VERSIONED, 2)
-    return F.regexp_extract(path, VERSIONED, 1), F.when(version != "", version.cast("int"))
+    folder = F.regexp_extract(path, VERSIONED, 1)
+    return doc_id_of(doc_id_of(folder) if uri else folder), F.when(version != "", version.cast("int"))
 
 
 def read_versions(spark: SparkSession, root: str, record: str) -> DataFrame:
     """All versions of a record type under ``processed/<doc>/v<N>/``, with ``version`` from the path."""
     df = spark.read.schema(schema(record)).option("pathGlobFilter", "*.jsonl").json(f"{root}/processed/*/v*/{{{record},{record}.jsonl}}")
-    doc, version = key_parts(F.col("_metadata.file_path"))
+    doc, version = key_parts(F.col("_metadata.file_path"), uri=True)
     return with_defaults(df.withColumns({"version": version, "path_doc_id": doc}), record)
 
 
@@ -105,31 +107,54 @@ def write_version(records: DataFrame, root: str, record: str, version: DataFrame
     """Write each document's records as its next version, ``processed/<doc>/v<N>/<record>.jsonl``; (doc_id, version) of what was written.
 
     Documents without an earlier version begin with 1. ``version`` (doc_id, version) sets the
-    numbers where several record types go into one version. Rows lie in the order given.
-    A file is renamed into place once all are written: one call on the driver for each
-    document of the run, which is a batch of arrivals.
+    numbers where several record types go into one version. Rows lie in the order given. What a path can't
+    hold of a doc_id is escaped as ``%41`` (``folder_name``); rows whose doc_id is null are left out, as no folder can be theirs.
+    This is the layout that other programs read: a file is renamed into place once all are written, one call on the driver for each
+    document of the run, which is a batch of arrivals. A run that fails while it renames leaves whole files of some documents; those of
+    the others aren't there. Versions of many documents that must come together or not at all are kept by ``store.Store``.
     """
     spark = records.sparkSession
+    records = records.filter("doc_id IS NOT NULL")
     if version is None:
         version = spark.createDataFrame(next_versions(spark, root, records.select("doc_id").distinct()).collect(), "doc_id string, version int")  # the run's documents
-    numbered = records.join(version.select("doc_id", F.col("version").alias("_to")), "doc_id").withColumn("_doc", F.col("doc_id"))
+    numbered = records.join(version.select("doc_id", F.col("version").alias("_to")), "doc_id").withColumn("_doc", folder_name(F.col("doc_id")))
     staging = f"{root}/.writing-{uuid.uuid4().hex}"
-    whole = numbered.repartition("_doc").sortWithinPartitions("_doc", *(order or []))
-    whole.write.partitionBy("_doc", "_to").json(staging)
+    # the writer needs rows by (_doc, _to): an order that begins so is kept, any other is sorted anew and lost
+    whole = numbered.repartition("_doc").sortWithinPartitions("_doc", "_to", *(order or []))
     sc = spark.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(sc._jsc.hadoopConfiguration())
-    for part in fs.globStatus(path(f"{staging}/_doc=*/_to=*/part-*")):
-        at = part.getPath()
-        to, doc = at.getParent().getName().removeprefix("_to="), at.getParent().getParent().getName().removeprefix("_doc=")
-        folder = path(f"{root}/processed/{doc}/v{to}")
-        fs.mkdirs(folder)
-        if not fs.rename(at, path(folder, f"{record}.jsonl")):
-            raise FileExistsError(f"{folder}/{record}.jsonl")
-    fs.delete(path(staging), True)
+    try:
+        whole.write.partitionBy("_doc", "_to").json(staging)
+        for part in fs.globStatus(path(f"{staging}/_doc=*/_to=*/part-*")) or []:
+            at = part.getPath()
+            to, doc = at.getParent().getName().removeprefix("_to="), unquote(at.getParent().getParent().getName().removeprefix("_doc="))
+            folder = path(f"{root}/processed/{doc}/v{to}")
+            fs.mkdirs(folder)
+            if not fs.rename(at, path(folder, f"{record}.jsonl")):
+                raise FileExistsError(f"{folder}/{record}.jsonl")
+    finally:
+        fs.delete(path(staging), True)
     return version
 
 
+#: Characters of a doc_id that stay as they are in a folder's name.
+_PLAIN = r"A-Za-z0-9._ -"
+
+
+def folder_name(doc_id: Column) -> Column:
+    """A doc_id as a folder's name: letters beyond ASCII and signs that paths or globs use as %-escapes of their UTF-8 bytes, and so is a leading dot or underscore, which readers would pass over."""
+    parts = F.regexp_extract_all(doc_id, F.lit(f"(?s)^[._]|[{_PLAIN}]+|[^{_PLAIN}]+"), F.lit(0))
+    plain = lambda x: x.rlike(rf"^[{_PLAIN}]+\z") & ~x.rlike(r"^[._]\z")
+    escaped = lambda x: F.regexp_replace(F.hex(F.encode(x, "utf-8")), "(..)", "%$1")
+    return F.array_join(F.transform(parts, lambda x: F.when(plain(x), x).otherwise(escaped(x))), "")
+
+
+def doc_id_of(folder: Column) -> Column:
+    """The doc_id that a folder's name stands for."""
+    return F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+
+
 def versions(spark: SparkSession, root: str) -> DataFrame:
     """(doc_id, version) of all versions under ``processed/``, from the paths of their files; executors list them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(f"{root}/processed").select("path")

@@ -25,7 +25,7 @@ def trigger_parts(key) -> tuple:
 def arrivals(spark: SparkSession, root: str, record: str = "text_blocks", files_per_batch: int = 100) -> DataFrame:
     """New files of a record type under ``processed/<doc>/v<N>/`` as a stream, with their version."""
     df = spark.readStream.schema(schema(record)).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.jsonl").json(f"{root}/processed/*/v*/{{{record},{record}.jsonl}}")
-    _, version = key_parts(F.col("_metadata.file_path"))
+    _, version = key_parts(F.col("_metadata.file_path"), uri=True)
     return with_defaults(df.withColumn("version", version), record)
 
 

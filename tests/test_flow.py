@@ -144,6 +144,28 @@ def test_versions(spark, tmp_path):
     assert found["source_filename"] == "a b.pdf" and found["sha256"].startswith("ba7816bf") and found["length"] == 3
 
 
+def test_versions_of_odd_ids(spark, tmp_path):
+    """Ids that hold what paths, globs and escapes use: written, found again, and numbered on."""
+    root = f"file://{tmp_path}/r"
+    odd = ["a=b c%:1", "x/../y", "é 日本", "p*[q]{r}", "_u", ".d", "100%", "a+b", "ok", "w" * 60]
+    rows = spark.createDataFrame([(d, f"b{i}", i, "t") for d in odd for i in (2, 0, 1)] + [(None, "n", 1, "t")], "doc_id string, block_id string, page_num_1 int, text_raw string")
+    assert {tuple(r) for r in rc.write_version(rows, root, "text_blocks", order=["page_num_1"]).collect()} == {(d, 1) for d in odd}
+    assert {tuple(r) for r in rc.write_version(rows.filter("doc_id IN ('a=b c%:1', 'ok', '_u')"), root, "text_blocks").collect()} == {("a=b c%:1", 2), ("ok", 2), ("_u", 2)}
+    assert {tuple(r) for r in rc.versions(spark, root).collect()} == {(d, 1) for d in odd} | {("a=b c%:1", 2), ("ok", 2), ("_u", 2)}
+    assert {(r["path_doc_id"], r["doc_id"], r["version"]) for r in rc.read_latest(spark, root, "text_blocks").collect()} == {(d, d, 2 if d in ("a=b c%:1", "ok", "_u") else 1) for d in odd}
+    for folder in (tmp_path / "r" / "processed").iterdir():
+        assert [line.split('"block_id":"')[1][:2] for line in (folder / "v1" / "text_blocks.jsonl").read_text().splitlines()] == ["b0", "b1", "b2"]
+
+
+def test_a_run_that_fails_leaves_no_drafts(spark, tmp_path):
+    root = f"file://{tmp_path}/r"
+    rows = spark.createDataFrame([("a", "b", 1, "t"), ("z", "b", 1, "t")], "doc_id string, block_id string, page_num_1 int, text_raw string")
+    rc.write_version(rows.filter("doc_id = 'z'"), root, "text_blocks")
+    with pytest.raises(FileExistsError):
+        rc.write_version(rows, root, "text_blocks", version=spark.createDataFrame([("a", 1), ("z", 1)], "doc_id string, version int"))
+    assert not list((tmp_path / "r").glob(".writing*")) and rc.read_latest(spark, root, "text_blocks").count() in (1, 2)
+
+
 def test_page_order_of_files(spark, tmp_path):
     """Rows of a document lie in page order, in one file after the other."""
     rows = [(f"d{i % 7}", p, o) for i in range(7) for p in range(30) for o in range(3)]
