@@ -13,6 +13,8 @@ from folioloom.operators import chunking as ch
 from folioloom.operators import index as ix
 from folioloom.plans import corpus
 from folioloom.plans import views as v
+from folioloom.session import staged
+from folioloom.sources.store import Store
 
 MAX_TOKENS, OVERLAP = 150, 64
 
@@ -43,9 +45,12 @@ class Run:
 
 
 def index_corpus(blocks: DataFrame, docs: DataFrame, old_documents: DataFrame, old_chunks: DataFrame, version: int, max_tokens: int = ch.MAX_TOKENS, overlap: int = ch.OVERLAP_TOKENS, embed=None) -> Run:
-    """One run over new versions of documents against the stored tables; documents without chunks change nothing."""
-    made = ix.embed_reuse(old_chunks, make_chunks(blocks, docs, max_tokens, overlap))
-    full = ix.embed_missing(made, embed) if embed is not None else made.drop("needs_embedding")
+    """One run over new versions of documents against the stored tables; documents without chunks change nothing.
+
+    Chunks are made once, with their vectors, and written to the shared folder: all that a run writes is of the same chunks.
+    """
+    made = staged(blocks.sparkSession, ix.embed_reuse(old_chunks, make_chunks(blocks, docs, max_tokens, overlap)), "made-chunks")
+    full = staged(blocks.sparkSession, ix.embed_missing(made, embed), "embedded-chunks") if embed is not None else made.drop("needs_embedding")
     return Run(
         documents=ix.upsert_documents(old_documents, ix.only_with_chunks(docs, made)),
         chunks=ix.replace_chunks(old_chunks, full),
@@ -54,6 +59,41 @@ def index_corpus(blocks: DataFrame, docs: DataFrame, old_documents: DataFrame, o
     )
 
 
+#: Tables of an index kept in a ``Store``, and the order of their rows in its files.
+TABLES = {"documents": ["doc_id"], "chunks": ["doc_id", "chunk_index"], "audit": ["doc_id", "version"]}
+
+
+def index_into(store: Store, blocks: DataFrame, docs: DataFrame, batch: str | None = None, max_tokens: int = ch.MAX_TOKENS, overlap: int = ch.OVERLAP_TOKENS, embed=None) -> int | None:
+    """Index new versions of documents into a store: chunks, documents and audit in one commit; its number, or None where ``batch`` was there.
+
+    Only what the store has of these documents is read and merged, and only that is written: upserts keep old values, vectors of
+    unchanged chunks are used again, old chunks go, each document's audit is numbered on. Another writer's commit meanwhile has the run made anew.
+    """
+    spark = blocks.sparkSession
+
+    def make(s: Store):
+        have = {t for x in s.segments() for t in x.tables}
+        ids = docs.select("doc_id").distinct()
+        made = make_chunks(blocks, docs, max_tokens, overlap)
+
+        def old(table: str, like: DataFrame) -> DataFrame:
+            return s.read(table).join(ids, "doc_id", "left_semi") if table in have else spark.createDataFrame([], like.schema)
+
+        old_chunks = old("chunks", made.withColumn("embedding", F.array().cast("array<float>")))
+        chunks = ix.embed_reuse(old_chunks, made)
+        chunks = staged(spark, ix.embed_missing(chunks, embed) if embed is not None else chunks.drop("needs_embedding"), "made-chunks")
+        audit = ix.chunk_audit(old_chunks.join(chunks.select("doc_id").distinct(), "doc_id", "left_semi"), chunks).drop("version")
+        log = old("audit", audit.withColumn("version", F.lit(1)))
+        number = log.groupBy("doc_id").agg(F.max("version").alias("_last"))
+        new = audit.join(number, "doc_id", "left").withColumn("version", (F.coalesce("_last", F.lit(0)) + 1).cast("int")).drop("_last")
+        changed = ix.only_with_chunks(docs, chunks)
+        merged = ix.upsert_documents(old("documents", docs), changed)
+        # the audit's earlier rows of a document are written with its new one: in a store a document's rows are replaced together
+        return {"chunks": chunks, "documents": merged.join(changed.select("doc_id"), "doc_id", "left_semi"), "audit": log.join(new.select("doc_id"), "doc_id", "left_semi").unionByName(new.select(*log.columns))}, None
+
+    return store.change(make, batch=batch)
+
+
 # -- over the driver's tables ---------------------------------------------------------
 
 

@@ -42,7 +42,7 @@ def bundle_round_trip(spark: SparkSession, d: str) -> DataFrame:
 def _version_rows(spark: SparkSession, d: str) -> DataFrame:
     """Each source is a document here, with a record for each text."""
     x = table(spark, d, "documents")
-    return x.select(F.concat("source", F.lit("-x")).alias("doc_id"), F.col("doc_id").cast("string").alias("block_id"), (F.col("doc_id") % 50 + 1).cast("int").alias("page_num_1"), F.substring("text", 1, 40).alias("text_raw"))
+    return x.select(F.concat("source", F.lit("-x")).alias("doc_id"), F.col("doc_id").cast("string").alias("block_id"), (F.col("doc_id") % 50 + 1).cast("int").alias("page_num_1"), F.col("text").alias("text_raw"))
 
 
 def _versions_written(spark: SparkSession, d: str) -> str:
@@ -59,7 +59,7 @@ def versioned_store(spark: SparkSession, d: str) -> DataFrame:
     return latest.select("doc_id", "version", "block_id", "page_num_1", "text_raw")
 
 
-_STORE_SQL = """WITH r AS (SELECT source || '-x' AS doc_id, doc_id::VARCHAR AS block_id, (doc_id % 50 + 1)::INT AS page_num_1, substr(text, 1, 40) AS text_raw FROM documents),
+_STORE_SQL = """WITH r AS (SELECT source || '-x' AS doc_id, doc_id::VARCHAR AS block_id, (doc_id % 50 + 1)::INT AS page_num_1, text AS text_raw FROM documents),
 s AS (SELECT doc_id, 2 AS version, block_id, page_num_1, '#' || text_raw AS text_raw FROM r WHERE page_num_1 % 2 = 0 AND doc_id < 'src3')
 SELECT * FROM s UNION ALL SELECT doc_id, 1, block_id, page_num_1, text_raw FROM r WHERE doc_id NOT IN (SELECT doc_id FROM s)"""
 

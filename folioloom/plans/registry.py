@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioloom.plans import corpus, details, flow, maintenance, more, search
+from folioloom.plans import arrivals, corpus, details, flow, maintenance, more, search, vectors
 from folioloom.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +27,7 @@ def _shipped(run: Query) -> Query:
     return call
 
 
-for _module in (search, corpus, maintenance, details, flow, more):
+for _module in (search, corpus, maintenance, details, flow, more, vectors, arrivals):
     for _name, _run, _sql in _module.ALL:
         QUERIES[_name] = _shipped(_run)
         if _sql is not None:

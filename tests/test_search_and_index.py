@@ -229,16 +229,30 @@ def test_agent_calls_tools_and_numbers_on(spark):
 def test_streaming_status_keeps_the_furthest_stage(spark, tmp_path):
     rows = [("a", "done", "2024-01-02 00:00:00"), ("a", "processing", "2024-01-03 00:00:00"), ("b", "uploaded", "2024-01-01 00:00:00")]
     spark.createDataFrame(rows, "filename string, stage string, at string").selectExpr("filename", "stage", "timestamp(at) AS updated_at").write.parquet(f"{tmp_path}/in")
-    s = spark.readStream.schema("filename string, stage string, updated_at timestamp").parquet(f"{tmp_path}/in")
-    seen = []
-    q = ingest.ordered_status(s).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").foreachBatch(lambda b, _: seen.extend(b.collect())).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {(r["filename"], r["stage"]) for r in seen} == {("a", "done"), ("b", "uploaded")}
+    kind = "filename string, stage string, updated_at timestamp"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    ingest.state_store(spark)
+    known = spark.createDataFrame([("a", "indexing", "2024-01-01"), ("c", "done", "2024-01-01")], "filename string, stage string, at string").selectExpr("filename", "stage", "timestamp(at) AS updated_at")
+
+    def run():
+        s = spark.readStream.schema(kind).parquet(f"{tmp_path}/in")
+        seen = []
+        q = ingest.ordered_status(s, stored=known).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/cp").foreachBatch(lambda b, _: seen.extend(b.collect())).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return {(r["filename"], r["stage"], r["stuck"]) for r in seen}
+
+    # b's last event is more than six hours older than the watermark
+    assert run() == {("a", "done", False), ("b", "uploaded", False), ("b", "uploaded", True)}
+    # after a restart the state is there: c was done before the stream began, so that it doesn't go back, and b moves on
+    more = [("c", "processing", "2024-01-04 00:00:00"), ("b", "processed", "2024-01-04 01:00:00"), ("d", "error", "2024-01-09 00:00:00")]
+    spark.createDataFrame(more, "filename string, stage string, at string").selectExpr("filename", "stage", "timestamp(at) AS updated_at").write.mode("append").parquet(f"{tmp_path}/in")
+    assert run() == {("b", "processed", False), ("b", "processed", True), ("d", "error", False)}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     e = spark.readStream.schema("filename string, stage string, updated_at timestamp").parquet(f"{tmp_path}/in").selectExpr("filename AS key", "updated_at AS ts")
     once = []
     q = ingest.without_repeats(e, late="9 days").writeStream.option("checkpointLocation", f"{tmp_path}/cp2").foreachBatch(lambda b, _: once.extend(b.collect())).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sorted(r["key"] for r in once) == ["a", "b"]
+    assert sorted(r["key"] for r in once) == ["a", "b", "c", "d"]
 
 
 def test_answers_are_whole_and_sources_from_all_documents(spark, tmp_path):
