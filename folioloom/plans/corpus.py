@@ -12,6 +12,7 @@ from folioloom.operators import blocks as bl
 from folioloom.operators import citations as ct
 from folioloom.operators import chunking as ch
 from folioloom.operators import figures as fg
+from folioloom.operators import language_model as lm
 from folioloom.operators import metadata as md
 from folioloom.plans import views as v
 from folioloom.session import table
@@ -451,6 +452,27 @@ def language_detect(spark: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", "l.lang", "l.confidence", F.array_join("l.candidates", ",").alias("candidates"))
 
 
+def language_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of all documents, by trigrams of those whose id isn't divisible by 5."""
+    x = table(spark, d, "documents")
+    found = lm.identify(x, lm.fit(x.filter("doc_id % 5 <> 0")))
+    return found.select("doc_id", "detected", F.round("confidence", 3).alias("confidence"), F.array_join("candidates", ",").alias("candidates"))
+
+
+_PROFILES_SQL = f"""
+WITH c AS (SELECT doc_id, lang, text, [unicode(x) FOR x IN string_split(lower(text), '')] AS u FROM documents WHERE length(text) > 2),
+g AS (SELECT doc_id, lang, length(text) AS n, unnest([(u[i] * 961 + u[i + 1] * 31 + u[i + 2]) % {lm.BUCKETS} FOR i IN range(1, len(u) - 1)]) AS b FROM c),
+t AS (SELECT doc_id, n, b, count(*) AS k FROM g GROUP BY ALL),
+m AS (SELECT lang, b, count(*) AS k FROM g WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY ALL),
+z AS (SELECT lang, sum(k) AS total FROM m GROUP BY 1),
+s AS (SELECT t.doc_id, z.lang, sum(t.k * ln((coalesce(m.k, 0) + {lm.SMOOTHING}) / (z.total + {lm.SMOOTHING * lm.BUCKETS}))::DOUBLE) / sum(t.k) AS score
+      FROM t CROSS JOIN z LEFT JOIN m ON m.lang = z.lang AND m.b = t.b WHERE t.n >= {lm.SHORTEST} GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS place, exp(score - max(score) OVER (PARTITION BY doc_id)) AS share FROM s),
+f AS (SELECT doc_id, max(lang) FILTER (place = 1) AS detected, round(round(max(share) / sum(share), 4), 3) AS confidence, string_agg(lang, ',' ORDER BY place) FILTER (place <= 3) AS candidates FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(detected, 'unknown') AS detected, coalesce(confidence, 0.0) AS confidence, coalesce(candidates, '') AS candidates FROM documents d LEFT JOIN f USING (doc_id)
+"""
+
+
 def _language_sql() -> str:
     each = []
     for code in lang.LANGUAGES:
@@ -552,6 +574,7 @@ ALL = [
     ("text_cleanups", text_cleanups, _CLEANUPS_SQL),
     ("footnotes_split", footnotes_split, _SPLIT_SQL),
     ("language_detect", language_detect, _language_sql()),
+    ("language_profiles", language_profiles, _PROFILES_SQL),
     ("embed_stub", embed_stub, "SELECT doc_id, 32 AS dimensions, 1.0::DOUBLE AS length FROM documents"),
     ("markdown_blocks", markdown_blocks, _MARKDOWN_SQL),
     ("metadata_cascade", metadata_cascade, _CASCADE_SQL),

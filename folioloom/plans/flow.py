@@ -139,6 +139,25 @@ def footnotes_found(spark: SparkSession, d: str) -> DataFrame:
     return bl.footnotes(records(spark, d)).select("doc_id", "page_num_1", "block_id", "footnote_number", "text", "footnote_type")
 
 
+def _placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks with boxes down their pages, some over the whole page, every second one with a number; and the sizes of two pages of three."""
+    b = v.blocks(spark, d).withColumn("text", F.regexp_replace("text", "[0-9.]", ""))
+    page, ro = F.col("page_num_1"), F.col("reading_order")
+    w, h = F.when(page % 3 == 0, 600.0).when(page % 3 == 1, 612.0), F.when(page % 3 == 0, 700.0).when(page % 3 == 1, 900.0)
+    y = ro.cast("double") * 180
+    whole = F.struct(F.lit(1.0).alias("x0"), F.lit(-1.0).alias("y0"), F.coalesce(w, F.lit(612.0)).alias("x1"), F.coalesce(h, F.lit(800.0)).alias("y1"))
+    part = F.struct(F.lit(50.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 150).alias("y1"))
+    boxed = b.withColumns({"bbox": F.when(F.col("pos") % 11 == 5, whole).otherwise(part), "text": F.when(F.col("pos") % 2 == 0, F.concat((F.col("pos") % 90 + 1).cast("string"), F.lit(". "), "text")).otherwise(F.col("text"))})
+    sizes = b.select("doc_id", "page_num_1", w.alias("width"), h.alias("height")).filter("width IS NOT NULL").distinct()
+    return boxed, sizes
+
+
+def footnotes_by_place(spark: SparkSession, d: str) -> DataFrame:
+    """Footnotes that are told by their place: numbered blocks low on the page, and numbered paragraphs as large as the page."""
+    boxed, sizes = _placed(spark, d)
+    return bl.footnotes(boxed, sizes).select("doc_id", "page_num_1", "block_id", "footnote_number", F.sha2("text", 256).alias("text_sha"))
+
+
 def footnote_range(spark: SparkSession, d: str) -> DataFrame:
     """Footnotes on the pages of their document's range."""
     notes = bl.footnotes(records(spark, d))
@@ -255,7 +274,15 @@ _DOCUMENTS_SQL = (
 SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(n.source_filename, o.source_filename) AS source_filename, coalesce(n.title, o.title) AS title, n.page_range_label, o.s3_prefix FROM o FULL JOIN n ON o.doc_id = n.doc_id"""
 )
 
+_PLACE_SQL = (
+    v.with_views("words", "v_blocks")
+    + r""", p AS (SELECT *, regexp_replace(text, '[0-9.]', '', 'g') AS t, CASE page_num_1 % 3 WHEN 0 THEN 700.0::DOUBLE WHEN 1 THEN 900.0::DOUBLE ELSE 800.0::DOUBLE END AS h FROM v_blocks),
+n AS (SELECT *, pos % 90 + 1 AS footnote_number, trim((pos % 90 + 1) || '. ' || t) AS body, pos % 11 = 5 AS whole, CASE WHEN pos % 11 = 5 THEN (h - 1) / 2 / h ELSE (reading_order * 180 + 75) / h END AS middle FROM p WHERE pos % 2 = 0)
+SELECT doc_id, page_num_1, block_id, footnote_number::INT AS footnote_number, sha256(body) AS text_sha FROM n WHERE (whole AND block_type = 'paragraph') OR middle BETWEEN 0.72 AND 1.0"""
+)
+
 ALL = [
+    ("footnotes_by_place", footnotes_by_place, _PLACE_SQL),
     ("block_refs", block_refs, _BASE + _flow("n_", "true") + " SELECT doc_id, block_id, array_to_string(ids, ',') AS footnote_refs FROM n_refs"),
     ("footnotes_found", footnotes_found, _BASE + _flow("n_", "true") + " SELECT doc_id, page_num_1, block_id, footnote_number, text, footnote_type FROM n_notes WHERE footnote_number IS NOT NULL"),
     ("footnote_range", footnote_range, _BASE + _flow("n_", "true") + " SELECT doc_id, page_num_1, footnote_number FROM n_inside WHERE footnote_number IS NOT NULL"),

@@ -296,6 +296,40 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
 _KEYWORD_SQL = v.with_views("words", "v_docs", "v_chunks") + _HYBRID_ROWS + " SELECT f.chunk_id, 'SOURCE: ' || d.source_filename || CASE WHEN d.title <> '' THEN ' | TITLE: ' || d.title ELSE '' END || CASE WHEN d.year IS NOT NULL THEN ' (' || d.year || ')' ELSE '' END AS line FROM (SELECT * FROM fused ORDER BY score DESC, chunk_id LIMIT 40) f JOIN v_chunks k USING (chunk_id) JOIN v_docs d ON d.doc_id = k.doc_id"
 
 
+_ATTRIBUTES = rt.Filters(document_type="obituary", publication="src1", year_from=1875)
+
+
+def attribute_search(spark: SparkSession, d: str) -> DataFrame:
+    """The hybrid query of the attribute tool: among documents of one type, publication and time."""
+    found = rt.retrieve(v.chunks(spark, d), v.docs(spark, d), _HYBRID_QUERY, v.query_vector(spark, d), 40, _ATTRIBUTES, per_doc=5)
+    return found.select("chunk_id", "document_type", "publication", "year", F.round("score", 9).alias("score"))
+
+
+def index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The index tool's query: the same over one file's chunks, which are that file's blocks."""
+    b = v.blocks(spark, d).select(F.col("block_id").alias("chunk_id"), "doc_id", "text", "page_num_1", F.lit(None).cast("array<float>").alias("embedding"))
+    found = rt.retrieve(b, v.docs(spark, d), " ".join(rt.author_parts("tion, er")), v.query_vector(spark, d), 10, rt.Filters(source_filename="doc-9.pdf"))
+    return found.select("chunk_id", "source_filename", "text")
+
+
+_ATTRIBUTE_SQL = (
+    v.with_views("words", "v_docs", "v_chunks")
+    + _HYBRID_ROWS.replace("year >= 1880 AND year <= 1990 AND language = 'en'", "document_type = 'obituary' AND publication ILIKE '%src1%' AND year >= 1875")
+    + " SELECT f.chunk_id, d.document_type, d.publication, d.year, round(f.score, 9) AS score FROM (SELECT * FROM fused ORDER BY score DESC, chunk_id LIMIT 40) f JOIN v_chunks k USING (chunk_id) JOIN v_docs d ON d.doc_id = k.doc_id"
+)
+
+_INDEX_QUERY = " ".join(rt.author_parts("tion, er"))
+
+_INDEX_SQL = (
+    v.with_views("words", "v_docs", "v_blocks")
+    + f""", b AS (SELECT block_id AS chunk_id, doc_id, text FROM v_blocks), own AS (SELECT * FROM b WHERE doc_id = 9),
+hits AS ({_match('own', 'chunk_id', 'text', _INDEX_QUERY)}), scope AS ({_match('b', 'chunk_id', 'text', _INDEX_QUERY)}), fields AS (SELECT doc_id, title || ' ' || author AS t FROM v_docs WHERE doc_id = 9), boost AS ({_match('fields', 'doc_id', 't', _INDEX_QUERY)}),
+chosen AS (SELECT * FROM hits WHERE n_terms = {len(_query_terms(_INDEX_QUERY))} OR (SELECT count(*) FROM scope WHERE n_terms = {len(_query_terms(_INDEX_QUERY))}) < 10),
+top AS (SELECT c.chunk_id FROM chosen c LEFT JOIN boost x ON x.doc_id = 9 ORDER BY round(c.score * 0.4 + coalesce(x.score, 0.0), 9) DESC, c.chunk_id LIMIT 10)
+SELECT chunk_id, 'doc-9.pdf' AS source_filename, text FROM top JOIN own USING (chunk_id)"""
+)
+
+
 def history_last4(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").withColumn("text", F.when(F.col("role") == "assistant", F.concat("text", F.lit(" [2, 3] Sources: x"))).otherwise(F.col("text")))
     return ct.clean_history(c).select("conv_id", "turn", "role", "text")
@@ -371,6 +405,8 @@ ALL = [
     ("renumbered_answers", renumbered_answers, _RENUMBERED_SQL),
     ("retrieve_indexed", retrieve_indexed, _HYBRID + " SELECT f.chunk_id, round(f.score, 9) AS score FROM (SELECT * FROM fused ORDER BY score DESC, chunk_id LIMIT 40) f"),
     ("keyword_search", keyword_search, _KEYWORD_SQL),
+    ("attribute_search", attribute_search, _ATTRIBUTE_SQL),
+    ("index_search", index_search, _INDEX_SQL),
     ("history_last4", history_last4, r"SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN regexp_replace(trim(split_part(split_part(text || ' [2, 3] Sources: x', 'Sources:', 1), 'References:', 1)), '\[\d+(?:\s*,\s*\d+)*\]', '', 'g') ELSE text END AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4"),
     ("context_trim", context_trim, "SELECT answer_id, chunk_id, tokens FROM (SELECT *, sum(tokens) OVER (PARTITION BY answer_id ORDER BY score DESC, chunk_id) AS used FROM (SELECT source AS answer_id, doc_id AS chunk_id, doc_id * 7919 % 1009 AS score, greatest(1, length(text) // 4)::BIGINT AS tokens FROM documents)) WHERE used <= 5000"),
     ("context_headers", context_headers, _HEADER_SQL),
