@@ -104,6 +104,7 @@ def estimate_json_tokens(chars: Column) -> Column:
 def footnote_number(c: Column) -> Column:
     """The number that starts a footnote: ``N ``, ``(N)``, ``N. `` or ``N) ``; else null."""
     t = strip(c)
+    # the forms of a number (fixed values)
     found = [F.regexp_extract(t, p, 1) for p in (r"^(\d{1,3})\s", r"^\((\d{1,3})\)\s*", r"^(\d{1,3})\.\s", r"^(\d{1,3})\)\s")]
     return F.coalesce(*[F.when(x != "", x.cast("int")) for x in found])
 
@@ -145,7 +146,7 @@ def footnote_type(c: Column) -> Column:
 
     One scan finds whether there is a sign; only texts with one are taken apart.
     """
-    body = F.regexp_replace(strip(c), r"^\d{1,3}[\s.)]+", "")
+    body = F.regexp_replace(strip(c), r"^\d{1,3}[\s.)]+", "")  # the number before a footnote (fixed value)
     rest = body
     for p in CITATION_SIGNS:
         rest = F.regexp_replace(rest, p, "")
@@ -216,6 +217,7 @@ def ref_markup(text: Column, refs: Column) -> Column:
 
     def apply(t: Column, r: Column) -> Column:
         n, kind = r["number"].cast("string"), r["match_type"]
+        # what stands before and after a reference of each kind (fixed values)
         space = kind.startswith("regex_space")
         before = F.when(kind.startswith("regex_period"), r"([A-Za-z])\.").when(space, r"([.)\]])\s").otherwise(r"([A-Za-z\)])")
         after = F.when(kind.startswith("regex_period"), r"(?=\s|[A-Z]|[.,;:]|$)").when(space, r"(?=\s|$)").otherwise(r"(?=\s|[.,;:]|$)")
@@ -310,6 +312,7 @@ def page_range(c: Column) -> Column:
     A range may have anything after it; a single page may not.
     """
     t = strip(c)
+    # a range, or one page (fixed values)
     a, b = (F.regexp_extract(t, r"^(\d+)\s*[-–—]\s*(\d+)", i) for i in (1, 2))
     one = F.regexp_extract(t, r"^(\d+)$", 1)
     return F.when(a != "", F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"))).when(one != "", F.struct(one.cast("int").alias("first"), one.cast("int").alias("last")))

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from py4j.protocol import Py4JError
@@ -104,13 +104,20 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """What is staged inside is removed at the end, but for what was staged last."""
-    before = len(_STAGED)
-    yield
-    for path in _STAGED[before:-1]:
-        _remove(spark, path)
-    del _STAGED[before:-1]
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is staged inside is removed at the end, also of a body that raises, but for the frames given to the function that this yields."""
+    before, kept = set(_STAGED), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._staged_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _STAGED if p not in before | kept]:
+            _remove(spark, path)
+            _STAGED.remove(path)
 
 
 def ship(spark: SparkSession) -> None:
