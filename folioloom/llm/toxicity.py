@@ -291,8 +291,10 @@ class LabelModel:
         v = len(self.p1)
         for _ in range(rounds):
             self.calibrate(fires, weight)
-            got = masks.mapInArrow(_sums(*self.linear()), "s array<double>").collect()  # a row a task
-            s = sum((np.array(r["s"]) for r in got), np.zeros(2 + 2 * v + 2 * v * v))
+            parts = masks.mapInArrow(_sums(*self.linear()), "s array<double>").select(F.posexplode("s").alias("i", "x"))
+            s = np.zeros(2 + 2 * v + 2 * v * v)
+            for r in parts.groupBy("i").agg(F.sum("x").alias("x")).collect():  # a row a number of the model, however many tasks
+                s[r["i"]] = r["x"]
             q = self.posterior(fires, y)
             s += _expected(fires, weight, q)
             n1, n0 = max(s[0], 1e-9), max(s[1], 1e-9)
