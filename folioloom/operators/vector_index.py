@@ -3,7 +3,8 @@
 ``build`` fits centres by spherical k-means on a sample of at most about ``SAMPLE`` vectors (chosen by a hash of the key), each round being one
 pass of partial sums; then every vector goes to the cell of its nearest centre and is written under it, with its length. A search
 ranks the centres (``cells`` rows, on the driver), reads the partitions of the nearest ``probes`` cells alone, and ranks what is in them
-exactly. With all cells it equals ``retrieval.nearest``. Vectors that are null or have no length are in no cell, as no search finds them.
+exactly. How many cells that is by default is measured when the index is built: up to ``ASKED`` of its own vectors are searched for exactly, and the least number
+of cells that would have found ``RECALL`` of their nearest is stored. With all cells a search equals ``retrieval.nearest``. Vectors that are null or have no length are in no cell, as no search finds them.
 
 ``nearest_many`` takes a table of queries: each task multiplies blocks of vectors by the matrix of queries and holds the k best of each query,
 a bounded heap; their union is ranked. No pair of a query and a row is ever a row of its own.
@@ -22,7 +23,10 @@ from folioloom.session import ship, staged
 CELLS = 256
 SAMPLE = 65_536
 ROUNDS = 8
-PROBES = 16
+#: Neighbours that a search with the stored number of cells finds, of the ``NEAR`` nearest, and queries by which that number is measured.
+RECALL = 0.95
+NEAR = 10
+ASKED = 256
 #: Queries of one pass over the vectors; more take more passes.
 QUERIES = 4096
 
@@ -107,6 +111,35 @@ def build(rows: DataFrame, path: str, cells: int = CELLS, sample: int = SAMPLE,
     spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
 
 
+    _calibrate(spark, path, key, dict(kept.dtypes)[key])
+
+
+def _calibrate(spark: SparkSession, path: str, key: str, key_type: str) -> None:
+    """Store the least number of cells with which ``ASKED`` vectors of the index find ``RECALL`` of their nearest, and the recall of each number."""
+    import numpy as np
+
+    centres, rows = centres_of(spark, path), stored_rows(spark, path, key, key_type)
+    drawn = F.xxhash64(F.col(key).cast("string"))
+    asked = rows.orderBy(drawn, key).limit(ASKED).select(F.xxhash64(F.col(key).cast("string")).alias("query_id"), F.col("embedding").alias("vector")).dropDuplicates(["query_id"])
+    asked = staged(spark, asked, "index-queries")
+    found = nearest_many(rows, asked, NEAR, key=key).join(rows.select(key, "cell"), key).groupBy("query_id", "cell").agg(F.count("*").alias("n")).collect()  # NEAR rows a query at most
+    curve = np.zeros(max(1, len(centres)))
+    if found:
+        matrix = {r["query_id"]: np.array(r["vector"], float) for r in asked.collect()}
+        for r in found:
+            order = np.argsort(-(centres @ matrix[r["query_id"]]), kind="stable")
+            curve[int(np.flatnonzero(order == r["cell"])[0])] += r["n"]
+    recall = np.cumsum(curve) / max(1.0, curve.sum())
+    probes = int(np.searchsorted(recall, RECALL)) + 1 if found else 1
+    spark.createDataFrame([(probes, [float(x) for x in recall])], "probes int, recall array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/probes")
+
+
+def probes_of(spark: SparkSession, path: str) -> tuple[int, list[float]]:
+    """The stored number of cells to look into, and the measured recall with one cell, two, and so on."""
+    r = spark.read.parquet(f"{path}/probes").first()
+    return r["probes"], list(r["recall"])
+
+
 def centres_of(spark: SparkSession, path: str):
     """The stored centres, a row a cell."""
     import numpy as np
@@ -118,11 +151,11 @@ def stored_rows(spark: SparkSession, path: str, key: str = "chunk_id", key_type:
     return spark.read.schema(f"`{key}` {key_type}, embedding array<float>, norm double, cell int").parquet(f"{path}/rows")
 
 
-def search(spark: SparkSession, path: str, query: list[float], k: int, probes: int = PROBES, key: str = "chunk_id", key_type: str = "string") -> DataFrame:
-    """The k nearest rows of the ``probes`` cells nearest to the query, as ``nearest`` gives them: key, dist, vrank."""
+def search(spark: SparkSession, path: str, query: list[float], k: int, probes: int | None = None, key: str = "chunk_id", key_type: str = "string") -> DataFrame:
+    """The k nearest rows of the ``probes`` cells nearest to the query (by default as many as the index says), as ``nearest`` gives them: key, dist, vrank."""
     import numpy as np
 
-    centres = centres_of(spark, path)
+    centres, probes = centres_of(spark, path), probes or probes_of(spark, path)[0]
     rows = stored_rows(spark, path, key, key_type)
     if len(centres):
         order = np.argsort(-(centres @ np.array(query, float)), kind="stable")[:probes]
@@ -177,10 +210,10 @@ def _heaps(queries, k: int, allowed):
     return run
 
 
-def nearest_many(rows: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "vector", path: str | None = None, probes: int = PROBES) -> DataFrame:
+def nearest_many(rows: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "vector", path: str | None = None, probes: int | None = None) -> DataFrame:
     """The k nearest rows of each query (query, vector): query, key, dist, vrank.
 
-    ``rows`` may come from ``stored_rows``; with the index's ``path``, each query looks into its nearest ``probes`` cells, and cells that none of a
+    ``rows`` may come from ``stored_rows``; with the index's ``path``, each query looks into its nearest ``probes`` cells (by default as many as the index says), and cells that none of a
     pass's queries wants aren't read. Queries come to the driver ``QUERIES`` at a time, and each block is one pass.
     """
     import numpy as np
@@ -191,6 +224,7 @@ def nearest_many(rows: DataFrame, queries: DataFrame, k: int, key: str = "chunk_
     have = rows.filter(F.col(vector).isNotNull())
     have = have.select(F.col(key).alias("key"), F.col(vector).alias("v"), (F.col("norm") if "norm" in rows.columns else length_of(F.col(vector))).alias("norm"), *(["cell"] if path else [])).filter("norm > 0")
     centres = centres_of(spark, path) if path else None
+    probes = (probes or probes_of(spark, path)[0]) if path else None
     kinds = dict(rows.dtypes)[key], dict(queries.dtypes)[query]
     out, block = None, []
 

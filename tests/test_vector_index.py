@@ -50,6 +50,17 @@ def test_recall_and_pruning(spark, rows, index):
     assert "cell" in filters and "IN" in filters
 
 
+def test_stored_number_of_cells(spark, rows, index):
+    """The index's own number of cells finds what it promises, also for queries that it wasn't measured by."""
+    probes, recall = vi.probes_of(spark, index)
+    assert recall[probes - 1] >= vi.RECALL and (probes == 1 or recall[probes - 2] < vi.RECALL) and recall == sorted(recall) and recall[-1] == pytest.approx(1)
+    assert probes < 16
+    q = spark.createDataFrame(list(queries(rows, 60).items()), "query_id string, vector array<double>")
+    exact = {(r["query_id"], r["chunk_id"]) for r in vi.nearest_many(rows, q, 10).collect()}
+    some = {(r["query_id"], r["chunk_id"]) for r in vi.nearest_many(vi.stored_rows(spark, index), q, 10, path=index).collect()}
+    assert len(some & exact) / len(exact) >= 0.9
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_each_query_equals_its_own_search(rows, spark, block, monkeypatch):
     monkeypatch.setattr(vi, "QUERIES", block)
@@ -67,6 +78,6 @@ def test_nothing_to_index(spark, tmp_path):
     none = spark.createDataFrame([("a", None), ("b", [0.0, 0.0])], "chunk_id string, embedding array<float>")
     at = f"file://{tmp_path}/i"
     vi.build(none, at, cells=4)
-    assert vi.search(spark, at, [1.0, 0.0], 3).count() == 0
+    assert vi.search(spark, at, [1.0, 0.0], 3).count() == 0 and vi.probes_of(spark, at)[0] == 1
     q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<double>")
     assert vi.nearest_many(none, q, 3).count() == 0 and vi.nearest_many(none, q.limit(0), 3).count() == 0
