@@ -94,7 +94,10 @@ class ChatProvider(ABC):
 
 
 class HashEmbedder(EmbedProvider):
-    """Signed hashes of words, normalised: equal texts have equal vectors, shared words bring them nearer."""
+    """Signed hashes of words, normalised: equal texts have equal vectors, shared words bring them nearer.
+
+    Words whose hashes cancel out are hashed as one, so that only a text without words has no length.
+    """
 
     def __init__(self, dimensions: int = 64, prefix: str = "", batch: int = 32):
         self.dimensions, self.prefix, self.batch = dimensions, prefix, batch
@@ -103,13 +106,19 @@ class HashEmbedder(EmbedProvider):
         out = []
         for t in texts:
             v = np.zeros(self.dimensions)
-            for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                v[h % self.dimensions] += 1 if h >> 63 else -1
+            words = t.lower().split()
+            for w in words:
+                self._add(v, w)
+            if words and not v.any():
+                self._add(v, " ".join(words))
             n = np.linalg.norm(v)
             out.append((v / n if n else v).tolist())
         return out
 
+    def _add(self, v: np.ndarray, w: str) -> None:
+        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+        v[h % self.dimensions] += 1 if h >> 63 else -1
+
 
 class OverlapReranker(RerankProvider):
     """The share of the query's words that a text has."""
