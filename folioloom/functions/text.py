@@ -101,11 +101,12 @@ def estimate_json_tokens(chars: Column) -> Column:
     return (F.floor(chars / F.lit(3.5)) + 100).cast("int")
 
 
-def footnote_number(c: Column) -> Column:
-    """The number that starts a footnote: ``N ``, ``(N)``, ``N. `` or ``N) ``; else null."""
+def footnote_number(c: Column, alone: bool = False) -> Column:
+    """The number that starts a footnote: ``N ``, ``(N)``, ``N. `` or ``N) ``; else null. ``alone``: also an ``N.`` that nothing follows."""
     t = strip(c)
     # the forms of a number (fixed values)
-    found = [F.regexp_extract(t, p, 1) for p in (r"^(\d{1,3})\s", r"^\((\d{1,3})\)\s*", r"^(\d{1,3})\.\s", r"^(\d{1,3})\)\s")]
+    forms = (r"^(\d{1,3})\s", r"^\((\d{1,3})\)\s*", r"^(\d{1,3})\.\s", r"^(\d{1,3})\)\s", *([r"^(\d{1,3})\.\z"] if alone else []))
+    found = [F.regexp_extract(t, p, 1) for p in forms]
     return F.coalesce(*[F.when(x != "", x.cast("int")) for x in found])
 
 

@@ -225,9 +225,10 @@ def footnotes(blocks: DataFrame, heights: DataFrame | None = None, top: float =
     """Footnotes of footnote blocks, of blocks low on the page, and of full-page paragraphs that start with a number.
 
     Input: doc_id, block_id, page_num_1, reading_order, block_type, text. Gives doc_id,
-    page_num_1, block_id, footnote_number, text, footnote_type; a block without a number gives none.
+    page_num_1, block_id, footnote_number, text, footnote_type; a block without a number gives none,
+    one with nothing but its number (``5.``) does.
     """
-    number = tx.footnote_number(F.col("text"))
+    number = tx.footnote_number(F.col("text"), alone=True)
     is_note = F.col("block_type") == "footnote"
     b = blocks
     if heights is not None and "bbox" in blocks.columns:

@@ -33,3 +33,10 @@ def agrees(spark, d: str, name: str) -> list[tuple]:
 def test_words_that_cancel_out_have_a_vector(spark, odd):
     # the hashes of "w17" and "w103" are the prefix's, with the other sign
     assert len(agrees(spark, odd(["w17", "w103", "a text", "w17 w103 passage:"]), "embed_stub")) == 4
+
+
+def test_a_footnote_of_nothing_but_its_number(spark, odd):
+    # the 17th block, as large as its page, has digits and dots alone
+    words = " ".join(["word"] * 640)
+    found = agrees(spark, odd([f"{words} 2.0.", f"{words} 3. 4.", f"{words} more", words]), "footnotes_by_place")
+    assert [r[:4] for r in found if r[2].endswith("-00016")] == [(i, 5, f"b{i}-00016", 17) for i in (1, 2, 3)]
