@@ -15,10 +15,9 @@ Tokens: A-Z are lower-cased, words are runs of characters that aren't white spac
 * Training: truncated backpropagation over windows of ``WINDOW`` tokens, ``STREAMS`` streams at a time (fewer where a task has little text, so that
   its weights are moved ``UPDATES`` times at least), whose state is carried from window to window and is new at a document's start. In each of ``ROUNDS`` rounds every task
   starts from the same weights and passes once over its part of the round's documents; the weights, each task's by its number of
-  tokens, are averaged in the cluster, in blocks, and the driver gets one model. A document takes part in
-  one round, and one in ``SHARE`` documents does, chosen by a hash: gradients come from a share of all training documents that
-  grows as they do, since a pass over all would cost more than all the rest; counts, vocabulary, classes and
-  biases come from all.
+  tokens, are averaged in the cluster, in blocks, and the driver gets one model. Every training document takes part in
+  one round, chosen by a hash, so that the rounds are one pass over all of them; counts, vocabulary, classes and
+  biases come from all, too. ``share`` above 1 trains on one in so many documents.
 * Scoring: all documents, whole. Documents are stepped side by side, longest first, and each one's state is carried from its
   first word to its end, whatever the windows.
 
@@ -43,11 +42,11 @@ WORDS = 4096
 CLASSES = 64
 EMBEDDED = 24
 HIDDEN = 24
-STREAMS = 64
+STREAMS = 256
 WINDOW = 16
 UPDATES = 64
 ROUNDS = 3
-SHARE = 16
+SHARE = 1
 RATE = 0.006
 SMOOTHING = 0.1
 #: Bytes of the shortlist, 16 a word besides its own, and the longest word in it.
@@ -222,22 +221,27 @@ class Model:
         found, back = self.output(states.reshape(-1, self.hidden), y.ravel(), gradient)
         if gradient is None:
             return float(found.sum()), h
-        back, d_gates, later = back.reshape(states.shape), np.empty_like(gates), 0
-        n = self.hidden
+        n, later = self.hidden, 0
+        back, own = back.reshape(states.shape), np.empty_like(gates)
+        befores, d_news = np.empty_like(states), np.empty_like(states)
         for t in range(steps - 1, -1, -1):
             before, go_on, z, r, new, part = kept[t]
             d = back[t] + later
-            d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (before - new) * z * (1 - z)
-            d_r = d_new * part * r * (1 - r)
-            d_gates[t] = np.concatenate([d_z, d_r, d_new], axis=1)
-            own = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            gradient["U"] += before.T @ own
-            later = (d * z + own @ self.U.T) * go_on
-        flat, ids = d_gates.reshape(-1, 3 * n), x.ravel()
+            rest = d * (1 - z)
+            befores[t] = before
+            d_news[t] = d_new = rest * (1 - new * new)
+            own[t, :, :n] = rest * (before - new) * z
+            own[t, :, n : 2 * n] = d_new * part * r * (1 - r)
+            own[t, :, 2 * n :] = d_new * r
+            later = (d * z + own[t] @ self.U.T) * go_on
+        flat, ids = own.reshape(-1, 3 * n), x.ravel()
+        gradient["U"] += befores.reshape(-1, n).T @ flat
+        own[:, :, 2 * n :] = d_news  # the candidate's slope as its word sees it, before the reset gate
         gradient["b"] += flat.sum(axis=0)
         gradient["W"] += self.E[ids].T @ flat
-        np.add.at(gradient["E"], ids, flat @ self.W.T)
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        gradient["E"][ids[order[first]]] += np.add.reduceat((flat @ self.W.T)[order], first)
         return float(found.sum()), h
 
     def train(self, stream, adam, streams: int = STREAMS, window: int = WINDOW, rate: float = RATE) -> None:

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioloom.llm import recurrent as rn
+from folioloom.session import staged
 
 SCHEMA = "doc_id long, text string, word string, n long, row long, score double, rare string, round int"
 
@@ -152,3 +153,14 @@ def test_no_training_documents_and_empty_tables(spark):
     assert (got[1]["n_tokens"], got[1]["n_known"], got[1]["train_tokens"], got[2]["n_tokens"]) == (3, 0, 0, 1)
     assert got[1]["base_score"] == pytest.approx(0) and all(math.isfinite(r["score"]) for r in got.values())
     assert rn.score(spark, docs.limit(0), F.lit(True)).collect() == []
+
+
+def test_every_training_document_is_trained_on(spark, monkeypatch):
+    """Gradients come from all training documents unless a caller asks for a share of them."""
+    docs = spark.createDataFrame(corpus(60), SCHEMA)
+    counts = rn.word_counts(spark, docs)
+    total, kinds = counts.agg(F.sum("n"), F.count("*")).first()
+    kept = {}
+    monkeypatch.setattr(rn, "staged", lambda s, df, name: kept.setdefault(name, staged(s, df, name)))
+    rn.train(spark, docs, rn.Vocabulary(rn.shortlist(counts)[1], total, kinds, 50), sizes=(3, 3, 3))
+    assert kept["recurrent-sample"].agg(F.sum(F.length("ids") / 4)).first()[0] == total
