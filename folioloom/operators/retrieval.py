@@ -111,14 +111,18 @@ def target_rank(rows: DataFrame, query: list[float], target, key: str = "chunk_i
     return d.join(F.broadcast(own), F.col("dist") < F.col("_d"), "inner").agg((F.count("*") + 1).alias("rank")).withColumn(key, F.lit(target))
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text", analyser: str = "simple") -> DataFrame:
-    """(term, key, tf): an inverted index; write it bucketed by term to reuse it."""
-    return chunks.select(key, F.explode(terms(F.col(text), analyser)).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text", analyser: str = "simple", also: tuple[str, ...] = ()) -> DataFrame:
+    """(term, key, tf): an inverted index; write it bucketed by term to reuse it. ``also``: the chunk's columns that its postings repeat.
+
+    Texts are shuffled, once, and counted where they come to lie: their postings are many times as large.
+    """
+    dealt = chunks.select(key, *also, text).repartition(key)
+    return dealt.select(key, *also, F.explode(terms(F.col(text), analyser)).alias("term")).groupBy("term", key, *also).agg(F.count("*").alias("tf"))
 
 
 def write_postings(index: DataFrame, path: str) -> None:
-    """Store an inverted index sorted by term, so that a lookup reads the row groups of its terms alone."""
-    index.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+    """Store an inverted index in files that are sorted by term, so that a lookup reads the pages of its terms alone."""
+    index.hint("rebalance", "term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
 
 
 def damped(tf: Column) -> Column:

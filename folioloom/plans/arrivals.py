@@ -82,7 +82,7 @@ def segment_postings(spark: SparkSession, d: str) -> DataFrame:
     store = Store(spark, _folder(spark, "postings"), buckets=8, order={"postings": ["term", "chunk_id"]})
 
     def made(rows: DataFrame) -> DataFrame:
-        return rt.postings(rows).join(rows.select("chunk_id", "doc_id"), "chunk_id").select("doc_id", "term", "chunk_id", "tf")
+        return rt.postings(rows, also=("doc_id",)).select("doc_id", "term", "chunk_id", "tf")
 
     store.commit({"postings": made(chunks)})
     changed = chunks.filter("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("amended "), F.reverse("text")))

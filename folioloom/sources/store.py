@@ -161,8 +161,11 @@ class Store:
 
     def _write(self, segment: str, table: str, rows: DataFrame, touched: DataFrame) -> None:
         sort = [c for c in self.order.get(table, []) if c in rows.columns]
-        dealt = rows.withColumn("bucket", self.bucket()).repartition("bucket").sortWithinPartitions("bucket", *sort)
+        # a large bucket is written by several tasks, small ones together by one
+        dealt = rows.withColumn("bucket", self.bucket()).hint("rebalance", "bucket").sortWithinPartitions("bucket", *sort)
         dealt.write.partitionBy("bucket").parquet(f"{self.root}/{table}/segment={segment}")
+        if touched is rows:  # what has been written is read, and not made again
+            touched = self.spark.read.schema(rows.select("doc_id").schema).parquet(f"{self.root}/{table}/segment={segment}")
         touched.select("doc_id").distinct().write.parquet(f"{self.root}/{table}.touched/segment={segment}")
 
     def commit(self, tables: dict[str, DataFrame], touched: dict[str, DataFrame] | None = None, batch: str | None = None, base: int | None = None) -> int | None:
