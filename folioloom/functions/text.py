@@ -1,11 +1,13 @@
 """Text functions as columns. Built-in expressions wherever Spark has them; pandas
-functions only for Unicode normalisation, which Spark lacks."""
+or Arrow functions only for Unicode normalisation and places of matches, which Spark lacks."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,49 +168,33 @@ REF_PATTERNS = (
 )
 
 
-_REFS = "array<struct<pattern_no:int,match_no:int,match_type:string,number:int,snippet:string>>"
+_REFS = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("pattern_no", T.IntegerType()), ("match_no", T.IntegerType()), ("match_type", T.StringType()), ("number", T.IntegerType()), ("snippet", T.StringType()))]))
 
 
 def find_refs(c: Column, around: int | None = 20) -> Column:
     """Array of (pattern_no, match_no, match_type, number, snippet) of all patterns' matches, in that order.
 
-    The snippet is the match with up to ``around`` characters on both sides; None leaves it out, and
-    then no text is cut. Everything is linear in the text: it is parted once a pattern, into what stands
-    before each match, and the match; a snippet is put together from the ends of the parts next to it.
+    The snippet is the match with up to ``around`` characters on both sides; None leaves it out. Spark's functions
+    tell no places of matches, so that texts are scanned in Arrow batches, once a pattern.
     """
-    return F.concat(*[_matches(c, no, *p, around) for no, p in enumerate(REF_PATTERNS)])
-
-
-def _matches(text: Column, no: int, name: str, pattern: str, group: int, around: int | None) -> Column:
-    def one(number: Column, i: Column, snippet: Column) -> Column:
-        return F.struct(F.lit(no).alias("pattern_no"), i.cast("int").alias("match_no"), F.lit(name).alias("match_type"), number.cast("int").alias("number"), snippet.alias("snippet"))
-
-    numbers = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    if around is None:
-        return F.transform(numbers, lambda x, i: one(x, i, F.lit(None).cast("string")))
-    parted = rf"(?s)(.*?)(?:{pattern}|\z)"  # the end closes the last part, else each place of the tail would be tried
-    parts, gaps = (F.regexp_extract_all(text, F.lit(parted), F.lit(g)) for g in (0, 1))
-    near = -(-around // 3)  # no match is shorter than three characters, so that no more parts are within reach
-
-    def placed(s: Column) -> Column:
-        def each(x: Column, i: Column) -> Column:
-            before = F.concat(F.array_join(F.slice(s["tails"], F.greatest(i - near, F.lit(0)) + 1, F.least(i, F.lit(near))), ""), F.right(x["gap"], F.lit(around)))
-            after = F.array_join(F.slice(s["heads"], i + 2, F.lit(near)), "")
-            return one(x["number"], i, F.concat(F.right(before, F.lit(around)), F.substring(x["part"], F.length(x["gap"]) + 1, F.length(x["part"])), F.left(after, F.lit(around))))
-
-        return F.transform(F.slice(F.arrays_zip(s["gaps"].alias("gap"), s["parts"].alias("part"), s["numbers"].alias("number")), 1, F.size(s["numbers"])), each)
-
-    def ends(s: Column) -> Column:
-        own = [s[k].alias(k) for k in ("numbers", "parts", "gaps")]
-        return F.struct(*own, F.transform(s["parts"], lambda x: F.left(x, F.lit(around))).alias("heads"), F.transform(s["parts"], lambda x: F.right(x, F.lit(around))).alias("tails"))
-
-    found = _with(_with(F.struct(numbers.alias("numbers"), parts.alias("parts"), gaps.alias("gaps")), ends), placed)
-    return F.when(F.size(numbers) > 0, found).otherwise(F.array().cast(_REFS))
-
-
-def _with(value: Column, f) -> Column:
-    """``f`` of a value that is computed once, however often ``f`` names it: a lambda's argument is, an expression inside a lambda isn't."""
-    return F.element_at(F.transform(F.array(value), f), 1)
+    return _cut_refs(c, F.lit(around).cast("int"))
+
+
+@F.arrow_udf(_REFS)
+def _cut_refs(text: pa.Array, around: pa.Array) -> pa.Array:
+    # white space and digits are ASCII's
+    patterns = [(name, re.compile(p, re.ASCII), g) for name, p, g in REF_PATTERNS]
+    reach = around[0].as_py() if len(around) else None
+    ends, rows = [0], []
+    for t in text.to_pylist():
+        for no, (name, pattern, group) in enumerate(patterns if t else ()):
+            for i, m in enumerate(pattern.finditer(t)):
+                rows.append((no, i, name, int(m.group(group)), None if reach is None else t[max(m.start() - reach, 0) : m.end() + reach]))
+        ends.append(len(rows))
+    kinds = {"pattern_no": pa.int32(), "match_no": pa.int32(), "match_type": pa.string(), "number": pa.int32(), "snippet": pa.string()}
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    made = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)
 
 
 def ref_markup(text: Column, refs: Column) -> Column:

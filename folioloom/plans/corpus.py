@@ -344,7 +344,7 @@ def _refs_sql() -> str:
 def ref_markup(spark: SparkSession, d: str) -> DataFrame:
     b = v.blocks(spark, d).withColumn("text", _marked(F.col("text")))
     notes = b.select("doc_id", "page_num_1", "reading_order", (F.col("pos") % 30 + 1).cast("int").alias("footnote_number"), F.concat(F.lit("fn"), "block_id").alias("footnote_id"))
-    return bl.mark_refs(b, bl.link_refs(b, notes)).select("block_id", "text")
+    return bl.mark_refs(b, bl.link_refs(b, notes, around=None)).select("block_id", "text")
 
 
 def link_refs(spark: SparkSession, d: str) -> DataFrame:

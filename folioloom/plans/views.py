@@ -38,14 +38,16 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = words(spark, sf_dir)
     last = F.greatest(F.floor((F.size("w") - 1) / WORDS), F.lit(0)).cast("int")
-    b = d.select("doc_id", "w", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
+    # each block takes its own words along, never its document's
+    cut = F.transform(F.sequence(F.lit(0), last), lambda pos: F.array_join(F.slice("w", pos * WORDS + 1, WORDS), " "))
+    b = d.select("doc_id", F.posexplode(cut).alias("pos", "text"))
     return b.select(
         "doc_id",
         F.concat(F.lit("b"), F.col("doc_id").cast("string"), F.lit("-"), F.format_string("%05d", F.col("pos"))).alias("block_id"),
         (F.floor(F.col("pos") / 4) + 1).cast("int").alias("page_num_1"),
         (F.col("pos") % 4).cast("int").alias("reading_order"),
         F.when(F.col("pos") % 9 == 0, "heading").otherwise("paragraph").alias("block_type"),
-        F.array_join(F.slice("w", F.col("pos") * WORDS + 1, WORDS), " ").alias("text"),
+        "text",
         "pos",
     )
 
