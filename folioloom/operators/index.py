@@ -66,11 +66,16 @@ def only_with_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return docs.join(chunks.select("doc_id"), "doc_id", "left_semi")
 
 
+def text_digest(text: Column) -> Column:
+    """The 32 bytes that stand for a text where texts are only compared, so that joins don't shuffle them."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def embed_reuse(old: DataFrame, new: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """``new`` with the old vector where key and text are the same, and ``needs_embedding`` elsewhere; empty texts need none."""
-    o = old.select(key, F.col(text).alias("_t"), F.col("embedding").alias("_e"))
+    o = old.select(key, text_digest(F.col(text)).alias("_t"), F.col("embedding").alias("_e"))
     j = new.join(o, key, "left")
-    same = (F.col("_t") == F.col(text)) & F.col("_e").isNotNull()
+    same = (F.col("_t") == text_digest(F.col(text))) & F.col("_e").isNotNull()
     return j.withColumns({"embedding": F.when(same, F.col("_e")), "needs_embedding": ~F.coalesce(same, F.lit(False)) & (F.length(text) > 0)}).drop("_t", "_e")
 
 
@@ -82,8 +87,8 @@ def embed_missing(rows: DataFrame, embed: Column) -> DataFrame:
 
 def chunk_audit(old: DataFrame, new: DataFrame, version: int = 0) -> DataFrame:
     """Per document in ``new``: total, added, removed, text_changed, unchanged chunks."""
-    o = old.select(F.col("doc_id").alias("_od"), "chunk_id", F.col("text").alias("_ot"))
-    n = new.select(F.col("doc_id").alias("_nd"), "chunk_id", F.col("text").alias("_nt"))
+    o = old.select(F.col("doc_id").alias("_od"), "chunk_id", text_digest(F.col("text")).alias("_ot"))
+    n = new.select(F.col("doc_id").alias("_nd"), "chunk_id", text_digest(F.col("text")).alias("_nt"))
     j = o.join(n, "chunk_id", "full_outer").withColumn("doc_id", F.coalesce("_nd", "_od"))
     was, is_ = F.col("_od").isNotNull(), F.col("_nd").isNotNull()
     out = j.groupBy("doc_id").agg(
