@@ -261,8 +261,10 @@ def link_refs(blocks: DataFrame, notes: DataFrame, around: int | None = 20) -> D
 
 def block_refs(blocks: DataFrame, refs: DataFrame) -> DataFrame:
     """``blocks`` with ``footnote_refs``: the distinct ids of the footnotes that a block refers to, sorted."""
-    by = refs.filter("footnote_id IS NOT NULL").groupBy("doc_id", F.col("parent_block_id").alias("block_id")).agg(F.array_sort(F.collect_set("footnote_id")).alias("_ids"))
-    return blocks.drop("footnote_refs").join(by, ["doc_id", "block_id"], "left").withColumn("footnote_refs", F.coalesce("_ids", F.array().cast("array<string>"))).drop("_ids")
+    by = refs.filter("footnote_id IS NOT NULL AND parent_block_id IS NOT NULL").groupBy("doc_id", F.col("parent_block_id").alias("block_id")).agg(F.array_sort(F.collect_set("footnote_id")).alias("_ids"))
+    # joined by document alone, so that texts are shuffled once, for the windows over documents as well
+    own = by.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("block_id", "_ids"))).alias("_own"))
+    return blocks.drop("footnote_refs").join(own, "doc_id", "left").withColumn("footnote_refs", F.coalesce(F.try_element_at("_own", F.col("block_id")), F.array().cast("array<string>"))).drop("_own")
 
 
 def mark_refs(blocks: DataFrame, refs: DataFrame) -> DataFrame:

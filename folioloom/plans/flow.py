@@ -119,7 +119,7 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 def _old_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The chunks of an earlier version, which had six pages at most, with vectors that are there for most."""
     made = make_chunks(records(spark, d).filter("page_num_1 <= 6"), v.docs(spark, d), MAX_TOKENS, OVERLAP)
-    return made.withColumn("embedding", F.when(F.col("chunk_index") % 4 != 3, F.array(F.lit(1.0).cast("float"))))
+    return staged(spark, made.withColumn("embedding", F.when(F.col("chunk_index") % 4 != 3, F.array(F.lit(1.0).cast("float")))), "old-chunks")
 
 
 def _run(spark: SparkSession, d: str) -> Run:
