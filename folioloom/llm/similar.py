@@ -1,4 +1,4 @@
-"""Documents that are alike: SimHash candidates of a byte-position index, verified exactly.
+"""Documents that are alike: SimHash candidates of a byte-position index, then an exact join of what they leave apart; all verified exactly.
 
 Two documents link when the sets of their shingles (``WIDTH`` words, A-Z lower-cased, as XXH64) have a Jaccard similarity of
 ``SIMILARITY`` or more. A component of links is a group.
@@ -15,8 +15,15 @@ Two documents link when the sets of their shingles (``WIDTH`` words, A-Z lower-c
   candidates are at most five a node, however large a group; each of a group of up to five is compared with all others.
 * Verification: the shingle sets of candidates alone are made, and compared exactly. No link is below the threshold.
 
-Nothing grows with the square of a group: a member that is alike to any of its nearest, or to the centre, joins. What can be lost is a link whose two
-texts aren't among each other's nearest in bits, and whose groups no other link joins; README has the measured recall.
+Nothing of that grows with the square of a group: a member that is alike to any of its nearest, or to the centre, joins. Links that these candidates miss
+are found by an exact join over what is still in different components:
+
+* Prefixes: the shingles of a set are ordered by frequency, then hash. Two sets of ``SIMILARITY`` or more share one of the first ``n - ceil(SIMILARITY n) + 1``
+  of each. Any order does for that, so that the ``FREQUENT`` most frequent shingles of a sample of texts come last and all others count alike.
+* A list of each prefix shingle; its pairs of different components, if their sizes and what is left after the shingle allow the similarity,
+  and if no more of 256 parities differ than their sets may (the parities of two sets differ at most as often as their members).
+  Pairs of one component are never made, so that a large group of copies costs a row a member and shingle.
+* What is left is verified as above. No link between different texts is lost, whatever the first step found. A list is held whole (40 bytes a member).
 
 Defined results: a null text counts as empty; texts without words are one node; repeated rows have the same result; a null doc_id is never a
 component's id unless all of its documents have none; an empty table gives an empty result.
@@ -32,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioloom.llm.common import drop_keys, flag_members, free_name, input_partitions, key_bitmap, prepare, released, row_key, texts
-from folioloom.llm.simhash import _FIRST, _LOWER, SEED, _digests, _named
+from folioloom.llm.simhash import _FIRST, _LOWER, SEED, _digests, _named, components
 from folioloom.session import staged
 
 WIDTH = 5
@@ -45,6 +52,11 @@ _POSITIONS = 32
 _WINDOW = 4096
 #: Mean length of a list of unrelated nodes above which keys get another byte.
 _MEAN = 1024
+#: Texts whose shingles are counted, and shingles that are known as frequent, 16 bytes each.
+_COUNTED = 16_384
+FREQUENT = 65_536
+#: Pairs that are made at a time.
+_PAIRS = 1 << 20
 #: Rows that are compared at a time, and candidates that are held before they are reduced.
 _ROWS = 1 << 16
 _HELD = 1 << 21
@@ -134,13 +146,86 @@ def choices(k: int, similarity: float = SIMILARITY, chance: float = CHANCE) -> l
     return list(out)[:count]
 
 
-def _fingerprinted(batches):
+def kind_of(shingles) -> int:
+    """A set's number, equal for equal sets alone (64 bits)."""
+    import numpy as np
+
+    return int(node_of(np.array([[len(shingles), shingles.sum(), np.bitwise_xor.reduce(shingles), _mixed(shingles).sum()]], np.uint64))[0]) if len(shingles) else 0
+
+
+def parities(shingles):
+    """Four 64-bit integers: whether the set has an odd number of members in each of 256 classes."""
+    import numpy as np
+
+    return np.packbits(np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1).view("<u8")
+
+
+def prefix_size(n, similarity: float = SIMILARITY):
+    """First members of a set of ``n``, one of which any set as similar as that has among its own first ones."""
+    import numpy as np
+
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+
+
+def prefix(shingles, frequent, similarity: float = SIMILARITY):
+    """The first members in order of frequency, then hash. ``frequent``: sorted hashes, and how frequent each is; others come first."""
+    import numpy as np
+
+    if not len(shingles):
+        return shingles
+    hashes, counts = frequent
+    rank = np.zeros(len(shingles), np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
+        rank = np.where(hashes[at] == shingles, counts[at], 0)
+    return shingles[np.argsort(rank, kind="stable")[: int(prefix_size(np.int64(len(shingles)), similarity))]]
+
+
+def _members(batches):
+    """Rows (h): the shingles of texts, each once a text."""
     import numpy as np
     import pyarrow as pa
 
     for batch in released(batches):
-        longs = np.array([fingerprint(shingle_set(t)) for t in texts(batch.column(2))], np.uint64).reshape(-1, 4)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node_of(longs)), *[pa.array(longs[:, i].copy().view(np.int64)) for i in range(4)]], names=["doc_id", "key", "node", *_LONGS])
+        for at in range(0, batch.num_rows, 100):
+            found = [shingle_set(t) for t in texts(batch.column(0).slice(at, 100))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
+
+
+def frequent_shingles(spark: SparkSession, docs: DataFrame, text: str = "text", counted: int = _COUNTED, most: int = FREQUENT):
+    """Sorted hashes of the most frequent shingles of a sample of texts, and their counts: an order, no filter."""
+    import numpy as np
+
+    drawn = F.pmod(F.xxhash64(F.col(text)), F.lit(max(1, docs.count() // counted)))
+    found = docs.filter(drawn == 0).select(F.col(text).alias("text")).mapInArrow(_members, "h bigint").groupBy("h").agg(F.count("*").alias("n"))
+    top = found.filter("n > 1").orderBy(F.desc("n"), "h").limit(most).collect()  # bounded
+    hashes, counts = np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+_PARITIES = ["p0", "p1", "p2", "p3"]
+
+
+def _fingerprinted(frequent, similarity: float):
+    """Rows of a text's fingerprint, its set's number, size, parities and prefix."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = ["doc_id", "key", "node", *_LONGS, "kind", "n", *_PARITIES, "prefix"]
+        for batch in released(batches):
+            made = []
+            for t in texts(batch.column(2)):
+                own = shingle_set(t)
+                made.append((fingerprint(own), kind_of(own), len(own), parities(own), prefix(own, frequent.value, similarity).view(np.int64)))
+            prints, kinds, sizes, odd, first = zip(*made, strict=True) if made else ((),) * 5
+            longs, odd = np.array(prints, np.uint64).reshape(-1, 4), np.array(odd, np.uint64).reshape(-1, 4).view(np.int64)
+            columns = [pa.array(node_of(longs)), *[pa.array(longs[:, i].copy().view(np.int64)) for i in range(4)], pa.array(kinds, pa.int64()), pa.array(sizes, pa.int32()), *[pa.array(odd[:, i].copy()) for i in range(4)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(list(first), pa.list_(pa.int64()))], names=names)
+
+    return run
 
 
 # -- candidates ----------------------------------------------------------------------------
@@ -343,6 +428,80 @@ def candidates(spark: SparkSession, nodes: DataFrame, similarity: float = SIMILA
     return edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+# -- the exact join ------------------------------------------------------------------------
+
+
+def _across(similarity: float):
+    """Rows (u, v), u < v: pairs of a list whose components differ and that may be as similar as that; rows (h, comp, kind, n, pos) of a list are next to one another, and so are those of a component."""
+
+    def pairs(h, comp, kind, n, pos):
+        import numpy as np
+
+        ends = lambda new: np.append(np.flatnonzero(new)[1:], len(h))[np.cumsum(new) - 1]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        own = ends(new | np.concatenate([[True], comp[1:] != comp[:-1]]))  # where others of the list begin
+        count = ends(new) - own
+        sums = np.concatenate([[0], np.cumsum(count)])
+        at = 0
+        while at < len(h) and sums[at] < sums[-1]:
+            to = max(at + 1, int(np.searchsorted(sums, sums[at] + _PAIRS, "right")) - 1)
+            some = np.arange(at, to)
+            i = np.repeat(some, count[some])
+            j = own[i] + np.arange(len(i)) - np.repeat(sums[some] - sums[at], count[some])
+            both = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9)
+            may = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= both  # members from the shared one on
+            u, v = kind[i[may]], kind[j[may]]
+            if len(u):
+                yield np.minimum(u, v), np.maximum(u, v)
+            at = to
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, parts, rows = None, [], 0
+
+        def given(u, v):
+            both = np.unique(np.stack([u, v], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["u", "v"])
+
+        def found(upto):
+            for u, v in pairs(*[c[:upto] for c in held]):
+                yield given(u, v)
+
+        for batch in batches:
+            parts.append([c.to_numpy().astype(np.int64) for c in batch.columns])
+            rows += batch.num_rows
+            if rows < _ROWS:
+                continue
+            held = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            last = int(np.flatnonzero(held[0] == held[0][-1])[0])  # where the last list, which may go on, begins
+            yield from found(last)
+            parts, rows = [[c[last:] for c in held]], 0
+        if parts:
+            held = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            yield from found(len(held[0]))
+
+    return run
+
+
+def missed(spark: SparkSession, docs: DataFrame, rows: DataFrame, links: DataFrame, doc_id: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) of nodes whose components under ``links`` differ: all that there are, verified. ``rows``: as ``_fingerprinted`` makes them."""
+    roots = components(spark, links)
+    one = rows.groupBy("kind", "node").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    placed = one.join(roots, "node", "left").select("kind", "n", F.coalesce("root", "node").alias("comp"), F.posexplode("prefix").alias("pos", "h"))
+    together = placed.select("h", "comp", "kind", "n", "pos").repartition(input_partitions(spark), "h").sortWithinPartitions("h", "comp")
+    pairs = staged(spark, together.mapInArrow(_across(similarity), "u bigint, v bigint").distinct(), "similar-across")
+    kinds = staged(spark, rows.groupBy("kind", "node", "n", *_PARITIES).agg(F.expr(_FIRST)), "similar-kinds")
+    side = lambda c: kinds.select(F.col("kind").alias(c), F.col("n").alias(f"_n{c}"), *[F.col(p).alias(f"_{p}{c}") for p in _PARITIES])
+    apart = functools.reduce(lambda a, b: a + b, [F.bit_count(F.col(f"_{p}u").bitwiseXOR(F.col(f"_{p}v"))) for p in _PARITIES])
+    may = apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("_nu") + F.col("_nv")) + 1e-9
+    likely = staged(spark, pairs.join(side("u"), "u").join(side("v"), "v").filter(may).select("u", "v"), "similar-likely")
+    found = verified(spark, docs, kinds.select(F.col("kind").alias("node"), "first"), likely, doc_id, text, similarity)
+    node = lambda c: kinds.select(F.col("kind").alias(c), F.col("node").alias(f"_{c}"))
+    return found.join(node("u"), "u").join(node("v"), "v").select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v")).distinct()
+
+
 # -- verification --------------------------------------------------------------------------
 
 
@@ -385,11 +544,15 @@ def similar_documents(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_i
     prepare(spark)
     kind = docs.schema[doc_id].dataType.simpleString()
     chosen = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
-    made = chosen.mapInArrow(_fingerprinted, f"doc_id {kind}, key string, node bigint, " + ", ".join(f"{f} bigint" for f in _LONGS))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(spark, docs, text))
+    longs = lambda names: ", ".join(f"{f} bigint" for f in names)
+    made = chosen.mapInArrow(_fingerprinted(frequent, similarity), f"doc_id {kind}, key string, node bigint, {longs(_LONGS)}, kind bigint, n int, {longs(_PARITIES)}, prefix array<bigint>")
     rows = staged(spark, made, "similar-rows")
+    frequent.destroy()
     nodes = staged(spark, rows.groupBy("node", *_LONGS).agg(F.expr(_FIRST)), "similar-nodes")
     pairs = staged(spark, candidates(spark, nodes, similarity, short, best, k), "similar-pairs")
     links = staged(spark, verified(spark, docs, nodes, pairs, doc_id, text, similarity), "similar-links")
+    links = staged(spark, links.union(missed(spark, docs, rows, links, doc_id, text, similarity)), "similar-all-links")
     named = _named(spark, rows.select("doc_id", "key", "node"), nodes, links, "node")
     return named.select("doc_id", F.col("first.doc_id").alias("component_id"), "key", (F.col("key") == F.col("first.key")).alias("kept"))
 

@@ -166,3 +166,42 @@ def test_choices():
         assert abs(met.mean() - similar.CHANCE) < 0.015
     assert [similar.key_bytes(n) for n in (0, 10**6, 10**8, 10**11)] == [2, 2, 3, 4]
     assert similar.most_bits(0.8) == int(256 * similar._differ(0.8) + 3 * math.sqrt(256 * similar._differ(0.8) * (1 - similar._differ(0.8))))
+
+
+@pytest.mark.parametrize("chosen", [[(0, 1)], [(3,)]])
+def test_no_link_is_lost(spark, chosen, monkeypatch):
+    """Where candidates are few, all links between different texts are found nevertheless: groups are those of all pairs."""
+    texts = dict(enumerate([*groups(30, 6, 60, 3), *groups(1, 120, 40, 2, seed=4), *groups(40, 2, 9, 1, seed=7), "", "a", "a b", "A  b"]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(similar, "choices", lambda *a: chosen)
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_documents(spark, docs, best=1).collect()}
+    assert got == components_of_all_pairs(texts)
+
+
+@pytest.mark.parametrize("held", [16, 1 << 16])
+def test_prefixes_and_pairs_by_loops(held, monkeypatch):
+    """Of random sets, all pairs of 0.8 and more in different components are made, and none of one component."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(similar, "_ROWS", held)
+    monkeypatch.setattr(similar, "_PAIRS", held)
+    r = random.Random(5)
+    sets = []
+    for i in range(60):
+        base = {r.getrandbits(63) for _ in range(r.choice([1, 4, 5, 20, 41]))} | set(range(10))
+        sets += [np.array(sorted(set(base) - set(r.sample(sorted(base), min(k, len(base) - 1)))), np.uint64) for k in (0, 0, 1, 2, 4)]
+    frequent = np.arange(10, dtype=np.uint64), np.arange(10, 0, -1)
+    comp = [r.randrange(40) for _ in sets]
+    rows = sorted((int(h), comp[i], i, len(s), at) for i, s in enumerate(sets) for at, h in enumerate(similar.prefix(s, frequent).view(np.int64)))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["h", "comp", "kind", "n", "pos"])
+    got = {p for b in similar._across(0.8)([batch.slice(i, 7) for i in range(0, len(rows), 7)]) for p in zip(*[c.to_pylist() for c in b.columns], strict=True)}
+    want = set()
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(np.intersect1d(a, sets[j]))
+            apart = len(a) + len(sets[j]) - 2 * both
+            assert np.bitwise_count(similar.parities(a) ^ similar.parities(sets[j])).sum() <= apart
+            assert (similar.kind_of(a) == similar.kind_of(sets[j])) == (apart == 0)
+            if both >= 0.8 * (both + apart) and comp[i] != comp[j]:
+                want.add((i, j))
+    assert len(want) > 50 and want <= got and all(comp[i] != comp[j] for i, j in got)
