@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from folioloom.functions.vectors import length_of
+from folioloom.functions.vectors import length_of, one_thread
 from folioloom.operators.retrieval import nearest
 from folioloom.session import ship, staged
 
@@ -29,6 +29,8 @@ NEAR = 10
 ASKED = 256
 #: Queries of one pass over the vectors; more take more passes.
 QUERIES = 4096
+#: Rows whose products with queries or centres a task holds at a time, whatever the batches.
+_ROWS = 1024
 
 
 def _unit(vectors):
@@ -44,6 +46,14 @@ def _matrix(column):
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _parts(batches):
+    """Batches of at most ``_ROWS`` rows, one at least."""
+    one_thread()
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
 def _summed(centres):
     """Partial sums of unit vectors by cell: rows (cell, n, sums)."""
 
@@ -52,7 +62,7 @@ def _summed(centres):
         import pyarrow as pa
 
         sums, n = np.zeros_like(centres), np.zeros(len(centres), np.int64)
-        for batch in batches:
+        for batch in _parts(batches):
             if batch.num_rows:
                 own = _unit(_matrix(batch.column(0)))
                 at = (own @ centres.T).argmax(axis=1)
@@ -92,7 +102,7 @@ def _placed(centres, place: int):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _parts(batches):
             own = _matrix(batch.column(place)) if batch.num_rows else np.zeros((0, centres.shape[1]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((own @ centres.T).argmax(axis=1).astype(np.int32))], names=[*batch.schema.names, "cell"])
 
@@ -182,8 +192,8 @@ def _heaps(queries, k: int, allowed):
             keep = np.arange(len(q)) - starts < k
             return q[keep], dist[keep], keys[keep]
 
-        count = 0
-        for batch in batches:
+        count, bar = 0, np.full(len(units), np.inf)  # none of a query's k best is beyond its bar
+        for batch in _parts(batches):
             kind = batch.schema.field(0).type
             if not batch.num_rows:
                 continue
@@ -195,9 +205,11 @@ def _heaps(queries, k: int, allowed):
                 dist = 1.0 - own @ units[at : at + 256].T
                 if cells is not None:
                     dist[~allowed[at : at + 256][:, cells].T] = np.inf
-                # a query's k best of the batch, and what ties with the last of them
-                last = np.partition(dist, min(k, len(dist)) - 1, axis=0)[min(k, len(dist)) - 1]
-                row, col = np.nonzero((dist <= last + 1e-12) & np.isfinite(dist))
+                # a query's k best of the rows, and what ties with the last of them
+                upto = bar[at : at + 256]
+                if len(dist) >= k:
+                    np.minimum(upto, np.partition(dist, k - 1, axis=0)[k - 1] + 1e-12, out=upto)
+                row, col = np.nonzero((dist <= upto) & np.isfinite(dist))
                 held.append((col + at, dist[row, col], keys[row]))
                 count += len(row)
             if count > max(200_000, 2 * k * len(units)):

@@ -81,3 +81,20 @@ def test_nothing_to_index(spark, tmp_path):
     assert vi.search(spark, at, [1.0, 0.0], 3).count() == 0 and vi.probes_of(spark, at)[0] == 1
     q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<double>")
     assert vi.nearest_many(none, q, 3).count() == 0 and vi.nearest_many(none, q.limit(0), 3).count() == 0
+
+
+def test_a_task_holds_few_rows_at_a_time(monkeypatch):
+    """Large batches are multiplied in parts, and the result is that of all pairs, ties by key."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    x = np.repeat(r.standard_normal((1500, 8)), 2, 0).astype("f4").astype(float)  # each vector twice
+    norms, asked, seen = np.linalg.norm(x, axis=1), r.standard_normal((300, 8)), []
+    matrix = vi._matrix
+    monkeypatch.setattr(vi, "_matrix", lambda c: seen.append(len(c)) or matrix(c))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(x.tolist(), pa.list_(pa.float32())), pa.array(norms)], names=["key", "v", "norm"])
+    got = [t for b in vi._heaps(asked, 5, None)([batch]) for t in zip(*[c.to_pylist() for c in b.columns[:2]], strict=True)]
+    assert max(seen) <= 1024 and sum(seen) == 3000
+    dist = 1 - (x / norms[:, None]) @ vi._unit(asked).T
+    pairs = [(q, k) for q in range(300) for k in sorted(range(3000), key=lambda i: (round(dist[i, q], 12), i))[:5]]
+    assert sorted(got) == sorted(pairs)
