@@ -73,3 +73,17 @@ def test_stems(word, want):
 def test_query_terms():
     assert query_terms("The history of THE Malay history") == ["history", "malay"]
     assert query_terms("of the") == []
+
+
+def test_stems_of_a_batch_are_made_once_a_word(monkeypatch):
+    import pyarrow as pa
+
+    from folioloom.functions import analyzer
+
+    made, stem = [], analyzer.stem
+    monkeypatch.setattr(analyzer, "stem", lambda w: made.append(w) or stem(w))
+    rows = [["reports", "reports"], None, [], ["running", None, "reports"]] * 50
+    want = [None if r is None else [None if w is None else stem(w) for w in r] for r in rows]
+    column = pa.array(rows, pa.list_(pa.string()))
+    assert analyzer.stemmed(column).to_pylist() == want and sorted(made) == ["reports", "running"]
+    assert analyzer.stemmed(column.slice(3, 6)).to_pylist() == want[3:9] and analyzer.stemmed(column.slice(0, 0)).to_pylist() == []
