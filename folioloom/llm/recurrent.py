@@ -35,6 +35,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioloom.functions.vectors import one_thread
 from folioloom.llm.common import input_partitions, prepare, released, texts
 from folioloom.session import staged
 
@@ -191,18 +192,24 @@ class Model:
             gradient["c"] += logits.sum(axis=0)
             back += logits @ self.C.T
         order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(len(self.cuts)))
+        ends = np.searchsorted(kind[order], np.arange(len(self.cuts))).tolist()
+        # rows of a class are slices of these
+        states, targets, inside = states[order], targets[order], np.zeros(m, self.dtype)
+        slope = np.zeros_like(states) if gradient else None
         for k, (lo, hi) in enumerate(itertools.pairwise(self.cuts.tolist())):
-            own = order[ends[k] : ends[k + 1]]
-            if hi - lo == 1 or not len(own):
+            own = slice(ends[k], ends[k + 1])
+            if hi - lo == 1 or ends[k] == ends[k + 1]:
                 continue
             h = states[own]
             logits = h @ self.O[lo:hi].T + self.o[lo:hi]
-            out[own] += softmax(logits, targets[own] - lo)
+            inside[own] = softmax(logits, targets[own] - lo)
             if gradient:
                 gradient["O"][lo:hi] += logits.T @ h
                 gradient["o"][lo:hi] += logits.sum(axis=0)
-                back[own] += logits @ self.O[lo:hi]
+                slope[own] = logits @ self.O[lo:hi]
+        out[order] += inside
+        if gradient:
+            back[order] += slope
         return out, back
 
     def window(self, x, y, h, gradient=None):
@@ -379,6 +386,7 @@ def _trained(weights, counts: list[int], sizes: tuple):
         import numpy as np
         import pyarrow as pa
 
+        one_thread()
         model, seen = Model(counts, *sizes), 0
         model.load(np.frombuffer(weights.value, model.dtype).copy())
         adam = Adam(model.size, model.dtype)
@@ -447,6 +455,7 @@ def _scored(vocabulary, weights, sizes: tuple):
         import pyarrow as pa
         from pyspark import TaskContext
 
+        one_thread()
         v = vocabulary.value
         places, n_model = v.places(), len(v.model_counts)
         of = _ids(places, n_model)

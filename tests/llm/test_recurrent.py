@@ -164,3 +164,23 @@ def test_every_training_document_is_trained_on(spark, monkeypatch):
     monkeypatch.setattr(rn, "staged", lambda s, df, name: kept.setdefault(name, staged(s, df, name)))
     rn.train(spark, docs, rn.Vocabulary(rn.shortlist(counts)[1], total, kinds, 50), sizes=(3, 3, 3))
     assert kept["recurrent-sample"].agg(F.sum(F.length("ids") / 4)).first()[0] == total
+
+
+def test_a_task_takes_one_thread():
+    """Products of small matrices cost twice the CPU time on two threads."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import ctypes, pathlib, sys
+import numpy as np
+from folioloom.functions.vectors import one_thread
+lib = [ctypes.CDLL(str(p)) for p in pathlib.Path(np.__file__).parent.with_name("numpy.libs").glob("*openblas*")]
+ask = [getattr(x, n) for x in lib for n in ("scipy_openblas_get_num_threads64_", "openblas_get_num_threads64_") if hasattr(x, n)]
+before = [f() for f in ask]
+one_thread()
+print(bool(ask), before, [f() for f in ask])
+"""
+    out = subprocess.run([sys.executable, "-c", code], env=os.environ | {"OMP_NUM_THREADS": "2"}, capture_output=True, text=True, check=True).stdout
+    assert out.split()[0] == "False" or out.strip().endswith("[2] [1]")
