@@ -18,11 +18,14 @@ Two documents link when the sets of their shingles (``WIDTH`` words, A-Z lower-c
 Nothing of that grows with the square of a group: a member that is alike to any of its nearest, or to the centre, joins. Links that these candidates miss
 are found by an exact join over what is still in different components:
 
-* Prefixes: the shingles of a set are ordered by frequency, then hash. Two sets of ``SIMILARITY`` or more share one of the first ``n - ceil(SIMILARITY n) + 1``
+* Neighbours: each shingle of a set and the next greater hash (after the greatest, the least) are a key, ``n`` keys a set. A member that one set alone has
+  parts one pair of neighbours of what both have, so that sets with ``o`` common ones of ``n`` and ``m`` have ``3 o - n - m`` common keys at least. Long texts that
+  have a few shingles in common by chance rarely have two that are neighbours in both, so that pairs don't grow with chance.
+* Prefixes: keys are ordered by frequency, then hash. Two sets of ``SIMILARITY`` or more share one of the first ``n - ceil((2 SIMILARITY - 1) n) + 1``
   of each. Any order does for that, so that the ``FREQUENT`` most frequent shingles of a sample of texts come last and all others count alike.
-* A list of each prefix shingle; its pairs of different components, if their sizes and what is left after the shingle allow the similarity,
-  and if no more of 256 parities differ than their sets may (the parities of two sets differ at most as often as their members).
-  Pairs of one component are never made, so that a large group of copies costs a row a member and shingle.
+* A list of each prefix key; its pairs of different components, if their sizes and what is left after the key allow the similarity,
+  and if no more of their parities differ than their sets may (the parities of two sets differ at most as often as their members; there are
+  two for each member, or more). Pairs of one component are never made, so that a large group of copies costs a row a member and key.
 * What is left is verified as above. No link between different texts is lost, whatever the first step found. A list is held whole (40 bytes a member).
 
 Defined results: a null text counts as empty; texts without words are one node; repeated rows have the same result; a null doc_id is never a
@@ -154,31 +157,66 @@ def kind_of(shingles) -> int:
 
 
 def parities(shingles):
-    """Four 64-bit integers: whether the set has an odd number of members in each of 256 classes."""
+    """64-bit integers: whether the set has an odd number of members in each of at least two classes a member (a power of two, 256 or more).
+    Of twice as many classes, the two halves differ where half as many are odd."""
     import numpy as np
 
-    return np.packbits(np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1).view("<u8")
+    classes = max(256, 1 << (2 * len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1).view("<u8")
+
+
+def parities_apart(a: Column, b: Column) -> Column:
+    """In how many classes parities differ; null where one has over twice as many as the other."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    halved = lambda x, y: F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(x)), xor)).otherwise(x)
+    return F.aggregate(F.zip_with(halved(a, b), halved(b, a), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda n, x: n + x)
+
+
+def neighbours(similarity: float = SIMILARITY) -> bool:
+    """Whether a key is two shingles; below, sets need not have enough of these in common."""
+    return similarity > 0.6
+
+
+def least_keys(n, m, similarity: float = SIMILARITY):
+    """Common keys that sets of ``n`` and ``m`` have at least, if they are as similar as that."""
+    import numpy as np
+
+    both = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+    return 3 * both - n - m if neighbours(similarity) else both
 
 
 def prefix_size(n, similarity: float = SIMILARITY):
-    """First members of a set of ``n``, one of which any set as similar as that has among its own first ones."""
+    """First keys of a set of ``n``, one of which any set as similar as that has among its own first ones."""
     import numpy as np
 
-    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+    return n - np.ceil((2 * similarity - 1 if neighbours(similarity) else similarity) * n - 1e-9).astype(np.int64) + 1
 
 
-def prefix(shingles, frequent, similarity: float = SIMILARITY):
-    """The first members in order of frequency, then hash. ``frequent``: sorted hashes, and how frequent each is; others come first."""
+def ordered(shingles, frequent, similarity: float = SIMILARITY):
+    """The first keys in order of frequency, then hash, and how many of them aren't known as frequent. ``frequent``: sorted hashes, and how frequent each is; others come first."""
     import numpy as np
 
     if not len(shingles):
-        return shingles
+        return shingles, 0
     hashes, counts = frequent
     rank = np.zeros(len(shingles), np.int64)
     if len(hashes):
         at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
         rank = np.where(hashes[at] == shingles, counts[at], 0)
-    return shingles[np.argsort(rank, kind="stable")[: int(prefix_size(np.int64(len(shingles)), similarity))]]
+    if neighbours(similarity):  # which are as frequent as the rarer of both, at most
+        rank = np.minimum(rank, np.roll(rank, -1))
+        shingles = _mixed(shingles + _mixed(np.roll(shingles, -1)))
+    size, known = int(prefix_size(np.int64(len(shingles)), similarity)), rank > 0
+    first = np.sort(shingles[~known])[:size]
+    if len(first) == size:
+        return first, size
+    shingles, rank = shingles[known], rank[known]
+    return np.concatenate([first, shingles[np.lexsort((shingles, rank))[: size - len(first)]]]), len(first)
+
+
+def prefix(shingles, frequent, similarity: float = SIMILARITY):
+    """The first keys, as ``ordered`` has them."""
+    return ordered(shingles, frequent, similarity)[0]
 
 
 def _members(batches):
@@ -204,9 +242,6 @@ def frequent_shingles(spark: SparkSession, docs: DataFrame, text: str = "text",
     return hashes[order], counts[order]
 
 
-_PARITIES = ["p0", "p1", "p2", "p3"]
-
-
 def _fingerprinted(frequent, similarity: float):
     """Rows of a text's fingerprint, its set's number, size, parities and prefix."""
 
@@ -214,16 +249,17 @@ def _fingerprinted(frequent, similarity: float):
         import numpy as np
         import pyarrow as pa
 
-        names = ["doc_id", "key", "node", *_LONGS, "kind", "n", *_PARITIES, "prefix"]
+        names = ["doc_id", "key", "node", *_LONGS, "kind", "n", "odd", "prefix", "rare"]
         for batch in released(batches):
             made = []
             for t in texts(batch.column(2)):
                 own = shingle_set(t)
-                made.append((fingerprint(own), kind_of(own), len(own), parities(own), prefix(own, frequent.value, similarity).view(np.int64)))
-            prints, kinds, sizes, odd, first = zip(*made, strict=True) if made else ((),) * 5
-            longs, odd = np.array(prints, np.uint64).reshape(-1, 4), np.array(odd, np.uint64).reshape(-1, 4).view(np.int64)
-            columns = [pa.array(node_of(longs)), *[pa.array(longs[:, i].copy().view(np.int64)) for i in range(4)], pa.array(kinds, pa.int64()), pa.array(sizes, pa.int32()), *[pa.array(odd[:, i].copy()) for i in range(4)]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(list(first), pa.list_(pa.int64()))], names=names)
+                first, rare = ordered(own, frequent.value, similarity)
+                made.append((fingerprint(own), kind_of(own), len(own), parities(own).view(np.int64), first.view(np.int64), rare))
+            prints, kinds, sizes, odd, firsts, rares = zip(*made, strict=True) if made else ((),) * 6
+            longs = np.array(prints, np.uint64).reshape(-1, 4)
+            columns = [pa.array(node_of(longs)), *[pa.array(longs[:, i].copy().view(np.int64)) for i in range(4)], pa.array(kinds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(list(odd), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(list(firsts), pa.list_(pa.int64())), pa.array(rares, pa.int32())], names=names)
 
     return run
 
@@ -431,12 +467,59 @@ def candidates(spark: SparkSession, nodes: DataFrame, similarity: float = SIMILA
 # -- the exact join ------------------------------------------------------------------------
 
 
+def _arrays(lists):
+    """Rows of a column of lists as arrays, None for null."""
+    import numpy as np
+
+    out = np.full(len(lists), None, object)
+    if lists.null_count == len(lists):
+        return out
+    for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        out[i] = lists[i].values.to_numpy()
+    return out
+
+
+def _near(odd, n, similarity: float):
+    """Whether rows ``i`` and ``j`` (arrays) may be as similar by their parities; true where a row has none."""
+    import numpy as np
+
+    width = np.array([0 if x is None else len(x) for x in odd])
+    tables: dict = {}
+
+    def table(w):
+        """Places and parities of rows of ``w`` numbers; those of twice as many are halved."""
+        if w not in tables:
+            rows = np.flatnonzero((width == w) | (width == 2 * w))
+            at = np.zeros(len(odd), np.int64)
+            at[rows] = np.arange(len(rows))
+            tables[w] = at, np.array([odd[r] if width[r] == w else odd[r][:w] ^ odd[r][w:] for r in rows.tolist()], np.int64).view(np.uint64)
+        return tables[w]
+
+    def near(i, j):
+        may, least, most = np.ones(len(i), bool), np.minimum(width[i], width[j]), np.maximum(width[i], width[j])
+        for w in np.unique(least[least > 0]).tolist():
+            at, bits = table(w)
+            some = np.flatnonzero((least == w) & (most <= 2 * w))
+            step = max(1, _PAIRS // w)
+            for k in range(0, len(some), step):
+                own = some[k : k + step]
+                a, b = i[own], j[own]
+                apart = np.bitwise_count(bits[at[a]] ^ bits[at[b]]).sum(axis=1, dtype=np.int64)
+                may[own] = apart <= (1 - similarity) / (1 + similarity) * (n[a] + n[b]) + 1e-9
+        return may
+
+    return near
+
+
 def _across(similarity: float):
-    """Rows (u, v), u < v: pairs of a list whose components differ and that may be as similar as that; rows (h, comp, kind, n, pos) of a list are next to one another, and so are those of a component."""
+    """Rows (u, v), u < v: pairs of a list whose components differ and that may be as similar as that; rows (h, comp, kind, n, pos, and parities where they are
+    given) of a list are next to one another, and so are those of a component."""
 
-    def pairs(h, comp, kind, n, pos):
+    def pairs(h, comp, kind, n, pos, odd=None):
         import numpy as np
 
+        near = _near(odd, n, similarity) if odd is not None and any(x is not None for x in odd) else None
+
         ends = lambda new: np.append(np.flatnonzero(new)[1:], len(h))[np.cumsum(new) - 1]
         new = np.concatenate([[True], h[1:] != h[:-1]])
         own = ends(new | np.concatenate([[True], comp[1:] != comp[:-1]]))  # where others of the list begin
@@ -448,9 +531,14 @@ def _across(similarity: float):
             some = np.arange(at, to)
             i = np.repeat(some, count[some])
             j = own[i] + np.arange(len(i)) - np.repeat(sums[some] - sums[at], count[some])
-            both = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9)
-            may = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= both  # members from the shared one on
-            u, v = kind[i[may]], kind[j[may]]
+            smaller, larger = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            left = np.minimum(n[i] - pos[i], n[j] - pos[j])  # keys from the shared one on
+            may = (smaller >= similarity * larger - 1e-9) & (left >= least_keys(n[i], n[j], similarity))
+            i, j = i[may], j[may]
+            if near and len(i):
+                may = near(i, j)
+                i, j = i[may], j[may]
+            u, v = kind[i], kind[j]
             if len(u):
                 yield np.minimum(u, v), np.maximum(u, v)
             at = to
@@ -470,7 +558,7 @@ def _across(similarity: float):
                 yield given(u, v)
 
         for batch in batches:
-            parts.append([c.to_numpy().astype(np.int64) for c in batch.columns])
+            parts.append([c.to_numpy().astype(np.int64) for c in batch.columns[:5]] + [_arrays(c) for c in batch.columns[5:]])
             rows += batch.num_rows
             if rows < _ROWS:
                 continue
@@ -488,14 +576,18 @@ def _across(similarity: float):
 def missed(spark: SparkSession, docs: DataFrame, rows: DataFrame, links: DataFrame, doc_id: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) of nodes whose components under ``links`` differ: all that there are, verified. ``rows``: as ``_fingerprinted`` makes them."""
     roots = components(spark, links)
-    one = rows.groupBy("kind", "node").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    placed = one.join(roots, "node", "left").select("kind", "n", F.coalesce("root", "node").alias("comp"), F.posexplode("prefix").alias("pos", "h"))
-    together = placed.select("h", "comp", "kind", "n", "pos").repartition(input_partitions(spark), "h").sortWithinPartitions("h", "comp")
+    # rows of equal sets are of one component, and make no pairs
+    placed = rows.select("node", "kind", "n", "prefix", "rare", "odd").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    own = lambda odd, first, keys: placed.filter(F.size(keys) > 0).select("kind", "n", "comp", odd.alias("odd"), first.alias("first"), F.posexplode(keys).alias("pos", "h"))
+    rare = own(F.lit(None).cast("array<bigint>"), F.lit(0), F.slice("prefix", F.lit(1), F.col("rare")))
+    # long lists are those of keys known as frequent: their pairs are compared by parities where they are made
+    frequent = own(F.col("odd"), F.col("rare"), F.slice("prefix", F.col("rare") + 1, F.size("prefix")))
+    lists = rare.union(frequent).select("h", "comp", "kind", "n", (F.col("first") + F.col("pos")).alias("pos"), "odd")
+    together = lists.repartition(input_partitions(spark), "h").sortWithinPartitions("h", "comp")
     pairs = staged(spark, together.mapInArrow(_across(similarity), "u bigint, v bigint").distinct(), "similar-across")
-    kinds = staged(spark, rows.groupBy("kind", "node", "n", *_PARITIES).agg(F.expr(_FIRST)), "similar-kinds")
-    side = lambda c: kinds.select(F.col("kind").alias(c), F.col("n").alias(f"_n{c}"), *[F.col(p).alias(f"_{p}{c}") for p in _PARITIES])
-    apart = functools.reduce(lambda a, b: a + b, [F.bit_count(F.col(f"_{p}u").bitwiseXOR(F.col(f"_{p}v"))) for p in _PARITIES])
-    may = apart <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("_nu") + F.col("_nv")) + 1e-9
+    kinds = staged(spark, rows.groupBy("kind", "node", "n").agg(F.expr(_FIRST), F.any_value("odd").alias("odd")), "similar-kinds")
+    side = lambda c: kinds.select(F.col("kind").alias(c), F.col("n").alias(f"_n{c}"), F.col("odd").alias(f"_odd{c}"))
+    may = parities_apart(F.col("_oddu"), F.col("_oddv")) <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("_nu") + F.col("_nv")) + 1e-9
     likely = staged(spark, pairs.join(side("u"), "u").join(side("v"), "v").filter(may).select("u", "v"), "similar-likely")
     found = verified(spark, docs, kinds.select(F.col("kind").alias("node"), "first"), likely, doc_id, text, similarity)
     node = lambda c: kinds.select(F.col("kind").alias(c), F.col("node").alias(f"_{c}"))
@@ -546,7 +638,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_i
     chosen = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(spark, docs, text))
     longs = lambda names: ", ".join(f"{f} bigint" for f in names)
-    made = chosen.mapInArrow(_fingerprinted(frequent, similarity), f"doc_id {kind}, key string, node bigint, {longs(_LONGS)}, kind bigint, n int, {longs(_PARITIES)}, prefix array<bigint>")
+    made = chosen.mapInArrow(_fingerprinted(frequent, similarity), f"doc_id {kind}, key string, node bigint, {longs(_LONGS)}, kind bigint, n int, odd array<bigint>, prefix array<bigint>, rare int")
     rows = staged(spark, made, "similar-rows")
     frequent.destroy()
     nodes = staged(spark, rows.groupBy("node", *_LONGS).agg(F.expr(_FIRST)), "similar-nodes")

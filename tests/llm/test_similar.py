@@ -205,3 +205,38 @@ def test_prefixes_and_pairs_by_loops(held, monkeypatch):
             if both >= 0.8 * (both + apart) and comp[i] != comp[j]:
                 want.add((i, j))
     assert len(want) > 50 and want <= got and all(comp[i] != comp[j] for i, j in got)
+
+
+def test_chance_makes_no_pairs():
+    """Long texts that have many single shingles in common by chance share no key; the pair of 0.8 and more does."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    sets = [np.unique(r.integers(0, 2**63, 2000).astype(np.uint64)) for _ in range(40)]
+    some = r.choice(np.concatenate(sets), 400)
+    sets = [np.unique(np.concatenate([s, r.choice(some, 30)])) for s in sets]
+    sets.append(np.unique(np.concatenate([sets[0][: len(sets[0]) * 9 // 10], r.integers(0, 2**63, 100).astype(np.uint64)])))
+    nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rows = sorted((int(h), i, i, len(s), at) for i, s in enumerate(sets) for at, h in enumerate(similar.prefix(s, nothing).view(np.int64)))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["h", "comp", "kind", "n", "pos"])
+    got = {p for b in similar._across(0.8)([batch]) for p in zip(*[c.to_pylist() for c in b.columns], strict=True)}
+    assert (0, 40) in got and len(got) <= 5
+    # parities of long sets tell them apart, whatever their sizes
+    apart = lambda a, b: len(np.setxor1d(a, b))
+    odd = np.array([similar.parities(s).view(np.int64) for s in [*sets, sets[0][:1700]]] + [None], object)
+    n = np.array([*map(len, sets), 1700, 1])
+    near = similar._near(odd, n, 0.8)
+    i, j = np.array([0, 0, 0, 1, 41]), np.array([40, 41, 42, 2, 40])
+    assert near(i, j).tolist() == [True, True, True, False, True] and apart(sets[0], sets[41 - 1]) <= (n[0] + n[40]) / 9
+
+
+def test_parities_in_spark_are_bounds(spark):
+    """Whatever two sets' sizes, at most as many parities differ as members; where sizes are far apart there is no bound."""
+    r = np.random.default_rng(9)
+    pool = np.unique(r.integers(0, 2**63, 3000).astype(np.uint64))
+    sets = [pool[:k] for k in (1, 100, 128, 129, 200, 256, 257, 500, 513, 3000)]
+    rows = [(i, j, similar.parities(a).view(np.int64).tolist(), similar.parities(b).view(np.int64).tolist()) for i, a in enumerate(sets) for j, b in enumerate(sets)]
+    found = spark.createDataFrame(rows, "i int, j int, a array<bigint>, b array<bigint>").select("i", "j", similar.parities_apart(F.col("a"), F.col("b")).alias("d"))
+    for x in found.collect():
+        a, b = sets[x["i"]], sets[x["j"]]
+        assert x["d"] is None and max(len(a), len(b)) > 2 * min(len(a), len(b)) or x["d"] <= abs(len(a) - len(b))
