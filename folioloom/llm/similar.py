@@ -22,11 +22,15 @@ are found by an exact join over what is still in different components:
   parts one pair of neighbours of what both have, so that sets with ``o`` common ones of ``n`` and ``m`` have ``3 o - n - m`` common keys at least. Long texts that
   have a few shingles in common by chance rarely have two that are neighbours in both, so that pairs don't grow with chance.
 * Prefixes: keys are ordered by frequency, then hash. Two sets of ``SIMILARITY`` or more share one of the first ``n - ceil((2 SIMILARITY - 1) n) + 1``
-  of each. Any order does for that, so that the ``FREQUENT`` most frequent shingles of a sample of texts come last and all others count alike.
-* A list of each prefix key; its pairs of different components, if their sizes and what is left after the key allow the similarity,
+  of each, and ``l`` of the first ones if ``l - 1`` more are taken (``SPARE`` of the set). Any order does for that, so that the ``FREQUENT`` most frequent
+  shingles of a sample of texts come last and all others count alike.
+* Rarest first: these prefixes are listed by key, which tells how many sets have each in theirs; keys of one set alone are done with. Since two prefixes
+  share ``l`` keys, they share one besides the ``l - 1`` most frequent of each, by that exact number; those are left out. So a text that has a part of its
+  keys in common with others by chance has no list at all, and lists are of texts most of whose keys others have.
+* A list of each key that is left; its pairs of different components, if their sizes allow the similarity,
   and if no more of their parities differ than their sets may (the parities of two sets differ at most as often as their members; there are
   two for each member, or more). Pairs of one component are never made, so that a large group of copies costs a row a member and key.
-* What is left is verified as above. No link between different texts is lost, whatever the first step found. A list is held whole (40 bytes a member).
+* What is left is verified as above. No link between different texts is lost, whatever the first step found. A list is held whole (40 bytes a member, and its parities).
 
 Defined results: a null text counts as empty; texts without words are one node; repeated rows have the same result; a null doc_id is never a
 component's id unless all of its documents have none; an empty table gives an empty result.
@@ -38,7 +42,7 @@ import functools
 import math
 import random
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioloom.llm.common import drop_keys, flag_members, free_name, input_partitions, key_bitmap, prepare, released, row_key, texts
@@ -58,6 +62,8 @@ _MEAN = 1024
 #: Texts whose shingles are counted, and shingles that are known as frequent, 16 bytes each.
 _COUNTED = 16_384
 FREQUENT = 65_536
+#: Keys that a prefix has beyond those it needs, as a share of its set's; as many, the most frequent ones, are left out of lists.
+SPARE = 0.1
 #: Pairs that are made at a time.
 _PAIRS = 1 << 20
 #: Rows that are compared at a time, and candidates that are held before they are reduced.
@@ -185,19 +191,32 @@ def least_keys(n, m, similarity: float = SIMILARITY):
     return 3 * both - n - m if neighbours(similarity) else both
 
 
+def _share(similarity: float) -> float:
+    """The share of its keys that a set has in common at least with any set as similar as that."""
+    return 2 * similarity - 1 if neighbours(similarity) else similarity
+
+
 def prefix_size(n, similarity: float = SIMILARITY):
     """First keys of a set of ``n``, one of which any set as similar as that has among its own first ones."""
     import numpy as np
 
-    return n - np.ceil((2 * similarity - 1 if neighbours(similarity) else similarity) * n - 1e-9).astype(np.int64) + 1
+    return n - np.ceil(_share(similarity) * n - 1e-9).astype(np.int64) + 1
 
 
-def ordered(shingles, frequent, similarity: float = SIMILARITY):
-    """The first keys in order of frequency, then hash, and how many of them aren't known as frequent. ``frequent``: sorted hashes, and how frequent each is; others come first."""
+def spare_keys(n, similarity: float = SIMILARITY):
+    """Keys that a set of ``n`` lists beyond ``prefix_size``; of a set as similar as that, one more than these are among the keys that it lists.
+    What neither lists is a share of each, rounded down, so that it doesn't fall with ``n``: sets of different sizes may each leave out their own number."""
+    import numpy as np
+
+    return n - np.floor(max(0.0, _share(similarity) - SPARE) * n + 1e-9).astype(np.int64) - prefix_size(n, similarity)
+
+
+def prefix(shingles, frequent, similarity: float = SIMILARITY, spare: int = 0):
+    """The first keys in order of frequency, then hash, and ``spare`` more. ``frequent``: sorted hashes, and how frequent each is; others come first."""
     import numpy as np
 
     if not len(shingles):
-        return shingles, 0
+        return shingles
     hashes, counts = frequent
     rank = np.zeros(len(shingles), np.int64)
     if len(hashes):
@@ -206,17 +225,12 @@ def ordered(shingles, frequent, similarity: float = SIMILARITY):
     if neighbours(similarity):  # which are as frequent as the rarer of both, at most
         rank = np.minimum(rank, np.roll(rank, -1))
         shingles = _mixed(shingles + _mixed(np.roll(shingles, -1)))
-    size, known = int(prefix_size(np.int64(len(shingles)), similarity)), rank > 0
+    size, known = int(prefix_size(np.int64(len(shingles)), similarity)) + spare, rank > 0
     first = np.sort(shingles[~known])[:size]
     if len(first) == size:
-        return first, size
+        return first
     shingles, rank = shingles[known], rank[known]
-    return np.concatenate([first, shingles[np.lexsort((shingles, rank))[: size - len(first)]]]), len(first)
-
-
-def prefix(shingles, frequent, similarity: float = SIMILARITY):
-    """The first keys, as ``ordered`` has them."""
-    return ordered(shingles, frequent, similarity)[0]
+    return np.concatenate([first, shingles[np.lexsort((shingles, rank))[: size - len(first)]]])
 
 
 def _members(batches):
@@ -243,23 +257,24 @@ def frequent_shingles(spark: SparkSession, docs: DataFrame, text: str = "text",
 
 
 def _fingerprinted(frequent, similarity: float):
-    """Rows of a text's fingerprint, its set's number, size, parities and prefix."""
+    """Rows of a text's fingerprint, its set's number, size, parities and prefix, and how many keys of that are to spare."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        names = ["doc_id", "key", "node", *_LONGS, "kind", "n", "odd", "prefix", "rare"]
+        names = ["doc_id", "key", "node", *_LONGS, "kind", "n", "odd", "prefix", "spare"]
         for batch in released(batches):
             made = []
             for t in texts(batch.column(2)):
                 own = shingle_set(t)
-                first, rare = ordered(own, frequent.value, similarity)
-                made.append((fingerprint(own), kind_of(own), len(own), parities(own).view(np.int64), first.view(np.int64), rare))
-            prints, kinds, sizes, odd, firsts, rares = zip(*made, strict=True) if made else ((),) * 6
+                spare = int(spare_keys(np.int64(len(own)), similarity)) if len(own) else 0
+                first = prefix(own, frequent.value, similarity, spare)
+                made.append((fingerprint(own), kind_of(own), len(own), parities(own).view(np.int64), first.view(np.int64), spare))
+            prints, kinds, sizes, odd, firsts, spares = zip(*made, strict=True) if made else ((),) * 6
             longs = np.array(prints, np.uint64).reshape(-1, 4)
             columns = [pa.array(node_of(longs)), *[pa.array(longs[:, i].copy().view(np.int64)) for i in range(4)], pa.array(kinds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(list(odd), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(list(firsts), pa.list_(pa.int64())), pa.array(rares, pa.int32())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(list(firsts), pa.list_(pa.int64())), pa.array(spares, pa.int32())], names=names)
 
     return run
 
@@ -511,6 +526,35 @@ def _near(odd, n, similarity: float):
     return near
 
 
+def _shared(batches):
+    """Rows (h, kind, times): keys that several sets list, by each of these, and how many they are; rows (h, kind) of a key are next to one another, and so are those of a set."""
+    import numpy as np
+    import pyarrow as pa
+
+    def given(h, kind):
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        one = new | np.concatenate([[True], kind[1:] != kind[:-1]])
+        h, kind, starts = h[one], kind[one], np.flatnonzero(new[one])
+        times = np.diff(np.append(starts, len(h)))
+        times = np.repeat(times, times)
+        some = times > 1
+        return pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(kind[some]), pa.array(times[some])], names=["h", "kind", "times"])
+
+    parts, rows = [], 0
+    for batch in batches:
+        parts.append([c.to_numpy() for c in batch.columns])
+        rows += batch.num_rows
+        if rows < _ROWS:
+            continue
+        h, kind = (np.concatenate(c) for c in zip(*parts, strict=True))
+        last = int(np.flatnonzero(h == h[-1])[0])  # where the last list, which may go on, begins
+        if last:
+            yield given(h[:last], kind[:last])
+        parts, rows = [[h[last:], kind[last:]]], 0
+    if parts:
+        yield given(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+
 def _across(similarity: float):
     """Rows (u, v), u < v: pairs of a list whose components differ and that may be as similar as that; rows (h, comp, kind, n, pos, and parities where they are
     given) of a list are next to one another, and so are those of a component."""
@@ -576,16 +620,17 @@ def _across(similarity: float):
 def missed(spark: SparkSession, docs: DataFrame, rows: DataFrame, links: DataFrame, doc_id: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
     """Links (u, v) of nodes whose components under ``links`` differ: all that there are, verified. ``rows``: as ``_fingerprinted`` makes them."""
     roots = components(spark, links)
-    # rows of equal sets are of one component, and make no pairs
-    placed = rows.select("node", "kind", "n", "prefix", "rare", "odd").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    own = lambda odd, first, keys: placed.filter(F.size(keys) > 0).select("kind", "n", "comp", odd.alias("odd"), first.alias("first"), F.posexplode(keys).alias("pos", "h"))
-    rare = own(F.lit(None).cast("array<bigint>"), F.lit(0), F.slice("prefix", F.lit(1), F.col("rare")))
-    # long lists are those of keys known as frequent: their pairs are compared by parities where they are made
-    frequent = own(F.col("odd"), F.col("rare"), F.slice("prefix", F.col("rare") + 1, F.size("prefix")))
-    lists = rare.union(frequent).select("h", "comp", "kind", "n", (F.col("first") + F.col("pos")).alias("pos"), "odd")
-    together = lists.repartition(input_partitions(spark), "h").sortWithinPartitions("h", "comp")
+    parts = input_partitions(spark)
+    kinds = staged(spark, rows.groupBy("kind", "node", "n", "spare").agg(F.expr(_FIRST), F.any_value("odd").alias("odd")), "similar-kinds")
+    keys = rows.select(F.explode("prefix").alias("h"), "kind").repartition(parts, "h").sortWithinPartitions("h", "kind")
+    shared = staged(spark, keys.mapInArrow(_shared, "h bigint, kind bigint, times bigint"), "similar-shared")
+    # a set's keys are at most as many as its words
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("times"), F.desc("h")))
+    rarest = shared.join(kinds.select("kind", "spare"), "kind").withColumn("place", place).filter("place > spare").select("h", "kind")
+    comps = kinds.join(roots, "node", "left").select("kind", F.coalesce("root", "node").alias("comp"), "n", "odd")
+    lists = rarest.join(comps, "kind").select("h", "comp", "kind", "n", F.lit(0).alias("pos"), "odd")
+    together = lists.repartition(parts, "h").sortWithinPartitions("h", "comp")
     pairs = staged(spark, together.mapInArrow(_across(similarity), "u bigint, v bigint").distinct(), "similar-across")
-    kinds = staged(spark, rows.groupBy("kind", "node", "n").agg(F.expr(_FIRST), F.any_value("odd").alias("odd")), "similar-kinds")
     side = lambda c: kinds.select(F.col("kind").alias(c), F.col("n").alias(f"_n{c}"), F.col("odd").alias(f"_odd{c}"))
     may = parities_apart(F.col("_oddu"), F.col("_oddv")) <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("_nu") + F.col("_nv")) + 1e-9
     likely = staged(spark, pairs.join(side("u"), "u").join(side("v"), "v").filter(may).select("u", "v"), "similar-likely")
@@ -638,7 +683,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_i
     chosen = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(spark, docs, text))
     longs = lambda names: ", ".join(f"{f} bigint" for f in names)
-    made = chosen.mapInArrow(_fingerprinted(frequent, similarity), f"doc_id {kind}, key string, node bigint, {longs(_LONGS)}, kind bigint, n int, odd array<bigint>, prefix array<bigint>, rare int")
+    made = chosen.mapInArrow(_fingerprinted(frequent, similarity), f"doc_id {kind}, key string, node bigint, {longs(_LONGS)}, kind bigint, n int, odd array<bigint>, prefix array<bigint>, spare int")
     rows = staged(spark, made, "similar-rows")
     frequent.destroy()
     nodes = staged(spark, rows.groupBy("node", *_LONGS).agg(F.expr(_FIRST)), "similar-nodes")

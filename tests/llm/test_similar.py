@@ -240,3 +240,61 @@ def test_parities_in_spark_are_bounds(spark):
     for x in found.collect():
         a, b = sets[x["i"]], sets[x["j"]]
         assert x["d"] is None and max(len(a), len(b)) > 2 * min(len(a), len(b)) or x["d"] <= abs(len(a) - len(b))
+
+
+def test_texts_alike_in_part_make_no_pairs(spark, monkeypatch):
+    """Texts a third of whose words are passages of others make no pairs, also where no sample knows the passages; near copies among them are linked."""
+    r = random.Random(12)
+    passages = [[f"p{i}w{j}" for j in range(12)] for i in range(12)]
+    rows = []
+    for i in range(240):
+        parts = [*r.sample(passages, 3), *[[f"d{i}w{k}v{j}" for j in range(12)] for k in range(6)]]
+        r.shuffle(parts)
+        rows.append((i, " ".join(w for p in parts for w in p)))
+    rows += [(1000 + i, rows[i][1] + " and more") for i in range(0, 240, 24)]
+    kept = {}
+    staged = similar.staged
+
+    def keep(s, df, name):
+        kept[name] = staged(s, df, name)
+        return kept[name]
+
+    monkeypatch.setattr(similar, "staged", keep)
+    monkeypatch.setattr(similar, "frequent_shingles", lambda *a: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    # candidates find nothing, so that all links are those of the join
+    monkeypatch.setattr(similar, "candidates", lambda spark, nodes, *a: nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["component_id"] for x in similar.similar_documents(spark, docs).collect()}
+    assert got == {d: d - 1000 if d >= 1000 else d for d, _ in rows}
+    assert kept["similar-across"].count() <= 20
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.65, 0.5])
+def test_rarest_keys_by_loops(similarity, monkeypatch):
+    """Of random sets, all pairs of the similarity still share a key when each leaves out its most frequent ones, whatever their sizes."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(similar, "_ROWS", 16)
+    r = random.Random(15)
+    sets = []
+    for _ in range(40):
+        base = [r.getrandbits(63) for _ in range(r.choice([1, 2, 4, 5, 20, 41, 90]))] + list(range(r.randrange(12)))
+        sets += [np.array(sorted(set(base) - set(r.sample(base, min(k, len(base) - 1)))), np.uint64) for k in (0, 0, 1, 3, len(base) // 6)]
+    frequent = np.arange(6, dtype=np.uint64), np.arange(6, 0, -1)
+    spares = [int(similar.spare_keys(np.int64(len(s)), similarity)) for s in sets]
+    assert min(spares) == 0 and max(spares) > 5
+    lists = [similar.prefix(s, frequent, similarity, k).view(np.int64).tolist() for s, k in zip(sets, spares, strict=True)]
+    rows = sorted((h, i) for i, own in enumerate(lists) for h in own * 2)  # texts of equal sets repeat their keys
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["h", "kind"])
+    got = [x for b in similar._shared([batch.slice(i, 7) for i in range(0, len(rows), 7)]) for x in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+    times = {h: n for h in {h for h, _ in rows} if (n := sum(h in own for own in lists)) > 1}
+    assert sorted(got) == sorted((h, i, times[h]) for i, own in enumerate(lists) for h in own if h in times)
+    left = [set(sorted((h for h in own if h in times), key=lambda h: (-times[h], -h))[k:]) for own, k in zip(lists, spares, strict=True)]
+    alike = 0
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(np.intersect1d(a, sets[j]))
+            if both >= similarity * (len(a) + len(sets[j]) - both):
+                alike += 1
+                assert left[i] & left[j]
+    assert alike > 200
