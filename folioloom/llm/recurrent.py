@@ -162,10 +162,19 @@ class Model:
         import numpy as np
 
         n, g = self.hidden, h @ self.U
-        gates = 1 / (1 + np.exp(-(x[:, : 2 * n] + g[:, : 2 * n])))
-        z, r = gates[:, :n], gates[:, n:]
-        new = np.tanh(x[:, 2 * n :] + r * g[:, 2 * n :])
-        return new + z * (h - new), z, r, new, g[:, 2 * n :]
+        gates = x[:, : 2 * n] + g[:, : 2 * n]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        z, r, part = gates[:, :n], gates[:, n:], g[:, 2 * n :]
+        new = r * part
+        new += x[:, 2 * n :]
+        np.tanh(new, out=new)
+        after = h - new
+        after *= z
+        after += new
+        return after, z, r, new, part
 
     def output(self, states, targets, gradient=None):
         """Natural log likelihood of each target after its state. ``gradient``: views to which the gradient of minus the mean is added; then also that of the states."""
@@ -173,23 +182,26 @@ class Model:
 
         m = len(targets)
         out, back = np.empty(m, self.dtype), np.zeros_like(states) if gradient else None
+        every, ones = np.arange(m), np.ones(max(m, len(self.counts)), self.dtype)  # sums of rows and columns as products
 
         def softmax(logits, at):
-            logits -= logits.max(axis=1, keepdims=True)
-            own = logits[np.arange(len(at)), at]
+            rows = every[: len(at)]
+            if not -60 < logits.min() <= logits.max() < 60:  # else no exponential is too large or small
+                logits -= logits.max(axis=1, keepdims=True)
+            own = logits[rows, at]
             np.exp(logits, out=logits)
-            total = logits.sum(axis=1)
+            total = logits @ ones[: logits.shape[1]]
             if gradient:
-                logits /= total[:, None] * m
-                logits[np.arange(len(at)), at] -= self.dtype.type(1 / m)
+                logits *= (1 / (total * m))[:, None]
+                logits[rows, at] -= self.dtype.type(1 / m)
             return own - np.log(total)
 
-        kind = self.of[targets]
+        kind = self.of[targets].astype(np.int16)  # of which a stable sort is by digits
         logits = states @ self.C + self.c
         out[:] = softmax(logits, kind)
         if gradient:
             gradient["C"] += states.T @ logits
-            gradient["c"] += logits.sum(axis=0)
+            gradient["c"] += ones[:m] @ logits
             back += logits @ self.C.T
         order = np.argsort(kind, kind="stable")
         ends = np.searchsorted(kind[order], np.arange(len(self.cuts))).tolist()
@@ -205,7 +217,7 @@ class Model:
             inside[own] = softmax(logits, targets[own] - lo)
             if gradient:
                 gradient["O"][lo:hi] += logits.T @ h
-                gradient["o"][lo:hi] += logits.sum(axis=0)
+                gradient["o"][lo:hi] += ones[: len(h)] @ logits
                 slope[own] = logits @ self.O[lo:hi]
         out[order] += inside
         if gradient:
@@ -229,24 +241,29 @@ class Model:
         if gradient is None:
             return float(found.sum()), h
         n, later = self.hidden, 0
-        back, own = back.reshape(states.shape), np.empty_like(gates)
-        befores, d_news = np.empty_like(states), np.empty_like(states)
+        back = back.reshape(states.shape)
+        befores, go_ons, z, r, new, part = (np.stack(v) for v in zip(*kept, strict=True))
+        # what a state's slope is multiplied by, of all steps at once; a step has but its own slope to find
+        rest = 1 - z
+        by_new = rest * (1 - new * new)
+        factors = np.empty((steps, streams, 3, n), self.dtype)
+        factors[:, :, 0] = rest * (befores - new) * z
+        factors[:, :, 2] = by_new * r
+        factors[:, :, 1] = factors[:, :, 2] * part * (1 - r)
+        turned = np.ascontiguousarray(self.U.T)
         for t in range(steps - 1, -1, -1):
-            before, go_on, z, r, new, part = kept[t]
-            d = back[t] + later
-            rest = d * (1 - z)
-            befores[t] = before
-            d_news[t] = d_new = rest * (1 - new * new)
-            own[t, :, :n] = rest * (before - new) * z
-            own[t, :, n : 2 * n] = d_new * part * r * (1 - r)
-            own[t, :, 2 * n :] = d_new * r
-            later = (d * z + own[t] @ self.U.T) * go_on
-        flat, ids = own.reshape(-1, 3 * n), x.ravel()
+            d = back[t]
+            d += later
+            factors[t] *= d[:, None]
+            later = factors[t].reshape(streams, 3 * n) @ turned
+            later += d * z[t]
+            later *= go_ons[t]
+        flat, ids = factors.reshape(-1, 3 * n), x.ravel()
         gradient["U"] += befores.reshape(-1, n).T @ flat
-        own[:, :, 2 * n :] = d_news  # the candidate's slope as its word sees it, before the reset gate
+        factors[:, :, 2] = back * by_new  # the candidate's slope as its word sees it, before the reset gate
         gradient["b"] += flat.sum(axis=0)
         gradient["W"] += self.E[ids].T @ flat
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.uint16) if len(self.counts) <= 1 << 16 else ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
         gradient["E"][ids[order[first]]] += np.add.reduceat((flat @ self.W.T)[order], first)
         return float(found.sum()), h
@@ -317,10 +334,13 @@ class Adam:
         import numpy as np
 
         self.t += 1
-        self.m += 0.1 * (slope - self.m)
-        self.v += 0.01 * (slope * slope - self.v)
         scale = rate * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        vector -= scale * self.m / (np.sqrt(self.v) + 1e-8)
+        for at in range(0, len(vector), 8192):  # so that a part stays in the cache
+            part = slice(at, at + 8192)
+            g, m, v = slope[part], self.m[part], self.v[part]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            vector[part] -= scale * m / (np.sqrt(v) + 1e-8)
 
 
 class Vocabulary:
