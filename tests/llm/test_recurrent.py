@@ -199,7 +199,7 @@ def test_large_weights():
 
 
 def test_a_window_takes_few_steps(monkeypatch):
-    """A softmax takes no maximum a row where none is needed; that and slopes a step at a time were a tenth of training's time and more."""
+    """A softmax takes no maximum a row where none is needed."""
     model = rn.Model([5, 4, 9, 8, 7, 1, 1, 1], 3, 4, 3)
     rows = []
 
