@@ -76,7 +76,7 @@ def with_sections(blocks: DataFrame, order: list[str]) -> DataFrame:
 def article_range(blocks: DataFrame, docs: DataFrame, page: str = "start_page") -> DataFrame:
     """Blocks on the pages of their document's page_range_label; all of them where there is none."""
     ranges = docs.select("doc_id", tx.page_range(F.col("page_range_label")).alias("_r"))
-    joined = blocks.join(ranges, "doc_id", "left")
+    joined = blocks.join(ranges.hint("shuffle_hash"), "doc_id", "left")  # a row a document: texts aren't sorted for it
     return joined.filter(F.col("_r").isNull() | F.col(page).between(F.col("_r.first"), F.col("_r.last"))).drop("_r")
 
 
@@ -88,7 +88,7 @@ def title_trim(blocks: DataFrame, docs: DataFrame, threshold: float = 0.6) -> Da
     """
     known = docs.select("doc_id", tx.page_range(F.col("page_range_label"))["first"].alias("_first"), tx.word_set(F.col("title")).alias("_title"))
     w = W.partitionBy("doc_id").orderBy("pos")
-    joined = blocks.join(known, "doc_id", "left")
+    joined = blocks.join(known.hint("shuffle_hash"), "doc_id", "left")
     share = F.size(F.array_intersect(tx.word_set(F.col("text")), F.col("_title"))) / F.size("_title")
     leading = F.coalesce(F.sum(F.when(F.col("start_page") == F.col("_first"), 0).otherwise(1)).over(w), F.lit(1)) == 0
     hit = leading & (F.col("block_type") == "heading") & (F.size("_title") > 0) & (share >= threshold)
@@ -267,6 +267,28 @@ def block_refs(blocks: DataFrame, refs: DataFrame) -> DataFrame:
     return blocks.drop("footnote_refs").join(own, "doc_id", "left").withColumn("footnote_refs", F.coalesce(F.try_element_at("_own", F.col("block_id")), F.array().cast("array<string>"))).drop("_own")
 
 
+def refer(blocks: DataFrame, notes: DataFrame) -> DataFrame:
+    """``blocks`` with ``footnote_refs``, as ``block_refs`` of ``link_refs`` has them; ``notes`` has footnote_id.
+
+    Numbers are found where a block is read, and looked up in its document's footnotes: blocks are read once, and their
+    texts shuffled for nothing but the windows over documents.
+    """
+    body = ~F.col("block_type").isin("footnote", "header", "footer")
+    # a reference has a digit, which few blocks have: the others' texts aren't sent to Python
+    found = tx.find_refs(F.when(body & F.col("text").rlike("[0-9]"), F.col("text")), None)
+    numbered = blocks.drop("footnote_refs").withColumn("_numbers", F.array_distinct(F.transform(found, lambda r: r["number"])))
+    key = F.struct("page_num_1", "reading_order", "footnote_id")
+    here = notes.repartition("doc_id").groupBy("doc_id", "page_num_1", "footnote_number").agg(F.max(key).alias("_last"))
+    both = here.withColumn("_any", F.max("_last").over(W.partitionBy("doc_id", "footnote_number")))
+    place = F.struct(F.col("page_num_1").alias("page"), F.col("footnote_number").alias("number"))
+    own = both.groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("page_num_1").isNotNull(), F.struct(place, F.col("_last.footnote_id"))))).alias("_here"),
+        F.map_from_entries(F.collect_set(F.struct("footnote_number", F.col("_any.footnote_id")))).alias("_all"),
+    )
+    ids = F.transform("_numbers", lambda n: F.coalesce(F.try_element_at("_here", F.struct(F.col("page_num_1").alias("page"), n.alias("number"))), F.try_element_at("_all", n)))
+    return numbered.join(own.hint("shuffle_hash"), "doc_id", "left").withColumn("footnote_refs", F.array_sort(F.array_distinct(F.array_compact(ids)))).drop("_numbers", "_here", "_all")
+
+
 def mark_refs(blocks: DataFrame, refs: DataFrame) -> DataFrame:
     """``text`` with ``[ref:N]`` marks for linked superscript references."""
     by = refs.groupBy("doc_id", F.col("parent_block_id").alias("block_id")).agg(F.collect_list(F.struct("match_type", F.col("footnote_number").alias("number"))).alias("_refs"))

@@ -92,9 +92,12 @@ def chunks(blocks: DataFrame, footnotes: DataFrame | None = None, max_tokens: in
     ref_ids = F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda r: r["footnote_refs"]))))
     numbered = numbered.withColumn("refs", ref_ids)
     if footnotes is not None:
-        n = footnotes.select("doc_id", F.col("footnote_id").alias("_f"), F.concat(F.lit("["), F.col("footnote_number").cast("string"), F.lit("] "), F.when(F.col("footnote_type").isin("citation", "mixed"), "[cites:] ").otherwise(""), F.trim("text")).alias("_line"))
-        lines = numbered.select("doc_id", "chunk_index", F.explode("refs").alias("_f")).join(n, ["doc_id", "_f"]).groupBy("doc_id", "chunk_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_line"))), lambda x: x["_line"]).alias("notes"))
-        numbered = numbered.join(lines, ["doc_id", "chunk_index"], "left")
+        n = footnotes.select("doc_id", F.col("footnote_id").alias("_f"), F.struct(F.concat(F.lit("["), F.col("footnote_number").cast("string"), F.lit("] "), F.when(F.col("footnote_type").isin("citation", "mixed"), "[cites:] ").otherwise(""), F.trim("text")).alias("_line")).alias("_n"))
+        # joined by document alone: chunks lie so already, and are neither made twice nor shuffled for it
+        lines = n.repartition("doc_id").groupBy("doc_id", "_f").agg(F.array_sort(F.collect_list("_n")).alias("_n")).filter("_f IS NOT NULL")
+        by = lines.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("_f", "_n"))).alias("_lines"))
+        own_lines = F.transform(F.flatten(F.array_compact(F.transform("refs", lambda f: F.try_element_at("_lines", f)))), lambda x: x["_line"])
+        numbered = numbered.join(by.hint("shuffle_hash"), "doc_id", "left").withColumn("notes", own_lines).drop("_lines")
     else:
         numbered = numbered.withColumn("notes", F.lit(None).cast("array<string>"))
     both = F.concat("tail", "rows")

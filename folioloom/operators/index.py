@@ -71,10 +71,18 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def embed_reuse(old: DataFrame, new: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """``new`` with the old vector where key and text are the same, and ``needs_embedding`` elsewhere; empty texts need none."""
-    o = old.select(key, text_digest(F.col(text)).alias("_t"), F.col("embedding").alias("_e"))
-    j = new.join(o, key, "left")
+def embed_reuse(old: DataFrame, new: DataFrame, key: str = "chunk_id", text: str = "text", within: str | None = None) -> DataFrame:
+    """``new`` with the old vector where key and text are the same, and ``needs_embedding`` elsewhere; empty texts need none.
+
+    ``within``: a column of both that a key determines, such as doc_id, by which ``new`` is partitioned already; rows are
+    joined by it, so that new texts are not shuffled. Keys must be unique.
+    """
+    o = old.select(key, *([within] if within else []), text_digest(F.col(text)).alias("_t"), F.col("embedding").alias("_e"))
+    if within:
+        by = o.filter(F.col(key).isNotNull()).groupBy(within).agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.struct("_t", "_e")))).alias("_old"))
+        j = new.join(by.hint("shuffle_hash"), within, "left").withColumn("_o", F.try_element_at("_old", F.col(key))).withColumns({"_t": F.col("_o._t"), "_e": F.col("_o._e")}).drop("_old", "_o")
+    else:
+        j = new.join(o, key, "left")
     same = (F.col("_t") == text_digest(F.col(text))) & F.col("_e").isNotNull()
     return j.withColumns({"embedding": F.when(same, F.col("_e")), "needs_embedding": ~F.coalesce(same, F.lit(False)) & (F.length(text) > 0)}).drop("_t", "_e")
 

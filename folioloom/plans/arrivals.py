@@ -12,12 +12,15 @@ from folioloom.operators.index import STAGES
 from folioloom.plans import flow
 from folioloom.plans import views as v
 from folioloom.plans.search import _terms
-from folioloom.session import shared_dir, table
+from folioloom.session import brief_shuffles, remove, scratch, shared_dir, staged, table
 from folioloom.sources.store import Store
 from folioloom.streaming import ingest as st
 
 _BLOCKS = "doc_id bigint, block_id string, page_num_1 int, reading_order int, block_type string, text string"
 
+#: Bytes of arrived files that a batch takes in; what it makes on disk on the way is a few times as much, whatever has arrived.
+BATCH_BYTES = 128 << 20
+
 
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/folioloom/{name}-{uuid.uuid4().hex}"
@@ -27,12 +30,12 @@ def _indexed(spark: SparkSession, d: str) -> Store:
     """A store that two waves of arrivals are indexed into: first pages 1 to 6 of even documents, then all of every document. Each batch is delivered twice."""
     at = _folder(spark, "arrivals")
     store = Store(spark, f"{at}/store", buckets=4, order=flow.TABLES)
-    docs = v.docs(spark, d).select("doc_id", "source_filename", "title", "page_range_label")
 
     def change(batch: DataFrame, name: str) -> None:
         # a batch holds whole documents, since a file does
-        named = docs.join(batch.select("doc_id").distinct(), "doc_id", "left_semi")
-        flow.index_into(store, batch, named, name, flow.MAX_TOKENS, flow.OVERLAP)
+        with scratch(spark):
+            named = staged(spark, docs.join(batch.select("doc_id").distinct(), "doc_id", "left_semi"), "arrived")
+            flow.index_into(store, batch, named, name, flow.MAX_TOKENS, flow.OVERLAP)
 
     handle = st.once_each("arrivals", change)
 
@@ -41,10 +44,14 @@ def _indexed(spark: SparkSession, d: str) -> Store:
         handle(batch, batch_id)
 
     blocks = flow.records(spark, d).select("doc_id", "block_id", "page_num_1", "reading_order", "block_type", "text")
-    for wave in (blocks.filter("doc_id % 2 = 0 AND page_num_1 <= 6"), blocks):
-        wave.repartition(4, "doc_id").write.mode("append").json(f"{at}/in")
-        stream = spark.readStream.schema(_BLOCKS).option("maxFilesPerTrigger", 4).json(f"{at}/in")
-        st.ingest(stream, f"{at}/checkpoint", twice).awaitTermination()
+    with brief_shuffles(spark), scratch(spark):
+        docs = flow.catalogue(spark, d)
+        for wave in (blocks.filter("doc_id % 2 = 0 AND page_num_1 <= 6"), blocks):
+            wave.repartition("doc_id").write.mode("append").options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}).json(f"{at}/in")
+            # files go once the batch that took them in is committed, the last ones with the wave
+            stream = spark.readStream.schema(_BLOCKS).option("maxBytesPerTrigger", BATCH_BYTES).option("cleanSource", "delete").json(f"{at}/in")
+            st.ingest(stream, f"{at}/checkpoint", twice).awaitTermination()
+            remove(spark, f"{at}/in")
     return store
 
 

@@ -13,7 +13,7 @@ from folioloom.operators import chunking as ch
 from folioloom.operators import index as ix
 from folioloom.plans import corpus
 from folioloom.plans import views as v
-from folioloom.session import staged
+from folioloom.session import brief_shuffles, scratch, staged
 from folioloom.sources.store import Store
 
 MAX_TOKENS, OVERLAP = 150, 64
@@ -26,10 +26,11 @@ def make_chunks(blocks: DataFrame, docs: DataFrame, max_tokens: int = ch.MAX_TOK
     footnotes outside an article's range left out, blocks before its title too; the rest is
     packed by section, with the footnotes it refers to. ``blocks``: doc_id, block_id,
     page_num_1, reading_order, block_type, text; ``docs``: doc_id, title, page_range_label.
+    Footnotes, a few hundredths of the blocks, are written to the shared folder: blocks are read for them and for the
+    chunks, and their texts shuffled once.
     """
-    notes = bl.footnotes(blocks).withColumn("footnote_id", F.col("block_id"))
-    referred = bl.block_refs(blocks, bl.link_refs(blocks, notes, around=None))
-    ranged = bl.article_range(bl.restitch(referred), docs)
+    notes = staged(blocks.sparkSession, bl.footnotes(blocks).withColumn("footnote_id", F.col("block_id")), "footnotes")
+    ranged = bl.article_range(bl.restitch(bl.refer(blocks, notes)), docs)
     inside = bl.article_range(notes, docs, page="page_num_1")
     return ch.chunks(bl.title_trim(ranged, docs), inside, max_tokens, overlap, min_tokens)
 
@@ -49,7 +50,8 @@ def index_corpus(blocks: DataFrame, docs: DataFrame, old_documents: DataFrame, o
 
     Chunks are made once, with their vectors, and written to the shared folder: all that a run writes is of the same chunks.
     """
-    made = staged(blocks.sparkSession, ix.embed_reuse(old_chunks, make_chunks(blocks, docs, max_tokens, overlap)), "made-chunks")
+    with brief_shuffles(blocks.sparkSession), scratch(blocks.sparkSession) as keep:
+        made = keep(staged(blocks.sparkSession, ix.embed_reuse(old_chunks, make_chunks(blocks, docs, max_tokens, overlap), within="doc_id"), "made-chunks"))
     full = staged(blocks.sparkSession, ix.embed_missing(made, embed), "embedded-chunks") if embed is not None else made.drop("needs_embedding")
     return Run(
         documents=ix.upsert_documents(old_documents, ix.only_with_chunks(docs, made)),
@@ -77,10 +79,10 @@ def index_into(store: Store, blocks: DataFrame, docs: DataFrame, batch: str | No
         made = make_chunks(blocks, docs, max_tokens, overlap)
 
         def old(table: str, like: DataFrame) -> DataFrame:
-            return s.read(table).join(ids, "doc_id", "left_semi") if table in have else spark.createDataFrame([], like.schema)
+            return s.read(table, among=ids) if table in have else spark.createDataFrame([], like.schema)
 
         old_chunks = old("chunks", made.withColumn("embedding", F.array().cast("array<float>")))
-        chunks = ix.embed_reuse(old_chunks, made)
+        chunks = ix.embed_reuse(old_chunks, made, within="doc_id")
         chunks = staged(spark, ix.embed_missing(chunks, embed) if embed is not None else chunks.drop("needs_embedding"), "made-chunks")
         audit = ix.chunk_audit(old_chunks.join(chunks.select("doc_id").distinct(), "doc_id", "left_semi"), chunks).drop("version")
         log = old("audit", audit.withColumn("version", F.lit(1)))
@@ -91,7 +93,8 @@ def index_into(store: Store, blocks: DataFrame, docs: DataFrame, batch: str | No
         # the audit's earlier rows of a document are written with its new one: in a store a document's rows are replaced together
         return {"chunks": chunks, "documents": merged.join(changed.select("doc_id"), "doc_id", "left_semi"), "audit": log.join(new.select("doc_id"), "doc_id", "left_semi").unionByName(new.select(*log.columns))}, None
 
-    return store.change(make, batch=batch)
+    with scratch(spark):  # what is made for a commit goes with it
+        return store.change(make, batch=batch)
 
 
 # -- over the driver's tables ---------------------------------------------------------
@@ -104,28 +107,35 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     number = lambda p: (F.floor(p / 3) % 90 + 1).cast("string")
     own = F.concat("text", F.lit(" note("), number(page), F.lit(")."))
     later = F.concat("text", F.lit(" see ["), number(page + 2), F.lit("] later"))
-    body = b.withColumn("text", F.when((page % 3 == 0) & (ro == 1), own).when((page % 3 == 1) & (ro == 2), later).otherwise(F.col("text"))).drop("pos")
+    text = F.when((page % 3 == 0) & (ro == 1), own).when((page % 3 == 1) & (ro == 2), later).otherwise(F.col("text"))
     place = F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.format_string("%05d", page))
     rest = {
         "header": ("h", 8, F.concat(F.lit("Head "), F.col("doc_id").cast("string"))),
         "footnote": ("n", 9, F.concat(number(page), F.lit(" "), F.replace(F.substring("text", 1, 60), F.lit("."), F.lit("")))),
         "page_number": ("p", 10, page.cast("string")),
     }
-    extra = F.array(*[F.struct(F.concat(F.lit(k), place).alias("block_id"), F.lit(at).alias("reading_order"), F.lit(kind).alias("block_type"), t.alias("text")) for kind, (k, at, t) in rest.items()])
-    more = b.filter((page % 3 == 0) & (ro == 0)).select("doc_id", "page_num_1", F.explode(extra).alias("x")).select("doc_id", "x.block_id", "page_num_1", "x.reading_order", "x.block_type", "x.text")
-    return body.unionByName(more)
+    body = F.struct("block_id", "reading_order", "block_type", text.alias("text"))
+    extra = [F.struct(F.concat(F.lit(k), place).alias("block_id"), F.lit(at).alias("reading_order"), F.lit(kind).alias("block_type"), t.alias("text")) for kind, (k, at, t) in rest.items()]
+    rows = F.when((page % 3 == 0) & (ro == 0), F.array(body, *extra)).otherwise(F.array(body))
+    return b.select("doc_id", "page_num_1", F.explode(rows).alias("x")).select("doc_id", "x.block_id", "page_num_1", "x.reading_order", "x.block_type", "x.text")
 
 
-def _old_chunks(spark: SparkSession, d: str) -> DataFrame:
+def _old_chunks(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
     """The chunks of an earlier version, which had six pages at most, with vectors that are there for most."""
-    made = make_chunks(records(spark, d).filter("page_num_1 <= 6"), v.docs(spark, d), MAX_TOKENS, OVERLAP)
-    return staged(spark, made.withColumn("embedding", F.when(F.col("chunk_index") % 4 != 3, F.array(F.lit(1.0).cast("float")))), "old-chunks")
+    with brief_shuffles(spark), scratch(spark) as keep:
+        made = make_chunks(records(spark, d).filter("page_num_1 <= 6"), docs, MAX_TOKENS, OVERLAP)
+        return keep(staged(spark, made.withColumn("embedding", F.when(F.col("chunk_index") % 4 != 3, F.array(F.lit(1.0).cast("float")))), "old-chunks"))
+
+
+def catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """What indexing knows of each document, written once: a title takes its document's whole text."""
+    return staged(spark, v.docs(spark, d).select("doc_id", "source_filename", "title", "page_range_label"), "documents")
 
 
 def _run(spark: SparkSession, d: str) -> Run:
-    docs = v.docs(spark, d)
+    docs = catalogue(spark, d)
     stored = docs.select("doc_id", F.lit("old.pdf").alias("source_filename"), F.lit("Old title").alias("title"), F.lit("kept").alias("s3_prefix")).filter("doc_id % 2 = 0")
-    return index_corpus(records(spark, d), docs.select("doc_id", "source_filename", "title", "page_range_label"), stored, _old_chunks(spark, d), 2, MAX_TOKENS, OVERLAP)
+    return index_corpus(records(spark, d), docs, stored, _old_chunks(spark, d, docs), 2, MAX_TOKENS, OVERLAP)
 
 
 def block_refs(spark: SparkSession, d: str) -> DataFrame:

@@ -91,7 +91,8 @@ def trim(spark: SparkSession) -> None:
         of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, where it is there."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -99,7 +100,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def release(spark: SparkSession, *frames: DataFrame) -> None:
     """Remove the files of what ``staged`` returned, once nothing reads them any more."""
     for df in frames:
-        _remove(spark, df._staged_at)
+        remove(spark, df._staged_at)
         _STAGED.remove(df._staged_at)
 
 
@@ -116,10 +117,22 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         yield keep
     finally:
         for path in [p for p in _STAGED if p not in before | kept]:
-            _remove(spark, path)
+            remove(spark, path)
             _STAGED.remove(path)
 
 
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside go when its query ends, not when the driver happens to collect garbage; a stream that is started inside keeps to it."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, for its Python functions; once a session."""
     app = spark.sparkContext.applicationId

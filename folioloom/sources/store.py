@@ -27,6 +27,7 @@ from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 32
 
@@ -125,21 +126,38 @@ class Store:
     def bucket(self, doc_id="doc_id"):
         return F.pmod(F.xxhash64(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")), F.lit(self.buckets)).cast("int")
 
-    def _parts(self, table: str, segments: list[Segment], suffix: str = "") -> DataFrame | None:
-        """Rows of a table's segments, with ``_at``: the number of each row's segment."""
+    def _parts(self, table: str, segments: list[Segment], suffix: str = "", like: DataFrame | None = None) -> DataFrame | None:
+        """Rows of a table's segments, with ``_at``: the number of each row's segment; ``like``: rows whose columns these have too."""
         own = [s for s in segments if table in s.tables]
         if not own:
             return None
-        rows = self.spark.read.option("basePath", f"{self.root}/{table}{suffix}").option("mergeSchema", "true").parquet(*[f"{self.root}/{table}{suffix}/segment={s.id}" for s in own])
+        reader = self.spark.read.option("basePath", f"{self.root}/{table}{suffix}")
+        reader = reader.schema(T.StructType([*like.drop("_at").schema, T.StructField("segment", T.StringType())])) if like is not None else reader.option("mergeSchema", "true")
+        rows = reader.parquet(*[f"{self.root}/{table}{suffix}/segment={s.id}" for s in own])
         number = F.create_map(*[F.lit(x) for s in own for x in (s.id, s.number)])
         return rows.withColumn("_at", F.element_at(number, F.col("segment").cast("string"))).drop("segment")
 
-    def read(self, table: str, until: int | None = None, doc_ids: Iterable | None = None) -> DataFrame:
-        """The rows that count, of all documents or of ``doc_ids``; as after commit ``until``."""
+    def _marks(self, table: str, segments: list[Segment], among: DataFrame | None) -> dict[int, tuple[int, int]]:
+        """By a segment's number: how many documents (of ``among``) it touches, and how many of those a later one touches again. The driver gets a row a segment."""
+        touched = self._parts(table, segments, ".touched").select("doc_id", "_at")
+        if among is not None:
+            touched = touched.join(among.select("doc_id").distinct(), "doc_id", "left_semi")
+        each = touched.groupBy("doc_id").agg(F.collect_set("_at").alias("ats")).withColumn("_last", F.array_max("ats"))
+        counted = each.select("_last", F.explode("ats").alias("at")).groupBy("at").agg(F.count("*").alias("n"), F.count_if(F.col("at") < F.col("_last")).alias("void"))
+        return {r["at"]: (r["n"], r["void"]) for r in counted.collect()}
+
+    def read(self, table: str, until: int | None = None, doc_ids: Iterable | None = None, among: DataFrame | None = None) -> DataFrame:
+        """The rows that count, of all documents, of ``doc_ids`` or of those in ``among`` (doc_id); as after commit ``until``.
+
+        Which segments have such rows is looked up in the ids that they touch: the others aren't read, and only rows of segments
+        that later ones void in part are joined with those ids.
+        """
         segments = [s for s in self.segments(until) if table in s.tables]
         rows = self._parts(table, segments)
         if rows is None:
             raise FileNotFoundError(f"{self.root} has no {table}")
+        if doc_ids is None and (len(segments) > 1 or among is not None):
+            return self._live(table, segments, rows, among)
         if doc_ids is not None:
             wanted = list(doc_ids)
             known = self.spark.createDataFrame([(str(x),) for x in wanted], "x string").select(self.bucket(F.col("x")).alias("b")).distinct().collect() if wanted else []
@@ -150,6 +168,29 @@ class Store:
             rows = rows.join(void, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_later") > F.col("_at")), "left_anti")
         return rows.drop("_at", "bucket")
 
+    def _live(self, table: str, segments: list[Segment], rows: DataFrame, among: DataFrame | None) -> DataFrame:
+        """The rows of ``read``, segment by segment; ``rows`` are those of all of them."""
+        marks = self._marks(table, segments, among)
+        counted = [(s, *marks.get(s.number, (0, 0))) for s in segments]
+        whole = [s for s, n, void in counted if n and not void]
+        part = [s for s, n, void in counted if 0 < void < n]
+
+        def of(some: list[Segment]) -> DataFrame:
+            return self._parts(table, some, like=rows)
+
+        out = of(whole) if whole else rows.filter(F.lit(False))
+        if part:
+            first = min(s.number for s in part)
+            void = self._parts(table, [s for s in segments if s.number > first], ".touched")
+            if among is not None:
+                void = void.join(among.select("doc_id").distinct(), "doc_id", "left_semi")
+            void = void.groupBy(F.col("doc_id").alias("_id")).agg(F.max("_at").alias("_later"))
+            left = of(part).join(void, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_later") > F.col("_at")), "left_anti")
+            out = out.unionByName(left)
+        if among is not None:
+            out = out.join(among.select("doc_id").distinct(), "doc_id", "left_semi")
+        return out.drop("_at", "bucket")
+
     def versions(self, table: str) -> DataFrame:
         """(doc_id, version): how many commits since the last merge have touched each document that has rows."""
         segments = self.segments()
