@@ -36,8 +36,10 @@ def casefold(s: pd.Series) -> pd.Series:
 
 
 def strip(c: Column) -> Column:
-    """White space off both ends, Unicode's included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    """White space off both ends, Unicode's included. Only a text that has some there is searched."""
+    space = r"(?U)^\s"
+    ends = F.substring(c, 1, 1).rlike(space) | F.substring(c, -1, 1).rlike(space)
+    return F.when(ends, F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")).otherwise(c)
 
 
 def clean_text(c: Column) -> Column:

@@ -107,16 +107,16 @@ def chunks(blocks: DataFrame, footnotes: DataFrame | None = None, max_tokens: in
     pages = F.concat(F.transform(both, lambda r: r["start_page"]), F.when(F.col("heading").isNotNull(), F.array(F.col("heading.start_page"))).otherwise(F.array().cast("array<int>")))
     ends = F.concat(F.transform(both, lambda r: r["end_page"]), F.when(F.col("heading").isNotNull(), F.array(F.col("heading.end_page"))).otherwise(F.array().cast("array<int>")))
     blocks_ = F.concat(F.coalesce(F.col("heading.block_ids"), F.array().cast("array<string>")), F.flatten(F.transform("rows", lambda r: r["block_ids"])))
-    return numbered.select(
+    return numbered.withColumn("_body", body).select(
         ids.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"),
         "doc_id",
         F.col("chunk_index").cast("int").alias("chunk_index"),
         F.coalesce(F.array_min(pages), F.lit(1)).alias("start_page"),
         F.coalesce(F.array_max(ends), F.lit(1)).alias("end_page"),
         F.col("title").alias("section_heading"),
-        body.alias("text"),
+        F.col("_body").alias("text"),
         blocks_.alias("block_ids"),
-        tx.estimate_tokens(body).alias("token_count"),
+        tx.estimate_tokens(F.col("_body")).alias("token_count"),
     )
 
 

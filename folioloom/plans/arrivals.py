@@ -12,7 +12,7 @@ from folioloom.operators.index import STAGES
 from folioloom.plans import flow
 from folioloom.plans import views as v
 from folioloom.plans.search import _terms
-from folioloom.session import brief_shuffles, remove, scratch, shared_dir, staged, table
+from folioloom.session import lean, remove, scratch, shared_dir, table
 from folioloom.sources.store import Store
 from folioloom.streaming import ingest as st
 
@@ -33,9 +33,8 @@ def _indexed(spark: SparkSession, d: str) -> Store:
 
     def change(batch: DataFrame, name: str) -> None:
         # a batch holds whole documents, since a file does
-        with scratch(spark):
-            named = staged(spark, docs.join(batch.select("doc_id").distinct(), "doc_id", "left_semi"), "arrived")
-            flow.index_into(store, batch, named, name, flow.MAX_TOKENS, flow.OVERLAP)
+        named = docs.join(batch.select("doc_id").distinct(), "doc_id", "left_semi")
+        flow.index_into(store, batch, named, name, flow.MAX_TOKENS, flow.OVERLAP)
 
     handle = st.once_each("arrivals", change)
 
@@ -44,7 +43,7 @@ def _indexed(spark: SparkSession, d: str) -> Store:
         handle(batch, batch_id)
 
     blocks = flow.records(spark, d).select("doc_id", "block_id", "page_num_1", "reading_order", "block_type", "text")
-    with brief_shuffles(spark), scratch(spark):
+    with lean(spark), scratch(spark):
         docs = flow.catalogue(spark, d)
         for wave in (blocks.filter("doc_id % 2 = 0 AND page_num_1 <= 6"), blocks):
             wave.repartition("doc_id").write.mode("append").options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}).json(f"{at}/in")

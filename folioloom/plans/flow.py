@@ -13,7 +13,7 @@ from folioloom.operators import chunking as ch
 from folioloom.operators import index as ix
 from folioloom.plans import corpus
 from folioloom.plans import views as v
-from folioloom.session import brief_shuffles, scratch, staged
+from folioloom.session import lean, scratch, staged
 from folioloom.sources.store import Store
 
 MAX_TOKENS, OVERLAP = 150, 64
@@ -50,7 +50,7 @@ def index_corpus(blocks: DataFrame, docs: DataFrame, old_documents: DataFrame, o
 
     Chunks are made once, with their vectors, and written to the shared folder: all that a run writes is of the same chunks.
     """
-    with brief_shuffles(blocks.sparkSession), scratch(blocks.sparkSession) as keep:
+    with lean(blocks.sparkSession), scratch(blocks.sparkSession) as keep:
         made = keep(staged(blocks.sparkSession, ix.embed_reuse(old_chunks, make_chunks(blocks, docs, max_tokens, overlap), within="doc_id"), "made-chunks"))
     full = staged(blocks.sparkSession, ix.embed_missing(made, embed), "embedded-chunks") if embed is not None else made.drop("needs_embedding")
     return Run(
@@ -71,10 +71,11 @@ def index_into(store: Store, blocks: DataFrame, docs: DataFrame, batch: str | No
     Only what the store has of these documents is read and merged, and only that is written: upserts keep old values, vectors of
     unchanged chunks are used again, old chunks go, each document's audit is numbered on. Another writer's commit meanwhile has the run made anew.
     """
-    spark = blocks.sparkSession
+    spark, given = blocks.sparkSession, docs
 
     def make(s: Store):
         have = {t for x in s.segments() for t in x.tables}
+        docs = staged(spark, given, "documents")
         ids = docs.select("doc_id").distinct()
         made = make_chunks(blocks, docs, max_tokens, overlap)
 
@@ -122,7 +123,7 @@ def records(spark: SparkSession, d: str) -> DataFrame:
 
 def _old_chunks(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
     """The chunks of an earlier version, which had six pages at most, with vectors that are there for most."""
-    with brief_shuffles(spark), scratch(spark) as keep:
+    with lean(spark), scratch(spark) as keep:
         made = make_chunks(records(spark, d).filter("page_num_1 <= 6"), docs, MAX_TOKENS, OVERLAP)
         return keep(staged(spark, made.withColumn("embedding", F.when(F.col("chunk_index") % 4 != 3, F.array(F.lit(1.0).cast("float")))), "old-chunks"))
 

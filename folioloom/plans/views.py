@@ -19,13 +19,15 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = words(spark, sf_dir)
+    d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    title = F.when(F.size("w") > 368, F.slice("w", 361, 8)).otherwise(F.slice("w", 1, 6))
+    # words 361 to 368 where there are more, else the first six; no text is split any further
+    late = F.regexp_extract("text", r"^(?:\S*+\s++){360}(\S*+(?:\s++\S*+){7})\s", 1)
+    title = F.when(F.length(late) > 0, F.regexp_replace(late, r"\s+", " ")).otherwise(F.array_join(F.slice(F.split("text", r"\s+", 7), 1, 6), " "))
     return d.select(
         "doc_id",
         F.concat(F.lit("doc-"), i.cast("string"), F.lit(".pdf")).alias("source_filename"),
-        F.array_join(title, " ").alias("title"),
+        title.alias("title"),
         F.concat(F.lit("Author, "), F.upper("lang"), F.lit(" "), F.col("source")).alias("author"),
         F.col("lang").alias("language"),
         F.col("source").alias("publication"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -262,3 +263,68 @@ def test_diffs_of_all_documents(spark, sf_dir):
         want[r["doc_id"]] = (sum(x[:1] == "+" and x[:3] != "+++" for x in lines), sum(x[:1] == "-" and x[:3] != "---" for x in lines))
     got = {r["doc_id"]: (r["added"], r["removed"]) for r in maintenance.version_diff_lines(spark, sf_dir).collect()}
     assert got == want and len({x for x in want.values()}) > 5
+
+
+def test_blocks_are_read_twice_and_shuffled_once(spark):
+    """A run reads its blocks for the footnotes and for the chunks, and no more; references are those of the operators one by one."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(x):
+        made.add(1)
+        return x
+
+    kind = F.when(F.col("id") % 3 == 2, "footnote").when(F.col("id") % 7 == 0, "heading").otherwise("paragraph")
+    n = (F.floor(F.col("id") / 20) % 4 + 1).cast("string")
+    words = F.when(kind == "footnote", F.concat(n, F.lit(" Ibid."))).otherwise(F.concat(F.lit("Tin [1] and ("), n, F.lit(") and [99] of block "), F.col("id").cast("string")))
+    plain = spark.range(2000).select((F.col("id") % 20).cast("string").alias("doc_id"), F.concat(F.lit("b"), "id").alias("block_id"), (F.col("id") / 100 + 1).cast("int").alias("page_num_1"), (F.col("id") % 100).cast("int").alias("reading_order"), kind.alias("block_type"), words.alias("text"))
+    docs = spark.range(20).select(F.col("id").cast("string").alias("doc_id"), F.lit("T").alias("title"), F.when(F.col("id") % 2 == 0, "2-9").alias("page_range_label"))
+    assert flow.make_chunks(plain.withColumn("text", text("text")), docs).count() > 0
+    made.add(-made.value)
+    rows = flow.make_chunks(plain.withColumn("text", text("text")), docs).collect()
+    assert rows and 0 < made.value <= 2 * 2000
+    notes = bl.footnotes(plain).withColumn("footnote_id", F.col("block_id"))
+    one = {r["block_id"]: r["footnote_refs"] for r in bl.refer(plain, notes).collect()}
+    assert one == {r["block_id"]: r["footnote_refs"] for r in bl.block_refs(plain, bl.link_refs(plain, notes, around=None)).collect()}
+    assert max(map(len, one.values())) > 1
+
+
+def test_arrivals_leave_nothing_but_the_store(spark, sf_dir, monkeypatch):
+    """Batches of bounded bytes come to the same tables, and landed files and what batches made are gone."""
+    from urllib.parse import urlsplit
+
+    from folioloom import session
+    from folioloom.plans import arrivals
+
+    monkeypatch.setattr(arrivals, "BATCH_BYTES", 1, raising=False)
+    parts, join = spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(join, "false")
+    staged = set(session._STAGED)
+    try:
+        store = arrivals._indexed(spark, sf_dir)
+    finally:
+        spark.conf.unset(join)
+    assert len(store.segments()) == 2 * int(parts)  # a file a batch, in both waves
+    root = Path(urlsplit(store.root).path)
+    assert not list(root.parent.glob("in/**/*.json*")) and set(session._STAGED) == staged
+    seen = store.read("chunks")
+    assert seen.count() == seen.select("chunk_id").distinct().count() > 0
+    assert {tuple(r) for r in store.read("audit").groupBy("version").agg((F.count("*") > 0).alias("some")).collect()} == {(1, True), (2, True)}
+
+
+def test_a_read_of_documents_opens_their_segments(spark, tmp_path):
+    from folioloom.sources.store import Store
+
+    store = Store(spark, f"file://{tmp_path}/s", buckets=2)
+    for name in "abc":
+        store.commit({"chunks": spark.createDataFrame([(name, 1), (name + "x", 1)], "doc_id string, pos int")})
+    store.commit({"chunks": spark.createDataFrame([("a", 2)], "doc_id string, pos int")})
+    ids = {s.number: s.id for s in store.segments()}
+    opened = lambda df: {n for n, i in ids.items() if any(f"segment={i}" in f for f in df.inputFiles())}
+    wanted = store.read("chunks", among=spark.createDataFrame([("a",), ("b",), ("none",)], "doc_id string"))
+    assert {tuple(r) for r in wanted.select("doc_id", "pos").collect()} == {("a", 2), ("b", 1)}
+    rows = [f for f in wanted.inputFiles() if ".touched" not in f]
+    assert {n for n, i in ids.items() if any(f"segment={i}" in f for f in rows)} == {2, 4}  # the first is void for a, and has no b
+    assert {tuple(r) for r in store.read("chunks").select("doc_id", "pos").collect()} == {("a", 2), ("ax", 1), ("b", 1), ("bx", 1), ("c", 1), ("cx", 1)}
+    assert store.read("chunks", among=spark.createDataFrame([], "doc_id string")).count() == 0
+    assert opened(store.read("chunks")) == {1, 2, 3, 4}
